@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterloom.llm import bpe
+from shutterloom.llm import bpe, wavelet
 from shutterloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,8 +17,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(spark, wavelet.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op10_wavelet": op10_wavelet,
 }
 
 ORACLES: dict[str, str] = {}
