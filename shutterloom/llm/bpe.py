@@ -20,6 +20,8 @@ nothing; equal texts give equal rows, one for each input row.
 from __future__ import annotations
 
 import json
+import re
+import string
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,6 +39,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L
 #: Entries that a worker's caches hold at most; a full cache starts anew.
 CHUNKS, PIECES, PAIRS = 300_000, 500_000, 400_000
 NEVER = 1 << 60
+PUNCTUATION = string.punctuation
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -93,9 +96,11 @@ class BPE:
         self.pre_tokens = regex.compile(PRE_TOKENS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = Chunks(self._piece, PIECES)
+        self.line_break = self._piece("\n")
         self.first = Chunks(self._chunk, CHUNKS // 8)
         self.spaced = Chunks(self._spaced, CHUNKS)
-        self.unsafe = regex.compile(r"[\p{White_Space}\x1c-\x1f] ")
+        self.runs = re.compile(r"\s\s")
+        self.before_space = re.compile(r"(?<=\S)(?=\s)")
 
     def _automaton(self) -> None:
         """States are the prefixes of tokens; suffixes[state] lists the tokens that end there, the
@@ -182,11 +187,10 @@ class BPE:
         return struct.pack(f"<{len(out)}I", *out[::-1])
 
     def _spaced(self, chunk: str) -> bytes:
-        """A chunk without the space before it; most are a word, or a word and a stop."""
-        if chunk.isalpha():
-            return self.pieces[" " + chunk]
-        if chunk and chunk[-1] in ".,;:" and chunk[:-1].isalpha():
-            return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        """A chunk without the space before it; most are a word, or a word and punctuation."""
+        word = chunk.rstrip(PUNCTUATION)
+        if word.isalpha():
+            return self.pieces[" " + word] + (self.pieces[chunk[len(word) :]] if len(word) < len(chunk) else b"")
         return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -201,12 +205,18 @@ class BPE:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. A space after a character that isn't white
-        space begins a pre-token, so a text falls into chunks there."""
-        if self.unsafe.search(text):
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
+        """Ids as little-endian unsigned 32-bit integers. White space after another character begins
+        a pre-token, so a text falls into chunks there; without runs of white space, a line break is
+        a pre-token too."""
+        if self.runs.search(text):
+            return b"".join(map(self.first.__getitem__, self.before_space.split(text)))
+        out, spaced = [], self.spaced.__getitem__
+        for line in text.split("\n"):
+            chunks = line.split(" ")
+            out.append(self.first[chunks[0]])
+            out += map(spaced, chunks[1:])
+            out.append(self.line_break)
+        return b"".join(out[:-1])
 
     def decode(self, ids: Iterable[int]) -> str:
         table, n = self.bytes_of, len(self.bytes_of)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterloom.llm.bpe import BPE
+from shutterloom.llm.bpe import PUNCTUATION, BPE
 from shutterloom.llm.common import by_batches
 from shutterloom.session import fresh_path
 
@@ -160,15 +160,38 @@ class LibraryEncoder(BPE):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        super().__init__(path)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.library.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode the new words of many texts in a few calls, a line each."""
+        seen: set[str] = set()
+        for text in texts:
+            seen.update(text.replace("\n", " ").split(" "))
+        words = {" " + w for c in seen - self.spaced.keys() if (w := c.rstrip(PUNCTUATION)).isalpha()}
+        new = list(words - self.pieces.keys())
+        if len(self.pieces) + len(new) > self.pieces.limit:
+            self.pieces.clear()
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
+            found = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(found == self.line_id)
+            if len(ends) != len(part) - 1:  # a word holds the separator's id: one by one
+                continue
+            raw = found.tobytes()
+            for word, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(found)], strict=True):
+                self.pieces[word] = raw[4 * a : 4 * b]
+
+    @property
+    def line_id(self) -> int:
+        return struct.unpack("<I", self.line_break)[0]
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> LibraryEncoder:
@@ -195,8 +218,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str | None = None, end_
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.int64()), pa.array([shard], pa.binary())], names=["part", "seq", "keys", "n_tokens", "shard"])
 
         for batch in batches:
-            key_type, encode = batch.schema.field(0).type, encoder(vocabulary).encode
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            key_type, encode, texts = batch.schema.field(0).type, encoder(vocabulary).encode, batch.column(1).to_pylist()
+            encoder(vocabulary).learn([t for t in texts if t])
+            for k, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids = (encode(t) if t else b"") + end
                 keys.append(k)
                 lengths.append(len(ids) // 4)
