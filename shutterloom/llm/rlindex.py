@@ -38,8 +38,9 @@ from shutterloom.session import written
 GRAM = 32
 #: Window starts that are scanned at once: bounds a worker's memory whatever a text's length.
 PIECE = 1 << 19
-#: Contexts in a block; anchors with more go by whole windows.
-BLOCK_CONTEXTS = 512
+#: A block is closed at so many contexts, or at the end of its last anchor; anchors with more than
+#: ``COMMON`` contexts go by whole windows.
+BLOCK_CONTEXTS, COMMON = 512, 2048
 #: Fixed odd multipliers of the substring hash, from the fractional part of square roots.
 MIX = tuple(np.uint64(x) for x in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1))
 
@@ -176,19 +177,75 @@ def _index(contexts: DataFrame, window: int) -> DataFrame:
     return by_batches(dealt, run, "anchor long, context long, from_byte long, to_byte long")
 
 
-def _whole_windows(contexts: DataFrame, window: int) -> DataFrame:
-    """The same marks for anchors with very many contexts, by counting whole windows."""
+def _merged(df: DataFrame, f, buckets: int, schema: str) -> DataFrame:
+    """Deal packed rows out by bucket; f gives the batches made from all bytes of one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from f(b"".join(held))
+                    held = []
+                now = bucket
+                held.append(raw)
+        if held:
+            yield from f(b"".join(held))
+
+    return by_batches(df.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, schema)
+
+
+def _dealt(rows: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a structured array as one packed row for each bucket."""
+    which = (by.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(which, kind="stable")
+    at = np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1, [len(rows)]])
+    rows, which = rows[order], which[order].astype(np.int32)
+    packed = [rows[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+    yield pa.RecordBatch.from_arrays([pa.array(which[[a for a, b in zip(at[:-1], at[1:], strict=True) if b > a]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
+WINDOW_ROW = np.dtype([("x", "<i8"), ("y", "<i8"), ("anchor", "<i8"), ("context", "<i8"), ("at", "<i4")])
+#: Windows in a bucket of the way for very common anchors, about.
+BUCKET_WINDOWS = 1 << 19
+
+
+def _whole_windows(contexts: DataFrame, window: int, buckets: int) -> DataFrame:
+    """The same marks for anchors with very many contexts: whole windows meet by their 128-bit hash,
+    packed into arrays, and those met twice return to their contexts as ranges."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
             for anchor, context, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 n = len(raw) - window + 1
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + window]) for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(np.arange(n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["anchor", "context", "at", "x", "y"])
-
-    rows = by_batches(contexts.select("anchor", "context", "bytes"), run, "anchor long, context long, at long, x long, y long")
-    again = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    return rows.join(again, ["x", "y"]).select("anchor", "context", F.col("at").alias("from_byte"), (F.col("at") + window).alias("to_byte"))
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + window]) for i in range(n)), "<i8").reshape(n, 2)
+                part = np.zeros(n, WINDOW_ROW)
+                part["x"], part["y"], part["anchor"], part["context"], part["at"] = digests[:, 0], digests[:, 1], anchor, context, np.arange(n)
+                parts.append(part)
+            if parts:
+                rows = np.concatenate(parts)
+                yield from _dealt(rows, np.ascontiguousarray(rows["x"]), buckets)
+
+    def twice(raw: bytes) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(raw, WINDOW_ROW)
+        rows = rows[np.lexsort((rows["y"], rows["x"]))]
+        same = (rows["x"][1:] == rows["x"][:-1]) & (rows["y"][1:] == rows["y"][:-1])
+        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        if len(rows):
+            yield from _dealt(rows, np.ascontiguousarray(rows["context"]), buckets)
+
+    def ranges(raw: bytes) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(raw, WINDOW_ROW)
+        rows = rows[np.lexsort((rows["at"], rows["context"], rows["anchor"]))]
+        new = (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["context"][1:] != rows["context"][:-1]) | (rows["at"][1:] != rows["at"][:-1] + 1)
+        first, last = rows[np.concatenate([[True], new])], rows[np.concatenate([new, [True]])]
+        columns = (first["anchor"], first["context"], first["at"], last["at"] + window)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["anchor", "context", "from_byte", "to_byte"])
+
+    packed = by_batches(contexts.select("anchor", "context", "bytes"), hashed, "bucket int, packed binary")
+    again = _merged(packed, twice, buckets, "bucket int, packed binary")
+    return _merged(again, ranges, buckets, "anchor long, context long, from_byte long, to_byte long")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -221,9 +278,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     found = written(all_contexts.join(repeated, "anchor"), "occurrences")
     by_context = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "digest", "place")).alias("one")), "contexts")
     several = by_context.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = by_context.join(several, "anchor").select("anchor", "context", "one.*", (F.col("contexts") > BLOCK_CONTEXTS).alias("hot"))
+    wanted = by_context.join(several, "anchor").select("anchor", "context", "one.*", (F.col("contexts") > COMMON).alias("hot"))
     contexts = written(_fetched(source, wanted, window), "texts").dropDuplicates(["anchor", "context"])
-    marks = _index(contexts.where("not hot"), window).unionAll(_whole_windows(contexts.where("hot"), window))
+    common = several.where(F.col("contexts") > COMMON).agg(F.sum("contexts")).first()[0] or 0
+    marks = _index(contexts.where("not hot"), window)
+    if common:
+        buckets = -(-common * (window - GRAM + 1) // BUCKET_WINDOWS)
+        marks = marks.unionAll(_whole_windows(contexts.where("hot"), window, buckets))
     partial = marks.groupBy("anchor", "context").agg(F.collect_set(F.struct("from_byte", "to_byte")).alias("marks"))
     whole = by_context.where("n > 1").select("anchor", "context", F.lit(True).alias("whole"))
     start = F.shiftright("place", 16)

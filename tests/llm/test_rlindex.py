@@ -31,6 +31,8 @@ def rows(df):
 @pytest.mark.parametrize("limit", [512, 3])
 def test_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(rlindex, "BLOCK_CONTEXTS", limit)
+    monkeypatch.setattr(rlindex, "COMMON", limit)
+    monkeypatch.setattr(rlindex, "BUCKET_WINDOWS", 500)
     rnd = random.Random(limit)
     letters = "abcdefgh ä\x00é漢"
     passage = ["".join(rnd.choice(letters) for _ in range(rnd.randint(90, 400))) for _ in range(6)]
