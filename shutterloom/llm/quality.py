@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that are learned from, at most: those with the least hash of their key.
 SAMPLE_ROWS = 20_000
-#: A stem is a marker if so many toxic documents of the sample hold it, and of all that hold it this share is toxic.
-STEM_LETTERS, STEM_DOCS, STEM_SHARE, STEMS = 4, 6, 0.98, 200
+#: Stems are the first letters of words, of these lengths. One is a marker (or a hint) if so many toxic
+#: documents of the sample hold it, and of all that hold it this share is toxic; the most frequent count.
+STEM_LENGTHS, STEM_DOCS, MARKER_SHARE, HINT_SHARE, STEMS = (4, 5, 7, 12), 5, 0.97, 0.8, 400
 #: Threshold candidates for each statistic, literals in a rule, rules, and the least precision of a rule.
 CUTS, LITERALS, RULES, PRECISION = 32, 4, 16, 0.75
 SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics that rules may test; ratios come from these counts.
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals", "n_exclamations", "n_digits", "n_markers")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals", "n_exclamations", "n_digits", "n_markers", "n_hints")
 
 
 def let(value: Column, body) -> Column:
@@ -55,12 +56,19 @@ def _repeat_words(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) < n, 0).otherwise(let(windows, covered))
 
 
-def statistics(text: Column, stems: list[str] | None = None) -> Column:
-    """A struct of counts over the whole text; see ``COUNTS``. Stems: the markers to count."""
+def _stems(words: Column) -> Column:
+    """Distinct stems of all lengths; a word no longer than a length is its own stem."""
+    lower = F.array_distinct(F.transform(words, F.lower))
+    return let(lower, lambda ws: F.array_distinct(F.concat(*(F.transform(ws, lambda w, n=n: F.substring(w, 1, n)) for n in STEM_LENGTHS))))
+
+
+def statistics(text: Column, markers: tuple[str, ...] = (), hints: tuple[str, ...] = ()) -> Column:
+    """A struct of counts over the whole text; see ``COUNTS``."""
     whole = F.coalesce(text, F.lit(""))
 
     def of(t: Column, words: Column, lines: Column) -> Column:
-        found = F.array_intersect(F.transform(words, lambda w: F.lower(F.substring(w, 1, STEM_LETTERS))), F.array(*map(F.lit, stems))) if stems else None
+        known = [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (markers, hints)]
+        found = let(_stems(words), lambda x: F.struct(*(F.size(F.array_intersect(x, k)).alias(n) for k, n in zip(known, ("markers", "hints"), strict=True)))) if markers or hints else F.struct(F.lit(0).alias("markers"), F.lit(0).alias("hints"))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -72,7 +80,8 @@ def statistics(text: Column, stems: list[str] | None = None) -> Column:
             F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
             F.regexp_count(t, F.lit("!")).cast("long").alias("n_exclamations"),
             F.regexp_count(t, F.lit("[0-9]")).cast("long").alias("n_digits"),
-            (F.size(found) if stems else F.lit(0)).cast("long").alias("n_markers"),
+            found["markers"].cast("long").alias("n_markers"),
+            found["hints"].cast("long").alias("n_hints"),
         )
 
     def split(t: Column) -> Column:
@@ -98,6 +107,7 @@ def ratios(s: Column) -> dict[str, Column]:
         "exclamations_a_word": per_word("n_exclamations"),
         "digits_a_word": per_word("n_digits"),
         "n_markers": s["n_markers"].cast("double"),
+        "n_hints": s["n_hints"].cast("double"),
     }
 
 
@@ -176,9 +186,10 @@ def learned(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
 
 @dataclass(frozen=True)
 class Model:
-    """Marker stems and the decision list."""
+    """Stems of toxic words and the decision list."""
 
-    stems: tuple[str, ...]
+    markers: tuple[str, ...]
+    hints: tuple[str, ...]
     rules: tuple[Rule, ...]
 
     def verdict(self, s: Column) -> Column:
@@ -194,15 +205,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.select(F.col(key), (F.col("toxic") == 1).alias("toxic"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where(F.col(key).isNotNull() & F.col("bad").isNotNull()).dropDuplicates([key])
     sample = known.orderBy(F.xxhash64(key), key).limit(rows)  # the documented bound; so it can be broadcast
     taught = docs.select(key, text).join(F.broadcast(sample), key).select(key, text, "bad", F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: F.lower(F.substring(w, 1, STEM_LETTERS))))
-    stems = taught.select("toxic", F.explode(words).alias("stem")).where(F.length("stem") == STEM_LETTERS).groupBy("stem").agg(F.count_if("toxic").alias("toxic"), F.count("*").alias("n"))
-    markers = [r["stem"] for r in stems.where((F.col("toxic") >= STEM_DOCS) & (F.col("toxic") >= STEM_SHARE * F.col("n"))).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()]
-    s = taught.select("bad", F.xxhash64(key).alias("at"), statistics(F.col(text), markers).alias("s")).select("bad", "at", *(F.col(f"s.{c}") for c in COUNTS))
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
+    stems = taught.select("toxic", F.explode(_stems(words)).alias("stem")).groupBy("stem").agg(F.count_if("toxic").alias("toxic"), F.count("*").alias("n"))
+    stems = stems.where((F.col("toxic") >= STEM_DOCS) & (F.col("toxic") >= HINT_SHARE * F.col("n"))).withColumn("marker", F.col("toxic") >= MARKER_SHARE * F.col("n"))
+    kinds = [tuple(r["stem"] for r in stems.where(F.col("marker") == kind).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()) for kind in (True, False)]
+    s = taught.select("bad", F.xxhash64(key).alias("at"), statistics(F.col(text), *kinds).alias("s")).select("bad", "at", *(F.col(f"s.{c}") for c in COUNTS))
     values = ratios(F.struct(*COUNTS))
     got = s.select("at", "bad", *(v.alias(n) for n, v in values.items())).orderBy("at", *values).collect()
     names = list(values)
     x = np.array([[r[n] for n in names] for r in got], float).reshape(len(got), len(names))
-    return Model(tuple(markers), tuple(learned(x, np.array([r["bad"] for r in got], bool), names)))
+    return Model(*kinds, tuple(learned(x, np.array([r["bad"] for r in got], bool), names)))
 
 
 def judged(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_judgement") -> DataFrame:
@@ -212,4 +224,4 @@ def judged(docs: DataFrame, model: Model, text: str = "text", into: str = "quali
         failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
         return F.struct(*(s[c].alias(c) for c in COUNTS), failed.alias("base_failed"), (~failed & model.verdict(s)).alias("kept"))
 
-    return docs.withColumn(into, let(statistics(F.col(text), list(model.stems)), judgement))
+    return docs.withColumn(into, let(statistics(F.col(text), model.markers, model.hints), judgement))

@@ -35,7 +35,7 @@ def test_odd_texts(spark):
         assert (r.s.n_words, r.s.word_chars, r.s.n_symbols, r.s.n_dup_lines, r.s.n_repeat_words) == brute(texts[r.doc_id])[:5]
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, empty)
-    assert model == quality.Model((), ())
+    assert model == quality.Model((), (), ())
     assert [r.quality_judgement.kept for r in quality.judged(docs, model).orderBy("doc_id").collect()] == [not brute(t)[5] for t in texts]
 
 
@@ -45,6 +45,6 @@ def test_held_out_accuracy(spark):
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
     held = quality.judged(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).selectExpr("quality = 0 as low", "toxic = 1 as toxic", "not quality_judgement.kept as out").collect()
     bad, clean = [r for r in held if r.low or r.toxic], [r for r in held if not (r.low or r.toxic)]
-    print(*model.rules, model.stems[:9], sum(r.out for r in bad) / len(bad), sum(r.out for r in clean) / len(clean), sep="\n")
+    print(*model.rules, len(model.markers), len(model.hints), sum(r.out for r in bad) / len(bad), sum(r.out for r in clean) / len(clean), sep="\n")
     assert sum(r.out for r in bad) >= 0.9 * len(bad)
     assert sum(r.out for r in clean) <= 0.03 * len(clean)
