@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from shutterloom.plans import archive, capture, dedup, similar
+
+FAMILIES = (dedup, capture, archive, similar)
+QUERIES = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
+ORACLES = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}
