@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterloom.llm.bpe import PUNCTUATION, BPE
+from shutterloom.llm.bpe import PUNCTUATION, BPE, byte_alphabet
 from shutterloom.llm.common import by_batches
 from shutterloom.session import fresh_path
 
 MAGIC, BLOCK = b"WMX1", 512
 #: A shard is closed when it holds so many tokens; only a longer document makes a larger one.
 SHARD_TOKENS = 1 << 20
+#: Chunks and words that an encoder holds at most.
+WORDS_HELD = (500_000, 700_000)
 
 
 class WaveletMatrix:
@@ -155,42 +157,80 @@ class WaveletMatrix:
 
 
 class LibraryEncoder(BPE):
-    """The tokenizers library behind this package's cache of pre-tokens."""
+    """The tokenizers library behind caches of chunks and words.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    New words of a batch go to the library in a few calls, already split and in its byte alphabet; all
+    other pre-tokens one by one.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.split):
+            t.no_truncation()
+            t.no_padding()
+        self.letters = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
+        self.split.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
         super().__init__(path)
+        self.spaced.limit, self.pieces.limit = WORDS_HELD
+        self.break_id = struct.unpack("<I", self.line_break)[0]
 
     def _piece(self, piece: str) -> bytes:
         ids = self.library.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the new words of many texts in a few calls, a line each."""
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(text.replace("\n", " ").split(" "))
-        words = {" " + w for c in seen - self.spaced.keys() if (w := c.rstrip(PUNCTUATION)).isalpha()}
+    def _spaced(self, chunk: str) -> bytes:
+        """As for a chunk after a space, or after a line break that the chunk begins with."""
+        return self.line_break + self.first[chunk[1:]] if chunk[:1] == "\n" else super()._spaced(chunk)
+
+    def _learn(self, chunks: set[str]) -> None:
+        words = set()
+        for c in chunks:
+            w = c.rstrip(PUNCTUATION)
+            if w[:1] == "\n":
+                w = w[1:]
+                if w.isalpha():
+                    words.add(w)
+            elif w.isalpha():
+                words.add(" " + w)
         new = list(words - self.pieces.keys())
         if len(self.pieces) + len(new) > self.pieces.limit:
             self.pieces.clear()
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            found = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(found == self.line_id)
-            if len(ends) != len(part) - 1:  # a word holds the separator's id: one by one
-                continue
-            raw = found.tobytes()
+            new = list(words)
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            mapped = "\n".join(part).encode().decode("latin-1").translate(self.letters)
+            found = np.array(self.split.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = found.tobytes(), np.flatnonzero(found == self.break_id)  # no word holds a line break
             for word, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(found)], strict=True):
                 self.pieces[word] = raw[4 * a : 4 * b]
-
-    @property
-    def line_id(self) -> int:
-        return struct.unpack("<I", self.line_break)[0]
+        if len(self.spaced) + len(chunks) > self.spaced.limit:
+            self.spaced.clear()
+        for c in chunks:
+            if len(c) < 200:
+                self.spaced[c] = self._spaced(c)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of many texts; chunks begin at spaces, and at line breaks with the break."""
+        known, rows, missing = self.spaced.get, [], set()
+        for text in texts:
+            if not text or self.runs.search(text):
+                rows.append(([], [self.encode(text)] if text else [], []))
+                continue
+            chunks = text.replace("\n", " \n").split(" ")
+            ids = list(map(known, chunks))
+            ids[0] = self._chunk(chunks[0])
+            new = [i for i, x in enumerate(ids) if x is None]
+            missing.update([chunks[i] for i in new])
+            rows.append((chunks, ids, new))
+        self._learn(missing)
+        out, spaced = [], self.spaced
+        for chunks, ids, new in rows:
+            for i in new:
+                ids[i] = spaced[chunks[i]]
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -218,10 +258,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str | None = None, end_
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.int64()), pa.array([shard], pa.binary())], names=["part", "seq", "keys", "n_tokens", "shard"])
 
         for batch in batches:
-            key_type, encode, texts = batch.schema.field(0).type, encoder(vocabulary).encode, batch.column(1).to_pylist()
-            encoder(vocabulary).learn([t for t in texts if t])
-            for k, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = (encode(t) if t else b"") + end
+            key_type, texts = batch.schema.field(0).type, encoder(vocabulary).encode_all(batch.column(1).to_pylist())
+            for k, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = raw + end
                 keys.append(k)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)

@@ -35,3 +35,11 @@ def test_files_against_library(spark):
     found = {r.token: r.n for r in wavelet.token_count(spark, path, [0, 257]).collect()}
     assert found[0] == len(rows) + 1
     assert wavelet.read_shards(spark, wavelet.write_shards(docs.limit(0), BYTE_BPE)).count() == 0
+
+
+def test_encoder_against_library(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [None, "", "\nA b\nc", "x \n y", " a", "a ", "\n", "été, été!\nété", "a\tb c", "<|endoftext|> a<|endoftext|>", "w" * 500]
+    own, library = wavelet.encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
