@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions.paths import split_ext
+from shutterloom.session import written
 
 
 def numbered(name, i):
@@ -21,19 +22,19 @@ def unique_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> Data
     Rounds of proposals: each unplaced file proposes its next name, the first path of those that want
     a free name gets it. A file needs ``attempts`` + 1 rounds at most, and a round is two equi-joins.
     """
-    placed = None
-    left = files.withColumn("_try", F.lit(0))
-    used = taken.select("dir", "name").distinct()
+    placed, used = None, taken.select("dir", "name").distinct()
+    left = written(files, "unplaced")
     for i in range(attempts + 1):
         wanted = left.withColumn("target_name", numbered(F.col("name"), F.lit(i)))
         free = wanted.join(used.select("dir", F.col("name").alias("target_name")), ["dir", "target_name"], "left_anti")
-        won = free.withColumn("_r", F.row_number().over(Window.partitionBy("dir", "target_name").orderBy("path"))).where("_r = 1").drop("_r", "_try").select(*files.columns, "target_name")
+        won = free.withColumn("_r", F.row_number().over(Window.partitionBy("dir", "target_name").orderBy("path"))).where("_r = 1").drop("_r").select(*files.columns, "target_name")
+        won = written(won, "placed")  # each round is cut: later rounds read it several times
         placed = won if placed is None else placed.unionByName(won)
-        if i < attempts:
-            used = used.unionByName(won.select("dir", F.col("target_name").alias("name")))
-            left = left.join(won.select("path"), "path", "left_anti")
-    rest = files.join(placed.select("path"), "path", "left_anti").withColumn("target_name", F.lit(None).cast("string"))
-    return placed.unionByName(rest)
+        used = used.unionByName(won.select("dir", F.col("target_name").alias("name")))
+        left = written(left.join(won.select("path"), "path", "left_anti"), "unplaced")
+        if left.isEmpty():
+            break
+    return placed.unionByName(left.withColumn("target_name", F.lit(None).cast("string")))
 
 
 def serial_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> DataFrame:
