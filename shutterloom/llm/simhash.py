@@ -41,7 +41,7 @@ BITS, BLOCKS = 32, 4
 #: Whole fingerprints (128 bits) of similar texts differ in no more bits; chance ones in 64 +- 6.
 NEAR_BITS = 28
 #: Buckets up to this size compare all their pairs; in larger ones each text is compared with the
-#: least of the bucket and with the 11 before it, so pairs grow with the rows. Texts of such a group
+#: least of the bucket and with the one before it, so pairs grow with the rows. Texts of such a group
 #: meet in up to 132 buckets, and links are closed over paths.
 SMALL_BUCKET = 12
 
@@ -135,8 +135,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
     variants = F.concat(*(ball(F.lit(n << BITS).bitwiseOR(block), BITS) for block, n in blocks))
     met = texts.select("id", F.explode(variants).alias("variant"))
     at = Window.partitionBy("variant").orderBy("id")
-    rows = met.select("id", *(F.lag("id", k).over(at).alias(f"before{k}") for k in range(1, SMALL_BUCKET)), F.first("id").over(at).alias("least"))
-    others = F.array("least", *(f"before{k}" for k in range(1, SMALL_BUCKET)))
+    size = F.count("*").over(Window.partitionBy("variant"))
+    rows = met.select("id", size.alias("size"), *(F.lag("id", k).over(at).alias(f"before{k}") for k in range(1, SMALL_BUCKET)), F.first("id").over(at).alias("least"))
+    others = F.when(F.col("size") > SMALL_BUCKET, F.array("least", "before1")).otherwise(F.array(*(f"before{k}" for k in range(1, SMALL_BUCKET))))
     pairs = rows.where("before1 is not null").select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array_compact(others))).alias("a")).where("a < b").distinct()
     one, other = (texts.select(F.col("id").alias(n), F.col("high").alias(f"high_{n}"), F.col("low").alias(f"low_{n}")) for n in "ab")
     differ = sum((F.bit_count(F.col(f"{half}_a").bitwiseXOR(F.col(f"{half}_b"))) for half in ("high", "low")), F.lit(0))
