@@ -282,8 +282,8 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
     hits = archive.unique_names(found.where("found = 'hit'").select("path", "dir", P.file_name(F.col("path")).alias("name")), taken, config.copy.unique_name_max_attempts)
     plan = hits.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"))
     done = written(applied(written(plan, "plan"), True, dry_run), "done")
-    seen = found.agg(F.count("*").alias("scanned"), F.count_if("found <> 'ignored' AND found <> 'failed'").alias("image_files"), F.count_if("found = 'hit'").alias("ocr_hits"), F.count_if("found = 'ignored'").alias("skipped_non_image"), F.count_if("found = 'no_text'").alias("skipped_no_text"), F.count_if("found = 'failed'").alias("failed")).first().asDict()
-    moved = done.agg(F.count_if("status = 'copied'").alias("moved"), F.count_if("status = 'failed'").alias("failed")).first()
+    seen = found.agg(F.count("*").alias("scanned"), F.count_if(F.expr("found <> 'ignored' AND found <> 'failed'")).alias("image_files"), F.count_if(F.expr("found = 'hit'")).alias("ocr_hits"), F.count_if(F.expr("found = 'ignored'")).alias("skipped_non_image"), F.count_if(F.expr("found = 'no_text'")).alias("skipped_no_text"), F.count_if(F.expr("found = 'failed'")).alias("failed")).first().asDict()
+    moved = done.agg(F.count_if(F.expr("status = 'copied'")).alias("moved"), F.count_if(F.expr("status = 'failed'")).alias("failed")).first()
     seen |= {"moved": moved["moved"], "failed": seen["failed"] + moved["failed"], "dry_run": dry_run}
     errors = found.where("found = 'failed'").select("path", "message").unionByName(done.where("status = 'failed'").select("path", "message")).orderBy("path").limit(ERRORS).collect()
     return Report(seen, [r.asDict() for r in errors]), done
