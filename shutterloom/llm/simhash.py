@@ -1,4 +1,4 @@
-"""SimHash near-dedup by meet-in-the-middle ball hashing.
+"""SimHash near-dedup by meet-in-the-middle ball hashing, and an exact join of shingle sets.
 
 Two fingerprints within distance 2h have a point within h of both. Every fingerprint emits all
 variants within h bits of itself; rows meet on the variant. For h = 1 a fingerprint of 64 bits has
@@ -10,25 +10,26 @@ Two uses:
 * :func:`link_fingerprints`: fingerprints of word shingles (three words, 64 bits), linked at 2 or
   fewer differing bits, with the connected components of the links.
 * :func:`near_duplicates`: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-  more. Shingle fingerprints of such texts differ in some ten bits, beyond any affordable ball, so
-  this one fingerprints distinct words weighted by their length: 128 bits, of which similar texts
-  differ in some seven. Balls of radius 2 are hashed for each of four blocks of 32 bits; pairs that
-  collide in a block must agree in the whole fingerprint within 28 bits and are then verified on
-  their shingle sets.
+  more. Fingerprints of such texts differ in some ten bits, beyond any affordable ball, so these texts
+  meet on shingles: in any order of all shingles, similar sets share one among the first fifth of each.
+  The order is rarest first. In each bucket a text is first compared with two others; then all pairs
+  that are in different components of these links are compared, so none is left out, and a group of
+  like texts costs no pairs. All comparisons are on the whole shingle sets.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and link like
-any other; repeated rows share their class; a null key never becomes a class id.
+any other in the first, and are one class in the second; repeated rows share their class; a null key never becomes a class id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
@@ -37,13 +38,13 @@ from shutterloom.session import written
 
 #: Fixed value: the seed of the shingle hashes.
 SEED = 42
-BITS, BLOCKS = 32, 4
-#: Whole fingerprints (128 bits) of similar texts differ in no more bits; chance ones in 64 +- 6.
-NEAR_BITS = 28
-#: Buckets up to this size compare all their pairs; in larger ones each text is compared with the
-#: least of the bucket and with the one before it, so pairs grow with the rows. Texts of such a group
-#: meet in up to 132 buckets, and links are closed over paths.
-SMALL_BUCKET = 12
+#: Texts that the order of shingles is learned from, and the most shingles it tells apart; neither bounds
+#: what is found.
+SAMPLE_ROWS, COMMON_SHINGLES = 10_000, 1 << 18
+#: Sets whose parities differ in k bits differ in k shingles at least.
+PARITY_BITS = 256
+#: For rounding: bounds are looser by this.
+SLACK = 1e-6
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,43 +106,89 @@ def link_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.join(of, "fp").select(key, "fp", "component")
 
 
-def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, content binary, high long, low long): digest of the words, and the 128-bit fingerprint of
-    the distinct words, weighted by length so that short common words hardly count."""
+def _common(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample share, and in how many. They only order
+    the shingles: any order of all shingles finds all pairs, a good one makes buckets small."""
+    step = max(1, -(-docs.count() // SAMPLE_ROWS))
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0)
 
-    def sketch(text: str | None) -> tuple[bytes, int, int]:
-        words = words_of(text)
-        content = xxhash.xxh128_digest(b" ".join(words), SEED)
-        if not words:
-            return content, 0, 0
-        distinct = list(set(words))
-        weights = np.clip(np.fromiter(map(len, distinct), np.float32, len(distinct)) - 3, 0.01, 6)
-        raw = np.frombuffer(b"".join(map(xxhash.xxh128_digest, distinct, repeat(SEED))), np.uint8).reshape(-1, 16)
-        ones = weights @ np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
-        high, low = np.packbits(ones * 2 > weights.sum(), bitorder="little").view(np.int64)
-        return content, int(high), int(low)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes_of(shingles_of(words_of(t), shingle))).view(np.int64))], names=["gram"])
+
+    counts = by_batches(sample.select(text), run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "gram").limit(COMMON_SHINGLES).toPandas()
+    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(grams)
+    return grams[at], rows["n"].to_numpy(np.int64)[at]
+
+
+def _prefixes(docs: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
+    """(key, content binary, n int, prefix array, parity array): digest of the words, number of distinct
+    shingles, the rarest ones (similar texts share one of these), and PARITY_BITS bits, each whether an
+    odd number of shingles falls to it."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text, shingle))
+
+    def prefix(words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+        common, counts = sent.value
+        grams = np.unique(hashes_of(shingles_of(words, shingle)))
+        n = len(grams)
+        parity = np.packbits(np.bincount((grams % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).view(np.int64)
+        if n and len(common):
+            at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+            grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
+        return n, grams[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64), parity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, high, low = zip(*map(sketch, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=[key, "content", "high", "low"])
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            content = [xxhash.xxh128_digest(b" ".join(w), SEED) for w in words]
+            n, prefixes, parity = zip(*map(prefix, words), strict=True) if words else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(n, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=[key, "content", "n", "prefix", "parity"])
+
+    return by_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, content binary, n int, prefix array<long>, parity array<long>")
+
+
+def _fits(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
+    """Whether the sizes of two texts and the places of a shared shingle allow the similarity."""
+    bound = F.least(x["pos"], y["pos"]) + 1 + F.least(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
+    return bound >= similarity / (1 + similarity) * (x["n"] + y["n"]) - SLACK
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _buckets(texts: DataFrame) -> DataFrame:
+    """(gram, id, n, pos) of prefix shingles that several texts have."""
+    met = texts.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
+    return met.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1").select("gram", "id", "n", "pos")
+
 
-    return by_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, content binary, high long, low long")
+def _first_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with the one before it and the first of its buckets by size. These links only
+    save work: the texts that they join need no more comparisons."""
+    at = Window.partitionBy("gram").orderBy("n", "id")
+    own = {c: F.col(c) for c in ("id", "n", "pos")}
+    this = F.struct("id", "n", "pos")
+    rows = buckets.select("id", "n", "pos", F.lag(this).over(at).alias("before"), F.first(this).over(at).alias("least"))
+    rows = rows.select("id", "n", "pos", F.explode(F.array("before", "least")).alias("other"))
+    other = {c: F.col(f"other.{c}") for c in own}
+    return rows.where("other.id <> id").where(_fits(own, other, similarity)).select(*_pairs(own["id"], other["id"])).distinct()
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(a, b) with a < b: ids of texts that collide in a block and are near in the whole fingerprint."""
-    blocks = [(F.shiftright(F.col(half), 32 * i).bitwiseAND(F.lit(0xFFFFFFFF)), 2 * j + i) for j, half in enumerate(("high", "low")) for i in range(2)]
-    variants = F.concat(*(ball(F.lit(n << BITS).bitwiseOR(block), BITS) for block, n in blocks))
-    met = texts.select("id", F.explode(variants).alias("variant"))
-    at = Window.partitionBy("variant").orderBy("id")
-    size = F.count("*").over(Window.partitionBy("variant"))
-    rows = met.select("id", size.alias("size"), *(F.lag("id", k).over(at).alias(f"before{k}") for k in range(1, SMALL_BUCKET)), F.first("id").over(at).alias("least"))
-    others = F.when(F.col("size") > SMALL_BUCKET, F.array("least", "before1")).otherwise(F.array(*(f"before{k}" for k in range(1, SMALL_BUCKET))))
-    pairs = rows.where("before1 is not null").select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array_compact(others))).alias("a")).where("a < b").distinct()
-    one, other = (texts.select(F.col("id").alias(n), F.col("high").alias(f"high_{n}"), F.col("low").alias(f"low_{n}")) for n in "ab")
-    differ = sum((F.bit_count(F.col(f"{half}_a").bitwiseXOR(F.col(f"{half}_b"))) for half in ("high", "low")), F.lit(0))
-    return pairs.join(one, "a").join(other, "b").where(differ <= NEAR_BITS).select("a", "b")
+def _other_pairs(buckets: DataFrame, texts: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a bucket whose texts are not linked yet and may be similar by their parities."""
+    named = buckets.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").join(texts.select("id", "parity"), "id")
+    groups = named.groupBy("gram", F.coalesce("component", "id").alias("component")).agg(F.collect_list(F.struct("id", "n", "pos", "parity")).alias("members"))
+    mixed = groups.withColumn("groups", F.count("*").over(Window.partitionBy("gram"))).where("groups > 1")
+    one, other = (mixed.select("gram", F.col("component").alias(f"component_{k}"), F.col("members").alias(f"members_{k}")) for k in "xy")
+    met = one.join(other, "gram").where("component_x < component_y").select(F.explode("members_x").alias("x"), "members_y").select("x", F.explode("members_y").alias("y"))
+    x, y = ({c: F.col(f"{k}.{c}") for c in ("id", "n", "pos", "parity")} for k in "xy")
+    differ = sum((F.bit_count(x["parity"][i].bitwiseXOR(y["parity"][i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    near = differ <= (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]) + SLACK
+    return met.where(_fits(x, y, similarity)).where(near).select(*_pairs(x["id"], y["id"])).distinct()
 
 
 def _sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -158,12 +205,10 @@ def _sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(key, class): the least key of the group over links of that similarity; rows with a null key
     are their own class and have a null one. Keys are long integers, one row each."""
-    rows = written(_sketches(docs, key, text), "sketches")
-    texts = rows.where(F.col(key).isNotNull()).groupBy("content").agg(F.min(key).alias("id"), F.first("high").alias("high"), F.first("low").alias("low"))
+    rows = written(_prefixes(docs, key, text, similarity, shingle), "prefixes")
+    texts = rows.where(F.col(key).isNotNull()).groupBy("content").agg(F.min(key).alias("id"), *(F.first(c).alias(c) for c in ("n", "prefix", "parity")))
     texts = written(texts, "texts")
-    pairs = written(_candidates(texts), "pairs")
-    wanted = pairs.select(F.col("a").alias(key)).unionAll(pairs.select(F.col("b").alias(key))).distinct()
-    sets = written(_sets(docs.join(wanted, key, "left_semi"), key, text, shingle).dropDuplicates([key]), "sets")
+    buckets = written(_buckets(texts), "buckets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +219,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, other = (sets.select(F.col(key).alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab")
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "grams_a", "grams_b")
-    linked = components(by_batches(both, verify, "a long, b long"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias(key)).unionAll(pairs.select(F.col("b").alias(key))).distinct()
+        sets = written(_sets(docs.join(wanted, key, "left_semi"), key, text, shingle).dropDuplicates([key]), "sets")
+        one, other = (sets.select(F.col(key).alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab")
+        both = pairs.join(one, "a").join(other, "b").select("a", "b", "grams_a", "grams_b")
+        return written(by_batches(both, verify, "a long, b long"), "links")
+
+    first = written(_first_pairs(buckets, similarity), "pairs")
+    links = similar(first)
+    rest = _other_pairs(buckets, texts, components(links), similarity).join(first, ["a", "b"], "left_anti")
+    linked = components(links.unionAll(similar(written(rest, "pairs"))))
     of = texts.select("content", "id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("content", F.coalesce("component", "id").alias("class"))
     found = rows.where(F.col(key).isNotNull()).join(of, "content").select(key, "class")
     return found.unionAll(rows.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("class")))

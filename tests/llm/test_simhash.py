@@ -84,3 +84,20 @@ def test_near_duplicates_against_brute_force(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r["class"] for r in simhash.near_duplicates(docs).collect()} == brute_components(texts, similar)
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_interleaved_families_in_one_bucket(spark):
+    """Two families share enough shingles to meet in the same buckets; their ids interleave."""
+    rnd = random.Random(8)
+    word = lambda n=3: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    shared = [word(8) for _ in range(151)]
+    ends = [[word() for _ in range(20)] for _ in "ab"]
+    texts = {}
+    for i in range(40):
+        texts[i] = " ".join(shared + ends[i % 2] + [word()])
+    sets = {k: set(simhash.shingles_of(simhash.words_of(t), 5)) for k, t in texts.items()}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])
+    want = brute_components(texts, similar)
+    assert set(want.values()) == {0, 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r["class"] for r in simhash.near_duplicates(docs, similarity=0.9).collect()} == want
