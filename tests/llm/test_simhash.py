@@ -101,3 +101,23 @@ def test_interleaved_families_in_one_bucket(spark):
     assert set(want.values()) == {0, 1}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r["class"] for r in simhash.near_duplicates(docs, similarity=0.9).collect()} == want
+
+
+def test_added_and_cut_passages_against_brute_force(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    texts = {}
+    for _ in range(60):
+        words = [word() for _ in range(rnd.randint(60, 600))]
+        n = len(words)
+        texts[len(texts)] = " ".join(words)
+        for share in (0.79, 0.8, 0.82, 0.9):
+            texts[len(texts)] = " ".join(words[: int(n * share) + 1])
+            texts[len(texts)] = " ".join(words + [word() for _ in range(int(n / share) - n)])
+    keys = list(texts)
+    rnd.shuffle(keys)
+    texts = dict(zip(keys, texts.values(), strict=True))
+    sets = {k: set(simhash.shingles_of(simhash.words_of(t), 5)) for k, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id: r["class"] for r in simhash.near_duplicates(docs).collect()} == want
