@@ -3,9 +3,9 @@
 1. Words (A-Z in lower case, split at white space, ASCII punctuation at their ends taken off) of the test
    items get numbers; all other words are 0 and match nothing, which is all that an alignment needs.
 2. One pass counts the items' 3-grams over all documents, with partial sums.
-3. Every two neighbouring 3-grams of an item give the rarer one as a seed: any four words kept in
-   order hold one, and so does every copy that keeps 80 % of an item of 15 words or more. Common
-   phrases are seeds only where an item has nothing rarer, so they meet few items.
+3. Seeds are all 3-grams of an item that the documents hold at most ``RARE`` times, and of every two
+   neighbouring ones the rarer: any three rare words kept in order hold one, and any four words.
+   Common phrases are seeds only where an item has nothing rarer, so they meet few items.
 4. A second pass joins passages to items on the seeds and aligns word numbers locally (match 1,
    mismatch and gap -1) in the window around the seeds. A pair is reported if the matched words are
    0.8 or more of the item.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from shutterloom.llm.common import by_batches
 
 GRAM, SIMILARITY = 3, 0.8
+#: Grams that occur no more often in the documents are all seeds.
+RARE = 100
 #: Bytes of items that a task holds at once.
 BLOCK_BYTES = 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,11 +83,11 @@ class Items:
         return np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
 
     def choose(self, counts: dict[int, int]) -> None:
-        """Of each two neighbouring grams of an item, the rarer one."""
+        """The rare grams of an item, and of each two neighbouring ones the rarer."""
         for i, grams in enumerate(self.grams):
             n = [counts.get(int(g), 0) for g in grams]
             chosen = {k if n[k] <= n[k + 1] else k + 1 for k in range(len(n) - 1)} or ({0} if n else set())
-            for k in chosen:
+            for k in chosen | {k for k in range(len(n)) if n[k] <= RARE}:
                 self.places.setdefault(int(grams[k]), []).append((i, k))
         self.seeds = np.array(sorted(self.places), np.uint64)
 

@@ -100,6 +100,17 @@ def test_decontamination(spark, sf_dir):
     assert whole <= {(r.doc_id, r.item_id) for r in found} and whole
 
 
+def test_decontamination_of_three_word_runs(spark):
+    """Copies that keep only three words in a row, beside whole copies that make these runs less rare."""
+    short, long = [f"s{i}" for i in range(15)], [f"l{i}" for i in range(30)]
+    replaced = [w if i % 4 != 3 else f"other{i}" for i, w in enumerate(short)]
+    spaced = [x for i, w in enumerate(long) for x in ([w, f"added{i}"] if i % 3 == 2 else [w])]
+    docs = spark.createDataFrame([(1, " ".join(replaced)), (2, " ".join(spaced)), (3, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, items).collect()) == [(1, 1, 0.8), (2, 2, 1.0)]
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
+
+
 def test_token_counts(spark, sf_dir):
     model = tokencount.Unigram({tokencount.MARK: -1.0, "a": -2.0, "b": -2.5, "ab": -3.0, "aba": -4.0, tokencount.MARK + "a": -2.0}, True)
 
