@@ -73,7 +73,8 @@ class OnnxTextDetector:
 
 
 class OnnxFaceAnalyzer:
-    """Detector, embedder, mesh and eye-state models in a row; a face whose mesh fails has none."""
+    """Detector and embedder models in a row. Not done yet: mesh and eye-state models (faces have no is_blink
+    and smile), and suppression of boxes by ``overlap``."""
 
     POINTS = np.array([[38.2946, 51.6963], [73.5318, 51.5014], [56.0252, 71.7366], [41.5493, 92.3655], [70.7299, 92.2041]])
 
