@@ -84,11 +84,11 @@ def listed_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", en
     return pages.join(hits, "_row", "left").withColumn(into, F.coalesce(into, F.lit(False)))
 
 
-def canonical_keys(host: Column, path: Column, labels: int = 5) -> Column:
-    """What a list may name a page by: the host or a parent domain with ``/``, and the host with its
+def canonical_keys(host: Column, path: Column) -> Column:
+    """What a list may name a page by: the host or any parent domain with ``/``, and the host with its
     path, without a closing slash."""
     parts = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.concat(F.array_join(F.slice(parts, -n, n), "."), F.lit("/")))
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, -n, n), "."), F.lit("/")))
     page = F.concat(host, F.regexp_replace(path, "/+$", ""))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_append(parents, page))
 

@@ -44,3 +44,9 @@ def test_url_filter(spark):
     entries = [(f"h{i}.org/",) for i in range(2000)]
     probe = spark.createDataFrame([(i, [f"h{i}.org/"]) for i in range(1000, 9000)], "_row long, canonical array<string>")
     assert urls.listed_rows(probe, spark.createDataFrame(entries, "entry string")).where("is_listed").agg(F.count("*"), F.max("_row")).first()[:] == (1000, 1999)
+
+
+def test_listed_domain_of_many_labels(spark):
+    pages = spark.createDataFrame([(1, "x://a.b.c.d.example.org/p"), (2, "x://www.a.b.c.d.example.org/"), (3, "x://b.c.d.example.org/")], "page_id long, url string")
+    listed = spark.createDataFrame([("a.b.c.d.example.org/",)], "entry string")
+    assert sorted((r.page_id, r.verdict) for r in urls.judged(pages, listed, {"net/": "block"}).collect()) == [(1, "block"), (2, "block"), (3, "allow")]
