@@ -17,25 +17,35 @@ are ordered by text; an empty table gives no shard.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterloom.llm.bpe import PUNCTUATION, BPE, byte_alphabet
+from shutterloom.llm.bpe import byte_alphabet
 from shutterloom.llm.common import by_batches
 from shutterloom.session import fresh_path
 
 MAGIC, BLOCK = b"WMX1", 512
 #: A shard is closed when it holds so many tokens; only a longer document makes a larger one.
 SHARD_TOKENS = 1 << 20
-#: Chunks and words that an encoder holds at most.
-WORDS_HELD = (500_000, 700_000)
+#: Words that an encoder holds at most, the longest of them, the characters of a text that it splits at
+#: once, and the bytes of texts that are encoded together.
+WORDS_HELD, LONGEST_HELD, PIECE, TOGETHER = 800_000, 64, 1 << 20, 1 << 22
+#: Fixed value: Unicode white space other than space and line break.
+WHITE = "\t\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK, BORDER = re.compile(f"[ \n{WHITE}]*[^ \n{WHITE}]+|[ \n{WHITE}]+"), re.compile(f"(?<=[^ \n{WHITE}])(?=[ \n{WHITE}])")
+#: Texts that Arrow doesn't split; and a word of up to 48 letters with punctuation of ASCII after it.
+ODD = f"[{WHITE}]|[ \n][ \n]|^[ \n]"
+PARTS = r"\A(?P<word>\pL{1,48})(?P<rest>[!-/:-@\[-`{-~]{0,16})\z"
 
 
 class WaveletMatrix:
@@ -156,88 +166,124 @@ class WaveletMatrix:
         return now
 
 
-class LibraryEncoder(BPE):
-    """The tokenizers library behind caches of chunks and words.
+class LibraryEncoder:
+    """The tokenizers library behind a cache of words.
 
-    New words of a batch go to the library in a few calls, already split and in its byte alphabet; all
-    other pre-tokens one by one.
+    No pre-token of byte-level BPE holds white space after another character, or a character that is
+    neither letter nor digit after one that is. So a text falls into chunks (white space and what
+    follows it), and a chunk that is a word and punctuation into the two; each encodes alone. Arrow splits
+    texts whose white space is single spaces and line breaks, and tells their different chunks and words;
+    each of these is looked up once a batch, and the new ones go to the library in one call, words already in
+    its byte alphabet.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.library, self.split):
+        self.library, self.mapped = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.mapped):
             t.no_truncation()
             t.no_padding()
         self.letters = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
-        self.split.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
-        super().__init__(path)
-        self.spaced.limit, self.pieces.limit = WORDS_HELD
-        self.break_id = struct.unpack("<I", self.line_break)[0]
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _spaced(self, chunk: str) -> bytes:
-        """As for a chunk after a space, or after a line break that the chunk begins with."""
-        return self.line_break + self.first[chunk[1:]] if chunk[:1] == "\n" else super()._spaced(chunk)
-
-    def _learn(self, chunks: set[str]) -> None:
-        words = set()
-        for c in chunks:
-            w = c.rstrip(PUNCTUATION)
-            if w[:1] == "\n":
-                w = w[1:]
-                if w.isalpha():
-                    words.add(w)
-            elif w.isalpha():
-                words.add(" " + w)
-        new = list(words - self.pieces.keys())
-        if len(self.pieces) + len(new) > self.pieces.limit:
-            self.pieces.clear()
-            new = list(words)
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            mapped = "\n".join(part).encode().decode("latin-1").translate(self.letters)
-            found = np.array(self.split.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = found.tobytes(), np.flatnonzero(found == self.break_id)  # no word holds a line break
-            for word, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(found)], strict=True):
-                self.pieces[word] = raw[4 * a : 4 * b]
-        if len(self.spaced) + len(chunks) > self.spaced.limit:
-            self.spaced.clear()
-        for c in chunks:
-            if len(c) < 200:
-                self.spaced[c] = self._spaced(c)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of many texts; chunks begin at spaces, and at line breaks with the break."""
-        known, rows, missing = self.spaced.get, [], set()
-        for text in texts:
-            if not text or self.runs.search(text):
-                rows.append(([], [self.encode(text)] if text else [], []))
-                continue
-            chunks = text.replace("\n", " \n").split(" ")
-            ids = list(map(known, chunks))
-            ids[0] = self._chunk(chunks[0])
-            new = [i for i, x in enumerate(ids) if x is None]
-            missing.update([chunks[i] for i in new])
-            rows.append((chunks, ids, new))
-        self._learn(missing)
-        out, spaced = [], self.spaced
-        for chunks, ids, new in rows:
-            for i in new:
-                ids[i] = spaced[chunks[i]]
-            out.append(b"".join(ids))
+        self.border = self.letters[10]
+        self.mapped.pre_tokenizer = pre_tokenizers.Split(self.border, "isolated")
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _known(self, held: dict[str, bytes], limit: int, pieces: list[str], library, shown) -> list[bytes]:
+        """Ids of different pieces; those that are not held are shown to the library."""
+        out = list(map(held.get, pieces))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            new = [pieces[i] for i in at]
+            found = [x.ids for x in library.encode_batch_fast(shown(new), add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in found]) * 4
+            raw = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4).tobytes()
+            ids = [raw[b - 4 * len(x) : b] for x, b in zip(found, ends.tolist(), strict=True)]
+            for i, x in zip(at, ids, strict=True):
+                out[i] = x
+            if len(held) + len(new) > limit:
+                held.clear()
+            held.update((p, x) for p, x in zip(new[:limit], ids, strict=False) if len(p) <= LONGEST_HELD)
         return out
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space."""
+        mapped = lambda new: (" " + "\n ".join(new)).encode().decode("latin-1").translate(self.letters).split(self.border)
+        return self._known(self.words, WORDS_HELD, words, self.mapped, mapped)
+
+    def _of_others(self, pieces: list[str]) -> list[bytes]:
+        return self._known(self.others, WORDS_HELD // 4, pieces, self.library, list)
+
+    def _of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of different chunks: each after a space, or with the line break that it begins with."""
+        parts = pc.extract_regex(chunks, PARTS)
+        word, rest = (pc.struct_field(parts, k).dictionary_encode() for k in ("word", "rest"))
+        ids = pa.array(self._of_words(word.dictionary.to_pylist()), pa.large_binary()).take(word.indices)
+        more = pa.array(self._of_others(rest.dictionary.to_pylist()), pa.large_binary()).take(rest.indices)
+        odd = np.flatnonzero(pc.is_null(parts).to_numpy(False))
+        others = self._of_others([c if c[:1] == "\n" else " " + c for c in chunks.take(pa.array(odd)).to_pylist()])
+        both = pc.binary_join_element_wise(ids, more, pa.scalar(b"", pa.large_binary()))
+        return pa.concat_arrays([both, pa.array(others, pa.large_binary())]).take(pa.array(_replaced(len(both), odd)))
+
+    def _piecewise(self, text: str) -> bytes:
+        """A text with any white space, from runs of chunks of bounded length."""
+        at, out = 0, []
+        while at < len(text):
+            cut = BORDER.search(text, at + PIECE) if len(text) - at > PIECE else None
+            end = cut.start() if cut else len(text)
+            chunks = CHUNK.findall(text, at, end)
+            names = list(dict.fromkeys(chunks))
+            ids = dict(zip(names, self._of_others(names), strict=True))
+            out += [ids[c] for c in chunks]
+            at = end
+        return b"".join(out)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of many texts, as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(False)
+        out = [self._piecewise(texts[i].as_py()) if x else b"" for i, x in enumerate(odd.tolist())]
+        if not odd.all():
+            plain = np.flatnonzero(~odd)
+            split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+            coded = split.values.dictionary_encode()
+            offsets, which = split.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+            first = self._of_others(split.values.take(pa.array(offsets[:-1])).to_pylist())  # these follow nothing
+            which[offsets[:-1]] = len(coded.dictionary) + np.arange(len(first))
+            ids = pa.concat_arrays([self._of_chunks(coded.dictionary), pa.array(first, pa.large_binary())]).take(pa.array(which))
+            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[offsets].tolist()
+            raw = memoryview(ids.buffers()[2] or b"")
+            for i, a, b in zip(plain.tolist(), at[:-1], at[1:], strict=True):
+                out[i] = bytes(raw[a:b])
+        return out
+
+
+def _replaced(n: int, places: np.ndarray) -> np.ndarray:
+    """0 .. n - 1, but n, n + 1, ... at some places."""
+    out = np.arange(n)
+    out[places] = n + np.arange(len(places))
+    return out
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of several batches, up to ``TOGETHER`` bytes, but one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > TOGETHER:
+            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+
+
 def write_shards(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> str:
     """Encode every text, append the end id, and write the shards; gives their path.
 
@@ -257,9 +303,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str | None = None, end_
             shard = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u4"), lengths)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.int64()), pa.array([shard], pa.binary())], names=["part", "seq", "keys", "n_tokens", "shard"])
 
-        for batch in batches:
-            key_type, texts = batch.schema.field(0).type, encoder(vocabulary).encode_all(batch.column(1).to_pylist())
-            for k, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
+        for own, texts in _together(batches):
+            key_type = own.type
+            for k, raw in zip(own.to_pylist(), encoder(vocabulary).encode_all(texts), strict=True):
                 ids = raw + end
                 keys.append(k)
                 lengths.append(len(ids) // 4)

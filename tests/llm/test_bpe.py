@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from shutterloom.llm import bpe
+from shutterloom.llm import bpe, queries
 from shutterloom.llm.queries import BYTE_BPE
 
 
@@ -37,3 +38,13 @@ def test_frames(spark):
     encoded = bpe.bpe_encode(docs, BYTE_BPE)
     assert sorted(r.decoded for r in bpe.bpe_decode(encoded, BYTE_BPE).collect()) == ["", "", "Hello wörld", "Hello wörld"]
     assert bpe.bpe_encode(docs.limit(0), BYTE_BPE).count() == 0
+
+
+def test_query_against_library(spark):
+    sf, library = "/root/testdata/sf0.001", Tokenizer.from_file(BYTE_BPE)
+    expected = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        expected.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, sf).collect()) == sorted(expected)

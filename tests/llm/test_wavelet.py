@@ -1,10 +1,12 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from shutterloom.llm import wavelet
+from shutterloom.llm import queries, wavelet
 from shutterloom.llm.queries import BYTE_BPE
 from shutterloom.llm.wavelet import WaveletMatrix
 
@@ -39,7 +41,21 @@ def test_files_against_library(spark):
 
 def test_encoder_against_library(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    texts += [None, "", "\nA b\nc", "x \n y", " a", "a ", "\n", "été, été!\nété", "a\tb c", "<|endoftext|> a<|endoftext|>", "w" * 500]
+    texts += [None, "", "\nA b\nc", "x \n y", " a", "a ", "\n", "été, été!\nété", "a\tb c", "<|endoftext|> a<|endoftext|>", "w" * 500, "it's 'stand a_b x²!", "longer " * 200_000 + " end"]
+    rnd = random.Random(3)
+    letters = [*" \n\t\r\x0b\x1c\x85\xa0　abcde'strevlmd12½äß漢😀!.-_", "<|endoftext|>", "  ", "\n\n", "====", "'ll", "\x00"]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
     own, library = wavelet.encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(pa.array(texts))] == expected
+
+
+def test_query_against_library(spark):
+    sf = "/root/testdata/sf0.001"
+    library, at, expected = Tokenizer.from_file(BYTE_BPE), 0, []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        expected.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_wavelet(spark, sf).collect()) == expected
