@@ -28,6 +28,14 @@ def by_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(f, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_column(name: str = "text"):
     """A text with nulls taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -92,14 +92,22 @@ def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id
 def redacted(docs: DataFrame, ledger: str | None = None, text: str = "text", rules: str = RULES) -> DataFrame:
     """The documents with each run of findings replaced by ``<secret>``. Only blobs with findings are
     joined to the texts."""
-    known = scan(docs, ledger, text, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
-    both = docs.join(known.withColumnRenamed("spans", "_spans"), blob_of(text) == F.col("_blob"), "left")
-    state = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-
-    def step(s, span):
-        fresh = span["start"] >= s["at"]
-        kept = F.substr(F.col(text), (s["at"] + 1).cast("int"), (F.greatest(span["start"], s["at"]) - s["at"]).cast("int"))
-        return F.struct(F.concat(s["text"], F.when(fresh, F.concat(kept, F.lit("<secret>"))).otherwise("")).alias("text"), F.greatest(s["at"], span["end"]).alias("at"))
-
-    done = F.aggregate("_spans", state, step, lambda s: F.concat(s["text"], F.substr(F.col(text), (s["at"] + 1).cast("int"))))
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    known = scan(docs, ledger, text, rules).where(F.size("spans") > 0)
+    packed = docs.select(blob_of(text).alias("blob"), F.struct(*docs.columns).alias("row"))
+    whole = F.col("row")[text]
+
+    def between(i):
+        """What stands between the span before and this one, and the mark; nothing if it lies within the one before."""
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("runs", i - 1)["end"])
+        return F.concat(F.substr(whole, (before + 1).cast("int"), (F.get("runs", i)["start"] - before).cast("int")), F.lit("<secret>"))
+
+    def merged(runs, span):
+        last = F.element_at(runs, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        return F.when((F.size(runs) > 0) & (span["start"] < F.coalesce(F.get(runs, F.size(runs) - 1)["end"], F.lit(0))), F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(F.struct(span["start"].alias("start"), span["end"].alias("end")))))
+
+    runs = F.aggregate("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), merged)
+    both = packed.join(known, "blob", "left").withColumn("runs", runs)
+    parts = F.transform(F.sequence(F.lit(0), F.size("runs") - 1), between)
+    done = F.concat(F.array_join(parts, ""), F.substr(whole, (F.element_at("runs", -1)["end"] + 1).cast("int")))
+    return both.select(*(F.when(F.col("spans").isNull(), whole).otherwise(done).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

@@ -10,11 +10,14 @@ Two uses:
 * :func:`link_fingerprints`: fingerprints of word shingles (three words, 64 bits), linked at 2 or
   fewer differing bits, with the connected components of the links.
 * :func:`near_duplicates`: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-  more. Fingerprints of such texts differ in some ten bits, beyond any affordable ball, so these texts
-  meet on shingles: in any order of all shingles, similar sets share one among the first fifth of each.
-  The order is rarest first. In each bucket a text is first compared with two others; then all pairs
-  that are in different components of these links are compared, so none is left out, and a group of
-  like texts costs no pairs. All comparisons are on the whole shingle sets.
+  more. Ball hashing of 64-bit fingerprints links the closest of them. Others differ in some ten bits:
+  blocks of 32 bits with balls of radius 1 would need 24 blocks, 792 variants a text, to meet 95 % of them.
+  So what the balls leave meets on shingles: in any order of all shingles, similar sets share one
+  among the first fifth of each. The order is rarest first, by counts over all texts, so nearly all that
+  meet are similar. Each text is compared with the first of each bucket; then the pairs of a bucket that no links
+  join yet are compared, so none is left out, and a group of like texts costs no pairs. Shingles that stand out
+  in blocks of texts are known before and are not shuffled, only ordered last.
+  A link is verified by the shingles that both texts have.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and link like
 any other in the first, and are one class in the second; repeated rows share their class; a null key never becomes a class id.
@@ -22,7 +25,6 @@ any other in the first, and are one class in the second; repeated rows share the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,16 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
-from shutterloom.llm.graph import components
+from shutterloom.operators.components import components
 from shutterloom.session import written
 
 #: Fixed value: the seed of the shingle hashes.
 SEED = 42
-#: Texts that the order of shingles is learned from, and the most shingles it tells apart; neither bounds
-#: what is found.
-SAMPLE_ROWS, COMMON_SHINGLES = 10_000, 1 << 18
-#: Sets whose parities differ in k bits differ in k shingles at least.
-PARITY_BITS = 256
+#: Rows of a block, the share of all texts from which a shingle is heavy, and the most heavy ones.
+BLOCK, SHARE, HEAVY = 2048, 1 / 512, 1 << 18
 #: For rounding: bounds are looser by this.
 SLACK = 1e-6
 
@@ -106,53 +105,88 @@ def link_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.join(of, "fp").select(key, "fp", "component")
 
 
-def _common(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several texts of a sample share, and in how many. They only order
-    the shingles: any order of all shingles finds all pairs, a good one makes buckets small."""
-    step = max(1, -(-docs.count() // SAMPLE_ROWS))
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0)
+def _scanned(docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, digest, content binary, n int, fp long, heavy array): digest of the words, number of distinct
+    shingles, fingerprint; and, once a block of ``BLOCK`` rows, the shingles that stand out in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        rows = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes_of(shingles_of(words_of(t), shingle))).view(np.int64))], names=["gram"])
-
-    counts = by_batches(sample.select(text), run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "gram").limit(COMMON_SHINGLES).toPandas()
-    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
+            out: list[tuple] = []
+            for t in batch.column(2).to_pylist():
+                words = words_of(t)
+                content = xxhash.xxh128_digest(b" ".join(words), SEED)
+                hashes = hashes_of(shingles_of(words, shingle))
+                held[content] = grams = np.unique(hashes)
+                out.append((content, len(grams), majority(hashes), []))
+            rows += len(out)
+            if out and (rows >= BLOCK or sum(map(len, held.values())) >= BLOCK << 9):
+                grams, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+                often = counts >= max(3, len(held) * SHARE // 2)
+                out[-1][3].extend({"gram": g, "c": c} for g, c in zip(grams[often].view(np.int64).tolist(), counts[often].tolist(), strict=True))
+                held, rows = {}, 0
+            columns = zip(*out, strict=True) if out else [()] * 4
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.struct([("gram", pa.int64()), ("c", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "digest", "content", "n", "fp", "heavy"])
+
+    return by_batches(docs, run, f"key {docs.schema['key'].dataType.simpleString()}, digest long, content binary, n int, fp long, heavy array<struct<gram: bigint, c: bigint>>")
+
+
+def _heavy(rows: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that at least the share ``SHARE`` of all texts hold, and their counts, as
+    far as blocks tell; at most ``HEAVY``. Which ones are here does not matter to what is found."""
+    counts = rows.select(F.explode("heavy").alias("x")).groupBy("x.gram").agg(F.sum("x.c").alias("c")).where(F.col("c") >= SHARE * texts)
+    got = counts.orderBy(F.desc("c"), "gram").limit(HEAVY).toPandas()
+    grams = got["gram"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(grams)
-    return grams[at], rows["n"].to_numpy(np.int64)[at]
-
+    return grams[at], got["c"].to_numpy(np.int64)[at]
 
-def _prefixes(docs: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
-    """(key, content binary, n int, prefix array, parity array): digest of the words, number of distinct
-    shingles, the rarest ones (similar texts share one of these), and PARITY_BITS bits, each whether an
-    odd number of shingles falls to it."""
-    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text, shingle))
 
-    def prefix(words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
-        common, counts = sent.value
-        grams = np.unique(hashes_of(shingles_of(words, shingle)))
-        n = len(grams)
-        parity = np.packbits(np.bincount((grams % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).view(np.int64)
-        if n and len(common):
-            at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-            grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
-        return n, grams[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64), parity
+def _grams(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], shingle: int) -> DataFrame:
+    """(id, n int, grams array, heavy array<struct<c, gram>>): the shingles of each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
-            content = [xxhash.xxh128_digest(b" ".join(w), SEED) for w in words]
-            n, prefixes, parity = zip(*map(prefix, words), strict=True) if words else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(n, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=[key, "content", "n", "prefix", "parity"])
-
-    return by_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, content binary, n int, prefix array<long>, parity array<long>")
+            out: list[tuple] = []
+            for t in batch.column(1).to_pylist():
+                grams = np.unique(hashes_of(shingles_of(words_of(t), shingle)))
+                often = np.zeros(len(grams), bool)
+                at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+                if len(known):
+                    often = known[at] == grams
+                some = [{"c": c, "gram": g} for c, g in zip(counts[at[often]].tolist(), grams[often].view(np.int64).tolist(), strict=True)]
+                out.append((len(grams), grams[~often].view(np.int64), some))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            types = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("c", pa.int64()), ("gram", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n", "grams", "heavy"])
+
+    return by_batches(texts.select("id", "text"), run, "id long, n int, grams array<long>, heavy array<struct<c: bigint, gram: bigint>>")
+
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """(id, n, shared array<struct<c, gram>>): the shingles that other texts may have too, the rarest first."""
+    met = grams.select("id", "n", F.explode("grams").alias("gram"))
+    met = met.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("id", "n", "c", "gram")
+    often = grams.select("id", "n", F.explode("heavy").alias("x")).select("id", "n", "x.c", "x.gram")
+    return met.unionAll(often).groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+
+
+def _buckets(shared: DataFrame, similarity: float) -> DataFrame:
+    """(gram, id, n, pos) of shingles among the rarest of a text that are so for another text too. The
+    ``pos`` counts the text's own shingles, which no other has, before them."""
+    own = F.col("n") - F.size("shared")
+    prefix = F.col("n") - F.ceil(similarity * F.col("n") - SLACK) + 1
+    met = shared.select("id", "n", (prefix - own).cast("int").alias("take"), own.alias("own"), "shared").where("take > 0")
+    met = met.select("id", "n", "own", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "x")).select("x.gram", "id", "n", (F.col("own") + F.col("i")).alias("pos"))
+    return met.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1").drop("size")
 
 
 def _fits(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
     """Whether the sizes of two texts and the places of a shared shingle allow the similarity."""
-    bound = F.least(x["pos"], y["pos"]) + 1 + F.least(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
+    bound = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
     return bound >= similarity / (1 + similarity) * (x["n"] + y["n"]) - SLACK
 
 
@@ -160,76 +194,76 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _buckets(texts: DataFrame) -> DataFrame:
-    """(gram, id, n, pos) of prefix shingles that several texts have."""
-    met = texts.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    return met.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1").select("gram", "id", "n", "pos")
+def _ball_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): links of texts whose fingerprints lie within 2 bits, by ball hashing."""
+    fps = texts.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
+    of = lambda name: fps.select(F.col("fp").alias(name), F.col("least").alias(f"id_{name}"))
+    near = links(fps).join(of("a"), "a").join(of("b"), "b").select(*_pairs(F.col("id_a"), F.col("id_b")))
+    equal = texts.where("n > 0").join(fps, "fp").where("id <> least").select(*_pairs(F.col("id"), F.col("least")))
+    return near.unionAll(equal)
 
 
-def _first_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each text with the one before it and the first of its buckets by size. These links only
-    save work: the texts that they join need no more comparisons."""
-    at = Window.partitionBy("gram").orderBy("n", "id")
+def _star_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with the first of its buckets by size."""
     own = {c: F.col(c) for c in ("id", "n", "pos")}
-    this = F.struct("id", "n", "pos")
-    rows = buckets.select("id", "n", "pos", F.lag(this).over(at).alias("before"), F.first(this).over(at).alias("least"))
-    rows = rows.select("id", "n", "pos", F.explode(F.array("before", "least")).alias("other"))
-    other = {c: F.col(f"other.{c}") for c in own}
-    return rows.where("other.id <> id").where(_fits(own, other, similarity)).select(*_pairs(own["id"], other["id"])).distinct()
-
-
-def _other_pairs(buckets: DataFrame, texts: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of a bucket whose texts are not linked yet and may be similar by their parities."""
-    named = buckets.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").join(texts.select("id", "parity"), "id")
-    groups = named.groupBy("gram", F.coalesce("component", "id").alias("component")).agg(F.collect_list(F.struct("id", "n", "pos", "parity")).alias("members"))
-    mixed = groups.withColumn("groups", F.count("*").over(Window.partitionBy("gram"))).where("groups > 1")
-    one, other = (mixed.select("gram", F.col("component").alias(f"component_{k}"), F.col("members").alias(f"members_{k}")) for k in "xy")
-    met = one.join(other, "gram").where("component_x < component_y").select(F.explode("members_x").alias("x"), "members_y").select("x", F.explode("members_y").alias("y"))
-    x, y = ({c: F.col(f"{k}.{c}") for c in ("id", "n", "pos", "parity")} for k in "xy")
-    differ = sum((F.bit_count(x["parity"][i].bitwiseXOR(y["parity"][i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    near = differ <= (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]) + SLACK
-    return met.where(_fits(x, y, similarity)).where(near).select(*_pairs(x["id"], y["id"])).distinct()
+    rows = buckets.withColumn("first", F.min(F.struct("n", "id", "pos")).over(Window.partitionBy("gram")))
+    first = {c: F.col(f"first.{c}") for c in own}
+    return rows.where("first.id <> id").where(_fits(own, first, similarity)).select(*_pairs(own["id"], first["id"]))
 
 
-def _sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, grams binary): the sorted distinct hashes of the shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashes_of(shingles_of(words_of(t), shingle))).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=[key, "grams"])
-
-    return by_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, grams binary")
+def _other_pairs(buckets: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of a bucket that no links join so far. A group of like texts is one component by
+    now and costs nothing; the members of each other component meet those of the components after it."""
+    named = buckets.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    whole = Window.partitionBy("gram")
+    mixed = named.withColumn("one", F.min("component").over(whole)).withColumn("other", F.max("component").over(whole)).where("one <> other")
+    x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "component"))) for k in "xy")
+    a, b = ({c: F.col(f"{c}_{k}") for c in ("id", "n", "pos")} for k in "xy")
+    return x.join(y, "gram").where("component_x < component_y").where(_fits(a, b, similarity)).select(*_pairs(a["id"], b["id"]))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(key, class): the least key of the group over links of that similarity; rows with a null key
-    are their own class and have a null one. Keys are long integers, one row each."""
-    rows = written(_prefixes(docs, key, text, similarity, shingle), "prefixes")
-    texts = rows.where(F.col(key).isNotNull()).groupBy("content").agg(F.min(key).alias("id"), *(F.first(c).alias(c) for c in ("n", "prefix", "parity")))
-    texts = written(texts, "texts")
-    buckets = written(_buckets(texts), "buckets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """(key, digest long, class, stays boolean), once each: digest is xxhash64 of the text; class is the
+    least key of the group over links of that similarity, and the row with the least (key, digest) of each group stays.
+    A key may have several texts, each of them a document of its own. Rows with a null key stay, with a null class."""
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = written(_scanned(source, shingle), "scanned")
+    keyed = rows.where("key is not null")
+    texts = keyed.groupBy("content").agg(F.min(F.struct("key", "digest")).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    heavy = _heavy(rows, texts.count())
+
+    alone = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
+    first = source.withColumn("row", alone).where("row = 1").join(texts.select("one.key", "one.digest", "id"), ["key", "digest"]).select("id", "text")
+    shared = written(_shared(_grams(first, heavy, shingle)), "shared")
+    buckets = written(_buckets(shared, similarity), "buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias(key)).unionAll(pairs.select(F.col("b").alias(key))).distinct()
-        sets = written(_sets(docs.join(wanted, key, "left_semi"), key, text, shingle).dropDuplicates([key]), "sets")
-        one, other = (sets.select(F.col(key).alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab")
-        both = pairs.join(one, "a").join(other, "b").select("a", "b", "grams_a", "grams_b")
-        return written(by_batches(both, verify, "a long, b long"), "links")
-
-    first = written(_first_pairs(buckets, similarity), "pairs")
-    links = similar(first)
-    rest = _other_pairs(buckets, texts, components(links), similarity).join(first, ["a", "b"], "left_anti")
-    linked = components(links.unionAll(similar(written(rest, "pairs"))))
-    of = texts.select("content", "id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("content", F.coalesce("component", "id").alias("class"))
-    found = rows.where(F.col(key).isNotNull()).join(of, "content").select(key, "class")
-    return found.unionAll(rows.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("class")))
+        met = written(pairs.distinct(), "pairs")
+        wanted = met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id"))).distinct()
+        sets = written(shared.join(wanted, "id", "left_semi").select("id", "n", F.col("shared.gram").alias("grams")), "sets")
+        one, other = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")
+        both = met.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
+        return written(both.where(F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both")) - SLACK).select("a", "b"), "links")
+
+    found = similar(_ball_pairs(texts).unionAll(_star_pairs(buckets, similarity)))
+    rest = _other_pairs(buckets, components(found), similarity)
+    linked = components(found.unionAll(similar(rest)))
+    of = texts.select("content", "id", "one").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of.groupBy("component").agg(F.min("one").alias("least"))
+    of = of.join(least, "component").select("content", "least")
+    here = keyed.select("key", "digest", "content").distinct().join(of, "content")
+    out = here.select(F.col("key").alias(key), "digest", F.col("least.key").alias("class"), (F.struct("key", "digest") == F.col("least")).alias("stays"))
+    return out.unionAll(rows.where("key is null").select(F.col("key").alias(key), "digest", F.col("key").alias("class"), F.lit(True).alias("stays")).distinct())
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of each group of near duplicates, and all rows with a null key. Of rows that agree in key and
+    text the first by their other columns stays."""
+    stay = near_duplicates(docs, key, text, similarity, shingle).where(F.col("stays") & F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), "digest").alias("named"))
+    row = F.struct(*docs.columns)
+    others = [c for c in docs.columns if c not in (key, text)]
+    packed = docs.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest")).alias("named"), row.alias("row"), F.to_json(F.struct(F.lit(0).alias("_"), *others)).alias("rank"))
+    first = F.row_number().over(Window.partitionBy("named").orderBy("rank"))
+    kept = packed.join(stay, "named", "left_semi").withColumn("nth", first).where("nth = 1").select("row.*")
+    return kept.unionAll(docs.where(F.col(key).isNull()))

@@ -3,8 +3,9 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from shutterloom.llm import graph, simhash
+from shutterloom.llm import simhash
 from shutterloom.llm.queries import op2_simhash
+from shutterloom.operators.components import components
 
 
 def brute_fingerprint(text):
@@ -37,7 +38,7 @@ def brute_components(nodes, linked):
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ends = {x for a, b in edges if None not in (a, b) and a != b for x in (a, b)}
     pairs = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
     assert got == brute_components(ends, lambda a, b: (a, b) in pairs)
@@ -55,7 +56,7 @@ def test_linked_chain_and_odd_rows(spark):
     base = 0x0123456789ABCDEF
     values = [base, base ^ 3, base ^ 15, base ^ 0xFF, (1 << 63) | 5, 5, 0]
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = graph.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()
+    found = components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()
     assert {frozenset(r.node for r in found if r.component == c) for c in {r.component for r in found}} == {frozenset(signed[:3]), frozenset(signed[4:])}
     rows = [(4, None, 1), (2, "", 2), (9, "\t \n", 3), (None, "One two", 4), (7, "one TWO", 5), (8, "word " * 5000, 6), (8, "word " * 5000, 6)]
     got = simhash.link_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
