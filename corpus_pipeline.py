@@ -5,9 +5,10 @@ similarity 0.8 or more) the one with the least doc_id stays; documents with a co
 go; secrets are replaced in the texts; the rest is encoded. Each stage takes all that the stage before
 kept and returns the columns of ``documents``, the last one (doc_id, n_tokens, ids).
 
-Defined results: rows that share a doc_id count as one document, of which one row stays; rows without a
-doc_id are never near duplicates; a null text fails the quality rules; columns besides ``documents``'s
-own pass through unchanged.
+Defined results: of rows that agree in doc_id and text one stays; rows that share a doc_id with different
+texts are documents of their own, each judged by its text; rows without a doc_id are never near duplicates; a
+null text fails the quality rules; columns besides ``documents``'s own pass through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import bpe, decontam, quality, secrets, simhash
-from shutterloom.llm.common import table
+from shutterloom.llm.common import table, unused
 from shutterloom.session import fresh_path, written
 
 #: The vocabulary that the last stage encodes with.
@@ -29,16 +30,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, model, into="_judgement").where("_judgement.kept").select(*docs.columns)
+    into = unused(docs, "judgement")
+    return quality.judged(docs, model, into=into).where(F.col(f"`{into}`.kept")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id") == F.col("class")).select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
-    return kept.unionAll(docs.where("doc_id is null"))
+    return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
