@@ -5,10 +5,12 @@ Statistics of whole texts are native column expressions. From labelled documents
 literal with the best FOIL gain on two thirds of the sample, is pruned on the other third, and the
 rows that it covers are taken out before the next one. The rules become one ordered
 ``CASE WHEN ... THEN false ... ELSE true END``. Word stems that mark toxic texts are learned from the
-same sample by aggregation; their number in a text is one more statistic.
+same sample by aggregation; their number in a text is one more statistic. Rules see it out of fold: the
+stems that a row is counted by come from the other folds, or they would look better than they are.
 
 Defined results: a null text has no words and so fails the base rules; labels that are null or have
-no document teach nothing; without any labels the list is empty and only the base rules reject.
+no document teach nothing; of an id's labels the worst holds, of its texts the least is learned from;
+without any labels the list is empty and only the base rules reject. A column named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterloom.session import written
+
 #: Labelled documents that are learned from, at most: those with the least hash of their key.
 SAMPLE_ROWS = 20_000
 #: Stems are the first letters of words, of these lengths. One is a marker (or a hint) if so many toxic
@@ -26,6 +30,8 @@ SAMPLE_ROWS = 20_000
 STEM_LENGTHS, STEM_DOCS, MARKER_SHARE, HINT_SHARE, STEMS = (4, 5, 7, 12), 5, 0.97, 0.8, 400
 #: Threshold candidates for each statistic, literals in a rule, rules, and the least precision of a rule.
 CUTS, LITERALS, RULES, PRECISION = 32, 4, 16, 0.75
+#: Parts of the sample by the hash of the key.
+FOLDS = 3
 SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics that rules may test; ratios come from these counts.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_capitals", "n_exclamations", "n_digits", "n_markers", "n_hints")
@@ -200,21 +206,44 @@ class Model:
         return out.otherwise(True) if out is not None else F.lit(True)
 
 
+def _fold(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(FOLDS)).cast("int")
+
+
+def _stem_sets(counts: list[dict], without: int | None = None) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Markers and hints by the counts of all folds but one."""
+    kinds: tuple[list, list] = [], []
+    for r in counts:
+        toxic, n = (r[c] - (r[f"{c}_{without}"] if without is not None else 0) for c in ("toxic", "n"))
+        if toxic >= STEM_DOCS and toxic >= HINT_SHARE * n:
+            kinds[toxic < MARKER_SHARE * n].append((-toxic, r["stem"]))
+    return tuple(tuple(stem for _, stem in sorted(k)[:STEMS]) for k in kinds)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from documents labelled with quality (0: bad) and toxic (1: bad)."""
-    known = labels.select(F.col(key), (F.col("toxic") == 1).alias("toxic"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where(F.col(key).isNotNull() & F.col("bad").isNotNull()).dropDuplicates([key])
+    known = labels.select(F.col(key), (F.col("toxic") == 1).alias("toxic"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where(F.col(key).isNotNull() & F.col("bad").isNotNull())
+    known = known.groupBy(key).agg(F.max(F.coalesce("toxic", F.lit(False))).alias("toxic"), F.max("bad").alias("bad"))
     sample = known.orderBy(F.xxhash64(key), key).limit(rows)  # the documented bound; so it can be broadcast
-    taught = docs.select(key, text).join(F.broadcast(sample), key).select(key, text, "bad", F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    labelled = docs.select(key, text).join(F.broadcast(sample), key)
+    taught = written(labelled.groupBy(key, "toxic", "bad").agg(F.min(text).alias(text)).withColumn("fold", _fold(key)), "taught")
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
-    stems = taught.select("toxic", F.explode(_stems(words)).alias("stem")).groupBy("stem").agg(F.count_if("toxic").alias("toxic"), F.count("*").alias("n"))
-    stems = stems.where((F.col("toxic") >= STEM_DOCS) & (F.col("toxic") >= HINT_SHARE * F.col("n"))).withColumn("marker", F.col("toxic") >= MARKER_SHARE * F.col("n"))
-    kinds = [tuple(r["stem"] for r in stems.where(F.col("marker") == kind).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()) for kind in (True, False)]
-    s = taught.select("bad", F.xxhash64(key).alias("at"), statistics(F.col(text), *kinds).alias("s")).select("bad", "at", *(F.col(f"s.{c}") for c in COUNTS))
+    stems = taught.select("toxic", "fold", F.explode(_stems(words)).alias("stem")).groupBy("stem")
+    each = [f.alias(f"{name}_{k}") for k in range(FOLDS) for name, f in (("toxic", F.count_if(F.col("toxic") & (F.col("fold") == k))), ("n", F.count_if(F.col("fold") == k)))]
+    counts = stems.agg(F.count_if("toxic").alias("toxic"), F.count("*").alias("n"), *each)
+    # a stem that no choice of folds can take stays behind; the others number STEM_DOCS-ths of a sample's stems at most
+    counts = [r.asDict() for r in counts.where((F.col("toxic") >= STEM_DOCS) & (F.greatest(*(F.col("toxic") - F.col(f"toxic_{k}") - HINT_SHARE * (F.col("n") - F.col(f"n_{k}")) for k in range(FOLDS)), F.col("toxic") - HINT_SHARE * F.col("n")) >= 0)).collect()]
     values = ratios(F.struct(*COUNTS))
-    got = s.select("at", "bad", *(v.alias(n) for n, v in values.items())).orderBy("at", *values).collect()
-    names = list(values)
-    x = np.array([[r[n] for n in names] for r in got], float).reshape(len(got), len(names))
-    return Model(*kinds, tuple(learned(x, np.array([r["bad"] for r in got], bool), names)))
+    x, bad, at, names = [], [], [], list(values)
+    for k in range(FOLDS):
+        s = taught.where(F.col("fold") == k).select("bad", F.xxhash64(key).alias("at"), statistics(F.col(text), *_stem_sets(counts, k)).alias("s")).select("bad", "at", *(F.col(f"s.{c}") for c in COUNTS))
+        for r in s.select("at", "bad", *(v.alias(n) for n, v in values.items())).collect():
+            x.append([r[n] for n in names])
+            bad.append(r["bad"])
+            at.append((r["at"], *x[-1]))
+    order = sorted(range(len(at)), key=at.__getitem__)
+    x = np.array([x[i] for i in order], float).reshape(len(order), len(names))
+    return Model(*_stem_sets(counts), tuple(learned(x, np.array([bad[i] for i in order], bool), names)))
 
 
 def judged(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_judgement") -> DataFrame:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import re
 
 from shutterloom.llm import quality
@@ -43,8 +44,20 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
-    held = quality.judged(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).selectExpr("quality = 0 as low", "toxic = 1 as toxic", "not quality_judgement.kept as out").collect()
+    held = quality.judged(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).selectExpr("quality = 0 as low", "toxic = 1 as toxic", "not quality_judgement.kept as out", "quality_judgement.base_failed as base").collect()
     bad, clean = [r for r in held if r.low or r.toxic], [r for r in held if not (r.low or r.toxic)]
     print(*model.rules, len(model.markers), len(model.hints), sum(r.out for r in bad) / len(bad), sum(r.out for r in clean) / len(clean), sep="\n")
     assert sum(r.out for r in bad) >= 0.9 * len(bad)
     assert sum(r.out for r in clean) <= 0.03 * len(clean)
+    assert sum(r.out and not r.base for r in clean) <= 0.01 * len(clean)
+
+
+def test_bounded_sample_and_conflicting_labels(spark):
+    good, bad = "many calm words follow each other in a long and quiet line of text", "xxxx%% " * 20
+    docs = spark.createDataFrame([(i % 60, good if i % 2 else bad) for i in range(1800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 60, i % 2, 0) for i in range(240)] + [(1, 0, 1), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    for rows in (10, 60):
+        model = quality.fit(docs, labels, rows=rows)
+        found = quality.judged(docs.withColumn("quality_judgement", F.lit(1)), model).where("doc_id <> 1")
+        assert found.where("quality_judgement.kept <> (doc_id % 2 = 1)").count() == 0
+    assert quality.fit(docs.limit(0), labels).rules == quality.fit(docs, labels.limit(0)).rules == ()
