@@ -14,7 +14,8 @@ Items are sent to the tasks in blocks of at most ``BLOCK_BYTES``, one pass over
 test set of any size is met whole. Nothing is shuffled but the counts.
 
 Defined results: null texts hold no words; items of fewer than three words match as a whole sequence;
-items without words and null item ids match nothing; repeated rows are reported each.
+items without words and null item ids match nothing, an item of one word any text that holds it;
+repeated rows are reported each. Very long texts are aligned in windows of bounded length.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ GRAM, SIMILARITY = 3, 0.8
 RARE = 100
 #: Bytes of items that a task holds at once.
 BLOCK_BYTES = 8 << 20
+#: Seeds further apart than so many words are aligned apart, in windows that overlap by an item and its slack.
+SPAN = 1 << 15
 BASE = np.uint64(0x9E3779B97F4A7C15)
 EDGES = string.punctuation.encode()
 
@@ -122,9 +125,10 @@ class Items:
                     spans[-1][1] = s
                 else:
                     spans.append([s, s])
-            for a, b in spans:
+            cut = ((x, min(x + SPAN, b)) for a, b in spans for x in range(a, b + 1, SPAN))
+            for a, b in cut:
                 low = max(0, a - slack)
-                part = doc[low : b + len(item) + slack]
+                part = doc[low : max(0, b + len(item) + slack)]
                 common = np.minimum(np.bincount(part, minlength=len(self.number) + 1), np.bincount(item, minlength=len(self.number) + 1)).sum()
                 if common >= SIMILARITY * len(item):
                     kept, first, last = align(item, part)
@@ -143,7 +147,10 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     n = len(part)
     ramp = np.arange(n + 1)
     # score, matched words, and first place are carried in one integer, so that one maximum moves all
-    shift_first, shift_kept = 1 << 20, 1 << 40
+    first_bits, kept_bits = (n + 1).bit_length(), (len(item) + 1).bit_length()
+    shift_first, shift_kept = 1 << first_bits, 1 << first_bits + kept_bits
+    if first_bits + 2 * kept_bits > 62:
+        ramp = ramp.astype(object)
     zero = (shift_first - 1) - ramp  # an alignment that starts later loses ties
     row, best = zero.copy(), (0, 0)
     for x in item.tolist():

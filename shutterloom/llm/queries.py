@@ -75,13 +75,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules by host and path, the longest fitting one wins.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: What the list blocks besides.
-URL_LIST = ["spam-farm.example.org/", "adult-x.example.net/", "casino.example.com/"]
+#: What the list holds: whole domains of unwanted families under any ending, and single pages, by rule:
+#: every tenth page number below 10,000 in each language of blogs whose name is one of the first and one of the
+#: last parts. Of the list, 576,025 entries in all, most name no page of the table, as with any published list.
+UNWANTED, ENDINGS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm"), ("com", "net", "org", "info", "biz")
+BLOG_FIRST, BLOG_TLD, LANGUAGES = ("thth", "ther", "tion"), ("com", "org"), ("de", "en", "es", "fr")
+BLOG_LAST = ("an", "at", "ble", "ea", "ed", "en", "er", "es", "ha", "he", "ing", "ly", "nd", "nt", "on", "or", "ou", "re", "sh", "st", "th", "the", "tion", "wh")
+
+
+def url_list(spark: SparkSession) -> DataFrame:
+    """(entry): canonical URLs."""
+    domains = spark.createDataFrame([(f"{u}.example.{e}/",) for u in UNWANTED for e in ENDINGS], "entry string")
+    blogs = [f"blog.{a}{b}.example.{tld}/{language}/" for a in BLOG_FIRST for b in BLOG_LAST for tld in BLOG_TLD for language in LANGUAGES]
+    pages = spark.range(0, 10_000, 10, 4).select(F.explode(F.array(*map(F.lit, blogs))).alias("blog"), "id").select(F.concat("blog", F.col("id").cast("string")).alias("entry"))
+    return domains.unionAll(pages)
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in URL_LIST], "entry string")
-    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), listed, URL_RULES)
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_list(spark), URL_RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -123,7 +134,11 @@ ORACLES: dict[str, str] = {
             WHEN ends_with(dotted, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
             WHEN ends_with(dotted, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
             WHEN ends_with(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-            ends_with(dotted, '.spam-farm.example.org') OR ends_with(dotted, '.adult-x.example.net') OR ends_with(dotted, '.casino.example.com') AS listed FROM v)
+            regexp_matches(dotted, '\.(ads-track|adult-x|casino-win|cheap-pills|spam-farm)\.example\.(com|net|org|info|biz)$')
+            OR host || regexp_replace(path, '/+$', '') IN (
+                SELECT 'blog.' || a || b || '.example.' || tld || '/' || lang || '/' || n
+                FROM unnest(['thth', 'ther', 'tion']) t1(a), unnest(['com', 'org']) t2(tld), unnest(['de', 'en', 'es', 'fr']) t3(lang), range(0, 10000, 10) t4(n),
+                    unnest(['an', 'at', 'ble', 'ea', 'ed', 'en', 'er', 'es', 'ha', 'he', 'ing', 'ly', 'nd', 'nt', 'on', 'or', 'ou', 're', 'sh', 'st', 'th', 'the', 'tion', 'wh']) t5(b)) AS listed FROM v)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM w""",
 }

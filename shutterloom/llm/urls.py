@@ -9,7 +9,8 @@ The filter is broadcast only up to ``FILTER_BYTES``; a longer list is met by joi
 which deals both sides out. Pages are not grouped: a hot host costs nothing.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and is
-allowed; null and repeated entries of the list count once; an empty list blocks nothing.
+allowed; null and repeated entries of the list count once; an empty list blocks nothing, and without rules
+the list alone decides; repeated pages are judged each; columns besides key and URL are not returned.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ def fits(host: Column, path: Column, rule: str) -> Column:
 def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null without one."""
     rule = verdict = None
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     for text in sorted(rules, key=lambda r: (-len(r), r)):
         ok = fits(host, path, text)
         rule = F.when(ok, text) if rule is None else rule.when(ok, text)
@@ -65,10 +68,8 @@ def bloom_filter(listed: DataFrame, entry: str = "entry") -> tuple[DataFrame, in
     return probes.groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names[1:])), blocks
 
 
-def listed_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", entry: str = "entry", into: str = "is_listed") -> DataFrame:
-    """All rows and a boolean column: whether any of the row's array of canonical URLs is listed.
-
-    Rows need a unique column ``_row``; one row for each key is probed in the filter."""
+def possible_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", entry: str = "entry") -> DataFrame:
+    """(_row, _key) of the canonical URLs that pass the filter: all listed ones and some others."""
     blocks_table, blocks = bloom_filter(listed, entry)
     if blocks * BLOCK_BITS // 8 <= FILTER_BYTES:
         blocks_table = F.broadcast(blocks_table)
@@ -78,7 +79,14 @@ def listed_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", en
     passed = F.lit(True)
     for i in range(LONGS):
         passed = passed & (F.col(f"w{i}").bitwiseAND(F.col(f"_p{i}")) != 0)
-    possible = probed.join(blocks_table, "block").where(passed).select("_row", "_key")
+    return probed.join(blocks_table, "block").where(passed).select("_row", "_key")
+
+
+def listed_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", entry: str = "entry", into: str = "is_listed") -> DataFrame:
+    """All rows and a boolean column: whether any of the row's array of canonical URLs is listed.
+
+    Rows need a unique column ``_row``; one row for each key is probed in the filter."""
+    possible = possible_rows(pages, listed, keys, entry)
     exact = listed.where(F.col(entry).isNotNull()).select(F.col(entry).alias("_key")).distinct()
     hits = possible.join(exact, "_key").select("_row").distinct().withColumn(into, F.lit(True))
     return pages.join(hits, "_row", "left").withColumn(into, F.coalesce(into, F.lit(False)))

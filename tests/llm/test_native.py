@@ -50,3 +50,32 @@ def test_listed_domain_of_many_labels(spark):
     pages = spark.createDataFrame([(1, "x://a.b.c.d.example.org/p"), (2, "x://www.a.b.c.d.example.org/"), (3, "x://b.c.d.example.org/")], "page_id long, url string")
     listed = spark.createDataFrame([("a.b.c.d.example.org/",)], "entry string")
     assert sorted((r.page_id, r.verdict) for r in urls.judged(pages, listed, {"net/": "block"}).collect()) == [(1, "block"), (2, "block"), (3, "allow")]
+
+
+def test_query_decides_by_its_list(spark):
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op8_urls"](spark, sf).where("rule is null")
+    domains = got.where("verdict = 'block' and host rlike '(ads-track|adult-x|casino-win|cheap-pills|spam-farm)'").count()
+    pages = got.where("verdict = 'block' and host like 'blog.%'").count()
+    assert domains > 50 and pages > 20 and got.where("verdict = 'allow'").count() > 500
+
+
+def test_filter_and_exact_join(spark):
+    """The filter has many blocks, lets some unlisted rows pass, and the join removes them."""
+    listed = spark.range(20_000).selectExpr("concat('h', id, '.org/') as entry")
+    assert urls.bloom_filter(listed)[1] == 1250
+    probe = spark.range(10_000, 110_000).selectExpr("id as _row", "array(concat('h', id, '.org/')) as canonical")
+    possible = urls.possible_rows(probe, listed).count()
+    assert 10_000 < possible < 11_500
+    assert urls.listed_rows(probe, listed).where("is_listed").agg(F.count("*"), F.max("_row")).first()[:] == (10_000, 19_999)
+
+
+def test_odd_pages_and_lists(spark):
+    rows = [(1, "x://a.org/p", "k"), (1, "x://a.org/p", "k"), (None, None, None), (2, "", ""), (3, "x://" + "a." * 3000 + "org/" + "p" * 50_000, "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    empty = spark.createDataFrame([], "entry string")
+    listed = spark.createDataFrame([("a.org/p",), ("org/",)], "entry string")
+    verdicts = lambda p, lst, rules: sorted(((r.page_id or 0), r.rule, r.verdict) for r in urls.judged(p, lst, rules).collect())
+    assert verdicts(pages, empty, {}) == [(0, None, "allow"), (1, None, "allow"), (1, None, "allow"), (2, None, "allow"), (3, None, "allow")]
+    assert verdicts(pages, listed, {}) == [(0, None, "allow"), (1, None, "block"), (1, None, "block"), (2, None, "allow"), (3, None, "block")]
+    assert verdicts(pages.limit(0), listed, {"org/": "block"}) == []

@@ -1,6 +1,8 @@
+import functools
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,6 +102,46 @@ def test_decontamination(spark, sf_dir):
     assert whole <= {(r.doc_id, r.item_id) for r in found} and whole
 
 
+def plain_alignment(item, text):
+    """Best (score, matched words) over all local alignments, a cell at a time."""
+    best, row = (0, 0), [(0, 0)] * (len(text) + 1)
+    for x in item:
+        new = [(0, 0)]
+        for j, y in enumerate(text, 1):
+            s, k = row[j - 1]
+            cell = max((0, 0), (s + 1, k + 1) if x == y else (s - 1, k), (row[j][0] - 1, row[j][1]), (new[j - 1][0] - 1, new[j - 1][1]))
+            new.append(cell if cell[0] > 0 else (0, 0))
+        row = new
+        best = max(best, max(row))
+    return best
+
+
+def test_decontamination_query_against_plain_alignment(spark):
+    """All pairs of documents and items that share enough words at all, without seeds."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: decontam.words_of(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: decontam.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    counts, expected = {d: Counter(w) for d, w in docs.items()}, set()
+    for i, item in items.items():
+        need = Counter(item)
+        for d, words in docs.items():
+            if sum((need & counts[d]).values()) >= 0.8 * len(item):
+                kept = plain_alignment(item, words)[1]
+                if kept >= 0.8 * len(item):
+                    expected.add((d, i, kept / len(item)))
+    assert expected and {(r.doc_id, r.item_id, r.score) for r in op4_decontamination(spark, sf).collect()} == expected
+
+
+def test_copy_at_the_end_of_a_very_long_text():
+    own = decontam.Items([(1, " ".join(f"w{i}" for i in range(30))), (2, "w0 w1 w2 " * 2)])
+    own.choose({})
+    copy = [f"w{i}" for i in range(30)]
+    text = " ".join(["w0 w1 w2 other"] * 300_000 + copy)
+    assert own.matches(text)[0] == (1, 1.0, 1_200_000, 1_200_030)
+    numbers = np.concatenate([np.zeros(1_200_000, np.int64), own.numbers[0]])
+    assert decontam.align(own.numbers[0], numbers) == (30, 1_200_000, 1_200_030)
+
+
 def test_decontamination_of_three_word_runs(spark):
     """Copies that keep only three words in a row, beside whole copies that make these runs less rare."""
     short, long = [f"s{i}" for i in range(15)], [f"l{i}" for i in range(30)]
@@ -131,4 +173,24 @@ def test_token_counts(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, 2), (1, "", 2), (2, "the  end\nthe", 2), (None, "漢 " * 9000, 2)], "doc_id long, text string, n_tokens int")
     got = sorted((r.doc_id or 0, r.n_pre_tokens) for r in tokencount.token_counts(docs, PIECES).collect())
     assert got == [(0, 9000), (1, 0), (1, 0), (2, 3)]
-    assert op6_token_counts(spark, sf_dir).agg(F.min("n_tokens")).first()[0] >= 0
+    assert tokencount.token_counts(docs.limit(0), PIECES).count() == 0
+
+
+def test_token_count_query_against_plain_search(spark):
+    """The query over the real vocabulary against a search of its own for each word."""
+    sf, model = "/root/testdata/sf0.001", tokencount.piece_model(PIECES)
+    longest = max(map(len, model.scores))
+
+    @functools.cache
+    def count(word):
+        text = tokencount.MARK + word
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            options = [(best[k][0] + model.scores[text[k:end]], best[k][1] - 1) for k in range(max(0, end - longest), end) if text[k:end] in model.scores]
+            if text[end - 1] not in model.scores:
+                options.append((best[end - 1][0] + tokencount.UNKNOWN, best[end - 1][1] - (len(text[end - 1].encode()) if model.bytes_too else 1)))
+            best.append(max(options))
+        return -best[-1][1]
+
+    expected = sorted((r.doc_id, len((r.text or "").split()), sum(map(count, (r.text or "").split()))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert sorted((r.doc_id, r.n_pre_tokens, r.n_tokens) for r in op6_token_counts(spark, sf).collect()) == expected
