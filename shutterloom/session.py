@@ -7,6 +7,7 @@ Everything that must outlive an executor goes to the folder that the cluster nam
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -58,6 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(sc, "_shutterloom_folder", None)
         if folder is None:
             folder = sc._shutterloom_folder = "file://" + tempfile.mkdtemp(prefix="shutterloom-shared-")
@@ -79,6 +82,13 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of frames that nothing names any more, before the next large one: it
+    learns of them by garbage collection, which a driver with little to do seldom makes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
