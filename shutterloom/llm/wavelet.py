@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterloom.llm.bpe import byte_alphabet
+from shutterloom.llm.bpe import PUNCTUATION, byte_alphabet
 from shutterloom.llm.common import by_batches
 from shutterloom.session import fresh_path
 
@@ -43,9 +43,8 @@ WORDS_HELD, LONGEST_HELD, PIECE, TOGETHER = 800_000, 64, 1 << 20, 1 << 22
 #: Fixed value: Unicode white space other than space and line break.
 WHITE = "\t\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK, BORDER = re.compile(f"[ \n{WHITE}]*[^ \n{WHITE}]+|[ \n{WHITE}]+"), re.compile(f"(?<=[^ \n{WHITE}])(?=[ \n{WHITE}])")
-#: Texts that Arrow doesn't split; and a word of up to 48 letters with punctuation of ASCII after it.
+#: Texts that Arrow doesn't split.
 ODD = f"[{WHITE}]|[ \n][ \n]|^[ \n]"
-PARTS = r"\A(?P<word>\pL{1,48})(?P<rest>[!-/:-@\[-`{-~]{0,16})\z"
 
 
 class WaveletMatrix:
@@ -85,7 +84,7 @@ class WaveletMatrix:
             per_block = np.bitwise_count(packed.view("<u8")).reshape(blocks, BLOCK // 64).sum(1, dtype=np.int64)
             before = np.concatenate([[0], np.cumsum(per_block)[:-1]]) if blocks else per_block
             out += [struct.pack("<Q", n - int(per_block.sum())), before.astype("<u4").tobytes(), packed.tobytes()]
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
         return b"".join(out)
 
     def _ones(self, plane: int, i: int) -> int:
@@ -160,8 +159,8 @@ class WaveletMatrix:
         for plane in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.bits[plane], count=self.n).view(bool)
             above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[plane]]
-            above[ones] = now[self.zeros[plane] :] | now.dtype.type(1 << (self.planes - 1 - plane))
+            above[np.flatnonzero(~ones)] = now[: self.zeros[plane]]
+            above[np.flatnonzero(ones)] = now[self.zeros[plane] :] | now.dtype.type(1 << (self.planes - 1 - plane))
             now = above
         return now
 
@@ -217,14 +216,20 @@ class LibraryEncoder:
 
     def _of_chunks(self, chunks: pa.Array) -> pa.Array:
         """Ids of different chunks: each after a space, or with the line break that it begins with."""
-        parts = pc.extract_regex(chunks, PARTS)
-        word, rest = (pc.struct_field(parts, k).dictionary_encode() for k in ("word", "rest"))
-        ids = pa.array(self._of_words(word.dictionary.to_pylist()), pa.large_binary()).take(word.indices)
-        more = pa.array(self._of_others(rest.dictionary.to_pylist()), pa.large_binary()).take(rest.indices)
-        odd = np.flatnonzero(pc.is_null(parts).to_numpy(False))
-        others = self._of_others([c if c[:1] == "\n" else " " + c for c in chunks.take(pa.array(odd)).to_pylist()])
-        both = pc.binary_join_element_wise(ids, more, pa.scalar(b"", pa.large_binary()))
-        return pa.concat_arrays([both, pa.array(others, pa.large_binary())]).take(pa.array(_replaced(len(both), odd)))
+        n, word = len(chunks), pc.utf8_rtrim(chunks, PUNCTUATION)
+        plain = pc.and_(pc.utf8_is_alpha(word), pc.less_equal(pc.binary_length(word), LONGEST_HELD)).to_numpy(False)
+        coded = word.filter(pa.array(plain)).dictionary_encode()
+        codes, ends = np.full(n, len(coded.dictionary)), np.zeros(n, np.int64)
+        codes[plain] = coded.indices.to_numpy()
+        ids = pa.array([*self._of_words(coded.dictionary.to_pylist()), b""], pa.large_binary())
+        # what follows the word, or the whole of other chunks
+        more = np.flatnonzero(~plain | pc.not_equal(pc.binary_length(chunks), pc.binary_length(word)).to_numpy(False))
+        at, some = pa.array(more), plain[more].tolist()
+        pieces = [c[len(w) :] if ok else c if c[:1] == "\n" else " " + c for c, w, ok in zip(chunks.take(at).to_pylist(), word.take(at).to_pylist(), some, strict=True)]
+        names = {p: i for i, p in enumerate(dict.fromkeys(pieces), 1)}
+        ends[more] = [names[p] for p in pieces]
+        others = pa.array([b"", *self._of_others(list(names))], pa.large_binary())
+        return pc.binary_join_element_wise(ids.take(pa.array(codes)), others.take(pa.array(ends)), pa.scalar(b"", pa.large_binary()))
 
     def _piecewise(self, text: str) -> bytes:
         """A text with any white space, from runs of chunks of bounded length."""
@@ -259,13 +264,6 @@ class LibraryEncoder:
         return out
 
 
-def _replaced(n: int, places: np.ndarray) -> np.ndarray:
-    """0 .. n - 1, but n, n + 1, ... at some places."""
-    out = np.arange(n)
-    out[places] = n + np.arange(len(places))
-    return out
-
-
 @lru_cache(maxsize=1)
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
