@@ -14,8 +14,9 @@ Two uses:
   blocks of 32 bits with balls of radius 1 would need 24 blocks, 792 variants a text, to meet 95 % of them.
   So what the balls leave meets on shingles: in any order of all shingles, similar sets share one
   among the first fifth of each. The order is rarest first, by counts over all texts, so nearly all that
-  meet are similar. Each text is compared with the first of each bucket; then the pairs of a bucket that no links
-  join yet are compared, so none is left out, and a group of like texts costs no pairs. Shingles that stand out
+  meet are similar, and what only one text has bounds its similarity to any other. Each text is compared
+  with that of each bucket that has least of its own; then the pairs of a bucket that no links join yet and whose bound
+  allows it are compared, so none is left out, and a group of like texts costs no pairs. Shingles that stand out
   in blocks of texts are known before and are not shuffled, only ordered last.
   A link is verified by the shingles that both texts have.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
 from shutterloom.operators.components import components
-from shutterloom.session import written
+from shutterloom.session import release, written
 
 #: Fixed value: the seed of the shingle hashes.
 SEED = 42
@@ -166,28 +167,28 @@ def _grams(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], shingle: int)
     return by_batches(texts.select("id", "text"), run, "id long, n int, grams array<long>, heavy array<struct<c: bigint, gram: bigint>>")
 
 
-def _shared(grams: DataFrame) -> DataFrame:
+def _shared(grams: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, n, shared array<struct<c, gram>>): the shingles that other texts may have too, the rarest first."""
-    met = grams.select("id", "n", F.explode("grams").alias("gram"))
-    met = met.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("id", "n", "c", "gram")
-    often = grams.select("id", "n", F.explode("heavy").alias("x")).select("id", "n", "x.c", "x.gram")
-    return met.unionAll(often).groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+    met = grams.select("id", F.explode("grams").alias("gram"))
+    met = met.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("id", "c", "gram")
+    often = grams.select("id", F.explode("heavy").alias("x")).select("id", "x.c", "x.gram")
+    lists = met.unionAll(often).repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+    return lists.join(texts.select("id", "n"), "id").select("id", "n", "shared")
 
 
 def _buckets(shared: DataFrame, similarity: float) -> DataFrame:
-    """(gram, id, n, pos) of shingles among the rarest of a text that are so for another text too. The
-    ``pos`` counts the text's own shingles, which no other has, before them."""
-    own = F.col("n") - F.size("shared")
+    """(gram, id, n, s, i) of shingles among the rarest of a text that are so for another text too: the
+    text has n shingles, shares s of them with others, and i of these come before. Its own n - s are rarer still."""
     prefix = F.col("n") - F.ceil(similarity * F.col("n") - SLACK) + 1
-    met = shared.select("id", "n", (prefix - own).cast("int").alias("take"), own.alias("own"), "shared").where("take > 0")
-    met = met.select("id", "n", "own", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "x")).select("x.gram", "id", "n", (F.col("own") + F.col("i")).alias("pos"))
+    met = shared.select("id", "n", F.size("shared").alias("s"), "shared").withColumn("take", (prefix - F.col("n") + F.col("s")).cast("int")).where("take > 0")
+    met = met.select("id", "n", "s", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("i", "x")).select("x.gram", "id", "n", "s", "i")
     return met.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1").drop("size")
 
 
 def _fits(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
-    """Whether the sizes of two texts and the places of a shared shingle allow the similarity."""
-    bound = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    return bound >= similarity / (1 + similarity) * (x["n"] + y["n"]) - SLACK
+    """Whether two texts whose first common shingle is this one can be as similar: all others they share
+    come after it in both. Every pair of similar texts passes at its first common shingle."""
+    return F.least(x["s"] - x["i"], y["s"] - y["i"]) >= similarity / (1 + similarity) * (x["n"] + y["n"]) - SLACK
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -204,9 +205,10 @@ def _ball_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _star_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each text with the first of its buckets by size."""
-    own = {c: F.col(c) for c in ("id", "n", "pos")}
-    rows = buckets.withColumn("first", F.min(F.struct("n", "id", "pos")).over(Window.partitionBy("gram")))
+    """(a, b): each text with that of its buckets which has the fewest shingles of its own; of edited
+    copies this is the one that they come from."""
+    own = {c: F.col(c) for c in ("id", "n", "s", "i")}
+    rows = buckets.withColumn("first", F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "id", "n", "s", "i")).over(Window.partitionBy("gram")))
     first = {c: F.col(f"first.{c}") for c in own}
     return rows.where("first.id <> id").where(_fits(own, first, similarity)).select(*_pairs(own["id"], first["id"]))
 
@@ -217,8 +219,8 @@ def _other_pairs(buckets: DataFrame, linked: DataFrame, similarity: float) -> Da
     named = buckets.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     whole = Window.partitionBy("gram")
     mixed = named.withColumn("one", F.min("component").over(whole)).withColumn("other", F.max("component").over(whole)).where("one <> other")
-    x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "component"))) for k in "xy")
-    a, b = ({c: F.col(f"{c}_{k}") for c in ("id", "n", "pos")} for k in "xy")
+    x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "s", "i", "component"))) for k in "xy")
+    a, b = ({c: F.col(f"{c}_{k}") for c in ("id", "n", "s", "i")} for k in "xy")
     return x.join(y, "gram").where("component_x < component_y").where(_fits(a, b, similarity)).select(*_pairs(a["id"], b["id"]))
 
 
@@ -235,7 +237,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     alone = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
     first = source.withColumn("row", alone).where("row = 1").join(texts.select("one.key", "one.digest", "id"), ["key", "digest"]).select("id", "text")
-    shared = written(_shared(_grams(first, heavy, shingle)), "shared")
+    shared = written(_shared(_grams(first, heavy, shingle), texts), "shared")
+    del first
+    release(docs.sparkSession)
     buckets = written(_buckets(shared, similarity), "buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
