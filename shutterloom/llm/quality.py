@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterloom.session import written
+from shutterloom.session import fresh_path, remove, written
 
 #: Labelled documents that are learned from, at most: those with the least hash of their key.
 SAMPLE_ROWS = 20_000
@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy(key).agg(F.max(F.coalesce("toxic", F.lit(False))).alias("toxic"), F.max("bad").alias("bad"))
     sample = known.orderBy(F.xxhash64(key), key).limit(rows)  # the documented bound; so it can be broadcast
     labelled = docs.select(key, text).join(F.broadcast(sample), key)
-    taught = written(labelled.groupBy(key, "toxic", "bad").agg(F.min(text).alias(text)).withColumn("fold", _fold(key)), "taught")
+    path = fresh_path(docs.sparkSession, "taught")
+    taught = written(labelled.groupBy(key, "toxic", "bad").agg(F.min(text).alias(text)).withColumn("fold", _fold(key)), "taught", path)
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
     stems = taught.select("toxic", "fold", F.explode(_stems(words)).alias("stem")).groupBy("stem")
     each = [f.alias(f"{name}_{k}") for k in range(FOLDS) for name, f in (("toxic", F.count_if(F.col("toxic") & (F.col("fold") == k))), ("n", F.count_if(F.col("fold") == k)))]
@@ -241,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             x.append([r[n] for n in names])
             bad.append(r["bad"])
             at.append((r["at"], *x[-1]))
+    remove(docs.sparkSession, path)
     order = sorted(range(len(at)), key=at.__getitem__)
     x = np.array([x[i] for i in order], float).reshape(len(order), len(names))
     return Model(*_stem_sets(counts), tuple(learned(x, np.array([bad[i] for i in order], bool), names)))
