@@ -38,6 +38,13 @@ BY_EXTENSION = {
     "csv": "text/csv",
     "tsv": "text/tab-separated-values",
 }
+#: Brands of ISO media files after ``ftyp``, by media type.
+HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
+MOVIE_BRANDS = {
+    "image/avif": ("avif", "avis"),
+    "video/mp4": ("isom", "iso2", "iso3", "iso4", "iso5", "iso6", "avc1", "mp41", "mp42", "mmp4", "dash", "MSNV", "NDSC", "NDSH", "NDSM", "NDSP", "NDSS", "NDXC", "NDXH", "NDXM", "NDXP", "NDXS", "F4V ", "F4P "),
+    "video/x-m4v": ("M4V ", "M4VH", "M4VP"),
+}
 #: First bytes of formats, as (offset, hex) pairs that must all hold; the first entry that
 #: fits wins.
 BY_MAGIC = (
@@ -45,16 +52,23 @@ BY_MAGIC = (
     ("image/png", ((0, "89504E47"),)),
     ("image/gif", ((0, "474946"),)),
     ("image/webp", ((8, "57454250"),)),
+    ("image/x-canon-cr2", ((0, "49492A00"), (8, "4352"))),
     ("image/tiff", ((0, "49492A00"),)),
     ("image/tiff", ((0, "4D4D002A"),)),
     ("image/bmp", ((0, "424D"),)),
-    ("image/heif", ((4, "66747970"), (8, "68656963"))),
-    ("image/heif", ((4, "66747970"), (8, "6D696631"))),
-    ("video/mp4", ((4, "66747970"), (8, "69736F6D"))),
-    ("video/mp4", ((4, "66747970"), (8, "6D703432"))),
+    *(("image/heif", ((4, "66747970"), (8, brand.encode().hex().upper()))) for brand in HEIF_BRANDS),
+    *((mime, ((4, "66747970"), (8, brand.encode().hex().upper()))) for mime, brands in MOVIE_BRANDS.items() for brand in brands),
     ("video/quicktime", ((4, "66747970"), (8, "71742020"))),
     ("video/x-matroska", ((0, "1A45DFA3"),)),
     ("video/x-msvideo", ((0, "52494646"), (8, "41564920"))),
+    ("video/x-ms-wmv", ((0, "3026B2758E66CF11A6D9"),)),
+    ("video/x-flv", ((0, "464C5601"),)),
+    ("video/mpeg", ((0, "000001BA"),)),
+    ("video/mpeg", ((0, "000001B3"),)),
+    ("image/vnd.adobe.photoshop", ((0, "38425053"),)),
+    ("image/vnd.microsoft.icon", ((0, "00000100"),)),
+    ("image/vnd.ms-photo", ((0, "4949BC"),)),
+    ("image/jxl", ((0, "FF0A"),)),
     ("application/pdf", ((0, "25504446"),)),
     ("application/zip", ((0, "504B0304"),)),
     ("application/rtf", ((0, "7B5C727466"),)),

@@ -15,15 +15,31 @@ def numbered(name, i):
     return F.when(i == 0, name).otherwise(F.concat(stem, F.lit("_"), i.cast("string"), F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise("")))
 
 
+def _family(name):
+    """The name without the numbers that :func:`numbered` may have put there."""
+    stem, ext = split_ext(name)
+    return F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise(""))
+
+
 def unique_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> DataFrame:
     """Adds ``target_name`` to (path, dir, name): the first free of name, name_1 .. name_N in its folder,
     in path order; null if none is free. ``taken``: (dir, name) that exist.
 
-    Rounds of proposals: each unplaced file proposes its next name, the first path of those that want
-    a free name gets it. A file needs ``attempts`` + 1 rounds at most, and a round is two equi-joins.
+    Files of one name share its numbers out by one window. Only where a folder's files want both a name
+    and a numbered form of it (a.jpg and a_1.jpg) do they go through rounds.
     """
+    files = written(files.withColumn("family", _family(F.col("name"))), "named")
+    mixed = files.groupBy("dir", "family").agg(F.count_distinct("name").alias("names")).where("names > 1").select("dir", "family")
+    out = _by_window(files.join(mixed, ["dir", "family"], "left_anti").drop("family"), taken, attempts)
+    several = written(files.join(mixed, ["dir", "family"], "left_semi").drop("family"), "several")
+    return out if several.isEmpty() else out.unionByName(_by_rounds(several, taken, attempts))
+
+
+def _by_rounds(files: DataFrame, taken: DataFrame, attempts: int) -> DataFrame:
+    """Each unplaced file proposes its next name; the first path of those that want a free name gets it.
+    ``attempts`` + 1 rounds at most, each two equi-joins."""
     placed, used = None, taken.select("dir", "name").distinct()
-    left = written(files, "unplaced")
+    left = files
     for i in range(attempts + 1):
         wanted = left.withColumn("target_name", numbered(F.col("name"), F.lit(i)))
         free = wanted.join(used.select("dir", F.col("name").alias("target_name")), ["dir", "target_name"], "left_anti")
@@ -37,18 +53,16 @@ def unique_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> Data
     return placed.unionByName(left.withColumn("target_name", F.lit(None).cast("string")))
 
 
-def serial_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> DataFrame:
-    """As :func:`unique_names` where no file is itself named like another's numbered name: one window."""
-    group = Window.partitionBy("dir", "name")
-    exists = F.coalesce(F.array_agg(F.col("number")).alias("used"), F.array().cast("array<int>"))
+def _by_window(files: DataFrame, taken: DataFrame, attempts: int) -> DataFrame:
+    """The k-th file of a name gets the k-th of its numbers that no existing file has."""
     stem, ext = split_ext(F.col("name"))
-    numbers = taken.withColumn("_m", F.regexp_extract(stem, r"^(.*)_(\d{1,4})$", 2))
-    base = F.when(F.col("_m") != "", F.concat(F.regexp_extract(stem, r"^(.*)_(\d{1,4})$", 1), F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise("")))
-    own = taken.select("dir", "name", F.lit(0).alias("number")).unionByName(numbers.where("_m <> ''").select("dir", base.alias("name"), F.col("_m").cast("int").alias("number")))
-    used = own.groupBy("dir", "name").agg(exists.alias("used"))
-    rows = files.withColumn("_k", F.row_number().over(group.orderBy("path"))).join(used, ["dir", "name"], "left")
-    free = F.filter(F.sequence(F.lit(0), F.lit(attempts)), lambda i: ~F.coalesce(F.array_contains("used", i), F.lit(False)))
-    return rows.withColumn("target_name", numbered(F.col("name"), F.get(free, F.col("_k") - 1))).drop("_k", "used")
+    number = F.regexp_extract(stem, r"^(.*)_([1-9]\d{0,8})$", 2)
+    base = F.concat(F.regexp_extract(stem, r"^(.*)_([1-9]\d{0,8})$", 1), F.when(ext.isNotNull(), F.concat(F.lit("."), ext)).otherwise(""))
+    own = taken.select("dir", "name", F.lit(0).alias("number")).unionByName(taken.where(number != "").select("dir", base.alias("name"), number.cast("int").alias("number")))
+    used = own.where(F.col("number") <= attempts).groupBy("dir", "name").agg(F.collect_set("number").alias("used"))
+    rows = files.withColumn("_k", F.row_number().over(Window.partitionBy("dir", "name").orderBy("path"))).join(used, ["dir", "name"], "left")
+    free = F.array_except(F.sequence(F.lit(0), F.lit(attempts)), F.coalesce("used", F.array().cast("array<int>")))
+    return rows.withColumn("target_name", numbered(F.col("name"), F.get(free, F.col("_k") - 1))).select(*files.columns, "target_name")
 
 
 def sidecars(media: DataFrame, listing: DataFrame) -> DataFrame:

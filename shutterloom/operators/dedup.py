@@ -76,8 +76,8 @@ def delete_plan(groups: DataFrame, output: str | None) -> DataFrame:
 
 def bytes_read(files: DataFrame, secure: bool = False) -> DataFrame:
     """Bytes that prefix hashes, and strong hashes within buckets of equal prefix hash, have to read."""
-    n = F.count("*").over(Window.partitionBy("fast"))
-    return files.withColumn("_n", n).agg(F.sum(F.least("size", F.lit(PREFIX_BYTES)) + F.when(F.col("_n") > 1, F.col("size")).otherwise(0)).alias("bytes_read"))
+    by_prefix = files.groupBy("fast").agg(F.count("*").alias("n"), F.sum(F.least("size", F.lit(PREFIX_BYTES))).alias("heads"), F.sum("size").alias("sizes"))
+    return by_prefix.agg(F.sum(F.col("heads") + F.when(F.col("n") > 1, F.col("sizes")).otherwise(0)).alias("bytes_read"))
 
 
 def scan_stats(listing: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def q_unique_name(spark, sf_dir):
     n = _named(spark, sf_dir)
     rows = n.select("path", F.concat(F.lit("/out/"), "source").alias("dir"), "name")
     taken = n.where("doc_id % 5 = 0").select(F.concat(F.lit("/out/"), "source").alias("dir"), "name").distinct()
-    return archive.serial_names(rows, taken, 10).select("path", "dir", "name", "target_name")
+    return archive.unique_names(rows, taken, 10).select("path", "dir", "name", "target_name")
 
 
 def q_sidecar_join(spark, sf_dir):

@@ -8,6 +8,7 @@ the same bytes. Executors must see the trees at the same paths, as mounted folde
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import json
 import os
@@ -48,6 +49,8 @@ class Report:
 
 
 ERRORS = 1000
+#: Types whose times stand in a movie box, which may come last in the file.
+MOVIES = ("video/mp4", "video/quicktime", "video/3gpp", "video/x-m4v")
 FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, error string"
 
 
@@ -70,7 +73,10 @@ def _heads(files: DataFrame, offset: int) -> DataFrame:
             if mime in ("", "application/zip"):
                 mime = M.BY_EXTENSION.get(os.path.splitext(path)[1][1:].lower(), mime)
             whole = mime.startswith(("application/vnd", "application/epub", "application/x-", "application/msword"))
-            raw = head + f.read() if whole else head + f.read((1 << 20) - 4096)
+            raw = formats.movie_box(f) if mime.startswith(MOVIES) else b""
+            if not raw:
+                f.seek(0)
+                raw = f.read() if whole else f.read(1 << 20)
         return {"content": head} | formats.read(mime, raw, offset)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,6 +93,29 @@ def _heads(files: DataFrame, offset: int) -> DataFrame:
     return files.select("path", "size", "modified", "created").mapInPandas(run, FACTS)
 
 
+def _sidecar_times(files: DataFrame) -> DataFrame:
+    """(path, xmp_utc, takeout_utc) of the files that have a sidecar of at most ``TEXT_BYTES`` beside them."""
+
+    def read(path: str | None, parse) -> int | None:
+        try:
+            with open(path, "rb") as f:
+                return parse(f.read())
+        except (OSError, TypeError, UnicodeDecodeError):
+            return None
+
+    def xmp_time(raw: bytes) -> int | None:
+        return next(iter(formats.xmp(raw, formats.SIDECAR_DATES).values()), None)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(r["path"], read(r["xmp"], xmp_time), read(r["takeout"], lambda x: formats.takeout_seconds(x.decode()))) for r in part.to_dict("records")]
+            yield pd.DataFrame(rows, columns=["path", "xmp_utc", "takeout_utc"], dtype=object).astype({"xmp_utc": "Int64", "takeout_utc": "Int64"})
+
+    beside = files.where((F.col("size") <= listing.TEXT_BYTES) & F.lower("path").rlike(r"\.(xmp|json)$")).select("path")
+    found = archive.sidecars(files.select("path"), beside).where("xmp IS NOT NULL OR takeout IS NOT NULL")
+    return found.mapInPandas(run, "path string, xmp_utc bigint, takeout_utc bigint")
+
+
 def _strong(files: DataFrame) -> DataFrame:
     """SHA-512 of whole files, read in pieces."""
 
@@ -140,6 +169,7 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
     own = _listed(spark, [output]) if os.path.isdir(output) else files.limit(0)
     own = own.where("kind = 'file' AND size > 0")
     facts = written(_strong(_heads(files, offset)), "facts")
+    facts = facts.join(_sidecar_times(files), "path", "left")
     there = _strong(own.select("path", "size")).select("size", "strong").distinct().withColumn("there", F.lit(True))
     name = P.file_name(F.col("path"))
     kind = M.mime_of(F.col("content"), F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -152,6 +182,8 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
         (F.lit("ExifCreateDate"), F.col("create_date")),
         (F.lit("DocumentCreated"), F.col("doc_created")),
         (F.coalesce(in_name["source"], F.lit("FilenamePhone")), in_name["utc"]),
+        (F.lit("XmpSidecar"), F.col("xmp_utc")),
+        (F.lit("GoogleTakeoutJson"), F.col("takeout_utc")),
         (F.lit("FsMtime"), F.when(F.col("modified") >= 0, F.col("modified"))),
     ]
     decision = C.decided(C.candidates(found, now), F.col("gps_utc"), F.col("modify_date"))
@@ -183,11 +215,20 @@ def _sha512(path: str) -> str:
 
 
 def transferred(source: str, target: str, strong: str | None, remove: bool) -> None:
-    """Copy or move one file; done already counts as done."""
+    """Copy or move one file; a move on one volume only renames. What was done before counts as done: a target
+    that is there must hold the same bytes, or the file fails and its source stays."""
     if not os.path.exists(source) and remove and os.path.exists(target):
         return
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    if not os.path.exists(target):
+    there = os.path.exists(target)
+    if not there and remove:
+        try:
+            os.rename(source, target)
+            return
+        except OSError as e:
+            if e.errno != errno.EXDEV:
+                raise
+    if not there:
         half = f"{target}.{os.getpid()}.part"
         try:
             with open(source, "rb") as a, open(half, "wb") as b:
@@ -197,8 +238,11 @@ def transferred(source: str, target: str, strong: str | None, remove: bool) -> N
         finally:
             if os.path.exists(half):
                 os.remove(half)
-    if remove and _sha512(target) == (strong or _sha512(source)):
-        os.remove(source)
+    if there or remove:
+        if os.path.getsize(target) != os.path.getsize(source) or _sha512(target) != (strong or _sha512(source)):
+            raise OSError(f"{target} holds other bytes than {source}")
+        if remove:
+            os.remove(source)
 
 
 def applied(plan: DataFrame, remove: bool, dry_run: bool) -> DataFrame:

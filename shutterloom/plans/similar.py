@@ -81,7 +81,7 @@ def _scored(spark, sf_dir):
 
 
 def q_score(spark, sf_dir):
-    return _scored(spark, sf_dir).where(~F.isnan("total")).select("burst", "seq", "blinks", F.round("smile_avg", 6).alias("smile_avg"), F.round("total", 6).alias("total"))
+    return _scored(spark, sf_dir).select("burst", "seq", "blinks", F.round("smile_avg", 6).alias("smile_avg"), F.when(~F.isnan("total"), F.round("total", 6)).alias("total"))
 
 
 def q_pick_best(spark, sf_dir):
@@ -165,7 +165,7 @@ ORACLES = {
     "q_identity_clusters": f"WITH RECURSIVE {_COS}, {_CC}, i AS (SELECT DISTINCT component, node % 50 AS image FROM k) SELECT component, string_agg(CAST(image AS VARCHAR), ',' ORDER BY image) AS images FROM i GROUP BY component",
     "q_l2_normalize": "WITH v AS (SELECT vec_id AS id, list_transform(range(64), lambda i: CAST(CAST(embedding[i + 1] * (i % 3) AS FLOAT) AS DOUBLE)) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT id, round(v[2] / n, 6) AS x1, round(1.0::DOUBLE, 6) AS norm FROM n",
     "q_blur_filter": f"WITH {_LINES}, {_SHARP} SELECT burst, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM sharp GROUP BY burst",
-    "q_score": f"WITH {_SCORED} SELECT burst, seq, blinks, round(smile_avg, 6) AS smile_avg, total FROM s WHERE NOT isnan(total)",
+    "q_score": f"WITH {_SCORED} SELECT burst, seq, blinks, round(smile_avg, 6) AS smile_avg, CASE WHEN NOT isnan(total) THEN total END AS total FROM s",
     "q_pick_best": f"WITH {_SCORED} SELECT burst, seq FROM (SELECT *, row_number() OVER (PARTITION BY burst ORDER BY isnan(total), total DESC, seq DESC) AS r FROM s) WHERE r = 1",
     "q_group_ids": f"WITH {_LINES}, g AS (SELECT burst, count(*) AS n FROM l GROUP BY burst HAVING count(*) > 1) SELECT burst, n, format('group-{{:03d}}', row_number() OVER (ORDER BY burst)) AS group_id FROM g",
     "q_cull_report": f"WITH {_LINES}, {_SHARP}, g AS (SELECT burst, count(*) AS n FROM sharp GROUP BY burst) SELECT (SELECT count(*) FROM l) AS scanned, CAST(sum(n) AS BIGINT) AS grouped, count(*) AS best_count, CAST(sum(n - 1) AS BIGINT) AS culled_count, (SELECT count(*) FROM many WHERE NOT (isnan(sharpness) OR sharpness >= 20)) AS dropped_blurry FROM g",

@@ -17,8 +17,11 @@ FIELDS = ("dto", "create_date", "modify_date", "qt_create_date", "gps_utc", "mak
 SCHEMA = "dto bigint, create_date bigint, modify_date bigint, qt_create_date bigint, gps_utc bigint, make string, model string, doc_created bigint, doc_modified bigint"
 
 
-def seconds(text: str | None, offset: int = 0) -> int | None:
-    """``YYYY:MM:DD HH:MM:SS`` in local time; nothing unless positive."""
+def seconds(text: str | None, offset: int = 0, zone: str | None = None) -> int | None:
+    """``YYYY:MM:DD HH:MM:SS`` in local time, or in a zone such as ``+08:00``; nothing unless positive."""
+    m = re.fullmatch(r"([+-])(\d\d):(\d\d)|Z", (zone or "").strip("\0 "))
+    if m:
+        offset = (int(m[2]) * 3600 + int(m[3]) * 60) * (-1 if m[1] == "-" else 1) if m[1] else 0
     try:
         value = timegm(datetime.strptime((text or "").strip("\0 ")[:19], "%Y:%m:%d %H:%M:%S").timetuple()) - offset
     except ValueError:
@@ -45,7 +48,7 @@ def tiff(raw: bytes, base: int = 0, offset: int = 0) -> dict:
 
 
 #: Tags read as text.
-TEXT_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "modify", 0x9003: "dto", 0x9004: "create"}
+TEXT_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "modify", 0x9003: "dto", 0x9004: "create", 0x9010: "modify_zone", 0x9011: "dto_zone", 0x9012: "create_zone"}
 
 
 def _directories(raw: bytes, order: str, first: int, base: int, offset: int) -> dict:
@@ -87,7 +90,8 @@ def _directories(raw: bytes, order: str, first: int, base: int, offset: int) ->
             found["gps"] = seconds("{} {:02d}:{:02d}:{:02d}".format(gps["date"], *gps["time"]))
 
     directory(first, 0)
-    out = {"dto": seconds(found.get("dto"), offset), "create_date": seconds(found.get("create"), offset), "modify_date": seconds(found.get("modify"), offset), "gps_utc": found.get("gps")}
+    at = lambda name: seconds(found.get(name), offset, found.get(f"{name}_zone"))
+    out = {"dto": at("dto"), "create_date": at("create"), "modify_date": at("modify"), "gps_utc": found.get("gps")}
     out |= {k: found[k] for k in ("make", "model") if found.get(k)}
     return {k: v for k, v in out.items() if v}
 
@@ -185,6 +189,10 @@ def matroska(raw: bytes, offset: int = 0) -> dict:
     return {"qt_create_date": value} if value > 0 else {}
 
 
+#: Fixed value: the date that an XMP sidecar is read for.
+SIDECAR_DATES = ("photoshop:DateCreated",)
+
+
 def xmp(raw: bytes, names: tuple[str, ...] = ("photoshop:DateCreated", "xmp:CreateDate")) -> dict[str, int]:
     """Dates in attributes of the XMP packet in the head; comments don't count."""
     head = raw[:HEAD]
@@ -322,6 +330,31 @@ def _properties(data: bytes) -> dict:
     return out
 
 
+#: Bytes of a movie box that are read at most.
+MOVIE_BYTES = 16 << 20
+
+
+def movie_box(f) -> bytes:
+    """The ``moov`` box of an open ISO media or QuickTime file wherever it stands; other boxes are skipped by
+    their size. Empty if there is none."""
+    at, end = 0, f.seek(0, io.SEEK_END)
+    while at + 8 <= end:
+        f.seek(at)
+        head = f.read(16)
+        size, kind = struct.unpack(">I4s", head[:8])
+        if size == 1 and len(head) == 16:
+            (size,) = struct.unpack(">Q", head[8:])
+        elif size == 0:
+            size = end - at
+        if kind == b"moov":
+            f.seek(at)
+            return f.read(min(size, MOVIE_BYTES))
+        if size < 8:
+            break
+        at += size
+    return b""
+
+
 _OOXML, _ODF = "application/vnd.openxmlformats-officedocument.", "application/vnd.oasis.opendocument."
 #: Readers by the beginning of the media type, the first that fits.
 READERS = (

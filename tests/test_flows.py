@@ -8,6 +8,7 @@ import pytest
 
 from shutterloom import config
 from shutterloom.functions import images
+from shutterloom.operators import archive
 from shutterloom.operators.models import FakeFaceAnalyzer, FakeTextDetector, OnnxTextDetector
 from shutterloom.plans import flows
 from shutterloom.sources import listing
@@ -161,3 +162,62 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from seen_files").count() == 1
+
+
+def test_sidecars_date_their_media(spark, tmp_path):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    put(f"{src}/a.jpg", JPEG + b"a")
+    put(f"{src}/a.xmp", b'<x:xmpmeta><rdf:Description photoshop:DateCreated="2015-03-04T05:06:07Z"/></x:xmpmeta>')
+    put(f"{src}/b.jpg", JPEG + b"b")
+    put(f"{src}/b.jpg.json", b'{"photoTakenTime": {"timestamp": "1388534400"}}')
+    put(f"{src}/c.jpg", JPEG + b"c")
+    put(f"{src}/c.jpg.json", b"not json")
+    settings = config.Config()
+    report, done = flows.copy(spark, [src], out, settings)
+    assert report.counts["copied"] == 3 and report.counts["failed"] == 0
+    found = {os.path.basename(r.target): os.path.relpath(r.target, out) for r in done.where("status = 'copied'").collect()}
+    assert "2015" in found["a.jpg"] and "03" in found["a.jpg"] and "2014" in found["b.jpg"] and "2020" in found["c.jpg"]
+
+
+def test_transfers_rename_and_compare(tmp_path, monkeypatch):
+    a, b = put(f"{tmp_path}/a", b"same"), f"{tmp_path}/x/b"
+    inode = os.stat(a).st_ino
+    with monkeypatch.context() as m:
+        m.setattr(flows, "_sha512", lambda path: pytest.fail("a move on one volume reads no bytes"))
+        flows.transferred(a, b, None, True)
+    assert os.stat(b).st_ino == inode and not os.path.exists(a)
+    flows.transferred(a, b, None, True)  # a second run of the task
+    a = put(f"{tmp_path}/a", b"same")
+    flows.transferred(a, b, None, False)
+    assert os.path.exists(a)
+    flows.transferred(a, b, None, True)
+    assert not os.path.exists(a)
+    a = put(f"{tmp_path}/a", b"else")
+    for remove in (False, True):
+        with pytest.raises(OSError, match="other bytes"):
+            flows.transferred(a, b, None, remove)
+    assert os.path.exists(a) and open(b, "rb").read() == b"same"
+
+
+def test_unique_names_against_serial_run(spark):
+    rnd = random.Random(5)
+    names = ["a.jpg", "a_1.jpg", "a_1_1.jpg", "b", "b_2", "c.tar.gz", "d_7.png"]
+    rows = [(f"/p{i:03d}", rnd.choice(["/x", "/y"]), rnd.choice(names)) for i in range(90)] + [(f"/q{i}", "/z", "one.jpg") for i in range(15)]
+    exists = [("/x", "a_2.jpg"), ("/x", "b"), ("/z", "one_1.jpg"), ("/z", "one_3.jpg"), ("/z", "one_03.jpg"), ("/y", "c.tar_1.gz")]
+    got = archive.unique_names(spark.createDataFrame(rows, "path string, dir string, name string"), spark.createDataFrame(exists, "dir string, name string"), 10).collect()
+    targets = [(r.dir, r.target_name) for r in got if r.target_name]
+    assert len(got) == len(rows) and len(set(targets)) == len(targets) and not set(targets) & set(exists)
+    z = {r.path: r.target_name for r in got if r.dir == "/z"}
+    want = ["one.jpg", *(f"one_{i}.jpg" for i in (2, 4, 5, 6, 7, 8, 9, 10)), *[None] * 6]
+    assert [z[p] for p in sorted(z, key=lambda p: (len(p), p))] != [] and [z[p] for p in sorted(z)] == want
+
+
+def test_movie_box_behind_the_data(spark, tmp_path):
+    seconds_1904 = 1_487_068_200 + 2_082_844_800
+    mvhd = struct.pack(">I4sB3xII", 108, b"mvhd", 0, seconds_1904, seconds_1904) + b"\0" * 88
+    moov = struct.pack(">I4s", 8 + len(mvhd), b"moov") + mvhd
+    data = struct.pack(">I4s", 3_000_008, b"mdat") + b"\0" * 3_000_000
+    put(f"{tmp_path}/in/clip.mp4", struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + data + moov)
+    put(f"{tmp_path}/in/old.mov", data + moov + b"more")
+    _, done = flows.copy(spark, [f"{tmp_path}/in"], f"{tmp_path}/out")
+    assert ["2017" in r.target and "02" in r.target for r in done.where("status = 'copied'").collect()] == [True, True]

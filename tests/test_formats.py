@@ -5,6 +5,7 @@ import struct
 import zipfile
 from datetime import datetime
 
+from shutterloom.functions import mime
 from shutterloom.sources import formats as R
 
 T = 1487068200  # 2017-02-14 10:30:00 UTC
@@ -94,3 +95,22 @@ def test_compound_file():
     head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1".ljust(30, b"\0") + struct.pack("<H", 9) + b"\0" * 16 + struct.pack("<I", 1) + b"\0" * 8 + struct.pack("<I", 0xFFFFFFFE) + b"\0" * 12
     raw = head.ljust(76, b"\0")[:76] + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108) + fat + folder + stream
     assert R.read("application/msword", raw) == {"doc_created": T}
+
+
+def test_exif_time_zones():
+    """The offset tags are texts of their own; without them times are local."""
+    e = lambda tag, count, value: struct.pack("<HHI", tag, 2, count) + value
+    texts = [b"2017:02:14 10:30:00\0", b"+08:00\0", b"-03:30\0"]
+    n = 5
+    start = 8 + 2 + n * 12 + 4
+    at = [struct.pack("<I", start + sum(map(len, texts[:i]))) for i in range(3)]
+    block = b"II*\0" + struct.pack("<IH", 8, n) + e(0x0132, 20, at[0]) + e(0x9003, 20, at[0]) + e(0x9004, 20, at[0]) + e(0x9011, 7, at[1]) + e(0x9012, 7, at[2]) + b"\0" * 4 + b"".join(texts)
+    assert R.read("image/tiff", block, 3600) == {"dto": T - 8 * 3600, "create_date": T + 3 * 3600 + 1800, "modify_date": T - 3600}
+    assert R.seconds("2017:02:14 10:30:00", 3600, "Z") == T and R.seconds("2017:02:14 10:30:00", 3600, "odd") == T - 3600
+
+
+def test_media_types_by_brand(spark):
+    heads = {b"\0\0\0\x18ftypavc1": "video/mp4", b"\0\0\0\x18ftypiso5": "video/mp4", b"\0\0\0\x18ftypM4V ": "video/x-m4v", b"\0\0\0\x18ftypheix": "image/heif", b"\0\0\0\x18ftypavif": "image/avif", b"II*\0\x10\0\0\0CR\2\0": "image/x-canon-cr2", b"II*\0\x08\0\0\0": "image/tiff", b"FLV\1": "video/x-flv", b"\0\0\1\xba": "video/mpeg", b"\0\0\0\x18ftyp3gp5": "video/3gpp", b"\0\0\0\x18ftypzzzz": ""}
+    rows = spark.createDataFrame([(bytearray(k), v) for k, v in heads.items()], "head binary, want string")
+    assert rows.where(mime.sniffed(rows["head"]) != rows["want"]).count() == 0
+    assert rows.where(mime.is_media(mime.sniffed(rows["head"])) != (rows["want"] != "")).count() == 0
