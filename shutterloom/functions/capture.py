@@ -73,19 +73,22 @@ def ascii_time(text: Column, offset: int = 0) -> Column:
 
 
 def filename_time(stem: Column, offset: int = 0) -> Column:
-    """Struct (source, utc) of the first pattern with a valid time; null without one."""
+    """Struct (source, utc) of the first pattern with a valid time; null without one.
+
+    A time and the number of its pattern are packed into one number, so that each name is parsed once.
+    """
     found = []
-    for source, pattern, fmt, anywhere in NAME_PATTERNS:
+    for k, (_, pattern, fmt, anywhere) in enumerate(NAME_PATTERNS):
         if fmt is None:
-            utc = F.regexp_extract(stem, pattern, 1).try_cast("bigint")
-            utc = F.floor(utc / 1000)
+            utc = F.floor(F.regexp_extract(stem, pattern, 1).try_cast("bigint") / 1000)
         elif anywhere:
-            times = _times(stem, pattern, fmt)
-            utc = F.try_element_at(F.filter(times, lambda t: t.isNotNull()), F.lit(1)) - offset
+            utc = F.get(F.array_compact(_times(stem, pattern, fmt)), F.lit(0)) - offset
         else:
             utc = epoch(F.nullif(F.regexp_extract(stem, pattern, 1), F.lit("")), fmt) - offset
-        found.append(F.when(utc.isNotNull(), F.struct(F.lit(source).alias("source"), utc.cast("bigint").alias("utc"))))
-    return F.coalesce(*found)
+        found.append(utc.cast("bigint") * 16 + k)
+    sources = F.array(*(F.lit(source) for source, *_ in NAME_PATTERNS))
+    unpacked = lambda x: F.struct(F.get(sources, x.bitwiseAND(F.lit(15)).cast("int")).alias("source"), F.shiftright(x, 4).alias("utc"))
+    return _first(F.transform(F.array_compact(F.array(F.coalesce(*found))), unpacked))
 
 
 def _times(stem: Column, pattern: str, fmt: str) -> Column:

@@ -66,7 +66,8 @@ def _resolved(spark, sf_dir):
 
 
 def q_candidates(spark, sf_dir):
-    rows = _resolved(spark, sf_dir).select("event_id", F.posexplode("cands").alias("rank", "c"))
+    # Outer, as the filter that is inferred from an inner explode would compute the candidates again.
+    rows = _resolved(spark, sf_dir).select("event_id", F.posexplode_outer("cands").alias("rank", "c")).where("rank is not null")
     return rows.select("event_id", "rank", "c.priority", "c.source", "c.utc", "c.validity")
 
 
@@ -83,7 +84,7 @@ def q_time_resolve(spark, sf_dir):
 
 
 def q_conflicts(spark, sf_dir):
-    r = _resolved(spark, sf_dir).select("event_id", F.explode("d.conflicts").alias("c"))
+    r = _resolved(spark, sf_dir).select("event_id", F.explode_outer("d.conflicts").alias("c")).where("c is not null")
     return r.select("event_id", "c.kind", "c.other_utc", "c.other_source", "c.diff_secs")
 
 
