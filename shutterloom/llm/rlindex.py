@@ -17,13 +17,18 @@ other like any two documents; keys may be null or repeat.
    letter earlier, so from a sample at position p with match length m the matching statistics of the
    following positions are m - 1, m - 2, ...: streaming the samples marks p to p + m wherever m >= 200.
    A window belongs to one context only, so a match is always a second occurrence.
-4. Anchors with more contexts than a block holds are dealt out by the hash of each whole window
-   instead, and counted there with partial aggregation.
+4. Anchors with more contexts than ``COMMON`` are split first. The anchor's place in a window is one of 169;
+   windows of places ``low`` to ``high`` all hold the bytes from ``low`` before the anchor to ``window - high``
+   after it. Each context is cut to the windows of the lower and of the upper half of its places, and the cuts
+   are dealt out by a hash of those shared bytes, so equal windows stay together; parts that are still too
+   large are halved again, until a part has one place and all its cuts are equal. Equal cuts of a part
+   are repeats as a whole, like contexts; the different ones go to the same run-length indexes.
 5. Marks return to all occurrences of their context, and to their documents.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,8 @@ from shutterloom.session import written
 GRAM = 32
 #: Window starts that are scanned at once: bounds a worker's memory whatever a text's length.
 PIECE = 1 << 19
-#: A block is closed at so many contexts, or at the end of its last anchor; anchors with more than
-#: ``COMMON`` contexts go by whole windows.
+#: A block is closed at so many contexts, or at the end of its last part; anchors and parts with more than
+#: ``COMMON`` different contexts are split.
 BLOCK_CONTEXTS, COMMON = 512, 2048
 #: Fixed odd multipliers of the substring hash, from the fractional part of square roots.
 MIX = tuple(np.uint64(x) for x in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1))
@@ -155,14 +160,14 @@ class RunLengthIndex:
 
 
 def _index(contexts: DataFrame, window: int) -> DataFrame:
-    """(anchor, context, from_byte, to_byte): marks within contexts, by a run-length index a block."""
+    """(part, context, from_byte, to_byte): marks within contexts, by a run-length index a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
 
         def close() -> pa.RecordBatch:
             who, a, b = RunLengthIndex([x[2] for x in held], window).marks()
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in who], pa.int64()), pa.array([held[i][1] for i in who], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["anchor", "context", "from_byte", "to_byte"])
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in who], pa.int64()), pa.array([held[i][1] for i in who], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["part", "context", "from_byte", "to_byte"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -173,79 +178,62 @@ def _index(contexts: DataFrame, window: int) -> DataFrame:
         if held:
             yield close()
 
-    dealt = contexts.select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
-    return by_batches(dealt, run, "anchor long, context long, from_byte long, to_byte long")
+    dealt = contexts.select("part", "context", "bytes").repartition("part").sortWithinPartitions("part", "context")
+    return by_batches(dealt, run, "part long, context long, from_byte long, to_byte long")
 
 
-def _merged(df: DataFrame, f, buckets: int, schema: str) -> DataFrame:
-    """Deal packed rows out by bucket; f gives the batches made from all bytes of one bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield from f(b"".join(held))
-                    held = []
-                now = bucket
-                held.append(raw)
-        if held:
-            yield from f(b"".join(held))
-
-    return by_batches(df.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, schema)
+CUT = "part long, cut long, low int, high int, at int, anchor long, context long, bytes binary"
 
 
-def _dealt(rows: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a structured array as one packed row for each bucket."""
-    which = (by.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(which, kind="stable")
-    at = np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1, [len(rows)]])
-    rows, which = rows[order], which[order].astype(np.int32)
-    packed = [rows[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array(which[[a for a, b in zip(at[:-1], at[1:], strict=True) if b > a]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+def _halves(rows: DataFrame, window: int) -> DataFrame:
+    """Cuts of contexts to the windows of each half of their places; rows as in ``CUT``, where ``at`` is the
+    cut's place in its context, and the anchor stands ``high`` bytes at most after the cut's start."""
 
-
-WINDOW_ROW = np.dtype([("x", "<i8"), ("y", "<i8"), ("anchor", "<i8"), ("context", "<i8"), ("at", "<i4")])
-#: Windows in a bucket of the way for very common anchors, about.
-BUCKET_WINDOWS = 1 << 19
-
-
-def _whole_windows(contexts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """The same marks for anchors with very many contexts: whole windows meet by their 128-bit hash,
-    packed into arrays, and those met twice return to their contexts as ranges."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for anchor, context, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(raw) - window + 1
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + window]) for i in range(n)), "<i8").reshape(n, 2)
-                part = np.zeros(n, WINDOW_ROW)
-                part["x"], part["y"], part["anchor"], part["context"], part["at"] = digests[:, 0], digests[:, 1], anchor, context, np.arange(n)
-                parts.append(part)
-            if parts:
-                rows = np.concatenate(parts)
-                yield from _dealt(rows, np.ascontiguousarray(rows["x"]), buckets)
-
-    def twice(raw: bytes) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(raw, WINDOW_ROW)
-        rows = rows[np.lexsort((rows["y"], rows["x"]))]
-        same = (rows["x"][1:] == rows["x"][:-1]) & (rows["y"][1:] == rows["y"][:-1])
-        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        if len(rows):
-            yield from _dealt(rows, np.ascontiguousarray(rows["context"]), buckets)
-
-    def ranges(raw: bytes) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(raw, WINDOW_ROW)
-        rows = rows[np.lexsort((rows["at"], rows["context"], rows["anchor"]))]
-        new = (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["context"][1:] != rows["context"][:-1]) | (rows["at"][1:] != rows["at"][:-1] + 1)
-        first, last = rows[np.concatenate([[True], new])], rows[np.concatenate([new, [True]])]
-        columns = (first["anchor"], first["context"], first["at"], last["at"] + window)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["anchor", "context", "from_byte", "to_byte"])
-
-    packed = by_batches(contexts.select("anchor", "context", "bytes"), hashed, "bucket int, packed binary")
-    again = _merged(packed, twice, buckets, "bucket int, packed binary")
-    return _merged(again, ranges, buckets, "anchor long, context long, from_byte long, to_byte long")
+            out = []
+            for low, high, at, anchor, context, raw in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
+                grams = gram_hashes(np.frombuffer(raw[: high + GRAM], np.uint8)).view(np.int64)
+                place = int((grams == anchor).argmax())  # the leftmost, as in the context
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    start, end = max(place - b, 0), min(place - a + window, len(raw))
+                    if end - start >= window:
+                        core = raw[place - a : place + window - b]
+                        part = xxhash.xxh3_64_intdigest(core + struct.pack("<qi", anchor, a))
+                        piece = raw[start:end]
+                        out.append((part, xxhash.xxh3_64_intdigest(piece), a, b, at + start, anchor, context, piece))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            signed = [np.array(c, np.uint64).view(np.int64) for c in columns[:2]]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, signed), *(pa.array(c, t) for c, t in zip(columns[2:], kinds, strict=True))], names=[c.split()[0] for c in CUT.split(", ")])
+
+    return by_batches(rows, run, CUT)
+
+
+def _split(contexts: DataFrame, window: int) -> list[DataFrame]:
+    """Marks (anchor, context, from_byte, to_byte) within contexts of anchors that have very many of them.
+
+    Each round halves the places of the parts that are too large, so there are eight rounds at most for
+    windows of 200 bytes; what a round settles is indexed at once.
+    """
+    whole = F.lit(0).cast("int")
+    rows = contexts.select(F.col("anchor").alias("part"), F.col("context").alias("cut"), whole.alias("low"), F.lit(window - GRAM).cast("int").alias("high"), whole.alias("at"), "anchor", "context", "bytes")
+    marks = []
+    while True:
+        cuts = written(_halves(rows, window), "cuts")
+        one = F.min(F.struct("at", "anchor", "context", "bytes")).alias("one")
+        different = written(cuts.groupBy("part", "cut", "low", "high").agg(F.count("*").alias("n"), one).select("part", "cut", "low", "high", "one.*", "n"), "parts")
+        sizes = written(different.groupBy("part").agg(F.count("*").alias("cuts")).where("cuts > 1"), "sizes")
+        small = different.join(sizes.where(F.col("cuts") <= COMMON), "part").select("part", F.col("cut").alias("context"), "bytes")
+        partial = _index(small, window).unionAll(different.where("n > 1").select("part", F.col("cut").alias("context"), F.lit(0).cast("long"), F.length("bytes").cast("long")))
+        partial = written(partial.groupBy("part", F.col("context").alias("cut")).agg(F.collect_set(F.struct("from_byte", "to_byte")).alias("marks")), "marks")
+        back = cuts.select("part", "cut", "at", "anchor", "context").join(partial, ["part", "cut"]).select("anchor", "context", "at", F.explode("marks").alias("m"))
+        marks.append(back.select("anchor", "context", (F.col("at") + F.col("m.from_byte")).alias("from_byte"), (F.col("at") + F.col("m.to_byte")).alias("to_byte")))
+        large = sizes.where(F.col("cuts") > COMMON).select("part")
+        if large.isEmpty():
+            return marks
+        rows = different.join(large, "part", "left_semi").select(*cuts.columns)  # equal cuts are marked: one stands for them
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -274,18 +262,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         raise ValueError(f"window must be from {GRAM} to {(1 << 15) - 1} bytes")
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_contexts = _occurrences(source, window)
-    repeated = all_contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    repeated = written(all_contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     found = written(all_contexts.join(repeated, "anchor"), "occurrences")
     by_context = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "digest", "place")).alias("one")), "contexts")
-    several = by_context.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = written(by_context.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     wanted = by_context.join(several, "anchor").select("anchor", "context", "one.*", (F.col("contexts") > COMMON).alias("hot"))
     contexts = written(_fetched(source, wanted, window), "texts").dropDuplicates(["anchor", "context"])
-    common = several.where(F.col("contexts") > COMMON).agg(F.sum("contexts")).first()[0] or 0
-    marks = _index(contexts.where("not hot"), window)
-    if common:
-        buckets = -(-common * (window - GRAM + 1) // BUCKET_WINDOWS)
-        marks = marks.unionAll(_whole_windows(contexts.where("hot"), window, buckets))
-    partial = marks.groupBy("anchor", "context").agg(F.collect_set(F.struct("from_byte", "to_byte")).alias("marks"))
+    marks = _index(contexts.where("not hot").withColumnRenamed("anchor", "part"), window).withColumnRenamed("part", "anchor")
+    if not several.where(F.col("contexts") > COMMON).isEmpty():
+        for more in _split(contexts.where("hot"), window):
+            marks = marks.unionAll(more)
+    partial = written(marks.groupBy("anchor", "context").agg(F.collect_set(F.struct("from_byte", "to_byte")).alias("marks")), "ranges")
     whole = by_context.where("n > 1").select("anchor", "context", F.lit(True).alias("whole"))
     start = F.shiftright("place", 16)
     in_whole = found.join(whole, ["anchor", "context"]).select("key", "digest", start.alias("a"), (start + F.col("place").bitwiseAND(0xFFFF) + window - 1).alias("b"))

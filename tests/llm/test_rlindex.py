@@ -32,7 +32,6 @@ def rows(df):
 def test_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(rlindex, "BLOCK_CONTEXTS", limit)
     monkeypatch.setattr(rlindex, "COMMON", limit)
-    monkeypatch.setattr(rlindex, "BUCKET_WINDOWS", 500)
     rnd = random.Random(limit)
     letters = "abcdefgh ä\x00é漢"
     passage = ["".join(rnd.choice(letters) for _ in range(rnd.randint(90, 400))) for _ in range(6)]
@@ -52,6 +51,24 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert rows(rlindex.remove_repeats(docs)) == want
 
 
+def test_anchors_with_many_contexts(spark, monkeypatch):
+    """Passages of 150 to 230 bytes that share their middle stand between different texts: an anchor then has
+    as many contexts as documents, and parts have to be halved more than once."""
+    monkeypatch.setattr(rlindex, "COMMON", 3)
+    rounds, halves = [], rlindex._halves
+    monkeypatch.setattr(rlindex, "_halves", lambda rows, window: rounds.append(1) or halves(rows, window))
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, left, right = word(230), [word(60) for _ in range(3)], [word(60) for _ in range(3)]
+    texts = []
+    for i in range(70):
+        cut = rnd.choice([0, 0, 40, 80])
+        texts.append(word(50) + (rnd.choice(left)[rnd.randint(0, 59) :] if i % 3 else "") + passage[cut // 2 : 230 - cut // 2] + (rnd.choice(right)[: rnd.randint(0, 59)] if i % 2 else "") + word(50))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(rlindex.remove_repeats(docs)) == sorted((k, *v) for k, v in enumerate(brute(texts, 200)))
+    assert len(rounds) > 2
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     rnd = random.Random(2)
     long = "".join(rnd.choice("abc ") for _ in range(6000))
