@@ -30,6 +30,12 @@ def decode(raw: bytes) -> np.ndarray:
     raise UnreadableImage("no decoder for this format")
 
 
+def from_image_row(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """RGB pixels of a row of Spark's image source, whose channels stand in the order B, G, R, A."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return pixels[:, :, 2::-1] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, 2)
+
+
 def _png(raw: bytes) -> np.ndarray:
     at, data, palette = 8, [], None
     width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", raw[16:29])

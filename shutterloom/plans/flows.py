@@ -12,9 +12,11 @@ import errno
 import hashlib
 import json
 import os
+import re
 import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from shutterloom.functions import capture as C
 from shutterloom.functions import mime as M
 from shutterloom.functions import paths as P
 from shutterloom.operators import archive, dedup, select, similar
-from shutterloom.session import written
+from shutterloom.session import exists, written
 from shutterloom.sources import formats, listing
 
 
@@ -51,6 +53,8 @@ class Report:
 ERRORS = 1000
 #: Types whose times stand in a movie box, which may come last in the file.
 MOVIES = ("video/mp4", "video/quicktime", "video/3gpp", "video/x-m4v")
+#: Names of the photos that Spark's image source decodes, and how many of them go to a Python worker at once.
+PHOTOS, PHOTO_ROWS = "*.[jJ]{[pP][gG],[pP][eE][gG],[pP][eE],[fF][iI][fF]}", 4
 FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, error string"
 
 
@@ -333,8 +337,41 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
     return Report(seen, [r.asDict() for r in errors]), done
 
 
+def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> DataFrame:
+    """(path, ...) that ``measure`` gives for path and pixels of each JPEG file below the roots.
+
+    The JVM decodes them, in Spark's image source; files that it can't decode are left out. Pixels go to
+    Python in small batches and are never shuffled. Names that begin with ``_`` or ``.`` are not listed by
+    that source, and files of any size are read.
+    """
+    roots = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r) for r in roots if exists(spark, r)]
+    if not roots:
+        return spark.createDataFrame([], schema)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from shutterloom.functions import images as I
+
+        for part in parts:
+            rows = [measure(unquote(re.sub(r"^file:(//)?", "", origin)), I.from_image_row(data, *shape)) for origin, data, *shape in part.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+
+    source = spark.read.format("image").option("pathGlobFilter", PHOTOS).option("recursiveFileLookup", True).option("dropInvalid", True).option("ignoreCorruptFiles", True)
+    rows = source.load([r if "://" in r else f"file://{os.path.abspath(r)}" for r in roots]).select("image.origin", "image.data", "image.height", "image.width", "image.nChannels").mapInPandas(run, schema)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(PHOTO_ROWS))
+    try:
+        return written(rows, "photos").dropDuplicates(["path"])
+    finally:
+        spark.conf.set(limit, before)
+
+
 def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
-    """Group similar images; copy the best of each group as BEST_, move the others to its folder."""
+    """Group similar images; copy the best of each group as BEST_, move the others to its folder.
+
+    JPEG files are decoded by Spark's image source, and their faces are looked for in the same pass; other
+    images are decoded by the workers.
+    """
     from shutterloom.functions import images as I
 
     listing.ensure_outside(sources, output)
@@ -357,32 +394,53 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
                     if not image:
                         out.append((path, None, None, "not an image"))
                         continue
+                    if raw[:3] == b"\xff\xd8\xff":
+                        out.append((path, None, None, "photo"))
+                        continue
                     rgb = I.decode(raw)
                     out.append((path, I.phash(rgb), I.laplacian_variance(np.round(I.grey(rgb))), None))
                 except Exception as e:  # noqa: BLE001  any broken image is a failed row
                     out.append((path, None, None, f"failed: {e}"))
             yield pd.DataFrame(out, columns=["path", "hash", "sharpness", "message"], dtype=object).astype({"hash": "Int64"})
 
+    def faces_in(path: str, rgb: np.ndarray) -> tuple[list[tuple], str | None]:
+        try:
+            return [(bool(f.get("is_blink")), f.get("smile")) for f in (analyzer.faces_of(path, rgb) if analyzer else [])], None
+        except Exception as e:  # noqa: BLE001  the image is then judged by sharpness alone
+            return [(False, None)], f"failed: {e}"
+
+    def photo(path: str, rgb: np.ndarray) -> tuple:
+        return (path, I.phash(rgb), I.laplacian_variance(np.round(I.grey(rgb))), *faces_in(path, rgb))
+
     def analyze(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for path in part["path"]:
                 try:
-                    found = analyzer.faces_of(path, I.decode(read(path)[0]))
-                    out += [(path, bool(f.get("is_blink")), f.get("smile"), None) for f in found]
-                except Exception as e:  # noqa: BLE001  the image is then judged by sharpness alone
-                    out.append((path, False, None, f"failed: {e}"))
+                    found, message = faces_in(path, I.decode(read(path)[0]))
+                except Exception as e:  # noqa: BLE001  gone or changed since the scan
+                    found, message = [(False, None)], f"failed: {e}"
+                out += [(path, *f, message) for f in found]
             yield pd.DataFrame(out, columns=["path", "is_blink", "smile", "message"], dtype=object)
 
     files = _listed(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
     scanned = files.select("path", "size").mapInPandas(scan, "path string, hash bigint, sharpness double, message string")
+    scanned = written(scanned, "scanned")
+    photos = _photos(spark, sources, photo, "path string, pixel_hash bigint, detail double, found array<struct<is_blink:boolean,smile:double>>, face_message string").join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
+    pending = F.col("message") == "photo"
+    message = F.when(pending & F.col("pixel_hash").isNotNull(), None).when(pending, "failed: the JPEG can't be decoded").otherwise(F.col("message"))
+    scanned = scanned.join(photos.select("path", "pixel_hash", "detail"), "path", "left").select("path", F.coalesce("hash", "pixel_hash").alias("hash"), F.coalesce("sharpness", "detail").alias("sharpness"), message.alias("message"))
     scanned = written(scanned.withColumn("id", F.xxhash64("path")), "images")
     images = scanned.where("message IS NULL")
     edges = similar.hamming_pairs(images, face.phash_hamming_max).select("a", "b")
     groups = similar.groups_of(edges).select("component", F.explode("members").alias("id"))
     members = images.join(groups, "id").select("path", "sharpness", F.col("component").alias("group"))
     sharp = written(select.without_blurry(members, "group", "sharpness", face.sharpness_min), "sharp")
-    faces = sharp.select("path").mapInPandas(analyze, "path string, is_blink boolean, smile double, message string") if analyzer else spark.createDataFrame([], "path string, is_blink boolean, smile double, message string")
+    faces = spark.createDataFrame([], "path string, is_blink boolean, smile double, message string")
+    if analyzer:
+        others = sharp.select("path").join(photos.select("path"), "path", "left_anti").mapInPandas(analyze, faces.schema)
+        in_photos = photos.join(sharp.select("path"), "path", "left_semi").select("path", F.inline("found"), F.col("face_message").alias("message"))
+        faces = others.unionByName(in_photos)
     faces = written(faces, "faces")
     rows = select.scored(sharp, faces.where("message IS NULL"), "path", face.w_sharpness, face.w_blink, face.w_smile)
     best = select.best_of(rows, "group", "total", "path").select("path", F.lit(True).alias("best"))

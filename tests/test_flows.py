@@ -112,6 +112,28 @@ def test_cull(spark, tmp_path):
     assert files_in(src) == ["b.png", "broken.png", "d.png", "t.txt"]
 
 
+def test_cull_photos(spark, tmp_path):
+    """JPEG files, in odd folders, with a broken one, one with another ending, and one that is no JPEG."""
+    src, out = f"{tmp_path}/in [1]", f"{tmp_path}/out"
+    rnd = np.random.default_rng(4)
+    base = images.resized(rnd.integers(0, 255, (8, 8, 3)), 64, 64)
+    noise = rnd.normal(0, 6, base.shape)
+    io, file = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.File
+    for name, pixels in (("a.jpg", base), ("sub é/b.JPEG", base + noise), ("c.png", base + noise / 2), ("e.dat", base), ("d.Jpg", images.resized(rnd.integers(0, 255, (8, 8, 3)), 64, 64))):
+        put(f"{src}/{name}", png(np.clip(pixels, 0, 255).astype(np.uint8)))
+        if not name.endswith("png"):
+            assert io.write(io.read(file(f"{src}/{name}")), "jpg", file(f"{src}/{name}"))
+    put(f"{src}/broken.jpg", JPEG), put(f"{src}/t.jpg", b"t")
+    faces = FakeFaceAnalyzer({f"{src}/sub é/b.JPEG": [{"is_blink": True, "smile": 0.0}], f"{src}/a.jpg": [{"is_blink": False, "smile": 1.0}], f"{src}/c.png": ValueError("no model")})
+    report, result = flows.cull(spark, [src], out, faces, config.Config(face=config.Face(sharpness_min=1.0, w_smile=1000.0)))
+    assert {e["path"].removeprefix(src) for e in report.errors} == {"/broken.jpg", "/e.dat", "/c.png"}
+    assert (report.counts["scanned"], report.counts["grouped"], report.counts["best_count"], report.counts["moved"]) == (7, 3, 1, 2)
+    assert files_in(out) == ["group-001/BEST_a.jpg", "group-001/b.JPEG", "group-001/c.png"]
+    pixel = spark.read.format("image").load(f"file://{tmp_path}/out/group-001/BEST_a.jpg").first().image
+    decoded = images.from_image_row(pixel.data, pixel.height, pixel.width, pixel.nChannels)
+    assert np.abs(decoded.astype(float) - np.clip(base, 0, 255)).mean() < 12
+
+
 def test_images():
     rnd = np.random.default_rng(2)
     rgb = rnd.integers(0, 256, (20, 30, 3)).astype(np.uint8)
