@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterloom.session import shared_folder
+
 
 def without_blurry(rows: DataFrame, group: str, sharpness: str, least: float) -> DataFrame:
     """Rows of groups of two or more without the blurry ones, where two or more stay. NaN stays; a
@@ -41,11 +43,14 @@ def best_of(rows: DataFrame, group: str, score: str, seq: str) -> DataFrame:
 
 def group_names(groups: DataFrame, order: str) -> DataFrame:
     """Adds ``group-001`` and so on in the given order; one row a group. Ranks come from partition counts
-    and offsets within them, so no partition sees all groups."""
-    ordered = groups.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_first")) - F.col("_n")).select("_p", "_before")  # a row a partition
+    and places within partitions, so no partition sees all groups. Ranges are sampled, and not twice alike:
+    rows keep their partition and place through a checkpoint, from which both are read."""
+    shared_folder(groups.sparkSession)
+    ordered = groups.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = ordered.select(*groups.columns, part.alias("_p"), (place + 1).alias("_i"))
+    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
     return ordered.join(before, "_p").withColumn("group_id", F.format_string("group-%03d", F.col("_before") + F.col("_i"))).drop("_p", "_i", "_before")
 
 
