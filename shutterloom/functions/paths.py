@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shutterloom.functions.vectors import let
+
 
 def under_prefix(path: Column, prefix: str) -> Column:
     """Whether a path is the prefix or lies below it; whole segments, either separator."""
@@ -115,43 +117,63 @@ def location(uri: Column) -> Column:
     Without ``://`` an address is local. Errors: unknown_scheme, missing_host, missing_share,
     missing_storage, missing_path, bad_port, bad_escape.
     """
-    at = F.instr(uri, "://")
-    scheme = F.when(at == 0, "local").otherwise(F.lower(F.substring_index(uri, "://", 1)))
-    rest = F.when(at == 0, uri).otherwise(F.substr(uri, at + 3))
-    head, tail = F.regexp_extract(rest, "^([^/]*)", 1), F.regexp_extract(rest, "^[^/]*/(.*)$", 1)
-    userinfo = F.when(F.instr(head, "@") > 0, F.substring_index(head, "@", 1))
-    address = F.when(F.instr(head, "@") > 0, F.regexp_extract(head, "^[^@]*@(.*)$", 1)).otherwise(head)
-    host = F.when(address.startswith("["), F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(address, "^([^:]*)", 1))
-    port_text = F.when(address.startswith("["), F.regexp_extract(address, r"^\[[^\]]*\]:(.*)$", 1)).otherwise(F.regexp_extract(address, "^[^:]*:(.*)$", 1))
-    port = port_text.try_cast("int")
-    first, after = F.regexp_extract(tail, "^([^/]*)", 1), F.regexp_extract(tail, "^[^/]*/(.*)$", 1)
     some = lambda c: F.nullif(c, F.lit(""))
-    is_ = {k: scheme == k for k in ("local", "file", "smb", "mtp", "adb")}
-    path = F.when(is_["local"], uri).when(is_["file"], decoded(rest)).when(is_["smb"] | is_["mtp"], F.concat(F.lit("/"), decoded(after))).when(is_["adb"], F.concat(F.lit("/"), decoded(tail)))
-    error = (
-        F.when(~scheme.isin("local", "file", "smb", "mtp", "adb"), "unknown_scheme")
-        .when(is_["smb"] & (host == ""), "missing_host")
-        .when(is_["smb"] & (port_text != "") & (port.isNull() | ~port.between(0, 65535)), "bad_port")
-        .when(is_["smb"] & (first == ""), "missing_share")
-        .when(is_["mtp"] & (head == ""), "missing_host")
-        .when(is_["mtp"] & (first == ""), "missing_storage")
-        .when(is_["adb"] & (tail == ""), "missing_path")
-        .when(path.isNull(), "bad_escape")
-    )
-    ok = error.isNull()
-    keep = lambda cond, c: F.when(ok & cond, c)
-    return F.when(uri.isNotNull(), F.struct(
-        F.when(is_["file"], "local").otherwise(scheme).alias("scheme"),
-        keep(is_["smb"], some(userinfo)).alias("user"),
-        keep(is_["smb"], host).alias("host"),
-        keep(is_["smb"], port).alias("port"),
-        keep(is_["smb"], decoded(first)).alias("share"),
-        keep(is_["mtp"], decoded(head)).alias("device"),
-        keep(is_["mtp"], decoded(first)).alias("storage"),
-        keep(is_["adb"], some(head)).alias("serial"),
-        keep(F.lit(True), path).alias("path"),
-        error.alias("error"),
-    ))
+
+    # each step is bound once and read by the next: written out in one another, the steps multiply
+    def split(uri: Column) -> Column:
+        at = F.instr(uri, "://")
+        scheme = F.when(at == 0, "local").otherwise(F.lower(F.substring_index(uri, "://", 1)))
+        rest = F.when(at == 0, uri).otherwise(F.substr(uri, at + 3))
+        return let(F.struct(uri.alias("uri"), scheme.alias("scheme"), rest.alias("rest")), ends)
+
+    def ends(s: Column) -> Column:
+        head, tail = F.regexp_extract(s["rest"], "^([^/]*)", 1), F.regexp_extract(s["rest"], "^[^/]*/(.*)$", 1)
+        return let(F.struct(head.alias("head"), tail.alias("tail")), lambda h: segments(s, h))
+
+    def segments(s: Column, h: Column) -> Column:
+        head, tail, named = h["head"], h["tail"], F.instr(h["head"], "@") > 0
+        userinfo = F.when(named, F.substring_index(head, "@", 1))
+        address = F.when(named, F.regexp_extract(head, "^[^@]*@(.*)$", 1)).otherwise(head)
+        first, after = F.regexp_extract(tail, "^([^/]*)", 1), F.regexp_extract(tail, "^[^/]*/(.*)$", 1)
+        return let(F.struct(userinfo.alias("userinfo"), address.alias("address"), first.alias("first"), after.alias("after")), lambda g: values(s, h, g))
+
+    def values(s: Column, h: Column, g: Column) -> Column:
+        scheme, address = s["scheme"], g["address"]
+        host = F.when(address.startswith("["), F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(address, "^([^:]*)", 1))
+        port_text = F.when(address.startswith("["), F.regexp_extract(address, r"^\[[^\]]*\]:(.*)$", 1)).otherwise(F.regexp_extract(address, "^[^:]*:(.*)$", 1))
+        path = F.when(scheme == "local", s["uri"]).when(scheme == "file", decoded(s["rest"])).when(scheme.isin("smb", "mtp"), F.concat(F.lit("/"), decoded(g["after"]))).when(scheme == "adb", F.concat(F.lit("/"), decoded(h["tail"])))
+        return let(F.struct(host.alias("host"), port_text.alias("port_text"), port_text.try_cast("int").alias("port"), path.alias("path")), lambda v: checked(s, h, g, v))
+
+    def checked(s: Column, h: Column, g: Column, v: Column) -> Column:
+        scheme, port = s["scheme"], v["port"]
+        error = (
+            F.when(~scheme.isin("local", "file", "smb", "mtp", "adb"), "unknown_scheme")
+            .when((scheme == "smb") & (v["host"] == ""), "missing_host")
+            .when((scheme == "smb") & (v["port_text"] != "") & (port.isNull() | ~port.between(0, 65535)), "bad_port")
+            .when((scheme == "smb") & (g["first"] == ""), "missing_share")
+            .when((scheme == "mtp") & (h["head"] == ""), "missing_host")
+            .when((scheme == "mtp") & (g["first"] == ""), "missing_storage")
+            .when((scheme == "adb") & (h["tail"] == ""), "missing_path")
+            .when(v["path"].isNull(), "bad_escape")
+        )
+        return let(error, lambda e: parsed(s, h, g, v, e))
+
+    def parsed(s: Column, h: Column, g: Column, v: Column, error: Column) -> Column:
+        keep = lambda kind, c: F.when(error.isNull() & (s["scheme"] == kind), c)
+        return F.when(s["uri"].isNotNull(), F.struct(
+            F.when(s["scheme"] == "file", "local").otherwise(s["scheme"]).alias("scheme"),
+            keep("smb", some(g["userinfo"])).alias("user"),
+            keep("smb", v["host"]).alias("host"),
+            keep("smb", v["port"]).alias("port"),
+            keep("smb", decoded(g["first"])).alias("share"),
+            keep("mtp", decoded(h["head"])).alias("device"),
+            keep("mtp", decoded(g["first"])).alias("storage"),
+            keep("adb", some(h["head"])).alias("serial"),
+            F.when(error.isNull(), v["path"]).alias("path"),
+            error.alias("error"),
+        ))
+
+    return let(uri, split)
 
 
 def shown(loc: Column) -> Column:

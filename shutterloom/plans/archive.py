@@ -17,8 +17,7 @@ HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "47494638", "524946460000000057454250",
 def q_uri_parse(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     uri = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "^https?://", "smb://user@")).when(F.col("page_id") % 4 == 1, F.regexp_replace("url", "^https?://", "mtp://")).when(F.col("page_id") % 4 == 2, F.regexp_replace("url", "^https?://", "adb://")).otherwise(F.col("url"))
-    loc = P.location(uri)
-    return p.select("page_id", *(loc[c].alias(c) for c in ("scheme", "user", "host", "share", "device", "storage", "serial", "path", "error")))
+    return p.select("page_id", P.location(uri).alias("loc")).select("page_id", *(F.col("loc")[c].alias(c) for c in ("scheme", "user", "host", "share", "device", "storage", "serial", "path", "error")))
 
 
 def q_under_prefix(spark, sf_dir):

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from shutterloom.functions import paths
 from shutterloom.operators import select
 
 
@@ -16,3 +17,18 @@ def test_group_names_when_ranges_are_sampled_anew(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_plan_of_addresses_stays_small(spark):
+    known = {
+        "smb://u@h:445/s%20t/p/q": ("smb", "u", "h", 445, "s t", None, None, None, "/p/q", None),
+        "smb://[::1]:70000/s/p": ("smb", None, None, None, None, None, None, None, None, "bad_port"),
+        "mtp://d/s/a%zz": ("mtp", None, None, None, None, None, None, None, None, "bad_escape"),
+        "ADB://x/p": ("adb", None, None, None, None, None, None, "x", "/p", None),
+        "/a": ("local", None, None, None, None, None, None, None, "/a", None),
+        "": ("local", None, None, None, None, None, None, None, "", None),
+        None: None,
+    }
+    parsed = spark.createDataFrame([(u,) for u in known], "uri string").select("uri", paths.location(F.col("uri")).alias("loc"))
+    assert len(parsed._jdf.queryExecution().optimizedPlan().expressions().toString()) < 30_000
+    assert {r.uri: r["loc"] and tuple(r["loc"]) for r in parsed.collect()} == known
