@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions.vectors import hamming
 from shutterloom.operators.components import components
+from shutterloom.session import ship
 
 #: Rows of a block of the cosine join: a task holds two blocks.
 BLOCK_ROWS = 4096
+#: Rows of a block of hashes, those that make a second block worth while, blocks of a smaller table.
+HASHES, FEW_HASHES, LEAST_BLOCKS = 65_536, 2_048, 8
+#: Share of all pairs that bands may let meet; beyond it, comparing all pairs takes less.
+MOST_MET = 0.01
+
+
+def _band_widths(most: int) -> list[int]:
+    bands = min(most + 1, 64)
+    return [64 // bands + (i < 64 % bands) for i in range(bands)]
+
+
+def _wide(most: int) -> bool:
+    return sum(0.5**w for w in _band_widths(most)) > MOST_MET
 
 
 def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", value: str = "hash") -> DataFrame:
     """(a, b, distance) with a < b of rows whose 64-bit hashes differ in ``most`` bits or fewer.
 
-    Hashes within k bits agree in one of k + 1 bands at least, so rows meet on (band, its bits); a pair
-    that meets in several bands is kept in the first. Equal hashes are joined once, as one row with all
-    of its keys. With wide radii bands get short and buckets large; then use a smaller radius.
+    Small radii: hashes within k bits agree in one of k + 1 bands at least, so rows meet on (band, its
+    bits); a pair that meets in several bands is kept in the first. Equal hashes are joined once, as one
+    row with all of its keys. Wide radii (6 bits and more) make bands of a few bits, on which more pairs
+    meet than there are; there, blocks of rows are compared whole. Both are exact.
     """
+    rows = hashes.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    found = _tiles(rows, most, key, value, False) if _wide(most) else _band_pairs(rows, most, key, value)
+    return found.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("distance").cast("int").alias("distance"))
+
+
+def hamming_links(hashes: DataFrame, most: int, key: str = "id", value: str = "hash") -> DataFrame:
+    """(a, b): fewer links with the same components as the pairs. Equal hashes link with the least of
+    their keys, and only these are compared; a pair of blocks gives a link a row at most."""
+    rows = hashes.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("hash"))
+    least = rows.groupBy("hash").agg(F.min("id").alias("first"))
+    copies = rows.join(least, "hash").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    across = _tiles(least, most, "first", "hash", True) if _wide(most) else _band_pairs(least, most, "first", "hash")
+    return copies.unionByName(across.select(F.col("p").alias("a"), F.col("q").alias("b")))
+
+
+def _band_pairs(hashes: DataFrame, most: int, key: str, value: str) -> DataFrame:
     distinct = hashes.groupBy(value).agg(F.sort_array(F.collect_list(key)).alias("ids"))
-    bands = min(most + 1, 64)
-    width = [64 // bands + (i < 64 % bands) for i in range(bands)]
+    width = _band_widths(most)
+    bands = len(width)
     begin = [sum(width[:i]) for i in range(bands)]
     parts = [F.shiftrightunsigned(F.col(value), b).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1)) for b, w in zip(begin, width, strict=True)]
     rows = distinct.select(F.col(value).alias("h"), "ids", F.posexplode(F.array(*parts)).alias("band", "bits"))
@@ -37,7 +71,83 @@ def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", value: str = "h
     once = met.where(~earlier).select(F.col("a.ids").alias("x"), F.col("b.ids").alias("y"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
     across = once.select(F.explode("x").alias("p"), "y", "distance").select("p", F.explode("y").alias("q"), "distance")
     same = distinct.where(F.size("ids") > 1).select(F.explode("ids").alias("p"), "ids").select("p", F.explode("ids").alias("q")).where("p < q").withColumn("distance", F.lit(0))
-    return across.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("distance").cast("int").alias("distance"))
+    return across.unionByName(same)
+
+
+def _near(x: np.ndarray, y: np.ndarray, most: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y, and distances, of the pairs within ``most`` bits, some at a time; own: x is y, each pair once."""
+    differ, bits = np.empty((64, 4096), np.uint64), np.empty((64, 4096), np.uint8)
+    held, size = [], 0
+    for a in range(0, len(x), 64):
+        u = x[a : a + 64, None]
+        for b in range(a // 4096 * 4096 if own else 0, len(y), 4096):
+            v = y[b : b + 4096]
+            at = np.s_[: len(u), : len(v)]
+            d = np.bitwise_count(np.bitwise_xor(u, v, out=differ[at]), out=bits[at])
+            r, c = np.divmod(np.flatnonzero(d <= most), len(v))
+            if own:
+                once = r + a < c + b
+                r, c = r[once], c[once]
+            if len(r):
+                held.append((r + a, c + b, d[r, c]))
+                size += len(r)
+            if size >= 1 << 17:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _merged(least: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The least member of each node's component, after links between r and c."""
+    while True:
+        a, b = least[r], least[c]
+        apart = a != b
+        if not apart.any():
+            return least
+        r, c, a, b = r[apart], c[apart], a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (up := least[least]).tobytes() != least.tobytes():
+            least = up
+
+
+def _tiles(hashes: DataFrame, most: int, key: str, value: str, links: bool) -> DataFrame:
+    """(p, q, distance) of all pairs within ``most`` bits; links: of a spanning forest of each pair of blocks.
+
+    Rows are dealt to blocks, which are one array each; a task compares two of them. The block count
+    follows the rows, so what a task holds does not.
+    """
+    rows = hashes.count()
+    n = max(min(LEAST_BLOCKS, -(-rows // FEW_HASHES)), -(-rows // HASHES), 1)
+    dealt = hashes.select(F.col(key).alias("id"), F.col(value).alias("h"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "h")).alias("rows"))
+    sides = blocks.select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rows")
+    pairs = sides.repartition(min(n * (n + 1) // 2, 10_000), "i", "j").groupBy("i", "j").agg(F.collect_list("rows").alias("sides"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, sides in zip(*batch.columns, strict=True):
+                parts = [side.values.flatten() for side in sides.values]
+                own = i.as_py() == j.as_py()
+                if len(parts) == 1 and not own:
+                    continue  # the other block has no rows
+                (p, x), (q, y) = parts[0], parts[-1]
+                near = _near(x.to_numpy().view(np.uint64), y.to_numpy().view(np.uint64), most, own)
+                if links:
+                    nodes, shift = (p, 0) if own else (pa.concat_arrays([p, q]), len(p))
+                    least = np.arange(len(nodes))
+                    for r, c, _ in near:
+                        least = _merged(least, r, c + shift)
+                    moved = np.flatnonzero(least != np.arange(len(nodes)))
+                    near, p, q = [(moved, least[moved], np.zeros(len(moved), np.uint8))], nodes, nodes
+                for r, c, d in near:
+                    yield pa.RecordBatch.from_arrays([p.take(pa.array(r)), q.take(pa.array(c)), pa.array(d.astype(np.int32))], names=["p", "q", "distance"])
+
+    kind = hashes.schema[key].dataType.simpleString()
+    ship(hashes.sparkSession)
+    return pairs.mapInArrow(run, f"p {kind}, q {kind}, distance int")
+
+
 
 
 def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", blocks: int | None = None) -> DataFrame:

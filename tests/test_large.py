@@ -1,7 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.functions import paths
-from shutterloom.operators import select
+from shutterloom.operators import select, similar
 
 
 def test_group_names_when_ranges_are_sampled_anew(spark):
@@ -32,3 +35,31 @@ def test_plan_of_addresses_stays_small(spark):
     parsed = spark.createDataFrame([(u,) for u in known], "uri string").select("uri", paths.location(F.col("uri")).alias("loc"))
     assert len(parsed._jdf.queryExecution().optimizedPlan().expressions().toString()) < 30_000
     assert {r.uri: r["loc"] and tuple(r["loc"]) for r in parsed.collect()} == known
+
+
+@pytest.mark.parametrize("most", [0, 2, 10, 18, 64])
+def test_hamming_pairs_and_links(spark, monkeypatch, most):
+    monkeypatch.setattr(similar, "FEW_HASHES", 40)
+    rng = random.Random(most)
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    hashes = [c ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 1, 2, 6, 12, 18, 30]))) for c in centres for _ in range(15 if most < 64 else 4)]
+    ids = rng.sample(range(10_000), len(hashes))
+    rows = [(i, h - (1 << 64) if h >> 63 else h) for i, h in zip(ids, hashes, strict=True)]
+    df = spark.createDataFrame([*rows, (10_001, None), (10_002, None)], "id long, hash long")
+    want = {(min(i, j), max(i, j), (g ^ h).bit_count()) for i, g in zip(ids, hashes, strict=True) for j, h in zip(ids, hashes, strict=True) if i != j and (g ^ h).bit_count() <= most}
+    got = [tuple(r) for r in similar.hamming_pairs(df, most).collect()]
+    assert len(got) == len(want) and set(got) == want
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b, _ in want:
+            group[a] = group[b] = min(group[a], group[b])
+    members = {}
+    for i, g in group.items():
+        members.setdefault(g, []).append(i)
+    groups = similar.groups_of(similar.hamming_links(df, most))
+    assert {r.component: r.members for r in groups.collect()} == {g: sorted(m) for g, m in members.items() if len(m) > 1}
+
+
+def test_hashes_of_wide_radii_meet_no_more_often_than_there_are_pairs(spark):
+    df = spark.range(100).selectExpr("id", "xxhash64(id) AS hash")
+    assert "Join" not in similar.hamming_pairs(df, 18)._jdf.queryExecution().optimizedPlan().toString()
