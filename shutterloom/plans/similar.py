@@ -35,7 +35,7 @@ def q_hamming_pairs(spark, sf_dir):
 
 
 def q_components(spark, sf_dir):
-    g = similar.groups_of(similar.hamming_pairs(_hashes(spark, sf_dir), BITS).select("a", "b"))
+    g = similar.groups_of(similar.hamming_links(_hashes(spark, sf_dir), BITS))
     return g.select("component", F.size("members").cast("bigint").alias("n"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
