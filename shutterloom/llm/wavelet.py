@@ -165,6 +165,11 @@ class WaveletMatrix:
         return now
 
 
+def _listed(texts: pa.Array) -> list[str]:
+    """Without a scalar for each, as to_pylist makes."""
+    return texts.to_numpy(False).tolist()
+
+
 class LibraryEncoder:
     """The tokenizers library behind a cache of words.
 
@@ -217,19 +222,23 @@ class LibraryEncoder:
     def _of_chunks(self, chunks: pa.Array) -> pa.Array:
         """Ids of different chunks: each after a space, or with the line break that it begins with."""
         n, word = len(chunks), pc.utf8_rtrim(chunks, PUNCTUATION)
-        plain = pc.and_(pc.utf8_is_alpha(word), pc.less_equal(pc.binary_length(word), LONGEST_HELD)).to_numpy(False)
+        sizes, word_sizes = pc.binary_length(chunks).to_numpy(), pc.binary_length(word).to_numpy()
+        plain = pc.utf8_is_alpha(word).to_numpy(False) & (word_sizes <= LONGEST_HELD)
         coded = word.filter(pa.array(plain)).dictionary_encode()
-        codes, ends = np.full(n, len(coded.dictionary)), np.zeros(n, np.int64)
+        codes = np.full(n, len(coded.dictionary))
         codes[plain] = coded.indices.to_numpy()
-        ids = pa.array([*self._of_words(coded.dictionary.to_pylist()), b""], pa.large_binary())
-        # what follows the word, or the whole of other chunks
-        more = np.flatnonzero(~plain | pc.not_equal(pc.binary_length(chunks), pc.binary_length(word)).to_numpy(False))
-        at, some = pa.array(more), plain[more].tolist()
-        pieces = [c[len(w) :] if ok else c if c[:1] == "\n" else " " + c for c, w, ok in zip(chunks.take(at).to_pylist(), word.take(at).to_pylist(), some, strict=True)]
-        names = {p: i for i, p in enumerate(dict.fromkeys(pieces), 1)}
-        ends[more] = [names[p] for p in pieces]
-        others = pa.array([b"", *self._of_others(list(names))], pa.large_binary())
-        return pc.binary_join_element_wise(ids.take(pa.array(codes)), others.take(pa.array(ends)), pa.scalar(b"", pa.large_binary()))
+        ids = pa.array([*self._of_words(_listed(coded.dictionary)), b""], pa.large_binary())
+        # what follows the word, in the same bytes, or the whole of other chunks
+        cuts = np.zeros(2 * n + 1, np.int64)
+        cuts[0] = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset] if n else 0
+        cuts[2::2] = sizes
+        cuts[1::2] = np.where(plain, word_sizes, 0)
+        cuts[2::2] -= cuts[1::2]
+        rest = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(np.cumsum(cuts)), chunks.buffers()[2] or pa.py_buffer(b"")).take(pa.array(np.arange(1, 2 * n, 2)))
+        rest = pc.if_else(pa.array(plain | pc.starts_with(rest, "\n").to_numpy(False)), rest, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), rest, pa.scalar("", pa.large_string())))
+        ended = rest.dictionary_encode()
+        others = pa.array(self._of_others(_listed(ended.dictionary)), pa.large_binary())
+        return pc.binary_join_element_wise(ids.take(pa.array(codes)), others.take(ended.indices), pa.scalar(b"", pa.large_binary()))
 
     def _piecewise(self, text: str) -> bytes:
         """A text with any white space, from runs of chunks of bounded length."""
@@ -254,7 +263,7 @@ class LibraryEncoder:
             split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
             coded = split.values.dictionary_encode()
             offsets, which = split.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
-            first = self._of_others(split.values.take(pa.array(offsets[:-1])).to_pylist())  # these follow nothing
+            first = self._of_others(_listed(split.values.take(pa.array(offsets[:-1]))))  # these follow nothing
             which[offsets[:-1]] = len(coded.dictionary) + np.arange(len(first))
             ids = pa.concat_arrays([self._of_chunks(coded.dictionary), pa.array(first, pa.large_binary())]).take(pa.array(which))
             at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[offsets].tolist()

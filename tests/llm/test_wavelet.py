@@ -59,3 +59,13 @@ def test_query_against_library(spark):
         expected.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_wavelet(spark, sf).collect()) == expected
+
+
+def test_ends_of_chunks_are_read_from_their_bytes():
+    library = Tokenizer.from_file(BYTE_BPE)
+    words = ["straße", "naïve,", "x).", "e\u0301t", "日本、語", "...", "a1b2!", "w" * 70 + ";", "“q”", "don't", "İ.", "٣٤", "\ud55c?!"]
+    texts = ["", "a", ".", None, " ".join(words), "\n".join(words), *(f"{w} {w}\n{w}" for w in words)]
+    encoder = wavelet.LibraryEncoder(BYTE_BPE)
+    for rows in (pa.array(texts), pa.array(["skipped, too", *texts]).slice(1), pa.array([""]), pa.array([], pa.string())):
+        want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in rows.to_pylist()]
+        assert encoder.encode_all(rows) == want
