@@ -30,6 +30,7 @@ from shutterloom.functions import paths as P
 from shutterloom.operators import archive, dedup, select, similar
 from shutterloom.session import exists, written
 from shutterloom.sources import formats, listing
+from shutterloom.sources.pages import Pages
 
 
 @dataclass
@@ -51,8 +52,6 @@ class Report:
 
 
 ERRORS = 1000
-#: Types whose times stand in a movie box, which may come last in the file.
-MOVIES = ("video/mp4", "video/quicktime", "video/3gpp", "video/x-m4v")
 #: Names of the photos that Spark's image source decodes, and how many of them go to a Python worker at once.
 PHOTOS, PHOTO_ROWS = "*.[jJ]{[pP][gG],[pP][eE][gG],[pP][eE],[fF][iI][fF]}", 4
 FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, error string"
@@ -72,16 +71,12 @@ def _heads(files: DataFrame, offset: int) -> DataFrame:
 
     def facts(path: str) -> dict:
         with open(path, "rb") as f:
-            head = f.read(4096)
+            src = Pages(f)
+            head = src.at(0, 4096)
             mime = next((m for m, parts in sniff if all(head[at : at + len(want) // 2].hex().upper() == want for at, want in parts)), "")
             if mime in ("", "application/zip"):
                 mime = M.BY_EXTENSION.get(os.path.splitext(path)[1][1:].lower(), mime)
-            whole = mime.startswith(("application/vnd", "application/epub", "application/x-", "application/msword"))
-            raw = formats.movie_box(f) if mime.startswith(MOVIES) else b""
-            if not raw:
-                f.seek(0)
-                raw = f.read() if whole else f.read(1 << 20)
-        return {"content": head} | formats.read(mime, raw, offset)
+            return {"content": head} | formats.read(mime, src, offset)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

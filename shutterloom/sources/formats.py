@@ -1,17 +1,20 @@
-"""Dates, make and model from containers. Each reader takes bytes and gives what it finds; broken
-bytes give nothing rather than an error."""
+"""Dates, make and model from containers. Each reader takes a file by random access (:class:`Pages`) or bytes and
+gives what it finds; broken bytes give nothing rather than an error. Only the pages that hold structure are read, so a
+directory behind the pixels or a movie box behind the data costs no more than one in front."""
 
 from __future__ import annotations
 
-import io
 import json
 import plistlib
 import re
 import struct
 import zipfile
 from calendar import timegm
+from contextlib import suppress
 from datetime import UTC, datetime, timedelta, timezone
 
+from shutterloom.sources.pages import Pages, TooMuch, box, boxes, elements, item_ranges, joined, number, pages_of
+
 HEAD = 64 << 10
 FIELDS = ("dto", "create_date", "modify_date", "qt_create_date", "gps_utc", "make", "model", "doc_created", "doc_modified")
 SCHEMA = "dto bigint, create_date bigint, modify_date bigint, qt_create_date bigint, gps_utc bigint, make string, model string, doc_created bigint, doc_modified bigint"
@@ -39,35 +42,36 @@ def iso_seconds(text: str | None) -> int | None:
     return value if value > 0 else None
 
 
-def tiff(raw: bytes, base: int = 0, offset: int = 0) -> dict:
-    """Dates, make, model and GPS time of a TIFF block; offsets inside are relative to ``base`` lower."""
-    order = {b"II*\0": "<", b"MM\0*": ">"}.get(raw[:4])
-    if order is None:
+def tiff(raw, offset: int = 0, start: int = 0) -> dict:
+    """Dates, make, model and GPS time of a TIFF block, whose offsets count from its start."""
+    src = pages_of(raw)
+    head = src.at(start, 8)
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(head[:4])
+    if order is None or len(head) < 8:
         return {}
-    return _directories(raw, order, struct.unpack(order + "I", raw[4:8])[0], base, offset)
+    return _directories(src, order, struct.unpack(order + "I", head[4:])[0], start, offset)
 
 
 #: Tags read as text.
 TEXT_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "modify", 0x9003: "dto", 0x9004: "create", 0x9010: "modify_zone", 0x9011: "dto_zone", 0x9012: "create_zone"}
 
 
-def _directories(raw: bytes, order: str, first: int, base: int, offset: int) -> dict:
+def _directories(src: Pages, order: str, first: int, base: int, offset: int) -> dict:
+    """``base`` is where offset 0 would stand in the file."""
     found: dict = {}
 
     def entries(at: int):
-        at -= base
-        if at < 0 or at + 2 > len(raw):
+        count = src.at(base + at, 2)
+        if len(count) < 2:
             return
-        (n,) = struct.unpack(order + "H", raw[at : at + 2])
-        for i in range(n):
-            e = raw[at + 2 + 12 * i : at + 14 + 12 * i]
+        for i in range(struct.unpack(order + "H", count)[0]):
+            e = src.at(base + at + 2 + 12 * i, 12)
             if len(e) < 12:
                 return
             yield struct.unpack(order + "HHI", e[:8]) + (e[8:],)
 
     def data(size: int, value: bytes) -> bytes:
-        at = struct.unpack(order + "I", value)[0] - base
-        return value[:size] if size <= 4 else raw[at : at + min(size, 256)] if 0 <= at < len(raw) else b""
+        return value[:size] if size <= 4 else src.at(base + struct.unpack(order + "I", value)[0], min(size, 256))
 
     def rationals(value: bytes) -> list[int | None]:
         parts = struct.unpack(order + f"{len(value) // 8 * 2}I", value[: len(value) // 8 * 8])
@@ -89,68 +93,81 @@ def _directories(raw: bytes, order: str, first: int, base: int, offset: int) ->
         if len(gps.get("time") or []) == 3 and None not in gps["time"] and "date" in gps:
             found["gps"] = seconds("{} {:02d}:{:02d}:{:02d}".format(gps["date"], *gps["time"]))
 
-    directory(first, 0)
+    with suppress(TooMuch):  # what was found before counts
+        directory(first, 0)
     at = lambda name: seconds(found.get(name), offset, found.get(f"{name}_zone"))
     out = {"dto": at("dto"), "create_date": at("create"), "modify_date": at("modify"), "gps_utc": found.get("gps")}
     out |= {k: found[k] for k in ("make", "model") if found.get(k)}
     return {k: v for k, v in out.items() if v}
 
 
-def jpeg(raw: bytes, offset: int = 0) -> dict:
+#: Bytes of an EXIF block in a chunk or item of its own, at most.
+BLOCK_BYTES = 1 << 20
+
+
+def jpeg(raw, offset: int = 0) -> dict:
     """The EXIF block among the first 64 markers of the head."""
-    at, raw = 2, raw[:HEAD]
+    at, head = 2, pages_of(raw).at(0, HEAD)
     for _ in range(64):
-        if at + 4 > len(raw) or raw[at] != 0xFF:
+        if at + 4 > len(head) or head[at] != 0xFF:
             break
-        marker, size = raw[at + 1], struct.unpack(">H", raw[at + 2 : at + 4])[0]
-        if marker == 0xE1 and raw[at + 4 : at + 10] == b"Exif\0\0":
-            return tiff(raw[at + 10 : at + 2 + size], offset=offset)
+        marker, size = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+        if marker == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            return tiff(head[at + 10 : at + 2 + size], offset)
         if marker == 0xDA:
             break
         at += 2 + size
     return {}
 
 
-def png(raw: bytes, offset: int = 0) -> dict:
+def png(raw, offset: int = 0) -> dict:
     """The eXIf chunk among the first 64, of 1 MiB at most."""
-    at = 8
+    src, at = pages_of(raw), 8
     for _ in range(64):
-        if at + 8 > len(raw):
+        head = src.at(at, 8)
+        if len(head) < 8:
             break
-        n, name = struct.unpack(">I4s", raw[at : at + 8])
+        n, name = struct.unpack(">I4s", head)
         if name == b"eXIf":
-            return tiff(raw[at + 8 : at + 8 + n], offset=offset) if n <= 1 << 20 else {}
+            return tiff(src.at(at + 8, n), offset) if n <= BLOCK_BYTES else {}
         at += 12 + n
     return {}
 
 
-def avi(raw: bytes, offset: int = 0) -> dict:
-    """The camera's directory in hdrl, strl, strd."""
+def heif(raw, offset: int = 0) -> dict:
+    """The Exif item of HEIC and AVIF, wherever its pieces stand: four bytes say how far on the TIFF block begins."""
+    src = pages_of(raw)
+    block = joined(src, item_ranges(src, b"Exif"), BLOCK_BYTES)
+    return tiff(block, offset, 4 + struct.unpack(">I", block[:4])[0]) if len(block) > 4 else {}
 
-    def chunks(data: bytes, depth: int = 0):
-        at = 0
+
+def avi(raw, offset: int = 0) -> dict:
+    """The camera's directory in hdrl, strl, strd, in the first MiB."""
+    src = pages_of(raw)
+
+    def chunks(at: int, end: int, depth: int = 0):
         for _ in range(16):
-            if at + 8 > len(data):
+            head = src.at(at, 8)
+            if at + 8 > end or len(head) < 8:
                 return
-            name, n = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-            body = data[at + 8 : at + 8 + n]
+            name, n = head[:4], struct.unpack("<I", head[4:])[0]
             if name == b"LIST" and depth < 4:
-                yield from chunks(body[4:], depth + 1)
+                yield from chunks(at + 12, min(at + 8 + n, end), depth + 1)
             else:
-                yield name, body
+                yield name, at + 8
             at += 8 + n + n % 2
 
-    if raw[:4] != b"RIFF" or raw[8:12] != b"AVI ":
+    if src.at(0, 4) != b"RIFF" or src.at(8, 4) != b"AVI ":
         return {}
-    for name, body in chunks(raw[12 : 12 + (1 << 20)]):
-        if name == b"strd" and body[:4] == b"AVIF":
-            return _directories(body[8:], "<", 8, 8, offset)
+    for name, at in chunks(12, min(src.size, 12 + (1 << 20))):
+        if name == b"strd" and src.at(at, 4) == b"AVIF":
+            return _directories(src, "<", 8, at, offset)
     return {}
 
 
-def m2ts(raw: bytes, offset: int = 0) -> dict:
+def m2ts(raw, offset: int = 0) -> dict:
     """The recording time in the camera's unregistered user data."""
-    payload = b""
+    raw, payload = pages_of(raw).at(0, 512 * 192), b""
     for k in range(min(512, len(raw) // 192)):
         packet = raw[192 * k + 4 : 192 * k + 192]
         if packet[0] == 0x47 and (packet[1] & 0x1F) << 8 | packet[2] == 0x1011 and packet[3] & 0x10:
@@ -170,22 +187,71 @@ def m2ts(raw: bytes, offset: int = 0) -> dict:
     return {"qt_create_date": v} if (v := seconds(f"{digits[:4]}:{digits[4:6]}:{digits[6:8]} {digits[8:10]}:{digits[10:12]}:{digits[12:14]}", offset)) else {}
 
 
-def bmff(raw: bytes, offset: int = 0) -> dict:
-    """Creation time of MP4 and MOV: the mvhd box, UTC since 1904."""
-    at = raw.find(b"mvhd")
-    if at < 0 or at + 24 > len(raw):
+#: Fixed value: the key of QuickTime's metadata that has a time with its zone.
+CREATION_KEY = b"com.apple.quicktime.creationdate"
+
+
+def _keyed(src: Pages, moov: tuple[int, int], name: bytes) -> bytes | None:
+    """Value of a key in the movie's metadata: keys are numbered by one table, values by another."""
+    meta = box(src, *moov, b"meta")
+    if meta is None:
+        return None
+    # QuickTime's box begins with its children, the ISO one with four bytes of version and flags
+    start = meta[0] if src.at(meta[0] + 4, 4) in (b"hdlr", b"keys", b"ilst", b"free") else meta[0] + 4
+    inside = {k: (a, b) for k, a, b in boxes(src, start, meta[1])}
+    if b"keys" not in inside or b"ilst" not in inside:
+        return None
+    at, end = inside[b"keys"]
+    at += 8
+    names = [src.at(a, b - a) for k, a, b in boxes(src, at, end) if k == b"mdta"]
+    if name not in names:
+        return None
+    index = struct.pack(">I", names.index(name) + 1)
+    value = next(((a, b) for k, a, b in boxes(src, *inside[b"ilst"]) if k == index), None)
+    data = box(src, *value, b"data") if value else None
+    return src.at(data[0] + 8, min(data[1] - data[0] - 8, 256)) if data else None
+
+
+def bmff(raw, offset: int = 0) -> dict:
+    """Creation time of MP4 and MOV: QuickTime's key with a zone, or else the movie header in UTC since 1904."""
+    src = pages_of(raw)
+    moov = box(src, 0, src.size, b"moov")
+    if moov is None:
+        return {}
+    if value := iso_seconds((_keyed(src, moov, CREATION_KEY) or b"").decode("utf-8", "replace")):
+        return {"qt_create_date": value}
+    header = box(src, *moov, b"mvhd")
+    if header is None:
         return {}
-    value = struct.unpack(">Q", raw[at + 8 : at + 16])[0] if raw[at + 4] == 1 else struct.unpack(">I", raw[at + 8 : at + 12])[0]
-    value -= 2_082_844_800
+    value = number(src, header[0] + 4, 8 if number(src, header[0], 1) == 1 else 4) - 2_082_844_800
     return {"qt_create_date": value} if value > 0 else {}
 
 
-def matroska(raw: bytes, offset: int = 0) -> dict:
-    """The DateUTC element: nanoseconds since 2001."""
-    at = raw[:HEAD].find(b"\x44\x61\x88")
-    if at < 0 or at + 11 > len(raw):
+#: Names of Matroska elements.
+SEGMENT, INFO, DATE_UTC, SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x18538067, 0x1549A966, 0x4461, 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
+
+
+def matroska(raw, offset: int = 0) -> dict:
+    """The DateUTC element of the segment's information: nanoseconds since 2001. Where clusters without a size stand
+    before it, the seek table tells its place."""
+    src = pages_of(raw)
+    segment = next(((a, b or src.size) for k, a, b in elements(src, 0, src.size) if k == SEGMENT), None)
+    if segment is None:
         return {}
-    value = struct.unpack(">q", raw[at + 3 : at + 11])[0] // 1_000_000_000 + 978_307_200
+    info, told = None, None
+    for kind, a, b in elements(src, *segment):
+        if kind == INFO:
+            info = a, b
+            break
+        if kind == SEEK_HEAD and b:
+            for _, x, y in (e for e in elements(src, a, b) if e[0] == SEEK):
+                entry = {k: src.at(p, q - p) for k, p, q in elements(src, x, y) if q}
+                if entry.get(SEEK_ID) == INFO.to_bytes(4, "big"):
+                    told = segment[0] + int.from_bytes(entry.get(SEEK_POSITION, b""), "big")
+    if info is None and told:
+        info = next(((a, b) for k, a, b in elements(src, told, segment[1]) if k == INFO), None)
+    day = next((src.at(a, 8) for k, a, b in elements(src, info[0], info[1] or segment[1]) if k == DATE_UTC and b == a + 8), None) if info else None
+    value = struct.unpack(">q", day)[0] // 1_000_000_000 + 978_307_200 if day else 0
     return {"qt_create_date": value} if value > 0 else {}
 
 
@@ -193,9 +259,9 @@ def matroska(raw: bytes, offset: int = 0) -> dict:
 SIDECAR_DATES = ("photoshop:DateCreated",)
 
 
-def xmp(raw: bytes, names: tuple[str, ...] = ("photoshop:DateCreated", "xmp:CreateDate")) -> dict[str, int]:
+def xmp(raw, names: tuple[str, ...] = ("photoshop:DateCreated", "xmp:CreateDate")) -> dict[str, int]:
     """Dates in attributes of the XMP packet in the head; comments don't count."""
-    head = raw[:HEAD]
+    head = pages_of(raw).at(0, HEAD)
     a, b = head.find(b"<x:xmpmeta"), head.find(b"</x:xmpmeta>")
     text = re.sub(r"(?s)<!--.*?-->", "", (head[a:b] if 0 <= a < b else head).decode("utf-8", "replace"))
     out = {}
@@ -224,13 +290,15 @@ def _documents(created: int | None, modified: int | None) -> dict:
     return {k: v for k, v in (("doc_created", created), ("doc_modified", modified)) if v}
 
 
-def pdf(raw: bytes, offset: int = 0) -> dict:
-    find = lambda key: _pdf_date(m[1]) if (m := re.search(key + rb"\s*\(([^)]*)\)", raw[:HEAD])) else None
+def pdf(raw, offset: int = 0) -> dict:
+    head = pages_of(raw).at(0, HEAD)
+    find = lambda key: _pdf_date(m[1]) if (m := re.search(key + rb"\s*\(([^)]*)\)", head)) else None
     return _documents(find(rb"/CreationDate"), find(rb"/ModDate"))
 
 
-def _member(raw: bytes, name: str) -> str:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open(name) as f:
+def _member(raw, name: str) -> str:
+    """A member of an archive, read by way of the archive's directory at its end."""
+    with zipfile.ZipFile(pages_of(raw)) as z, z.open(name) as f:
         return f.read(HEAD).decode("utf-8", "replace")
 
 
@@ -239,45 +307,47 @@ def _element(text: str, name: str) -> str | None:
     return m[1] if m else None
 
 
-def ooxml(raw: bytes, offset: int = 0) -> dict:
+def ooxml(raw, offset: int = 0) -> dict:
     text = _member(raw, "docProps/core.xml")
     return _documents(iso_seconds(_element(text, "dcterms:created")), iso_seconds(_element(text, "dcterms:modified")))
 
 
-def odf(raw: bytes, offset: int = 0) -> dict:
+def odf(raw, offset: int = 0) -> dict:
     text = _member(raw, "meta.xml")
     return _documents(iso_seconds(_element(text, "meta:creation-date")), iso_seconds(_element(text, "dc:date")))
 
 
-def iwork(raw: bytes, offset: int = 0) -> dict:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        values = plistlib.loads(z.read("Metadata/Properties.plist"))
+def iwork(raw, offset: int = 0) -> dict:
+    with zipfile.ZipFile(pages_of(raw)) as z, z.open("Metadata/Properties.plist") as f:
+        values = plistlib.loads(f.read(HEAD))
     at = lambda k: timegm(values[k].timetuple()) if isinstance(values.get(k), datetime) else None
     return _documents(at("createdDate"), at("modifiedDate"))
 
 
-def epub(raw: bytes, offset: int = 0) -> dict:
+def epub(raw, offset: int = 0) -> dict:
     m = re.search(r'full-path="([^"]+)"', _member(raw, "META-INF/container.xml"))
     text = _member(raw, m[1]) if m else ""
     changed = re.search(r'property="dcterms:modified"[^>]*>([^<]*)<', text)
     return _documents(iso_seconds(_element(text, "dc:date")), iso_seconds(changed[1]) if changed else None)
 
 
-def xmind(raw: bytes, offset: int = 0) -> dict:
+def xmind(raw, offset: int = 0) -> dict:
     values = json.loads(_member(raw, "metadata.json"))
     at = lambda k: int(values[k]) // 1000 if isinstance(values.get(k), int) and values[k] >= 86_400_000 else None
     return _documents(at("created"), at("modified"))
 
 
-def freemind(raw: bytes, offset: int = 0) -> dict:
-    node = re.search(rb"<node\b[^>]*>", raw[:HEAD])
+def freemind(raw, offset: int = 0) -> dict:
+    node = re.search(rb"<node\b[^>]*>", pages_of(raw).at(0, HEAD))
     at = lambda k: int(m[1]) // 1000 if node and (m := re.search(k + rb'="(\d+)"', node[0])) and int(m[1]) >= 86_400_000 else None
     return _documents(at(rb"CREATED"), at(rb"MODIFIED"))
 
 
-def rtf(raw: bytes, offset: int = 0) -> dict:
+def rtf(raw, offset: int = 0) -> dict:
+    head = pages_of(raw).at(0, HEAD)
+
     def group(name: bytes) -> int | None:
-        m = re.search(rb"\{\\" + name + rb"([^{}]*)\}", raw[:HEAD])
+        m = re.search(rb"\{\\" + name + rb"([^{}]*)\}", head)
         value = lambda k, d: int(x[1]) if (x := re.search(rb"\\" + k + rb"(\d+)", m[1])) else d
         if not m or not value(b"yr", 0):
             return None
@@ -289,13 +359,25 @@ def rtf(raw: bytes, offset: int = 0) -> dict:
     return _documents(group(b"creatim"), group(b"revtim"))
 
 
-def cfb(raw: bytes, offset: int = 0) -> dict:
+def cfb(raw, offset: int = 0) -> dict:
     """Times 12 and 13 of the summary property set in an OLE compound file."""
+    src = pages_of(raw)
+    raw = src.at(0, 512)
     if raw[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
         return {}
     size = 1 << struct.unpack("<H", raw[30:32])[0]
-    sector = lambda i: raw[(i + 1) * size : (i + 2) * size]
-    fat = [x for s in struct.unpack("<109I", raw[76:512]) if s < 0xFFFFFFF0 for x in struct.unpack(f"<{len(sector(s)) // 4}I", sector(s))]
+    sector = lambda i: src.at((i + 1) * size, size)
+    def table_of(sectors) -> list[int]:
+        return [x for s in sectors for x in struct.unpack(f"<{len(sector(s)) // 4}I", sector(s))]
+
+    # the table of sectors is listed in the head, and in a chain of sectors for large files
+    listed, more = [*struct.unpack("<109I", raw[76:512])], struct.unpack("<I", raw[68:72])[0]
+    for _ in range(min(struct.unpack("<I", raw[72:76])[0], BLOCK_BYTES // size)):
+        if more >= 0xFFFFFFF0:
+            break
+        *rest, more = table_of([more])
+        listed += rest
+    fat = table_of(s for s in listed if s < 0xFFFFFFF0)
 
     def chain(i: int, table: list[int]) -> list[int]:
         out: list[int] = []
@@ -307,13 +389,14 @@ def cfb(raw: bytes, offset: int = 0) -> dict:
     folder = b"".join(map(sector, chain(struct.unpack("<I", raw[48:52])[0], fat)))
     items = [folder[i : i + 128] for i in range(0, len(folder), 128)]
     root = items[0]
-    small = b"".join(map(sector, chain(struct.unpack("<I", root[116:120])[0], fat)))
-    small_fat = [x for s in chain(struct.unpack("<I", raw[60:64])[0], fat) for x in struct.unpack(f"<{size // 4}I", sector(s))]
+    small = chain(struct.unpack("<I", root[116:120])[0], fat)
+    small_fat = table_of(chain(struct.unpack("<I", raw[60:64])[0], fat))
+    piece = lambda i: src.at((small[64 * i // size] + 1) * size + 64 * i % size, 64)
     for item in items:
         n = struct.unpack("<H", item[64:66])[0]
         if item[: max(0, n - 2)].decode("utf-16-le", "replace") == "\x05SummaryInformation":
             first, length = struct.unpack("<II", item[116:124])
-            data = b"".join(map(sector, chain(first, fat))) if length >= 4096 else b"".join(small[64 * i : 64 * i + 64] for i in chain(first, small_fat))
+            data = b"".join(map(sector, chain(first, fat))) if length >= 4096 else b"".join(map(piece, chain(first, small_fat)))
             return _properties(data[:length])
     return {}
 
@@ -330,36 +413,13 @@ def _properties(data: bytes) -> dict:
     return out
 
 
-#: Bytes of a movie box that are read at most.
-MOVIE_BYTES = 16 << 20
-
-
-def movie_box(f) -> bytes:
-    """The ``moov`` box of an open ISO media or QuickTime file wherever it stands; other boxes are skipped by
-    their size. Empty if there is none."""
-    at, end = 0, f.seek(0, io.SEEK_END)
-    while at + 8 <= end:
-        f.seek(at)
-        head = f.read(16)
-        size, kind = struct.unpack(">I4s", head[:8])
-        if size == 1 and len(head) == 16:
-            (size,) = struct.unpack(">Q", head[8:])
-        elif size == 0:
-            size = end - at
-        if kind == b"moov":
-            f.seek(at)
-            return f.read(min(size, MOVIE_BYTES))
-        if size < 8:
-            break
-        at += size
-    return b""
-
-
 _OOXML, _ODF = "application/vnd.openxmlformats-officedocument.", "application/vnd.oasis.opendocument."
 #: Readers by the beginning of the media type, the first that fits.
 READERS = (
     ("image/png", png),
     ("image/jpeg", jpeg),
+    ("image/heif", heif),
+    ("image/avif", heif),
     ("image/", tiff),
     ("video/x-msvideo", avi),
     ("video/m2ts", m2ts),
@@ -382,8 +442,10 @@ READERS = (
 )
 
 
-def read(mime: str, raw: bytes, offset: int = 0) -> dict:
-    """Fields of a file by its media type; images without dates fall back to their XMP packet."""
+def read(mime: str, raw, offset: int = 0) -> dict:
+    """Fields of a file by its media type; images without dates fall back to their XMP packet. A file is given by
+    random access, or as bytes."""
+    raw = pages_of(raw)
     for start, reader in READERS:
         if mime.startswith(start):
             try:
@@ -391,6 +453,7 @@ def read(mime: str, raw: bytes, offset: int = 0) -> dict:
             except Exception:  # noqa: BLE001  broken bytes are missing fields
                 out = {}
             if mime.startswith("image/") and not out.get("dto") and not out.get("create_date"):
+                raw.limit += HEAD
                 found = xmp(raw)
                 out |= {k: found[n] for k, n in (("dto", "photoshop:DateCreated"), ("create_date", "xmp:CreateDate")) if n in found}
             return out

@@ -243,3 +243,17 @@ def test_movie_box_behind_the_data(spark, tmp_path):
     put(f"{tmp_path}/in/old.mov", data + moov + b"more")
     _, done = flows.copy(spark, [f"{tmp_path}/in"], f"{tmp_path}/out")
     assert ["2017" in r.target and "02" in r.target for r in done.where("status = 'copied'").collect()] == [True, True]
+
+
+def test_dates_behind_the_pixels(spark, tmp_path):
+    """Phone pictures and raw files go to their month, wherever their directories stand."""
+    from test_formats import heic, tiff_block
+
+    block = bytearray(tiff_block())
+    late = b"II*\0" + struct.pack("<I", (2 << 20) + 8) + b"\1" * (2 << 20)
+    for at in [10 + 12 * i + 8 for i in range(4)] + [10 + 48 + 4 + 2 + 12 * i + 8 for i in range(2)]:
+        block[at : at + 4] = struct.pack("<I", struct.unpack("<I", block[at : at + 4])[0] + (2 << 20))
+    put(f"{tmp_path}/in/a.heic", heic(2)), put(f"{tmp_path}/in/late.tif", late + bytes(block[8:]))
+    put(f"{tmp_path}/in/late.cr2", b"II*\0" + struct.pack("<I", (2 << 20) + 8) + b"CR\2\0" + b"\2" * ((2 << 20) - 4) + bytes(block[8:]))
+    _, done = flows.copy(spark, [f"{tmp_path}/in"], f"{tmp_path}/out")
+    assert sorted(os.path.relpath(r.target, f"{tmp_path}/out") for r in done.where("status = 'copied'").collect()) == ["2017/02/a.heic", "2017/02/late.cr2", "2017/02/late.tif"]

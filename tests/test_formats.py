@@ -26,6 +26,16 @@ def tiff_block(order="<", base=0):
     return head + ifd0 + sub + b"".join(texts)
 
 
+def boxed(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def ebml(name, body, size=None):
+    return bytes.fromhex(name) + ((0x10 << 24 | len(body)).to_bytes(4, "big") if size is None else size) + body
+
+
+MVHD = boxed(b"mvhd", b"\0\0\0\0" + struct.pack(">I", T + 2_082_844_800) + b"\0" * 20)
+DATE = struct.pack(">q", (T - 978_307_200) * 10**9)
 WANT = {"dto": T, "create_date": T + 1, "modify_date": T + 2, "make": "Canon", "model": "EOS 7D"}
 
 
@@ -54,9 +64,8 @@ def test_exif_containers():
 
 
 def test_video_and_text_containers():
-    box = b"\0\0\0\x20mvhd\0\0\0\0" + struct.pack(">I", T + 2_082_844_800) + b"\0" * 20
-    assert R.read("video/mp4", b"\0\0\0\x18ftypisom" + box) == {"qt_create_date": T}
-    assert R.read("video/x-matroska", b"\x1a\x45\xdf\xa3..\x44\x61\x88" + struct.pack(">q", (T - 978_307_200) * 10**9)) == {"qt_create_date": T}
+    assert R.read("video/mp4", boxed(b"ftyp", b"isom") + boxed(b"moov", MVHD)) == {"qt_create_date": T}
+    assert R.read("video/x-matroska", ebml("1a45dfa3", b"") + ebml("18538067", ebml("1549a966", ebml("4461", DATE)))) == {"qt_create_date": T}
     user = b"\0" * 9 + b"MDPM" + bytes([2, 0x18, 0, 0x20, 0x17, 0x02, 0x19, 0x14, 0x10, 0x30, 0x00])
     packet = b"\0\0\0\0\x47\x10\x11\x10" + user
     assert R.read("video/m2ts", packet.ljust(192, b"\xff")) == {"qt_create_date": T}
@@ -114,3 +123,93 @@ def test_media_types_by_brand(spark):
     rows = spark.createDataFrame([(bytearray(k), v) for k, v in heads.items()], "head binary, want string")
     assert rows.where(mime.sniffed(rows["head"]) != rows["want"]).count() == 0
     assert rows.where(mime.is_media(mime.sniffed(rows["head"])) != (rows["want"] != "")).count() == 0
+
+
+def heic(pieces, method=0, version=1, damage=None, gap=3 << 20):
+    """Items as a phone writes them: a picture and its EXIF, which stands behind the pixels, or in the meta box."""
+    payload = struct.pack(">I", 6) + b"Exif\0\0" + tiff_block(">")
+    cuts = [len(payload) * i // pieces for i in range(pieces + 1)]
+    head = boxed(b"ftyp", b"heic\0\0\0\0mif1heic")
+
+    def meta(at):
+        infe = lambda i, kind: boxed(b"infe", b"\2\0\0\0" + struct.pack(">HH4s", i, 0, kind) + b"\0")
+        iinf = boxed(b"iinf", b"\0\0\0\0" + struct.pack(">H", 2) + infe(1, b"hvc1") + infe(7, b"Exif"))
+        wide = "I" if version == 2 else "H"
+        how = struct.pack(">H", method) if version else b""
+        extents = b"".join(struct.pack(">II", (a if method else at + a * 2), b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        item = lambda i, n, body: struct.pack(">" + wide, i) + (struct.pack(">H", 0) if version and i == 1 else how) + struct.pack(">HH", 0, n) + body
+        iloc = bytes([version, 0, 0, 0, 0x44, 0x00]) + struct.pack(">" + wide, 2) + item(1, 1, struct.pack(">II", 40, 9)) + item(7, pieces, extents)
+        return boxed(b"meta", b"\0\0\0\0" + boxed(b"hdlr", b"\0" * 24) + (boxed(b"idat", payload) if method else b"") + iinf + boxed(b"iloc", iloc[: damage or len(iloc)]))
+
+    at = len(head) + len(meta(0)) + 8 + gap
+    body = b"".join(payload[a:b].ljust(2 * (b - a), b"?") for a, b in zip(cuts, cuts[1:], strict=False))
+    return head + meta(at) + boxed(b"mdat", b"\0" * gap + (b"" if method else body))
+
+
+def test_heic():
+    for method, version in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2)):
+        for pieces in (1, 3):
+            assert R.read("image/heif", heic(pieces, method, version)) == WANT == R.read("image/avif", heic(pieces, method, version))
+    for damage in range(6, 40, 3):
+        assert R.read("image/heif", heic(1, damage=damage)) == {}
+    assert R.read("image/heif", heic(1, 2)) == {} and R.read("image/heif", heic(1)[: 3 << 20]) == {} and R.read("image/heif", boxed(b"meta", b"\0" * 4)) == {}
+    raw = heic(2)
+    src = R.Pages(io.BytesIO(raw))
+    assert R.read("image/heif", src) == WANT and src.fetched < len(raw) // 20
+
+
+def test_late_directories():
+    """A directory behind the pixels is read by its place, as raw files of cameras have it; a far too wide one isn't."""
+    block = tiff_block()
+    late = b"II*\0" + struct.pack("<I", (3 << 20) + 8) + b"\1" * (3 << 20)
+    # the same directories, with all offsets moved on
+    moved = bytearray(block[8:])
+    for at in (2 + 12 * i + 8 for i in range(4)):
+        moved[at : at + 4] = struct.pack("<I", struct.unpack("<I", moved[at : at + 4])[0] + (3 << 20))
+    for at in (2 + 48 + 4 + 2 + 12 * i + 8 for i in range(2)):
+        moved[at : at + 4] = struct.pack("<I", struct.unpack("<I", moved[at : at + 4])[0] + (3 << 20))
+    for mime in ("image/tiff", "image/x-canon-cr2"):
+        src = R.Pages(io.BytesIO(late + bytes(moved)))
+        assert R.read(mime, src) == WANT and src.fetched <= HEAD_PAGES
+    wide = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 4)
+    assert R.tiff(R.Pages(wide + b"\0" * 12, limit=4096)) == {}
+    assert R.read("image/tiff", R.Pages(late + bytes(moved), limit=4096)) == {}
+
+
+#: The head that XMP is looked for in is not read, as the dates are there; two pages hold the rest.
+HEAD_PAGES = 3 * 4096
+
+
+def test_movies_by_structure():
+    """What looks like a date inside another element is none."""
+    cluster = ebml("1f43b675", b"\x44\x61\x88" + struct.pack(">q", 5 * 10**17) + b"x" * 90_000)
+    info = ebml("1549a966", ebml("2ad7b1", b"\x0f") + ebml("4461", DATE))
+    head = ebml("1a45dfa3", ebml("4282", b"webm"))
+    assert R.read("video/webm", head + ebml("18538067", cluster + info)) == {"qt_create_date": T}
+    assert R.read("video/webm", head + ebml("18538067", cluster)) == {}
+    # live recordings know no sizes: the seek table tells where the information is
+    seek = lambda at: ebml("114d9b74", ebml("4dbb", ebml("53ab", bytes.fromhex("1549a966")) + ebml("53ac", struct.pack(">I", at))))
+    open_cluster = ebml("1f43b675", b"\x44\x61\x88" + b"\1" * 9000, b"\xff")
+    body = seek(len(seek(0)) + len(open_cluster)) + open_cluster + info
+    assert R.read("video/x-matroska", head + ebml("18538067", body, b"\x01" + b"\xff" * 7)) == {"qt_create_date": T}
+    assert R.read("video/x-matroska", head + ebml("18538067", open_cluster + info, b"\x01" + b"\xff" * 7)) == {} == R.read("video/webm", head[:3])
+
+    names = [b"com.apple.quicktime.make", b"com.apple.quicktime.creationdate"]
+    keys = boxed(b"keys", b"\0" * 4 + struct.pack(">I", 2) + b"".join(boxed(b"mdta", n) for n in names))
+    value = lambda text: boxed(b"data", struct.pack(">II", 1, 0) + text)
+    ilst = boxed(b"ilst", boxed(struct.pack(">I", 1), value(b"Apple")) + boxed(struct.pack(">I", 2), value(b"2017-02-14T12:30:00+0100")))
+    for start in (b"", b"\0\0\0\0"):
+        moov = boxed(b"moov", MVHD + boxed(b"meta", start + boxed(b"hdlr", b"\0" * 8) + keys + ilst))
+        assert R.read("video/quicktime", boxed(b"mdat", b"mvhd" * 100_000) + moov) == {"qt_create_date": T + 3600}
+    assert R.read("video/quicktime", boxed(b"moov", MVHD + boxed(b"meta", keys))) == {"qt_create_date": T}
+    assert R.read("video/quicktime", boxed(b"moov", boxed(b"trak", MVHD))) == {} == R.read("video/mp4", boxed(b"mdat", MVHD))
+
+
+def test_large_documents_are_read_in_part():
+    core = "<a><dcterms:created>2017-02-14T10:30:00Z</dcterms:created></a>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("big.bin", b"x" * 20_000_000)
+        z.writestr("docProps/core.xml", core)
+    src = R.Pages(out)
+    assert R.read(R._OOXML + "x", src) == {"doc_created": T} and src.fetched < 200_000
