@@ -1,6 +1,8 @@
 """URL filters: longest-prefix rules, then a blocked Bloom filter before an exact join.
 
-Listed entries are canonical URLs: host, then path, in lower-case host. The filter is a table of
+Listed entries are host, then path. Pages and entries meet by canonical URLs: user information, port and the
+closing dot of the host are taken off, the host is in lower case, and escapes of letters, digits and ``-._~`` are decoded in
+the path. The filter is a table of
 blocks of 256 bits, each four long integers; an entry sets one bit in each of the four. A page looks up
 one block and tests four bits; rows that fail are surely unlisted. The others, listed or false
 positives, meet the list in an exact join on the canonical URL.
@@ -92,9 +94,39 @@ def listed_rows(pages: DataFrame, listed: DataFrame, keys: str = "canonical", en
     return pages.join(hits, "_row", "left").withColumn(into, F.coalesce(into, F.lit(False)))
 
 
+#: Characters whose escapes mean the same as themselves.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def plain_host(host: Column) -> Column:
+    """A host without user information, port and closing dot, in lower case (A-Z only)."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    letters = UNRESERVED[:26]
+    return F.translate(F.regexp_replace(bare, r"\.$", ""), letters, letters.lower())
+
+
+def plain_path(path: Column) -> Column:
+    """A path with the escapes of unreserved characters decoded."""
+    table = F.create_map(*(F.lit(x) for c in UNRESERVED for x in (f"{ord(c):02X}", c)))
+
+    def piece(p: Column, i: Column) -> Column:
+        known = F.try_element_at(table, F.upper(F.substring(p, 1, 2)))
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(known, F.substr(p, F.lit(3))), F.concat(F.lit("%"), p)))
+
+    return F.when(F.contains(path, F.lit("%")), F.array_join(F.transform(F.split(path, "%"), piece), "")).otherwise(path)
+
+
+def canonical_entry(entry: Column) -> Column:
+    """A listed entry as pages are looked up by."""
+    at = F.instr(entry, "/")
+    host, path = F.when(at > 0, F.substr(entry, F.lit(1), at - 1)).otherwise(entry), F.when(at > 0, F.substr(entry, at)).otherwise("")
+    return F.concat(plain_host(host), plain_path(path))
+
+
 def canonical_keys(host: Column, path: Column) -> Column:
     """What a list may name a page by: the host or any parent domain with ``/``, and the host with its
     path, without a closing slash."""
+    host, path = plain_host(host), plain_path(path)
     parts = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, -n, n), "."), F.lit("/")))
     page = F.concat(host, F.regexp_replace(path, "/+$", ""))
@@ -108,7 +140,13 @@ def judged(pages: DataFrame, listed: DataFrame, rules: dict[str, str], key: str
     rows = pages.select(key, host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    unruled = rows.where("rule is null and host <> ''").select("host", "path").distinct()
+    listed = listed.select(canonical_entry(F.col(entry)).alias(entry))
+    open_ = F.col("rule").isNull() & (F.col("host") != "")
+    unruled = rows.where(open_).select("host", "path").distinct()
     unruled = unruled.select(F.struct("host", "path").alias("_row"), canonical_keys(F.col("host"), F.col("path")).alias("canonical"))
     found = listed_rows(unruled, listed, entry=entry).where("is_listed").select(F.col("_row.host").alias("host"), F.col("_row.path").alias("path"), F.lit("block").alias("listed"))
-    return rows.join(found, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", "listed", F.lit("allow")).alias("verdict"))
+    # pages that a rule decides, and those without a host, are not shuffled
+    judged_now = rows.where(~open_).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    looked_up = rows.where(open_).join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("listed", F.lit("allow")))
+    names = [key, "host", "path", "rule", "verdict"]
+    return judged_now.select(names).unionAll(looked_up.select(names))
