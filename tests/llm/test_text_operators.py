@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.llm import decontam, secrets, tokencount
@@ -134,7 +135,6 @@ def test_decontamination_query_against_plain_alignment(spark):
 
 def test_copy_at_the_end_of_a_very_long_text():
     own = decontam.Items([(1, " ".join(f"w{i}" for i in range(30))), (2, "w0 w1 w2 " * 2)])
-    own.choose({})
     copy = [f"w{i}" for i in range(30)]
     text = " ".join(["w0 w1 w2 other"] * 300_000 + copy)
     assert own.matches(text)[0] == (1, 1.0, 1_200_000, 1_200_030)
@@ -194,3 +194,44 @@ def test_token_count_query_against_plain_search(spark):
 
     expected = sorted((r.doc_id, len((r.text or "").split()), sum(map(count, (r.text or "").split()))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert sorted((r.doc_id, r.n_pre_tokens, r.n_tokens) for r in op6_token_counts(spark, sf).collect()) == expected
+
+
+def edited(rnd, words, kind, share):
+    """A copy by one kind of edit."""
+    if kind == "added after every second":
+        return [w for i, x in enumerate(words) for w in ([x, f"new{rnd.random()}"] if i % 2 else [x])]
+    out = []
+    for w in words:
+        hit = rnd.random() < share
+        out += {"added": [w, f"new{rnd.random()}"] if hit else [w], "replaced": [f"new{rnd.random()}"] if hit else [w], "left out": [] if hit else [w], "mixed": rnd.choice([[], [f"new{rnd.random()}"], [w, "the"]]) if hit else [w]}[kind]
+    return out
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_recall_by_kind_of_edit(common):
+    """Whatever align scores at 0.8 or more over the whole text is met, also when the corpus is full of the item's words."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60 if common else 4000)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 4, 5, 8, 15, 30, 60])))) for i in range(120)]
+    own = decontam.Items(items)
+    counts = np.ones(len(own.number) + 1, np.int64)
+    counts[1:] = [rnd.randrange(500) for _ in own.number]
+    own.choose(counts)
+    met = Counter()
+    for kind, share in (("added after every second", 0), ("added", 0.35), ("replaced", 0.12), ("left out", 0.15), ("mixed", 0.2)):
+        for k, text in items:
+            copy = edited(rnd, text.split(), kind, share)
+            filler = lambda n: [rnd.choice(vocabulary) if rnd.random() < 0.5 else f"x{rnd.random()}" for _ in range(n)]
+            doc = " ".join(filler(rnd.randrange(80)) + copy + filler(rnd.randrange(80)))
+            item = own.numbers[k]
+            kept, *_ = decontam.align(item, own.numbered(doc))
+            if kept >= 0.8 * len(item) - 1e-9:
+                met[kind] += 1
+                assert k in {m[0] for m in own.matches(doc)}, (kind, text, doc)
+    assert all(n > 50 for n in met.values()), met
+
+
+def test_items_with_names_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six seven")], "doc_id string, text string")
+    items = spark.createDataFrame([("q1", "two three four five"), ("q2", "nothing of this kind here")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, items).collect()] == [("a", "q1", 1.0)]
