@@ -3,7 +3,11 @@
 Each flow is a *plan*, a DataFrame that says what happens to every file, then *apply*, which does it on
 the executors and gives a status for each row, then a *report* of counts. Applying again does no harm:
 targets are written beside themselves and renamed, and a source is deleted only when its target holds
-the same bytes. Executors must see the trees at the same paths, as mounted folders are.
+the same bytes. Trees are mounted folders that executors see at the same paths, or stores that they open themselves
+(``sources.stores``).
+
+Files are read as little as it takes: the pages of a container that hold its fields, and whole files only where
+another one has the same size and the same first 4 KiB. A report says how many bytes were read for that.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import hashlib
 import json
 import os
 import re
-import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -28,8 +32,9 @@ from shutterloom.functions import capture as C
 from shutterloom.functions import mime as M
 from shutterloom.functions import paths as P
 from shutterloom.operators import archive, dedup, select, similar
+from shutterloom.operators.components import components
 from shutterloom.session import exists, written
-from shutterloom.sources import formats, listing
+from shutterloom.sources import formats, listing, stores
 from shutterloom.sources.pages import Pages
 
 
@@ -44,39 +49,51 @@ class Report:
         if self.counts.get("failed"):
             raise RuntimeError(f"{self.counts['failed']} files failed")
 
+    @property
+    def result(self) -> str:
+        """ok, or partial if any file failed."""
+        return "partial" if self.counts.get("failed") else "ok"
+
     def write(self, path: str) -> None:
         """As JSON, complete or not at all."""
-        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-            json.dump(self.counts | {"errors": self.errors}, f, indent=2, ensure_ascii=False)
-        os.replace(f"{path}.tmp", path)
+        store = stores.of(path)
+        with store.writer(f"{path}.tmp") as f:
+            f.write(json.dumps(self.counts | {"result": self.result, "errors": self.errors}, indent=2, ensure_ascii=False).encode())
+        store.rename(f"{path}.tmp", path)
 
 
 ERRORS = 1000
 #: Names of the photos that Spark's image source decodes, and how many of them go to a Python worker at once.
 PHOTOS, PHOTO_ROWS = "*.[jJ]{[pP][gG],[pP][eE][gG],[pP][eE],[fF][iI][fF]}", 4
-FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, error string"
+FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, bytes_read bigint, error string"
 
 
 def _listed(spark: SparkSession, roots: list[str], skip: str | None = None) -> DataFrame:
     out = None
     for root in roots:
-        part = listing.local_tree(spark, root, skip)
+        part = listing.tree(spark, root, skip)
         out = part if out is None else out.unionByName(part)
     return out.dropDuplicates(["path"])
 
 
-def _heads(files: DataFrame, offset: int) -> DataFrame:
-    """First 4 KiB of each file, and the fields of its container."""
-    sniff = [(mime, parts) for mime, parts in M.BY_MAGIC]
+def _opened(path: str) -> tuple[Pages, str, bytes]:
+    """A file by random access, its media type, and its first 4 KiB; close ``source`` of the pages."""
+    src = Pages(stores.of(path).reader(path))
+    head = src.at(0, dedup.PREFIX_BYTES)
+    mime = next((m for m, parts in M.BY_MAGIC if all(head[at : at + len(want) // 2].hex().upper() == want for at, want in parts)), "")
+    if mime in ("", "application/zip"):
+        mime = M.BY_EXTENSION.get(os.path.splitext(path)[1][1:].lower(), mime)
+    return src, mime, head
+
+
+def _heads(files: DataFrame, offset: int, fields: bool = True) -> DataFrame:
+    """First 4 KiB of each file, the fields of its container if wanted, and the bytes that were read."""
 
     def facts(path: str) -> dict:
-        with open(path, "rb") as f:
-            src = Pages(f)
-            head = src.at(0, 4096)
-            mime = next((m for m, parts in sniff if all(head[at : at + len(want) // 2].hex().upper() == want for at, want in parts)), "")
-            if mime in ("", "application/zip"):
-                mime = M.BY_EXTENSION.get(os.path.splitext(path)[1][1:].lower(), mime)
-            return {"content": head} | formats.read(mime, src, offset)
+        src, mime, head = _opened(path)
+        with src.source:
+            found = formats.read(mime, src, offset) if fields else {}
+            return {"content": head, "bytes_read": src.fetched} | found
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -86,8 +103,8 @@ def _heads(files: DataFrame, offset: int) -> DataFrame:
                     rows.append(row | facts(row["path"]) | {"error": None})
                 except OSError as e:
                     rows.append(row | {"error": str(e)})
-            out = pd.DataFrame(rows, columns=["path", "size", "modified", "created", "content", *formats.FIELDS, "error"], dtype=object)
-            yield out.astype({c: "Int64" for c in out.columns if c in ("size", "modified", "created") or c in formats.FIELDS and c not in ("make", "model")})
+            out = pd.DataFrame(rows, columns=["path", "size", "modified", "created", "content", *formats.FIELDS, "bytes_read", "error"], dtype=object)
+            yield out.astype({c: "Int64" for c in out.columns if c in ("size", "modified", "created", "bytes_read") or c in formats.FIELDS and c not in ("make", "model")})
 
     return files.select("path", "size", "modified", "created").mapInPandas(run, FACTS)
 
@@ -96,10 +113,12 @@ def _sidecar_times(files: DataFrame) -> DataFrame:
     """(path, xmp_utc, takeout_utc) of the files that have a sidecar of at most ``TEXT_BYTES`` beside them."""
 
     def read(path: str | None, parse) -> int | None:
+        if path is None:
+            return None
         try:
-            with open(path, "rb") as f:
+            with stores.of(path).reader(path) as f:
                 return parse(f.read())
-        except (OSError, TypeError, UnicodeDecodeError):
+        except (OSError, UnicodeDecodeError):
             return None
 
     def xmp_time(raw: bytes) -> int | None:
@@ -115,16 +134,20 @@ def _sidecar_times(files: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "path string, xmp_utc bigint, takeout_utc bigint")
 
 
+def _sha512(path: str) -> str:
+    h = hashlib.sha512()
+    with stores.of(path).reader(path) as f:
+        while piece := f.read(1 << 20):
+            h.update(piece)
+    return h.hexdigest()
+
+
 def _strong(files: DataFrame) -> DataFrame:
-    """SHA-512 of whole files, read in pieces."""
+    """Adds the SHA-512 of whole files, read in pieces; null for what can't be read."""
 
     def digest(path: str) -> str | None:
         try:
-            h = hashlib.sha512()
-            with open(path, "rb") as f:
-                while piece := f.read(1 << 20):
-                    h.update(piece)
-            return h.hexdigest()
+            return _sha512(path)
         except OSError:
             return None
 
@@ -135,15 +158,28 @@ def _strong(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", strong string")
 
 
+def _prefixed(heads: DataFrame) -> DataFrame:
+    """(path, size, fast, small): hash of the first 4 KiB, and the strong hash of files that are no longer."""
+    small = F.when(F.col("size") <= dedup.PREFIX_BYTES, F.sha2("content", 512))
+    return heads.where("error IS NULL").select("path", "size", dedup.fast_hash(F.col("content")).alias("fast"), small.alias("small"))
+
+
+def _identities(prefixed: DataFrame, name: str) -> DataFrame:
+    """(path, size, strong, bytes_read) of the files whose size and first 4 KiB more than one has; only they are read
+    whole, unless the prefix was all. Others are like no other file. ``strong`` is null for what can't be read any more."""
+    meet = prefixed.groupBy("size", "fast").agg(F.count("*").alias("n")).where("n > 1").select("size", "fast")
+    alike = prefixed.join(meet, ["size", "fast"])
+    whole = _strong(alike.where("small IS NULL").select("path", "size")).withColumn("bytes_read", F.col("size"))
+    return written(whole.unionByName(alike.where("small IS NOT NULL").select("path", "size", F.col("small").alias("strong"), F.lit(0).cast("bigint").alias("bytes_read"))), name)
+
+
 def find(spark: SparkSession, sources: list[str]) -> DataFrame:
     """(size, strong, n, paths) of equal files. Only files that share their size are opened, and only
     those that share their first 4 KiB too are read whole."""
     files = _listed(spark, sources).where("kind = 'file' AND size > 0 AND status = 'ok'")
     alike = files.join(files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "size")
-    heads = written(_heads(alike, 0).where("error IS NULL").select("path", "size", dedup.fast_hash(F.col("content")).alias("fast")), "heads")
-    again = heads.groupBy("size", "fast").agg(F.count("*").alias("n")).where("n > 1").select("size", "fast")
-    strong = _strong(heads.join(again, ["size", "fast"])).where("strong IS NOT NULL")
-    return dedup.duplicate_groups(strong)
+    prefixed = written(_prefixed(_heads(alike, 0, False)), "heads")
+    return dedup.duplicate_groups(_identities(prefixed, "identities").where("strong IS NOT NULL"))
 
 
 def delete_script(groups: DataFrame, output: str | None) -> str:
@@ -160,16 +196,25 @@ def delete_script(groups: DataFrame, output: str | None) -> str:
     return "\n".join(lines) + "\n" if size is not None else ""
 
 
-def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Config, now: int, include_other: bool = False, dry_run: bool = False) -> DataFrame:
-    """(path, action, target, reason) of every source file: copy, ignore or fail."""
+def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Config, now: int, include_other: bool = False, dry_run: bool = False, listed: DataFrame | None = None) -> DataFrame:
+    """(path, action, target, reason, strong, there, bytes_read) of every source file: copy, ignore or fail.
+
+    Archived files are opened only where a source has their size, and read whole like sources only where first
+    bytes agree too. ``strong`` is null for files that nothing equals; ``there``: the archive holds the file.
+    """
     listing.ensure_outside(sources, output)
     offset = C.offset_secs(config.copy.timezone_offset_hours)
-    files = _listed(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
-    own = _listed(spark, [output]) if os.path.isdir(output) else files.limit(0)
-    own = own.where("kind = 'file' AND size > 0")
-    facts = written(_strong(_heads(files, offset)), "facts")
-    facts = facts.join(_sidecar_times(files), "path", "left")
-    there = _strong(own.select("path", "size")).select("size", "strong").distinct().withColumn("there", F.lit(True))
+    files = (listed if listed is not None else _listed(spark, sources, output)).where("kind = 'file' AND size > 0 AND status = 'ok'")
+    own = written(_archived(spark, output), "archived")
+    facts = written(_heads(files, offset), "facts")
+    same_size = written(_heads(own.join(facts.select("size").distinct(), "size", "left_semi"), 0, False), "same_size")
+    ours, theirs = written(_prefixed(facts), "prefixes"), _prefixed(same_size)
+    # archived files need no telling apart but from sources
+    theirs = theirs.join(ours.select("size", "fast").distinct(), ["size", "fast"], "left_semi")
+    known = _identities(ours.unionByName(theirs), "identities")
+    there = known.join(theirs.select("path"), "path", "left_semi").where("strong IS NOT NULL").select("size", "strong").distinct().withColumn("there", F.lit(True))
+    met = known.join(ours.select("path"), "path", "left_semi").select("path", "strong", F.lit(True).alias("met"), F.col("bytes_read").alias("whole"))
+    facts = facts.join(_sidecar_times(files), "path", "left").join(met, "path", "left")
     name = P.file_name(F.col("path"))
     kind = M.mime_of(F.col("content"), F.regexp_extract(name, r"\.([^.]+)$", 1))
     rows = facts.join(there, ["size", "strong"], "left").withColumn("name", name).withColumn("mime", kind)
@@ -191,57 +236,73 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
     sub = P.rendered(config.copy.archive_template, values)
     safe = F.array_join(F.filter(F.split(sub, "/"), lambda s: ~s.isin("", ".", "..")), "/")
     rows = rows.withColumn("dir", F.concat(F.lit(output.rstrip("/") + "/"), safe))
-    reason = F.when(F.col("error").isNotNull() | F.col("strong").isNull(), "unreadable").when(F.col("there"), "duplicate")
+    reason = F.when(F.col("error").isNotNull() | F.coalesce("met", F.lit(False)) & F.col("strong").isNull(), "unreadable").when(F.col("there"), "duplicate")
     rows = rows.withColumn("reason", reason if include_other else reason.when(~M.is_media(F.col("mime")), "not_media"))
-    rows = written(rows.select("path", "size", "strong", "dir", "name", "reason", "error"), "candidates")
+    read = F.coalesce("bytes_read", F.lit(0)) + F.coalesce("whole", F.lit(0))
+    rows = written(rows.select("path", "size", "strong", "dir", "name", "reason", "error", F.coalesce("there", F.lit(False)).alias("there"), read.alias("bytes_read")), "candidates")
     fresh = rows.where("reason IS NULL")
-    first = fresh if dry_run else dedup.first_wins(fresh)
+    # a file without a strong hash is like no other
+    several = fresh.where("strong IS NOT NULL")
+    first = fresh if dry_run else fresh.where("strong IS NULL").unionByName(dedup.first_wins(several))
     later = fresh.join(first.select("path"), "path", "left_anti").withColumn("reason", F.lit("duplicate"))
     taken = own.select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
-    placed = archive.unique_names(first.select("path", "dir", "name", "strong"), taken, config.copy.unique_name_max_attempts)
+    carried = ["strong", "there", "bytes_read"]
+    placed = archive.unique_names(first.select("path", "dir", "name", *carried), taken, config.copy.unique_name_max_attempts)
     target = F.concat("dir", F.lit("/"), "target_name")
-    ok = placed.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), target.alias("target"), F.when(F.col("target_name").isNull(), "no free name").alias("reason"), "strong")
+    ok = placed.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), target.alias("target"), F.when(F.col("target_name").isNull(), "no free name").alias("reason"), *carried)
     rest = rows.where("reason IS NOT NULL").unionByName(later)
-    return ok.unionByName(rest.select("path", F.when(F.col("reason") == "unreadable", "fail").otherwise("ignore").alias("action"), F.lit(None).cast("string").alias("target"), "reason", "strong"))
-
-
-def _sha512(path: str) -> str:
-    h = hashlib.sha512()
-    with open(path, "rb") as f:
-        while piece := f.read(1 << 20):
-            h.update(piece)
-    return h.hexdigest()
-
-
-def transferred(source: str, target: str, strong: str | None, remove: bool) -> None:
-    """Copy or move one file; a move on one volume only renames. What was done before counts as done: a target
-    that is there must hold the same bytes, or the file fails and its source stays."""
-    if not os.path.exists(source) and remove and os.path.exists(target):
-        return
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    there = os.path.exists(target)
-    if not there and remove:
+    ignored = rest.select("path", F.when(F.col("reason") == "unreadable", "fail").otherwise("ignore").alias("action"), F.lit(None).cast("string").alias("target"), "reason", *carried)
+    # what was read of the archive, in a row of its own
+    opened = same_size.select(F.coalesce("bytes_read", F.lit(0)).alias("n")).unionByName(known.join(theirs.select("path"), "path", "left_semi").select(F.col("bytes_read").alias("n")))
+    note = opened.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes_read")).select(F.lit(None).cast("string").alias("path"), F.lit("note").alias("action"), F.lit(None).cast("string").alias("target"), F.lit("archive").alias("reason"), F.lit(None).cast("string").alias("strong"), F.lit(False).alias("there"), "bytes_read")
+    return ok.unionByName(ignored).unionByName(note)
+
+
+def _archived(spark: SparkSession, output: str) -> DataFrame:
+    """Listing of the files that the output has."""
+    if not stores.of(output).is_folder(output):
+        return spark.createDataFrame([], stores.SCHEMA)
+    return _listed(spark, [output]).where("kind = 'file' AND size > 0")
+
+
+def transferred(source: str, target: str, strong: str | None, remove: bool) -> int:
+    """Copy or move one file, and the bytes that were read for it; a move on one volume only renames. What was done
+    before counts as done: a target that is there must hold the same bytes, or the file fails and its source stays."""
+    a, b = stores.of(source), stores.of(target)
+    if remove and not a.exists(source) and b.exists(target):
+        return 0
+    b.make_folder(stores.parent(target))
+    there, read, digest = b.exists(target), 0, None
+    if not there and remove and a is b:
         try:
-            os.rename(source, target)
-            return
+            a.rename(source, target)
+            return 0
         except OSError as e:
             if e.errno != errno.EXDEV:
                 raise
     if not there:
-        half = f"{target}.{os.getpid()}.part"
+        half, h = f"{target}.{uuid.uuid4().hex}.part", hashlib.sha512()
         try:
-            with open(source, "rb") as a, open(half, "wb") as b:
-                shutil.copyfileobj(a, b, 1 << 20)
-            shutil.copystat(source, half)
-            os.replace(half, target)
+            with a.reader(source) as f, b.writer(half) as g:
+                while piece := f.read(1 << 20):
+                    g.write(piece)
+                    read += len(piece)
+                    if remove:
+                        h.update(piece)
+            b.like(half, source)
+            b.rename(half, target)
         finally:
-            if os.path.exists(half):
-                os.remove(half)
+            if b.exists(half):
+                b.remove(half)
+        digest = h.hexdigest() if remove else None
     if there or remove:
-        if os.path.getsize(target) != os.path.getsize(source) or _sha512(target) != (strong or _sha512(source)):
+        size = a.size(source)
+        if b.size(target) != size or _sha512(target) != (digest or strong or _sha512(source)):
             raise OSError(f"{target} holds other bytes than {source}")
+        read += size
         if remove:
-            os.remove(source)
+            a.remove(source)
+    return read
 
 
 def applied(plan: DataFrame, remove: bool, dry_run: bool) -> DataFrame:
@@ -255,8 +316,8 @@ def applied(plan: DataFrame, remove: bool, dry_run: bool) -> DataFrame:
                 try:
                     if not dry_run and r["action"] == "copy":
                         transferred(r["path"], r["target"], r["strong"], remove)
-                    elif not dry_run and remove and r["reason"] == "duplicate" and os.path.exists(r["path"]):
-                        os.remove(r["path"])
+                    elif not dry_run and remove and r["reason"] == "duplicate" and stores.of(r["path"]).exists(r["path"]):
+                        stores.of(r["path"]).remove(r["path"])
                 except OSError as e:
                     status, message = "failed", str(e)
                 out.append((r["path"], r["action"], r["target"], status, message))
@@ -268,47 +329,64 @@ def applied(plan: DataFrame, remove: bool, dry_run: bool) -> DataFrame:
 def _report(done: DataFrame, stats: dict, **more) -> Report:
     names = ("copied", "ignored", "failed")
     row = done.agg(*(F.count_if(F.col("status") == n).alias(n) for n in names)).first()
-    errors = done.where("status = 'failed'").orderBy("path").limit(ERRORS).select("path", "message").collect()
     counts = row.asDict() | stats
-    return Report({"scanned": sum(counts.values())} | counts | more, [r.asDict() for r in errors])
+    return Report({"scanned": sum(counts.values())} | counts | more, _errors(done.where("status = 'failed'")))
+
+
+def _errors(failed: DataFrame) -> list[dict]:
+    """The first failed rows by path, with the kind of error."""
+    rows = failed.select("path", "message").orderBy("path").limit(ERRORS)
+    return [r.asDict() for r in rows.select("path", "message", listing.error_kind(F.col("message")).alias("kind")).collect()]
 
 
 def copy(spark: SparkSession, sources: list[str], output: str, config: Config | None = None, now: int = 4_000_000_000, remove: bool = False, dry_run: bool = False, include_other: bool = False) -> tuple[Report, DataFrame]:
     """Archive sources into the output by capture time; ``remove`` moves."""
-    plan = written(copy_plan(spark, sources, output, config or Config(), now, include_other, dry_run), "plan")
-    listed = _listed(spark, sources, output).select("kind", "size", "status")
-    stats = dedup.scan_stats(listed).drop("indexed").first().asDict()
-    # originals go first, so that a duplicate is removed only when its twin has arrived
+    listing.ensure_outside(sources, output)
+    listed = written(_listed(spark, sources, output), "listed")
+    plan = written(copy_plan(spark, sources, output, config or Config(), now, include_other, dry_run, listed), "plan")
+    read = plan.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
+    plan = plan.where("action <> 'note'")
+    stats = dedup.scan_stats(listed.select("kind", "size", "status")).drop("indexed").first().asDict()
+    # originals go first, so that a duplicate is removed only when its twin has arrived; hashes go with the files,
+    # so the archive isn't read again
+    ignored = plan.where("action = 'ignore'")
     originals = written(applied(plan.where("action <> 'ignore'"), remove, dry_run), "done")
-    arrived = originals.where("status = 'copied'").join(plan.select("path", "strong"), "path").select("strong")
-    waiting = plan.where("action = 'ignore'").join(arrived.unionByName(_held(spark, output)).distinct(), "strong", "left_semi") if remove and not dry_run else plan.limit(0)
-    kept = plan.where("action = 'ignore'").join(waiting.select("path"), "path", "left_anti") if remove and not dry_run else plan.where("action = 'ignore'")
-    others = written(applied(waiting, remove, dry_run).unionByName(applied(kept, False, dry_run)), "done")
-    done = originals.unionByName(others)
-    return _report(done, stats, dry_run=dry_run, remove=remove, include_non_media=include_other), done
+    if remove and not dry_run:
+        arrived = originals.where("status = 'copied'").join(plan.select("path", "strong"), "path").select("strong").where("strong IS NOT NULL").distinct()
+        waiting = ignored.where("reason = 'duplicate'").join(arrived.withColumn("arrived", F.lit(True)), "strong", "left").where("there OR arrived").select(*plan.columns)
+        kept = ignored.join(waiting.select("path"), "path", "left_anti")
+        others = applied(waiting, remove, dry_run).unionByName(applied(kept, False, dry_run))
+    else:
+        others = applied(ignored, False, dry_run)
+    done = originals.unionByName(written(others, "done"))
+    return _report(done, stats, bytes_read=read, dry_run=dry_run, remove=remove, include_non_media=include_other), done
 
 
-def _held(spark: SparkSession, output: str) -> DataFrame:
-    if not os.path.isdir(output):
-        return spark.createDataFrame([], "strong string")
-    return _strong(_listed(spark, [output]).where("kind = 'file' AND size > 0").select("path")).select("strong")
+def _taken(spark: SparkSession, output: str | None) -> DataFrame:
+    """(dir, name) of the files that the output has."""
+    if output is None or not stores.of(output).is_folder(output):
+        return spark.createDataFrame([], "dir string, name string")
+    return _listed(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
 
 
 def move_text_shots(spark: SparkSession, sources: list[str], output: str, detector, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
     """Move images with text, keeping their path below the source."""
     listing.ensure_outside(sources, output)
     config = config or Config()
-    magic = [(m, parts) for m, parts in M.BY_MAGIC if m.startswith("image/")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for path in part["path"]:
                 try:
-                    with open(path, "rb") as f:
+                    src, mime, _ = _opened(path)
+                    with src.source as f:
+                        if not mime.startswith("image/"):
+                            out.append((path, "ignored", "not an image"))
+                            continue
+                        f.seek(0)
                         raw = f.read()
-                    image = any(all(raw[at : at + len(w) // 2].hex().upper() == w for at, w in p) for _, p in magic)
-                    out.append((path, "ignored" if not image else "hit" if detector.has_text(path, raw) else "no_text", None if image else "not an image"))
+                    out.append((path, "hit" if detector.has_text(path, raw) else "no_text", None))
                 except Exception as e:  # noqa: BLE001  a detector may raise anything
                     out.append((path, "failed", str(e)))
             yield pd.DataFrame(out, columns=["path", "found", "message"], dtype=object)
@@ -317,19 +395,18 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
     for root in sources:
         files = _listed(spark, [root], output).where("kind = 'file' AND size > 0 AND status = 'ok'").select("path")
         part = files.mapInPandas(run, "path string, found string, message string")
-        part = part.withColumn("below", F.substr("path", F.lit(len(os.path.realpath(root)) + 2)))
+        part = part.withColumn("below", F.substr("path", F.lit(len(stores.of(root).root(root).rstrip("/")) + 2)))
         part = part.withColumn("dir", F.when(F.instr("below", "/") > 0, F.concat(F.lit(output.rstrip("/") + "/"), P.parent(F.col("below")))).otherwise(output.rstrip("/")))
         found = part if found is None else found.unionByName(part)
     found = written(found.drop("below"), "shots")
-    taken = _listed(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name")) if os.path.isdir(output) else spark.createDataFrame([], "dir string, name string")
+    taken = _taken(spark, output)
     hits = archive.unique_names(found.where("found = 'hit'").select("path", "dir", P.file_name(F.col("path")).alias("name")), taken, config.copy.unique_name_max_attempts)
     plan = hits.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"))
     done = written(applied(written(plan, "plan"), True, dry_run), "done")
     seen = found.agg(F.count("*").alias("scanned"), F.count_if(F.expr("found <> 'ignored' AND found <> 'failed'")).alias("image_files"), F.count_if(F.expr("found = 'hit'")).alias("ocr_hits"), F.count_if(F.expr("found = 'ignored'")).alias("skipped_non_image"), F.count_if(F.expr("found = 'no_text'")).alias("skipped_no_text"), F.count_if(F.expr("found = 'failed'")).alias("failed")).first().asDict()
     moved = done.agg(F.count_if(F.expr("status = 'copied'")).alias("moved"), F.count_if(F.expr("status = 'failed'")).alias("failed")).first()
     seen |= {"moved": moved["moved"], "failed": seen["failed"] + moved["failed"], "dry_run": dry_run}
-    errors = found.where("found = 'failed'").select("path", "message").unionByName(done.where("status = 'failed'").select("path", "message")).orderBy("path").limit(ERRORS).collect()
-    return Report(seen, [r.asDict() for r in errors]), done
+    return Report(seen, _errors(found.where("found = 'failed'").select("path", "message").unionByName(done.where("status = 'failed'").select("path", "message")))), done
 
 
 def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> DataFrame:
@@ -339,6 +416,7 @@ def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> Data
     Python in small batches and are never shuffled. Names that begin with ``_`` or ``.`` are not listed by
     that source, and files of any size are read.
     """
+    local = "file://" if any(r.startswith("file://") for r in roots) else ""
     roots = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r) for r in roots if exists(spark, r)]
     if not roots:
         return spark.createDataFrame([], schema)
@@ -347,7 +425,7 @@ def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> Data
         from shutterloom.functions import images as I
 
         for part in parts:
-            rows = [measure(unquote(re.sub(r"^file:(//)?", "", origin)), I.from_image_row(data, *shape)) for origin, data, *shape in part.itertuples(index=False)]
+            rows = [measure(unquote(re.sub(r"^file:(//)?", local, origin)), I.from_image_row(data, *shape)) for origin, data, *shape in part.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     source = spark.read.format("image").option("pathGlobFilter", PHOTOS).option("recursiveFileLookup", True).option("dropInvalid", True).option("ignoreCorruptFiles", True)
@@ -371,12 +449,10 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
 
     listing.ensure_outside(sources, output)
     face = (config or Config()).face
-    magic = [(m, parts) for m, parts in M.BY_MAGIC if m.startswith("image/")]
 
-    def read(path: str) -> tuple[bytes, bool]:
-        with open(path, "rb") as f:
-            raw = f.read()
-        return raw, any(all(raw[at : at + len(w) // 2].hex().upper() == w for at, w in p) for _, p in magic)
+    def read(path: str) -> bytes:
+        with stores.of(path).reader(path) as f:
+            return f.read()
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -385,14 +461,15 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
                 try:
                     if size > face.max_image_bytes:
                         raise ValueError("the file is too large")
-                    raw, image = read(path)
-                    if not image:
+                    src, mime, _ = _opened(path)
+                    src.source.close()
+                    if not mime.startswith("image/"):
                         out.append((path, None, None, "not an image"))
                         continue
-                    if raw[:3] == b"\xff\xd8\xff":
+                    if mime == "image/jpeg":
                         out.append((path, None, None, "photo"))
                         continue
-                    rgb = I.decode(raw)
+                    rgb = I.decode(read(path))
                     out.append((path, I.phash(rgb), I.laplacian_variance(np.round(I.grey(rgb))), None))
                 except Exception as e:  # noqa: BLE001  any broken image is a failed row
                     out.append((path, None, None, f"failed: {e}"))
@@ -412,7 +489,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
             out = []
             for path in part["path"]:
                 try:
-                    found, message = faces_in(path, I.decode(read(path)[0]))
+                    found, message = faces_in(path, I.decode(read(path)))
                 except Exception as e:  # noqa: BLE001  gone or changed since the scan
                     found, message = [(False, None)], f"failed: {e}"
                 out += [(path, *f, message) for f in found]
@@ -427,8 +504,8 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     scanned = scanned.join(photos.select("path", "pixel_hash", "detail"), "path", "left").select("path", F.coalesce("hash", "pixel_hash").alias("hash"), F.coalesce("sharpness", "detail").alias("sharpness"), message.alias("message"))
     scanned = written(scanned.withColumn("id", F.xxhash64("path")), "images")
     images = scanned.where("message IS NULL")
-    edges = similar.hamming_pairs(images, face.phash_hamming_max).select("a", "b")
-    groups = similar.groups_of(edges).select("component", F.explode("members").alias("id"))
+    # links enough for the groups, not all pairs: a burst of n copies has n - 1
+    groups = components(similar.hamming_links(images, face.phash_hamming_max)).select(F.col("node").alias("id"), "component")
     members = images.join(groups, "id").select("path", "sharpness", F.col("component").alias("group"))
     sharp = written(select.without_blurry(members, "group", "sharpness", face.sharpness_min), "sharp")
     faces = spark.createDataFrame([], "path string, is_blink boolean, smile double, message string")
@@ -443,7 +520,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     rows = rows.join(best, "path", "left").join(names, "group").withColumn("best", F.coalesce("best", F.lit(False)))
     name = F.concat(F.when(F.col("best"), "BEST_").otherwise(""), P.file_name(F.col("path")))
     rows = rows.withColumn("dir", F.concat(F.lit(output.rstrip("/") + "/"), "group_id")).withColumn("name", name)
-    taken = _listed(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name")) if os.path.isdir(output) and not dry_run else spark.createDataFrame([], "dir string, name string")
+    taken = _taken(spark, None if dry_run else output)
     placed = archive.unique_names(rows.select("path", "dir", "name", "group_id", "best", "total"), taken)
     plan = written(placed.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"), "group_id", "best", "total"), "plan")
     columns = ["path", "action", "target", "reason", "strong"]
@@ -454,7 +531,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     counts |= {"moved": 0 if dry_run else result.where("NOT best AND status = 'copied'").count(), "dropped_blurry": members.where(~(F.isnan("sharpness") | (F.col("sharpness") >= face.sharpness_min))).count() if many else 0, "dry_run": dry_run}
     bad = scanned.where("message LIKE 'failed%'").select("path", "message").unionByName(faces.where("message IS NOT NULL").select("path", "message")).unionByName(done.where("status = 'failed'").select("path", "message"))
     counts["failed"] = bad.count()
-    return Report(counts, [r.asDict() for r in bad.orderBy("path").limit(ERRORS).collect()]), result
+    return Report(counts, _errors(bad)), result
 
 
 def write_manifests(result: DataFrame) -> None:
@@ -465,8 +542,8 @@ def write_manifests(result: DataFrame) -> None:
         entry = lambda r: {"src": r.path, "dst": r.target, "score": None if np.isnan(r.total) else float(r.total)}
         folder = os.path.dirname(part["target"].iloc[0])
         try:
-            with open(f"{folder}/MANIFEST.json", "w", encoding="utf-8") as f:
-                json.dump({"group_id": part["group_id"].iloc[0], "best": [entry(r) for r in best.itertuples()], "culled": [entry(r) for r in rest.itertuples()]}, f, indent=2, ensure_ascii=False)
+            with stores.of(folder).writer(f"{folder}/MANIFEST.json") as f:
+                f.write(json.dumps({"group_id": part["group_id"].iloc[0], "best": [entry(r) for r in best.itertuples()], "culled": [entry(r) for r in rest.itertuples()]}, indent=2, ensure_ascii=False).encode())
         except OSError:
             pass
         return part[["group_id"]].head(1)

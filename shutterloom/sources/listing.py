@@ -1,81 +1,110 @@
-"""Listing of file trees as a Spark data source, and readers by scheme.
+"""Listing of file trees as a Spark data source.
 
 ``spark.read.format("media_tree").load(root)`` lists regular files and everything else below a root:
-(path, size, kind, modified, created, status). A partition is one top-level entry, so a tree is walked by
-many tasks. Names that begin with a dot are left out, links are not followed (kind ``other``), and what
-can't be read becomes a row with a status rather than an error.
+(path, size, kind, modified, created, status). Names that begin with a dot are left out, links are not
+followed (kind ``other``), and what can't be read becomes a row with a status rather than an error.
+
+The planner opens folders breadth first, only for their names, until there are enough of them to share out, and packs
+what it has seen into work lists of about equal weight: a folder of very many files becomes many tasks, very many small
+folders few. What lies deeper is walked by the tasks.
 """
 
 from __future__ import annotations
 
-import os
-import stat
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from shutterloom.functions.paths import under_prefix
+from shutterloom.sources import stores
+from shutterloom.sources.stores import SCHEMA, Unsupported  # noqa: F401
 
-SCHEMA = "path string, size bigint, kind string, modified bigint, created bigint, status string"
-HEAD_BYTES = 64 << 10
+#: Bytes of a sidecar, at most.
 TEXT_BYTES = 8 << 20
+#: Folders after which the planner opens no more, names that it looks at, at most, and levels.
+FOLDERS, NAMES, LEVELS = 512, 1 << 20, 8
+#: Weight of a work list, and of a folder that a task walks, in files.
+WEIGHT, FOLDER_WEIGHT = 4096, 256
 
 
-def row_of(path: str) -> tuple:
-    """Listing row of one path."""
-    try:
-        path.encode()
-    except UnicodeEncodeError:
-        return (path.encode("utf-8", "replace").decode(), None, None, None, None, "walk_error")
-    try:
-        s = os.lstat(path)
-    except OSError:
-        return (path, None, None, None, None, "walk_error")
-    kind = "file" if stat.S_ISREG(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "other"
-    status = "ok" if kind != "file" or os.access(path, os.R_OK) else "unreadable"
-    born = getattr(s, "st_birthtime", s.st_ctime)
-    return (path, s.st_size if kind == "file" else 0, kind, int(s.st_mtime // 1), int(born // 1), status)
-
-
-def walk(path: str) -> Iterator[tuple]:
-    """Rows of a path and all below it; a folder that can't be listed gives an error row, its siblings go on."""
-    row = row_of(path)
+def walk(store, row: tuple) -> Iterator[tuple]:
+    """A row and those of all below it; a folder that can't be listed gives an error row, its siblings go on."""
     yield row
     if row[2] == "dir":
         try:
-            names = sorted(os.listdir(path))
+            rows = list(store.rows(row[0]))
         except OSError:
-            yield (path, None, "dir", None, None, "walk_error")
+            yield (row[0], None, "dir", None, None, "walk_error")
             return
-        for name in names:
-            if not name.startswith("."):
-                yield from walk(os.path.join(path, name))
+        for r in rows:
+            if not r[0].rpartition("/")[2].startswith("."):
+                yield from walk(store, r)
+
 
+class Work(InputPartition):
+    """Entries of folders: (folder, name or row, whether to go on below it); a folder of none is the root itself."""
 
-class Branch(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, entries: list[tuple]):
+        self.entries = entries
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.skip = os.path.realpath(options["path"].removeprefix("file://")), options.get("skip")
-
-    def partitions(self) -> list[Branch]:
-        try:
-            names = sorted(n for n in os.listdir(self.root) if not n.startswith("."))
-        except OSError:
-            return [Branch([self.root])]
-        return [Branch([os.path.join(self.root, n)]) for n in names] or [Branch([])]
-
-    def read(self, partition: Branch) -> Iterator[tuple]:
-        skip = os.path.realpath(self.skip).rstrip("/") if self.skip else None
-        for top in partition.paths:
-            for row in walk(top):
-                if not (skip and (row[0] == skip or row[0].startswith(skip + "/"))):
-                    yield row
+        self.store = stores.of(options["path"])
+        self.root = self.store.root(options["path"])
+        skip = options.get("skip")
+        self.skip = stores.of(skip).root(skip).rstrip("/") if skip else None
+
+    def opened(self) -> dict[str, list[tuple]]:
+        """Names in the folders that the planner opens."""
+        out, level, seen = {}, [self.root], 0
+        for _ in range(LEVELS):
+            below = []
+            for folder in level:
+                if seen >= NAMES:
+                    return out
+                try:
+                    found = [x for x in self.store.names(folder) if not self._name(x[0]).startswith(".")]
+                except OSError:
+                    continue  # the task that has its parent's entry says so
+                out[folder] = found
+                seen += len(found)
+                below += [self._path(folder, x[0]) for x in found if x[1]]
+            if len(below) >= FOLDERS or not below:
+                return out
+            level = below
+        return out
+
+    @staticmethod
+    def _name(entry) -> str:
+        return entry if isinstance(entry, str) else entry[0].rpartition("/")[2]
+
+    @staticmethod
+    def _path(folder: str, entry) -> str:
+        return f"{folder.rstrip('/')}/{entry}" if isinstance(entry, str) else entry[0]
+
+    def partitions(self) -> list[Work]:
+        opened = self.opened()
+        if self.root not in opened:
+            return [Work([(None, self.root, True)])]
+        out, held, weight = [], [], 0
+        for folder, found in opened.items():
+            for entry, below in found:
+                deep = below and self._path(folder, entry) not in opened
+                held.append((folder, entry, deep))
+                weight += FOLDER_WEIGHT if deep else 1
+                if weight >= WEIGHT:
+                    out.append(Work(held))
+                    held, weight = [], 0
+        return [*out, Work(held)] if held or not out else out
+
+    def read(self, partition: Work) -> Iterator[tuple]:
+        for folder, entry, deep in partition.entries:
+            row = self.store.row(entry if folder is None else self._path(folder, entry)) if isinstance(entry, str) else entry
+            for r in walk(self.store, row) if deep else [row]:
+                if not (self.skip and (r[0] == self.skip or r[0].startswith(self.skip + "/"))):
+                    yield r
 
 
 class MediaTree(DataSource):
@@ -90,48 +119,27 @@ class MediaTree(DataSource):
         return TreeReader(dict(self.options))
 
 
-def local_tree(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
-    """Listing of a local or mounted tree, without the ``skip`` subtree."""
+def tree(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+    """Listing of a path or an address, without the ``skip`` subtree; smb, mtp and adb trees have to be mounted first."""
+    stores.of(root)
     spark.dataSource.register(MediaTree)
     reader = spark.read.format("media_tree")
     return (reader.option("skip", skip) if skip else reader).load(root)
 
 
-def store_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Listing of a store that Spark reads, by its own file index; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.lit("file").alias("kind"), F.unix_seconds("modificationTime").alias("modified"), F.lit(None).cast("bigint").alias("created"), F.lit("ok").alias("status"))
-
-
-class Unsupported(ValueError):
-    """No reader for the scheme here."""
-
-
-READERS = {"local": local_tree, "file": local_tree, "hdfs": store_tree, "s3a": store_tree, "abfs": store_tree, "gs": store_tree}
-
-
-def tree(spark: SparkSession, uri: str) -> DataFrame:
-    """Listing of an address; smb, mtp and adb trees have to be mounted first."""
-    scheme = uri.split("://")[0].lower() if "://" in uri else "local"
-    if scheme not in READERS:
-        raise Unsupported(f"no reader for {scheme}://; mount the device and give its path")
-    return READERS[scheme](spark, uri)
+local_tree = tree
 
 
 def ensure_outside(sources: list[str], output: str) -> None:
     """A source must not lie in the output."""
-    out = os.path.realpath(output)
+    out = stores.of(output).root(output)
     for s in sources:
-        real = os.path.realpath(s)
+        real = stores.of(s).root(s)
         if real == out or real.startswith(out.rstrip("/") + "/"):
             raise ValueError(f"source {s} lies in the output {output}")
 
 
 def error_kind(message):
-    """Kind of a remote error by its text."""
+    """Kind of an error of a store by its text."""
     low = F.lower(message)
     return F.when(low.rlike("no such file|not found|enoent"), "not_found").when(low.rlike("permission|denied|eacces"), "permission_denied").when(low.rlike("exists|eexist"), "already_exists").otherwise("other")
-
-
-def without(files: DataFrame, prefix: str) -> DataFrame:
-    return files.where(~under_prefix(F.col("path"), prefix))

@@ -257,3 +257,105 @@ def test_dates_behind_the_pixels(spark, tmp_path):
     put(f"{tmp_path}/in/late.cr2", b"II*\0" + struct.pack("<I", (2 << 20) + 8) + b"CR\2\0" + b"\2" * ((2 << 20) - 4) + bytes(block[8:]))
     _, done = flows.copy(spark, [f"{tmp_path}/in"], f"{tmp_path}/out")
     assert sorted(os.path.relpath(r.target, f"{tmp_path}/out") for r in done.where("status = 'copied'").collect()) == ["2017/02/a.heic", "2017/02/late.cr2", "2017/02/late.tif"]
+
+
+def test_listing_is_dealt_out_evenly(spark, tmp_path):
+    """One folder of very many files is many tasks, very many small folders few; the rows are those of a walk."""
+    root = f"{tmp_path}/t"
+    os.makedirs(f"{root}/DCIM/100"), os.makedirs(f"{root}/.hidden/x"), os.makedirs(f"{root}/empty")
+    for i in range(20_000):
+        os.close(os.open(f"{root}/DCIM/100/f{i}", os.O_CREAT))
+    for i in range(700):
+        put(f"{root}/small/d{i}/a/b/c.jpg", b"1")
+    os.symlink(root, f"{root}/loop")
+    reader = listing.TreeReader({"path": root})
+    parts = reader.partitions()
+    assert 6 <= len(parts) <= 60 and max(len(p.entries) for p in parts) <= listing.WEIGHT
+    want = {root + "/loop"} | {os.path.join(d, n) for d, folders, names in os.walk(root) for n in [*folders, *names] if "/.hidden" not in f"{d}/{n}" and n != "loop"}
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(rows) == len({r[0] for r in rows}) and {r[0] for r in rows} == want
+    assert listing.tree(spark, root).where("kind = 'file'").count() == 20_700
+    stored = listing.tree(spark, f"file://{root}", f"file://{root}/small").collect()
+    assert {r.path for r in stored if r.kind == "file"} == {f"file://{root}/DCIM/100/f{i}" for i in range(20_000)} and all(r.size == 0 for r in stored)
+
+
+def test_stores_lose_no_files(spark, tmp_path):
+    """Hidden-looking names, folders and empty files are listed; a failed folder is a row."""
+    put(f"{tmp_path}/a b%20.jpg", b"12"), put(f"{tmp_path}/_b.jpg", b"1"), put(f"{tmp_path}/_x/c.jpg", b"1"), put(f"{tmp_path}/empty", b"")
+    rows = {r.path.removeprefix(f"file://{tmp_path}/"): (r.kind, r.size, r.status) for r in listing.tree(spark, f"file://{tmp_path}").collect()}
+    assert rows == {"a b%20.jpg": ("file", 2, "ok"), "_b.jpg": ("file", 1, "ok"), "_x": ("dir", 0, "ok"), "_x/c.jpg": ("file", 1, "ok"), "empty": ("file", 0, "ok")}
+    assert [r.status for r in listing.tree(spark, f"file://{tmp_path}/none").collect()] == ["walk_error"]
+    with pytest.raises(ValueError):
+        listing.ensure_outside([f"file://{tmp_path}/a"], f"file://{tmp_path}/")
+
+
+def test_flows_on_a_store(spark, tmp_path):
+    """The same flows by way of Arrow's file systems."""
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    uri = lambda p: f"file://{p}"
+    put(f"{src}/IMG_20240501_120000.jpg", JPEG + b"1"), put(f"{src}/été/IMG_20240501_120000.jpg", JPEG + b"2"), put(f"{src}/z/IMG_20240502_120000.jpg", JPEG + b"1")
+    put(f"{src}/_y/IMG_20240501_120000.jpg", JPEG + b"3"), put(f"{src}/notes.txt", b"text")
+    put(f"{src}/a.jpg", JPEG + b"a"), put(f"{src}/a.xmp", b'<x:xmpmeta><rdf:Description photoshop:DateCreated="2015-03-04T05:06:07Z"/></x:xmpmeta>')
+    (g,) = flows.find(spark, [uri(src)]).collect()
+    assert g.n == 2 and g.paths[0] == uri(f"{src}/IMG_20240501_120000.jpg")
+    report, _ = flows.copy(spark, [uri(src)], uri(out))
+    assert (report.counts["copied"], report.counts["ignored"], report.counts["failed"], report.result) == (4, 3, 0, "ok")
+    assert files_in(out) == ["2015/03/a.jpg", "2024/05/IMG_20240501_120000.jpg", "2024/05/IMG_20240501_120000_1.jpg", "2024/05/été/IMG_20240501_120000.jpg"]
+    put(f"{src}/new.jpg", JPEG + b"4"), put(f"{src}/new2.jpg", JPEG + b"4")
+    report, _ = flows.copy(spark, [uri(src)], uri(out), remove=True)
+    assert (report.counts["copied"], report.counts["failed"], files_in(src)) == (1, 0, ["a.xmp", "notes.txt"])
+    report.write(uri(f"{tmp_path}/report.json"))
+    assert '"result": "ok"' in open(f"{tmp_path}/report.json").read()
+    shot = put(f"{src}/s/shot.png", b"\x89PNG\r\n\x1a\n" + b"x" * 5000)
+    report, _ = flows.move_text_shots(spark, [uri(src)], uri(f"{tmp_path}/shots"), FakeTextDetector({uri(shot): True}))
+    assert report.counts["moved"] == 1 and files_in(f"{tmp_path}/shots") == ["s/shot.png"]
+    rnd = np.random.default_rng(1)
+    base = images.resized(rnd.integers(0, 255, (8, 8, 3)), 64, 64)
+    for name in "abc":
+        put(f"{tmp_path}/burst/{name}.png", png(np.clip(base + rnd.normal(0, 2, base.shape), 0, 255).astype(np.uint8)))
+    report, result = flows.cull(spark, [uri(f"{tmp_path}/burst")], uri(f"{tmp_path}/culled"), None, config.Config(face=config.Face(sharpness_min=1.0)))
+    flows.write_manifests(result)
+    assert report.counts["moved"] == 2 and len(files_in(f"{tmp_path}/culled")) == 4
+
+
+def test_copy_reads_as_little_as_it_takes(spark, tmp_path):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    big = 3 << 20
+
+    def sparse(path, tail, size=big):
+        put(path, JPEG)
+        with open(path, "r+b") as f:
+            f.seek(size - len(tail))
+            f.write(tail)
+        os.utime(path, (1_600_000_000, 1_600_000_000))
+
+    for i in range(20):
+        sparse(f"{src}/u{i}.jpg", b"u", big + 10 + i)  # like no other by size
+    sparse(f"{src}/a.jpg", b"a"), sparse(f"{src}/b.jpg", b"b"), sparse(f"{src}/c.jpg", b"a")  # told apart by the whole
+    sparse(f"{out}/old/x.jpg", b"x", big + 9), sparse(f"{out}/old/c.jpg", b"a"), sparse(f"{out}/old/u.jpg", b"v", big + 10)
+    report, _ = flows.copy(spark, [src], out, dry_run=True)
+    page = 64 << 10  # heads, where an XMP packet is looked for
+    whole = 3 * big + big + 2 * (big + 10)
+    assert whole <= report.counts["bytes_read"] <= whole + 25 * page and (report.counts["copied"], report.counts["ignored"]) == (21, 2)
+    report, _ = flows.copy(spark, [src], out, remove=True)
+    assert report.counts["failed"] == 0 and files_in(src) == [] and len(files_in(out)) == 3 + 21
+    # a missing twin keeps the duplicate
+    sparse(f"{src}/u0.jpg", b"q"), sparse(f"{src}/z.jpg", b"q"), put(f"{out}/2020/09/u0_1.jpg", b"z")
+    report, done = flows.copy(spark, [src], out, config.Config(copy=config.Copy(unique_name_max_attempts=1)), remove=True)
+    rows = {os.path.basename(r.path): r.status for r in done.collect()}
+    assert rows == {"u0.jpg": "failed", "z.jpg": "ignored"} and files_in(src) == ["u0.jpg", "z.jpg"]
+    assert report.result == "partial" and report.errors[0]["kind"] == "other"
+
+
+def test_burst_of_copies_costs_a_link_each(spark, tmp_path, monkeypatch):
+    from shutterloom.operators import similar
+
+    rows = spark.range(3000).selectExpr("id", "7L as hash").unionAll(spark.createDataFrame([(5000, 7 ^ 1), (6000, -1)], "id long, hash long"))
+    assert similar.hamming_links(rows, 10).count() == 3000
+    with monkeypatch.context() as m:
+        m.setattr(similar, "hamming_pairs", lambda *a: pytest.fail("cull needs no pairs"))
+        rgb = images.resized(np.random.default_rng(3).integers(0, 255, (8, 8, 3)), 48, 48).astype(np.uint8)
+        for i in range(40):
+            put(f"{tmp_path}/in/{i:02d}.png", png(rgb))
+        report, _ = flows.cull(spark, [f"{tmp_path}/in"], f"{tmp_path}/out", None, config.Config(face=config.Face(sharpness_min=1.0)))
+    assert (report.counts["best_count"], report.counts["moved"]) == (1, 39)
