@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from shutterloom.llm.common import by_batches
 from shutterloom.session import fresh_path, remove, written
 
-#: Labelled documents that are learned from, at most: those with the least hash of their key.
+#: Labelled documents that are learned from, at most: those with the least hash of their key (its low 20 bits).
 SAMPLE_ROWS = 40_000
 #: Lengths of stems besides whole words; a stem counts if so many toxic documents of the sample hold it, and the
 #: lower bound of its share of toxic ones (of so many standard errors) reaches WEAK; STEMS at most, the most telling first.
@@ -53,9 +53,12 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr
 #: What stands for a letter in disguised words.
 DISGUISE = str.maketrans("013457@$!|", "oieastasii")
 EDGES = ".,;:!?\"'()[]{}<>«»¡¿…-–—*_~`|/\\"
-#: By place: letters, capitals, all capitals, weight, weight found in disguise only, second person, marks, runs of marks, disguised.
-PROPERTIES = 9
+#: By place: all capitals, weight, weight found in disguise only, second person, marks, runs of marks, disguised.
+PROPERTIES = 7
 NAMES = ("log_words", "strong_a_word", "weak_a_word", "log_strong", "log_distinct", "most", "second_most", "weight_a_word", "strong_near_you", "you_a_word", "capitals_a_letter", "shouted_a_word", "marks_a_word", "mark_runs_a_word", "disguised_a_word", "found_in_disguise_a_word")
+STRETCHED, SYMBOL, RUN = re.compile(r"([^\W\d_])\1\1"), re.compile(r"[\d@$*|!]"), re.compile(r"[!?.]{2}")
+#: Capitals with and without accents.
+CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
 def stems(word: str) -> list[str]:
@@ -68,30 +71,43 @@ def plain(word: str) -> str:
 
 
 class Words(dict):
-    """Place of each word in a table of properties, which are computed once a word."""
+    """Place of each word in a table of properties, which are computed once a word; 0 for those that have none."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.table, self.names = lexicon, np.zeros((1024, PROPERTIES), np.float32), []
+        self.lexicon, self.table, self.used = lexicon, np.zeros((1024, PROPERTIES), np.float32), 1
+        #: What all words that the lexicon knows begin with.
+        self.begin = {s[: STEM_LENGTHS[0]] for s in lexicon}
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 1
 
     def weight(self, word: str) -> float:
-        return max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
+        return max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0) if f"{word}."[: STEM_LENGTHS[0]] in self.begin else 0.0
 
     def __missing__(self, raw: str) -> int:
-        at = self[raw] = len(self)
+        core = raw.strip(EDGES)
+        word = core.lower()
+        pure, stretched = core.isalpha(), STRETCHED.search(word) is not None
+        marks = raw.count("!") + raw.count("?") if len(core) < len(raw) else 0
+        run = len(raw) - len(core) > 1 and RUN.search(raw) is not None
+        shouted = len(core) > 2 and core.isupper()
+        weight, hidden, disguised = self.weight(word), 0.0, stretched
+        if not pure or stretched:
+            disguised = stretched or (SYMBOL.search(core) is not None and any(map(str.isalpha, core)))
+            if not weight and disguised:
+                bare = re.sub(r"[^\w]|[\d_]", "", word.translate(DISGUISE))
+                hidden = max(self.weight(bare), self.weight(re.sub(r"(.)\1\1+", r"\1", bare)))
+        you = word in YOU
+        if not (weight or hidden or you or marks or run or shouted or disguised):
+            self[raw] = 0
+            return 0
+        at = self[raw] = self.used
+        self.used += 1
         if at >= len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        word, core = plain(raw), raw.strip(EDGES)
-        letters, capitals = sum(map(str.isalpha, raw)), sum(map(str.isupper, raw))
-        inside = any(map(str.isalpha, core)) and not core.isalpha()
-        stretched = re.search(r"([^\W\d_])\1\1", word)
-        weight, hidden = self.weight(word), 0.0
-        if not weight and (inside or stretched):
-            bare = re.sub(r"[^\w]|[\d_]", "", core.lower().translate(DISGUISE))
-            hidden = max(self.weight(bare), self.weight(re.sub(r"(.)\1\1+", r"\1", bare)))
-        marks = sum(map(raw.count, "!?"))
-        runs = re.search(r"[!?.]{2}", raw) is not None
-        self.table[at] = letters, capitals, letters > 2 and capitals == letters, weight or hidden, hidden, word in YOU, marks, runs, (inside and re.search(r"[\d@$*|!]", core) is not None) or stretched is not None
+        self.table[at] = shouted, weight or hidden, hidden, you, marks, run, disguised
         return at
 
 
@@ -103,20 +119,20 @@ def features(text: str | None, words: Words) -> list[float]:
     if len(words) > KNOWN:
         words.clear()
     at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    x = words.table[at]
-    n, total, weight = len(tokens), x.sum(0, dtype=np.float64), x[:, 3]
-    told = np.flatnonzero(weight >= WEAK)
-    strong = told[weight[told] >= STRONG]
-    you = np.flatnonzero(x[:, 5])
-    near = 0
-    if len(told) and len(you):
-        after = np.searchsorted(you, told)
-        gap = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - told), np.abs(you[np.maximum(after - 1, 0)] - told))
-        near = (gap <= NEAR).sum()
-    different = np.sort(words.table[np.unique(at[told])][:, 3])[::-1]
+    place = np.flatnonzero(at)
+    x = words.table[at[place]]
+    n, total, weight = len(tokens), x.sum(0, dtype=np.float64), x[:, 1]
+    told = weight >= WEAK
+    strong, you, near = int((weight >= STRONG).sum()), place[x[:, 3] > 0], 0
+    if told.any() and len(you):
+        here = place[told]
+        after = np.searchsorted(you, here)
+        gap = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - here), np.abs(you[np.maximum(after - 1, 0)] - here))
+        near = int((gap <= NEAR).sum())
+    different = np.sort(words.table[np.unique(at[place[told]])][:, 1])[::-1]
     most = [*different[:2].tolist(), 0.0, 0.0][:2]
-    hidden = (x[:, 4] > 0).sum()
-    return [np.log1p(n), len(strong) / n, (len(told) - len(strong)) / n, np.log1p(len(strong)), np.log1p(len(different)), *most, total[3] / n, near / n, len(you) / n, total[1] / max(1.0, total[0]), total[2] / n, total[6] / n, total[7] / n, total[8] / n, hidden / n]
+    letters = sum(map(len, tokens))
+    return [np.log1p(n), strong / n, (int(told.sum()) - strong) / n, np.log1p(strong), np.log1p(len(different)), *most, total[1] / n, near / n, len(you) / n, len(CAPITALS.findall(text)) / letters, total[0] / n, total[4] / n, total[5] / n, total[6] / n, int((x[:, 2] > 0).sum()) / n]
 
 
 def with_features(docs: DataFrame, key: str, text: str, lexicons: list[dict[str, float]], others: list[str] = [], fold: str | None = None) -> DataFrame:  # noqa: B006
@@ -139,18 +155,19 @@ def _stem_counts(taught: DataFrame, text: str) -> DataFrame:
     """(stem, toxic_k, n_k for each fold k): documents that hold a stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], names=["stem", "fold", "toxic", "n"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (k, toxic), of in held.items():
+                same = lambda v, of=of: pa.array(np.full(len(of), v), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(of.keys(), pa.string()), same(k), same(toxic), pa.array(of.values(), pa.int64())], names=["stem", "fold", "toxic", "n"])
+            held.clear()
 
-        held: Counter[tuple[str, int, int]] = Counter()
+        held: dict[tuple[int, int], Counter[str]] = {}
         for batch in batches:
             for t, k, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.update((s, k, toxic) for s in {s for w in set((t or "").split()) for s in stems(plain(w))})
-            if len(held) >= HELD:
-                yield counted()
-                held.clear()
-        yield counted()
+                held.setdefault((k, toxic), Counter()).update({s for w in set(map(plain, set((t or "").split()))) for s in stems(w)})
+            if sum(map(len, held.values())) >= HELD:
+                yield from counted()
+        yield from counted()
 
     counts = by_batches(taught.select(text, "fold", F.col("label").cast("int")), run, "stem string, fold int, toxic int, n long").groupBy("stem")
     return counts.agg(*(f.alias(f"{name}_{k}") for k in range(FOLDS) for name, f in (("toxic", F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == 1), F.col("n")).otherwise(0))), ("n", F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0))))))
@@ -195,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from labelled documents (1: toxic)."""
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) == 1).cast("int")).alias("label"))
-    sample = known.orderBy(F.xxhash64(key), key).limit(rows)  # the documented bound; so it can be broadcast
+    # the documented bound; so it can be broadcast. What can't be among the least hashes stays where it is: each task
+    # would send as many rows otherwise
+    share = min(1.0, (rows * 1.5 + 1000) / max(1, known.count()))
+    sample = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) <= share * (1 << 20)).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(rows)
     taught = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(sample), key)
     taught = taught.withColumn("at", F.xxhash64("text")).groupBy("at").agg(F.first("text").alias("text"), F.max("label").alias("label"))
     path = fresh_path(spark, "taught")
