@@ -75,12 +75,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shutterloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffles of a query when it ends, instead of when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: its lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it again: its lineage ends there, and its shuffles are
+    deleted. :func:`dropped` deletes the table."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shutterloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` gave and nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t._shutterloom_path)
 
 
 def release(spark: SparkSession) -> None:
