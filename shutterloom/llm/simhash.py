@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
 from shutterloom.operators.components import components
-from shutterloom.session import release, written
+from shutterloom.session import dropped, written
 
 #: Fixed value: the seed of the shingle hashes.
 SEED = 42
@@ -246,25 +246,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     alone = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
     first = source.withColumn("row", alone).where("row = 1").join(texts.select("one.key", "one.digest", "id"), ["key", "digest"]).select("id", "text")
-    release(docs.sparkSession)
     shared = written(_shared(_grams(first, heavy, shingle), texts), "shared")
-    del first
-    release(docs.sparkSession)
     buckets = written(_buckets(shared, similarity), "buckets")
-    release(docs.sparkSession)
 
     def similar(pairs: DataFrame) -> DataFrame:
         met = written(pairs.distinct(), "pairs")
-        release(docs.sparkSession)
         wanted = met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id"))).distinct()
         sets = written(shared.join(wanted, "id", "left_semi").select("id", "n", F.col("shared.gram").alias("grams")), "sets")
         one, other = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "ab")
         both = met.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
-        return written(both.where(F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both")) - SLACK).select("a", "b"), "links")
+        out = written(both.where(F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both")) - SLACK).select("a", "b"), "links")
+        dropped(met, sets)
+        return out
 
     found = similar(_ball_pairs(texts).unionAll(_star_pairs(buckets, similarity)))
     rest = _other_pairs(buckets, components(found), similarity)
-    linked = components(found.unionAll(similar(rest)))
+    more = similar(rest)
+    dropped(buckets, shared)
+    linked = components(found.unionAll(more))
+    dropped(found, more)
     of = texts.select("content", "id", "one").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = of.groupBy("component").agg(F.min("one").alias("least"))
     of = of.join(least, "component").select("content", "least")

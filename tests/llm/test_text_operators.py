@@ -45,7 +45,7 @@ def test_ledger(spark, tmp_path, monkeypatch):
     assert got[7] == got[2] and got[6][0][0] == "github"
     scanned = []
     real = secrets._scanned
-    monkeypatch.setattr(secrets, "_scanned", lambda blobs: scanned.append(blobs.count()) or real(blobs))
+    monkeypatch.setattr(secrets, "_scanned", lambda texts: scanned.append(texts.select("blob").distinct().count()) or real(texts))
     assert secrets.findings(docs.unionAll(spark.createDataFrame([(50, "new", 1)], docs.schema)), ledger).count() == 9
     assert secrets.findings(docs, ledger, rules="next").count() == 8
     assert scanned == [1, 6]
@@ -235,3 +235,20 @@ def test_items_with_names_of_any_type(spark):
     docs = spark.createDataFrame([("a", "one two three four five six seven")], "doc_id string, text string")
     items = spark.createDataFrame([("q1", "two three four five"), ("q2", "nothing of this kind here")], "item_id string, text string")
     assert [(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, items).collect()] == [("a", "q1", 1.0)]
+
+
+def test_redaction_of_many_findings():
+    """Thousands of findings in one text, some overlapping, in time that grows with the text."""
+    text = " ".join(f"x{i}é AKIA{'B' * 16} password={'c' * 9}" for i in range(20_000))
+    spans = [(a, b) for a, _, b in secrets.found_in(text)]
+    out = secrets.without_spans(text, spans + [(a, b + 0) for a, b in spans])
+    assert len(spans) == 40_000 and out == " ".join(f"x{i}é <secret> <secret>" for i in range(20_000))
+    assert secrets.without_spans("abcdef", [(1, 3), (2, 4), (4, 5)]) == "a<secret><secret>f" and secrets.without_spans("ab", []) == "ab"
+
+
+def test_redaction_keeps_rows(spark):
+    rows = [(i, None if i % 7 == 0 else f"text {i % 5} " + ("password=abcdefgh1" if i % 3 == 0 else ""), i, "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, blob string")
+    got = sorted(map(tuple, secrets.redacted(docs).collect()))
+    assert got == sorted((i, t if t is None else t.replace("password=abcdefgh1", "<secret>"), n, b) for i, t, n, b in rows)
+    assert secrets.redacted(docs.limit(0)).collect() == []
