@@ -7,11 +7,9 @@ Everything that must outlive an executor goes to the folder that the cluster nam
 
 from __future__ import annotations
 
-import gc
 import io
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -101,18 +99,6 @@ def dropped(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._shutterloom_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles of frames that nothing names any more, before the next large one: it
-    learns of them by garbage collection, which a driver with little to do seldom makes. Python tells
-    the JVM of frames it has dropped once a second, and the last query's events name its plan, so a wait and
-    another small query come first."""
-    gc.collect()
-    time.sleep(1.5)
-    spark.range(1).count()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    spark._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
