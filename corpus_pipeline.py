@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.llm import bpe, decontam, quality, secrets, simhash
 from shutterloom.llm.common import table, unused
-from shutterloom.session import fresh_path, written
+from shutterloom.session import dropped, written
 
 #: The vocabulary that the last stage encodes with.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name, fresh_path(spark, name))
+        docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
