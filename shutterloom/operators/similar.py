@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom.functions.vectors import hamming
 from shutterloom.operators.components import components
-from shutterloom.session import ship
+from shutterloom.session import ship, written
 
-#: Rows of a block of the cosine join: a task holds two blocks.
-BLOCK_ROWS = 4096
+#: Rows of a block of the cosine join: a task holds two blocks. Rows that its pivots are fitted on, and most pivots.
+BLOCK_ROWS, SAMPLE_ROWS, PIVOTS = 4096, 4096, 32
 #: Rows of a block of hashes, those that make a second block worth while, blocks of a smaller table.
 HASHES, FEW_HASHES, LEAST_BLOCKS = 65_536, 2_048, 8
-#: Share of all pairs that bands may let meet; beyond it, comparing all pairs takes less.
+#: Share of all pairs that bands or balls may let meet; beyond it, comparing all pairs takes less.
 MOST_MET = 0.01
+#: Different hashes from which on balls take less than tiles, for radii up to that of ``BALL_BITS``, and their blocks of bits.
+BALL_ROWS, BALL_BITS, BALL_BLOCKS = 1 << 20, 11, 3
 
 
 def _band_widths(most: int) -> list[int]:
@@ -37,10 +39,11 @@ def hamming_pairs(hashes: DataFrame, most: int, key: str = "id", value: str = "h
     Small radii: hashes within k bits agree in one of k + 1 bands at least, so rows meet on (band, its
     bits); a pair that meets in several bands is kept in the first. Equal hashes are joined once, as one
     row with all of its keys. Wide radii (6 bits and more) make bands of a few bits, on which more pairs
-    meet than there are; there, blocks of rows are compared whole. Both are exact.
+    meet than there are; there, blocks of rows are compared whole, or, up to 11 bits and from ``BALL_ROWS`` rows on, meet
+    on balls around blocks of bits (:func:`_ball_pairs`). All are exact.
     """
     rows = hashes.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    found = _tiles(rows, most, key, value, False) if _wide(most) else _band_pairs(rows, most, key, value)
+    found = _by_radius(rows, most, key, value, False)
     return found.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -50,10 +53,63 @@ def hamming_links(hashes: DataFrame, most: int, key: str = "id", value: str = "h
     rows = hashes.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("hash"))
     least = rows.groupBy("hash").agg(F.min("id").alias("first"))
     copies = rows.join(least, "hash").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    across = _tiles(least, most, "first", "hash", True) if _wide(most) else _band_pairs(least, most, "first", "hash")
+    across = _by_radius(least, most, "first", "hash", True)
     return copies.unionByName(across.select(F.col("p").alias("a"), F.col("q").alias("b")))
 
 
+def _by_radius(rows: DataFrame, most: int, key: str, value: str, links: bool) -> DataFrame:
+    if not _wide(most):
+        return _band_pairs(rows, most, key, value)
+    if most <= BALL_BITS and rows.count() >= BALL_ROWS:
+        sides = _balls(rows, most, value)
+        if _meetings(*sides) <= MOST_MET * rows.count() ** 2 / 2:
+            return _ball_pairs(rows, sides, most, key, value)
+    return _tiles(rows, most, key, value, links)
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    """All numbers of so many bits that have ``radius`` bits set at most."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def _balls(hashes: DataFrame, most: int, value: str) -> tuple[DataFrame, DataFrame]:
+    """(h, block, bits) twice: a row for each point of a ball around each block of a hash's bits. Hashes within
+    ``most`` bits differ by a third of that at most in one of three blocks, and then have a point there that is in the
+    smaller ball of one and the larger of the other."""
+    radius = most // BALL_BLOCKS
+    width = [64 // BALL_BLOCKS + (i < 64 % BALL_BLOCKS) for i in range(BALL_BLOCKS)]
+    begin = [sum(width[:i]) for i in range(BALL_BLOCKS)]
+    distinct = hashes.select(F.col(value).alias("h")).distinct()
+
+    def around(b: int, w: int, r: int):
+        own = F.shiftrightunsigned("h", b).bitwiseAND(F.lit((1 << w) - 1))
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in _masks(w, r))), lambda m: own.bitwiseXOR(m))
+
+    def side(r: int) -> DataFrame:
+        points = [around(b, w, r) for b, w in zip(begin, width, strict=True)]
+        rows = distinct.select("h", F.posexplode(F.array(*points)).alias("block", "points"))
+        return rows.select("h", "block", F.explode("points").alias("bits"))
+
+    return side(radius // 2), side(radius - radius // 2)
+
+
+def _meetings(small: DataFrame, large: DataFrame) -> int:
+    """Pairs that meet on a point, counted without making them."""
+    x, y = (t.groupBy("block", "bits").agg(F.count("*").alias(n)) for t, n in ((small, "x"), (large, "y")))
+    return x.join(y, ["block", "bits"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
+
+
+def _ball_pairs(hashes: DataFrame, sides: tuple[DataFrame, DataFrame], most: int, key: str, value: str) -> DataFrame:
+    """(p, q, distance) of the pairs that meet in balls and are within ``most`` bits."""
+    a, b = sides[0].withColumnRenamed("h", "x"), sides[1].withColumnRenamed("h", "y")
+    near = a.join(b, ["block", "bits"]).where((F.col("x") != F.col("y")) & (hamming(F.col("x"), F.col("y")) <= most))
+    once = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    of = hashes.select(F.col(value).alias("h"), F.col(key).alias("id"))
+    across = once.join(of.select(F.col("h").alias("x"), F.col("id").alias("p")), "x").join(of.select(F.col("h").alias("y"), F.col("id").alias("q")), "y")
+    same = of.join(of.select("h", F.col("id").alias("q")), "h").where("id < q").select(F.col("id").alias("p"), "q", F.lit(0).alias("distance"))
+    return across.select("p", "q", hamming(F.col("x"), F.col("y")).alias("distance")).unionByName(same)
+
+
 def _band_pairs(hashes: DataFrame, most: int, key: str, value: str) -> DataFrame:
     distinct = hashes.groupBy(value).agg(F.sort_array(F.collect_list(key)).alias("ids"))
     width = _band_widths(most)
@@ -148,47 +204,132 @@ def _tiles(hashes: DataFrame, most: int, key: str, value: str, links: bool) -> D
     return pairs.mapInArrow(run, f"p {kind}, q {kind}, distance int")
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of length one; those without a finite direction become zeros."""
+    rows = column.to_pylist()
+    width = max(map(len, rows), default=0)
+    x = np.array([[*r, *[0.0] * (width - len(r))] for r in rows], np.float64).reshape(len(rows), width)
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((x * x).sum(1))
+        x = np.where(norm[:, None] > 0, x / norm[:, None], 0.0)
+    return np.where(np.isfinite(x).all(1)[:, None], x, 0.0)
 
 
-def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", blocks: int | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b of vectors with a cosine of ``least`` or more.
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
 
-    Rows are dealt to blocks; each pair of blocks is one group, compared by a matrix product. A group
-    has two blocks whatever the number of rows, which the block count follows.
-    """
-    n = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
-    rows = vectors.select(F.col(key).alias("id"), F.col(value).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    sides = rows.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    sides = sides.select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def compare(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        x = np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        norm = np.sqrt((x * x).sum(1))
-        with np.errstate(all="ignore"):
-            x = np.where(norm[:, None] > 0, x / norm[:, None], 0.0)
-        x = np.where(np.isfinite(x).all(1)[:, None], x, 0.0)
-        ids, of = part["id"].to_numpy(), part["block"].to_numpy()
-        left, right = np.flatnonzero(of == k[0]), np.flatnonzero(of == k[1])
-        out = []
-        for start in range(0, len(left), 512):
-            a = left[start : start + 512]
-            s = x[a] @ x[right].T
+
+def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the sample, each the one furthest from those before it."""
+    if not len(sample):
+        return sample
+    at, far = [0], _apart(sample, sample[:1])[:, 0]
+    while len(at) < min(n, len(sample)) and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, _apart(sample, sample[at[-1:]])[:, 0])
+    return sample[at]
+
+
+def _vector_blocks(vectors: DataFrame, key: str, value: str, rows: int, size: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, pivot, lo, hi, ids binary, x binary): rows near the same pivot and at like distances stand together. The
+    pivots are fitted on at most ``SAMPLE_ROWS`` rows."""
+    kept = vectors.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(value).cast("array<double>").alias("v"))
+    parts = max(1, -(-rows // size))
+    sample = _unit(kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"].combine_chunks())
+    pivots = _pivots(sample, min(PIVOTS, parts))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(batch.column(1))
+            x = np.hstack([x, np.zeros((len(x), max(0, pivots.shape[1] - x.shape[1])))])
+            far = _apart(x, pivots) if len(x) else np.zeros((0, len(pivots)))
+            at = far.argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(far[np.arange(len(x)), at]), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["pivot", "far", "id", "x"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(t: pa.Table) -> pa.RecordBatch:
+            far = t["far"].to_numpy()
+            return pa.RecordBatch.from_pylist([{"pivot": t["pivot"][0].as_py(), "lo": far.min(), "hi": far.max(), "ids": t["id"].to_numpy().tobytes(), "x": b"".join(t["x"].to_pylist())}], schema)
+
+        schema = pa.schema([("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("x", pa.binary())])
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while held.num_rows:
+                own = int(np.searchsorted(held["pivot"].to_numpy(), held["pivot"][0].as_py(), "right"))
+                if own == held.num_rows and own < size:
+                    break
+                yield block(held.slice(0, min(own, size)))
+                held = held.slice(min(own, size))
+        if held is not None and held.num_rows:
+            yield block(held)
+
+    ship(vectors.sparkSession)
+    near = kept.mapInArrow(placed, "pivot int, far double, id long, x binary")
+    dealt = near.repartitionByRange(parts, "pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
+    blocks = dealt.mapInArrow(packed, "pivot int, lo double, hi double, ids binary, x binary").withColumn("block", F.monotonically_increasing_id())
+    return written(blocks, "blocks"), pivots
+
+
+def _block_pairs(blocks: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
+    """(i, j) of the blocks, i <= j, that may hold a pair: distances to pivots bound those between rows."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    apart = _apart(pivots, pivots)
+    told = blocks.sparkSession.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "pivot_i int, pivot_j int, apart double")
+    i, j = (blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "lo", "hi"))) for k in "ij")
+    bound = F.greatest(F.col("apart") - F.col("hi_i") - F.col("hi_j"), F.col("lo_i") - F.col("apart") - F.col("hi_j"), F.col("lo_j") - F.col("apart") - F.col("hi_i"))
+    # vectors without a direction are at the origin, not on the sphere; they have no similar ones
+    return i.join(F.broadcast(told), "pivot_i").join(j, "pivot_j").where((F.col("i") <= F.col("j")) & (bound <= reach)).select("i", "j")
+
+
+def _cosine(vectors: DataFrame, least: float, key: str, value: str, size: int, links: bool) -> DataFrame:
+    blocks, pivots = _vector_blocks(vectors, key, value, vectors.count(), size)
+    if not len(pivots):
+        return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    pairs = _block_pairs(blocks, pivots, least)
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(blocks.select("block", "ids", "x"), "block")
+
+    def compare(t: pa.Table) -> pa.Table:
+        own = t["i"][0].as_py() == t["j"][0].as_py()
+        side = {r["block"]: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64)) for r in t.select(["block", "ids", "x"]).to_pylist()}
+        (p, x), (q, y) = side[t["i"][0].as_py()], side[t["j"][0].as_py()]
+        x, y = x.reshape(len(p), -1), y.reshape(len(q), -1)
+        x, y = (np.hstack([v, np.zeros((len(v), max(x.shape[1], y.shape[1]) - v.shape[1]))]) for v in (x, y))
+        out, forest = [], np.arange(len(p) + (0 if own else len(q)))
+        for start in range(0, len(p), 512):
+            s = x[start : start + 512] @ y.T
             r, c = np.nonzero(s >= least)
-            p, q = ids[a[r]], ids[right[c]]
-            ok = p < q if k[0] == k[1] else p != q
-            out.append(pd.DataFrame({"a": np.minimum(p, q)[ok], "b": np.maximum(p, q)[ok], "similarity": s[r, c][ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0], "similarity": np.zeros(0)})
+            r = r + start
+            once = p[r] < q[c] if own else p[r] != q[c]
+            r, c = r[once], c[once]
+            if links:
+                forest = _merged(forest, r, c + (0 if own else len(p)))
+            else:
+                out.append((np.minimum(p[r], q[c]), np.maximum(p[r], q[c]), s[r - start, c]))
+        if links:
+            nodes, moved = p if own else np.concatenate([p, q]), np.flatnonzero(forest != np.arange(len(forest)))
+            out = [(nodes[moved], nodes[forest[moved]], np.ones(len(moved)))]
+        a, b, s = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 3))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    return sides.groupBy("i", "j").applyInArrow(compare, "a long, b long, similarity double")
+
+
+def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, similarity) with a < b of vectors with a cosine of ``least`` (above 0) or more; keys are whole numbers.
+
+    Rows are packed once into blocks of neighbours, by nearest pivot and distance to it. Pairs of blocks that the
+    triangle inequality puts too far apart are never compared; each other one is a group of two rows, compared by a matrix
+    product, whatever the number of rows. Exact; in data without clusters all blocks are compared.
+    """
+    return _cosine(vectors, least, key, value, block, False)
 
-    return sides.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")
+
+def cosine_links(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): fewer links with the same components as the pairs; a pair of blocks gives a row of it at most one."""
+    return _cosine(vectors, least, key, value, block, True).select("a", "b")
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
     """(component, members) of the groups of linked rows; the component is the least member."""
     return components(edges).groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("members"))
-
-
-def picked(rows: DataFrame, group: str, score: str, seq: str) -> DataFrame:
-    """The best row of each group: the highest score, NaN lowest, the last one on ties."""
-    order = [F.isnan(score).asc(), F.desc(score), F.desc(seq)]
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_r = 1").drop("_r")

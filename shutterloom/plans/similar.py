@@ -50,8 +50,7 @@ def q_cosine_pairs(spark, sf_dir):
 
 
 def q_identity_clusters(spark, sf_dir):
-    edges = similar.cosine_pairs(_vectors(spark, sf_dir), COSINE).select("a", "b")
-    g = similar.groups_of(edges)
+    g = similar.groups_of(similar.cosine_links(_vectors(spark, sf_dir), COSINE))
     return g.select("component", F.array_join(F.array_sort(F.array_distinct(F.transform("members", lambda m: m % 50))), ",").alias("images"))
 
 

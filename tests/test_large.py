@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,53 @@ def test_hamming_pairs_and_links(spark, monkeypatch, most):
 def test_hashes_of_wide_radii_meet_no_more_often_than_there_are_pairs(spark):
     df = spark.range(100).selectExpr("id", "xxhash64(id) AS hash")
     assert "Join" not in similar.hamming_pairs(df, 18)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [6, 9, 10, 11])
+def test_balls_around_blocks_of_bits(spark, monkeypatch, most):
+    """Same pairs as all with all; in spread-out hashes few of them meet."""
+    rng = random.Random(most)
+    hashes = [rng.getrandbits(64) for _ in range(400)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))) for h in hashes[:150] for _ in range(2)] + hashes[:20]
+    rows = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "id long, hash long")
+    want = {(i, j, (g ^ h).bit_count()) for i, g in enumerate(hashes) for j, h in enumerate(hashes) if i < j and (g ^ h).bit_count() <= most}
+    spread = spark.createDataFrame([(i, rng.getrandbits(64) - (1 << 63)) for i in range(3000)], "id long, hash long")
+    itself = 3000 * (3 + 21 + 21 + 22)  # a hash meets itself on each point of its smaller balls
+    assert similar._meetings(*similar._balls(spread, most, "hash")) - itself < 0.01 * 3000**2
+    monkeypatch.setattr(similar, "BALL_ROWS", 1)
+    monkeypatch.setattr(similar, "MOST_MET", 1.0)
+    monkeypatch.setattr(similar, "_tiles", lambda *a: pytest.fail("balls are enough"))
+    got = [tuple(r) for r in similar.hamming_pairs(df, most).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_hot_blocks_of_bits_are_compared_whole(spark, monkeypatch):
+    """Where many hashes share a block, more would meet on it than there are pairs worth comparing."""
+    monkeypatch.setattr(similar, "BALL_ROWS", 1)
+    used = []
+    monkeypatch.setattr(similar, "_tiles", lambda rows, *a: used.append(1) or rows.selectExpr("id AS p", "id AS q", "0 AS distance"))
+    similar.hamming_pairs(spark.range(2000).selectExpr("id", "shiftleft(id, 44) AS hash"), 10)
+    assert used == [1]
+
+
+@pytest.mark.parametrize("least,spread", [(0.9, 0.05), (0.4, 0.3)])
+def test_cosine_by_blocks_of_neighbours(spark, monkeypatch, least, spread):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * spread for c in centres / np.linalg.norm(centres, axis=1)[:, None]]) * rng.uniform(0.1, 9, (720, 1))
+    rows = [(int(i), [float(v) for v in r]) for i, r in zip(rng.permutation(5000), x, strict=False)]
+    rows += [(9000, [0.0] * 16), (9001, [float("nan")] * 16), (9002, []), (9003, None), (9004, [1e200] * 16), (9005, rows[0][1])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i < 9000 or i == 9005]
+    want = {(min(i, j), max(i, j)) for a, (i, u) in enumerate(good) for j, v in good[a + 1 :] if u @ v >= least}
+    seen, own = [], similar._block_pairs
+    monkeypatch.setattr(similar, "_block_pairs", lambda blocks, *a: (seen.append((blocks.count(), (p := own(blocks, *a)).count())), p)[1])
+    got = similar.cosine_pairs(df, least, block=40).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    blocks, pairs = seen[0]
+    assert blocks >= 18 and (least < 0.5 or pairs < 0.4 * blocks * (blocks + 1) / 2)
+    members = lambda edges: {r.component: r.members for r in similar.groups_of(edges).collect()}
+    links = similar.cosine_links(df, least, block=40)
+    assert links.count() <= len(want) and members(links) == members(spark.createDataFrame(sorted(want), "a long, b long"))
+    assert similar.cosine_pairs(df.limit(0), least).collect() == []
