@@ -105,12 +105,18 @@ def validity(utc: Column, now: int) -> Column:
     )
 
 
-def candidates(found: list[tuple[Column, Column]], now: int) -> Column:
-    """Array of candidates from (source, utc) columns in their order; null times and rejected ones are
-    left out, and the rest is sorted by priority, time, and order."""
+def candidates(found: list[tuple[Column, Column]], now: int, more: Column | None = None) -> Column:
+    """Array of candidates from (source, utc) columns in their order, and from an array of (source, utc) after them; null
+    times and rejected ones are left out, and the rest is sorted by priority, time, and order. Sources that have no
+    priority of their own have that of sidecars."""
     ranks = F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair))
     rows = [F.when(utc.isNotNull(), F.struct(F.element_at(ranks, source).alias("priority"), utc.cast("bigint").alias("utc"), F.lit(i).alias("seq"), source.alias("source"), validity(utc, now).alias("validity"))) for i, (source, utc) in enumerate(found)]
-    return F.sort_array(F.filter(F.array_compact(F.array(*rows)), lambda c: ~c["validity"].startswith("Reject")))
+    every = F.array_compact(F.array(*rows))
+    if more is not None:
+        rank = lambda c: F.coalesce(F.try_element_at(ranks, c["source"]), F.lit(PRIORITY["XmpSidecar"]))
+        added = F.transform(more, lambda c, i: F.struct(rank(c).alias("priority"), c["utc"].cast("bigint").alias("utc"), (i + len(found)).alias("seq"), c["source"].alias("source"), validity(c["utc"], now).alias("validity")))
+        every = F.concat(every, F.coalesce(added, F.array().cast(f"array<{CANDIDATE}>")))
+    return F.sort_array(F.filter(every, lambda c: ~c["validity"].startswith("Reject")))
 
 
 def _first(items: Column) -> Column:

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from shutterloom.functions import faces
 from shutterloom.functions import images as I
 
 
@@ -50,7 +51,7 @@ class FakeTextDetector:
 
 @dataclass(frozen=True)
 class FakeFaceAnalyzer:
-    """Faces by path: dicts with is_blink and smile."""
+    """Faces by path: dicts with is_blink and smile, or with what these follow from: mesh, left_closed, right_closed."""
 
     faces: dict[str, list | Exception] = field(default_factory=dict)
 
@@ -73,26 +74,19 @@ class OnnxTextDetector:
 
 
 class OnnxFaceAnalyzer:
-    """Detector and embedder models in a row. Not done yet: mesh and eye-state models (faces have no is_blink
-    and smile), and suppression of boxes by ``overlap``."""
+    """Detector, embedder, mesh and eye-state models in a row; without an eye model eyes count as open. The models' files
+    are not part of this package, and only the numbers between them are tested (``functions.faces``)."""
 
-    POINTS = np.array([[38.2946, 51.6963], [73.5318, 51.5014], [56.0252, 71.7366], [41.5493, 92.3655], [70.7299, 92.2041]])
-
-    def __init__(self, detector: str, embedder: str, mesh: str, least: float = 0.5, overlap: float = 0.4):
+    def __init__(self, detector: str, embedder: str, mesh: str, eyes: str | None = None, least: float = 0.5, overlap: float = 0.4, eye_share: float = 0.1):
         self.detector, self.embedder, self.mesh = _needed(detector, "face detection"), _needed(embedder, "face embedding"), _needed(mesh, "face mesh")
-        self.least, self.overlap = least, overlap
+        self.eyes, self.least, self.overlap, self.eye_share = eyes, least, overlap, eye_share
 
-    def faces_of(self, path: str, rgb: np.ndarray) -> list[dict]:
+    def _detected(self, rgb: np.ndarray) -> np.ndarray:
         tensor, factor = I.letterboxed(rgb, 640, 128, 127.5, 128, False)
         outputs = sorted(_run(self.detector, tensor), key=lambda o: (o.shape[-1], -o.shape[-2]))
         scores, boxes, points = (dict(zip((8, 16, 32), outputs[i : i + 3], strict=True)) for i in (0, 3, 6))
-        out = []
-        for row in I.anchors_decoded(scores, boxes, points, 640, self.least, factor):
-            try:
-                face = I.warped(rgb, I.similarity_fit(row[5:].reshape(5, 2), self.POINTS), 112)
-                vector = _run(self.embedder, ((face.astype(np.float32) - 127.5) / 127.5).transpose(2, 0, 1)[None])[0].reshape(-1)
-            except ValueError:
-                continue
-            norm = float(np.linalg.norm(vector))
-            out.append({"score": float(row[0]), "embedding": (vector / norm if norm > np.finfo(np.float32).eps else vector).tolist()})
-        return out
+        return I.anchors_decoded(scores, boxes, points, 640, self.least, factor)
+
+    def faces_of(self, path: str, rgb: np.ndarray) -> list[dict]:
+        embed = lambda face: _run(self.embedder, ((face.astype(np.float32) - 127.5) / 127.5).transpose(2, 0, 1)[None])[0]
+        return faces.analyzed(rgb, self._detected, embed, lambda x: _run(self.mesh, x)[0], lambda x: _run(_needed(self.eyes, "eye state"), x)[0], self.overlap, self.eye_share)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterloom.session import shared_folder
+from shutterloom.functions.faces import kept_boxes
+from shutterloom.session import shared_folder, ship
 
 
 def without_blurry(rows: DataFrame, group: str, sharpness: str, least: float) -> DataFrame:
@@ -58,20 +59,10 @@ def suppressed(boxes: DataFrame, image: str, most: float) -> DataFrame:
     """Greedy non-maximum suppression within each image of (image, box, x1, y1, x2, y2, score)."""
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "box"], ascending=[False, True])
-        b, kept = part[["x1", "y1", "x2", "y2"]].to_numpy(), []
-        area = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
-        for i in range(len(b)):
-            if kept:
-                k = np.array(kept)
-                w = np.maximum(np.minimum(b[k, 2], b[i, 2]) - np.maximum(b[k, 0], b[i, 0]), 0)
-                h = np.maximum(np.minimum(b[k, 3], b[i, 3]) - np.maximum(b[k, 1], b[i, 1]), 0)
-                union = area[k] + area[i] - w * h
-                if (np.where(union > 0, w * h / np.where(union > 0, union, 1), 0) > most).any():
-                    continue
-            kept.append(i)
-        return part.iloc[kept]
+        part = part.sort_values("box")
+        return part.iloc[kept_boxes(part[["x1", "y1", "x2", "y2"]].to_numpy(), part["score"].to_numpy(), most)]
 
+    ship(boxes.sparkSession)
     return boxes.groupBy(image).applyInPandas(keep, boxes.schema)
 
 

@@ -31,6 +31,7 @@ from shutterloom.config import Config
 from shutterloom.functions import capture as C
 from shutterloom.functions import mime as M
 from shutterloom.functions import paths as P
+from shutterloom.functions import vectors as V
 from shutterloom.operators import archive, dedup, select, similar
 from shutterloom.operators.components import components
 from shutterloom.session import exists, written
@@ -109,6 +110,21 @@ def _heads(files: DataFrame, offset: int, fields: bool = True) -> DataFrame:
     return files.select("path", "size", "modified", "created").mapInPandas(run, FACTS)
 
 
+def _provided(files: DataFrame, providers: tuple) -> DataFrame:
+    """(path, provided array<struct<source, utc>>): what the providers say, each a table function joined laterally."""
+    found = files.sparkSession.createDataFrame([], "path string, source string, utc bigint")
+    for provider in providers:
+
+        class Candidates:
+            def eval(self, path, size, modified, provider=provider):
+                yield from provider(path, size, modified)
+
+        call = F.udtf(Candidates, returnType="source string, utc bigint")
+        part = files.lateralJoin(call(F.col("path").outer(), F.col("size").outer(), F.col("modified").outer()))
+        found = found.unionByName(part.select("path", "source", "utc"))
+    return found.where("source IS NOT NULL AND utc IS NOT NULL").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("source", "utc"))).alias("provided"))
+
+
 def _sidecar_times(files: DataFrame) -> DataFrame:
     """(path, xmp_utc, takeout_utc) of the files that have a sidecar of at most ``TEXT_BYTES`` beside them."""
 
@@ -196,7 +212,7 @@ def delete_script(groups: DataFrame, output: str | None) -> str:
     return "\n".join(lines) + "\n" if size is not None else ""
 
 
-def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Config, now: int, include_other: bool = False, dry_run: bool = False, listed: DataFrame | None = None) -> DataFrame:
+def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Config, now: int, include_other: bool = False, dry_run: bool = False, listed: DataFrame | None = None, providers: tuple = ()) -> DataFrame:
     """(path, action, target, reason, strong, there, bytes_read) of every source file: copy, ignore or fail.
 
     Archived files are opened only where a source has their size, and read whole like sources only where first
@@ -214,7 +230,7 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
     known = _identities(ours.unionByName(theirs), "identities")
     there = known.join(theirs.select("path"), "path", "left_semi").where("strong IS NOT NULL").select("size", "strong").distinct().withColumn("there", F.lit(True))
     met = known.join(ours.select("path"), "path", "left_semi").select("path", "strong", F.lit(True).alias("met"), F.col("bytes_read").alias("whole"))
-    facts = facts.join(_sidecar_times(files), "path", "left").join(met, "path", "left")
+    facts = facts.join(_sidecar_times(files), "path", "left").join(met, "path", "left").join(_provided(files, providers), "path", "left")
     name = P.file_name(F.col("path"))
     kind = M.mime_of(F.col("content"), F.regexp_extract(name, r"\.([^.]+)$", 1))
     rows = facts.join(there, ["size", "strong"], "left").withColumn("name", name).withColumn("mime", kind)
@@ -230,7 +246,7 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
         (F.lit("GoogleTakeoutJson"), F.col("takeout_utc")),
         (F.lit("FsMtime"), F.when(F.col("modified") >= 0, F.col("modified"))),
     ]
-    decision = C.decided(C.candidates(found, now), F.col("gps_utc"), F.col("modify_date"))
+    decision = C.decided(C.candidates(found, now, F.col("provided")), F.col("gps_utc"), F.col("modify_date"))
     when = F.timestamp_seconds(C.capture_time(decision["utc"], F.col("modified"), F.col("created"), config.exif.valid_date_time_secs) + offset)
     values = {"year": F.date_format(when, "yyyy"), "month": F.date_format(when, "MM"), "day": F.date_format(when, "dd"), "valuable_name": P.valuable_name(F.col("path")), "make": P.sanitized_segment(F.col("make")), "model": P.sanitized_segment(F.col("model"))}
     sub = P.rendered(config.copy.archive_template, values)
@@ -339,11 +355,11 @@ def _errors(failed: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows.select("path", "message", listing.error_kind(F.col("message")).alias("kind")).collect()]
 
 
-def copy(spark: SparkSession, sources: list[str], output: str, config: Config | None = None, now: int = 4_000_000_000, remove: bool = False, dry_run: bool = False, include_other: bool = False) -> tuple[Report, DataFrame]:
+def copy(spark: SparkSession, sources: list[str], output: str, config: Config | None = None, now: int = 4_000_000_000, remove: bool = False, dry_run: bool = False, include_other: bool = False, providers: tuple = ()) -> tuple[Report, DataFrame]:
     """Archive sources into the output by capture time; ``remove`` moves."""
     listing.ensure_outside(sources, output)
     listed = written(_listed(spark, sources, output), "listed")
-    plan = written(copy_plan(spark, sources, output, config or Config(), now, include_other, dry_run, listed), "plan")
+    plan = written(copy_plan(spark, sources, output, config or Config(), now, include_other, dry_run, listed, providers), "plan")
     read = plan.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     plan = plan.where("action <> 'note'")
     stats = dedup.scan_stats(listed.select("kind", "size", "status")).drop("indexed").first().asDict()
@@ -421,12 +437,14 @@ def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> Data
     if not roots:
         return spark.createDataFrame([], schema)
 
+    names = spark.createDataFrame([], schema).columns
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from shutterloom.functions import images as I
 
         for part in parts:
             rows = [measure(unquote(re.sub(r"^file:(//)?", local, origin)), I.from_image_row(data, *shape)) for origin, data, *shape in part.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     source = spark.read.format("image").option("pathGlobFilter", PHOTOS).option("recursiveFileLookup", True).option("dropInvalid", True).option("ignoreCorruptFiles", True)
     rows = source.load([r if "://" in r else f"file://{os.path.abspath(r)}" for r in roots]).select("image.origin", "image.data", "image.height", "image.width", "image.nChannels").mapInPandas(run, schema)
@@ -439,6 +457,20 @@ def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> Data
         spark.conf.set(limit, before)
 
 
+#: What an analyzer may say of a face; blinks and smiles follow from mesh and eyes where it does not give them.
+FACE_FIELDS = "is_blink boolean, smile double, left_closed double, right_closed double, mesh array<array<double>>"
+FACE = [c.split()[0] for c in FACE_FIELDS.split(", ")]
+NO_FACE = (False, *[None] * (len(FACE) - 1))
+
+
+def _judged(faces: DataFrame, face) -> DataFrame:
+    """(path, is_blink, smile, message) of faces, by the limits of the settings."""
+    eyes = [F.coalesce(c, F.lit(0.0)) for c in ("left_closed", "right_closed")]
+    mesh = F.coalesce("mesh", F.array().cast("array<array<double>>"))
+    blink = F.coalesce("is_blink", select.blink(V.eye_aspect_ratio(mesh), *eyes, face.ear_blink_max, face.eye_blink_score_max))
+    return faces.select("path", blink.alias("is_blink"), F.coalesce("smile", V.smile(mesh)).alias("smile"), "message")
+
+
 def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
     """Group similar images; copy the best of each group as BEST_, move the others to its folder.
 
@@ -477,9 +509,9 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
 
     def faces_in(path: str, rgb: np.ndarray) -> tuple[list[tuple], str | None]:
         try:
-            return [(bool(f.get("is_blink")), f.get("smile")) for f in (analyzer.faces_of(path, rgb) if analyzer else [])], None
+            return [tuple(f.get(k) for k in FACE) for f in (analyzer.faces_of(path, rgb) if analyzer else [])], None
         except Exception as e:  # noqa: BLE001  the image is then judged by sharpness alone
-            return [(False, None)], f"failed: {e}"
+            return [NO_FACE], f"failed: {e}"
 
     def photo(path: str, rgb: np.ndarray) -> tuple:
         return (path, I.phash(rgb), I.laplacian_variance(np.round(I.grey(rgb))), *faces_in(path, rgb))
@@ -491,14 +523,14 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
                 try:
                     found, message = faces_in(path, I.decode(read(path)))
                 except Exception as e:  # noqa: BLE001  gone or changed since the scan
-                    found, message = [(False, None)], f"failed: {e}"
+                    found, message = [NO_FACE], f"failed: {e}"
                 out += [(path, *f, message) for f in found]
-            yield pd.DataFrame(out, columns=["path", "is_blink", "smile", "message"], dtype=object)
+            yield pd.DataFrame(out, columns=["path", *FACE, "message"], dtype=object)
 
     files = _listed(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
     scanned = files.select("path", "size").mapInPandas(scan, "path string, hash bigint, sharpness double, message string")
     scanned = written(scanned, "scanned")
-    photos = _photos(spark, sources, photo, "path string, pixel_hash bigint, detail double, found array<struct<is_blink:boolean,smile:double>>, face_message string").join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
+    photos = _photos(spark, sources, photo, f"path string, pixel_hash bigint, detail double, found array<struct<{FACE_FIELDS.replace(" ", ":").replace(",:", ",")}>>, face_message string").join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
     pending = F.col("message") == "photo"
     message = F.when(pending & F.col("pixel_hash").isNotNull(), None).when(pending, "failed: the JPEG can't be decoded").otherwise(F.col("message"))
     scanned = scanned.join(photos.select("path", "pixel_hash", "detail"), "path", "left").select("path", F.coalesce("hash", "pixel_hash").alias("hash"), F.coalesce("sharpness", "detail").alias("sharpness"), message.alias("message"))
@@ -508,12 +540,12 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     groups = components(similar.hamming_links(images, face.phash_hamming_max)).select(F.col("node").alias("id"), "component")
     members = images.join(groups, "id").select("path", "sharpness", F.col("component").alias("group"))
     sharp = written(select.without_blurry(members, "group", "sharpness", face.sharpness_min), "sharp")
-    faces = spark.createDataFrame([], "path string, is_blink boolean, smile double, message string")
+    faces = spark.createDataFrame([], f"path string, {FACE_FIELDS}, message string")
     if analyzer:
         others = sharp.select("path").join(photos.select("path"), "path", "left_anti").mapInPandas(analyze, faces.schema)
         in_photos = photos.join(sharp.select("path"), "path", "left_semi").select("path", F.inline("found"), F.col("face_message").alias("message"))
         faces = others.unionByName(in_photos)
-    faces = written(faces, "faces")
+    faces = written(_judged(faces, face), "faces")
     rows = select.scored(sharp, faces.where("message IS NULL"), "path", face.w_sharpness, face.w_blink, face.w_smile)
     best = select.best_of(rows, "group", "total", "path").select("path", F.lit(True).alias("best"))
     names = select.group_names(rows.groupBy("group").agg(F.min("path").alias("first")), "first").select("group", "group_id")
