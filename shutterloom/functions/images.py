@@ -15,7 +15,7 @@ class UnreadableImage(ValueError):
 
 
 def decode(raw: bytes) -> np.ndarray:
-    """RGB pixels (height, width, 3) of a PNG (8 bits, not interlaced), BMP (24 or 32 bits) or PPM/PGM."""
+    """RGB pixels (height, width, 3) of a PNG, BMP (24 or 32 bits) or PPM/PGM."""
     try:
         if raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
@@ -36,48 +36,83 @@ def from_image_row(data: bytes, height: int, width: int, channels: int) -> np.nd
     return pixels[:, :, 2::-1] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, 2)
 
 
-def _png(raw: bytes) -> np.ndarray:
-    at, data, palette = 8, [], None
-    width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", raw[16:29])
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or interlace or channels is None:
-        raise UnreadableImage("only 8-bit PNG without interlacing")
-    while at + 8 <= len(raw):
-        n, name = struct.unpack(">I4s", raw[at : at + 8])
-        body = raw[at + 8 : at + 8 + n]
-        if name == b"IDAT":
-            data.append(body)
-        elif name == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        at += 12 + n
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * channels)
-    out, above = np.zeros((height, width * channels), np.uint8), np.zeros(width * channels, np.int64)
+#: The passes of interlaced PNG, as first column, first row, and steps.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(data: bytes, height: int, stride: int, back: int) -> np.ndarray:
+    """Rows of bytes of one pass; ``back`` is the distance to the byte that a filter takes as the one before."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, 1 + stride)
+    out, above = np.zeros((height, stride), np.uint8), np.zeros(stride, np.int64)
     for y in range(height):
-        filtered, line = rows[y, 1:].astype(np.int64), np.zeros(width * channels, np.int64)
-        kind_of_filter = rows[y, 0]
-        if kind_of_filter == 0:
+        filtered, line, kind = rows[y, 1:].astype(np.int64), np.zeros(stride, np.int64), rows[y, 0]
+        if kind == 0:
             line = filtered
-        elif kind_of_filter == 1:
-            line = np.cumsum(filtered.reshape(-1, channels), 0).reshape(-1) & 255
-        elif kind_of_filter == 2:
+        elif kind == 1:
+            padded = np.concatenate([filtered, np.zeros(-stride % back, np.int64)])
+            line = np.cumsum(padded.reshape(-1, back), 0).reshape(-1)[:stride] & 255
+        elif kind == 2:
             line = (filtered + above) & 255
-        elif kind_of_filter in (3, 4):
-            for x in range(width * channels):
-                a = line[x - channels] if x >= channels else 0
+        elif kind in (3, 4):
+            for x in range(stride):
+                a = line[x - back] if x >= back else 0
                 b = above[x]
-                if kind_of_filter == 3:
+                if kind == 3:
                     line[x] = (filtered[x] + (a + b) // 2) & 255
                 else:
-                    c = above[x - channels] if x >= channels else 0
+                    c = above[x - back] if x >= back else 0
                     p = a + b - c
                     near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
                     line[x] = (filtered[x] + near) & 255
         else:
             raise UnreadableImage("unknown PNG filter")
         out[y], above = line, line
-    pixels = out.reshape(height, width, channels)
+    return out
+
+
+def _samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
+    """(height, width, channels) of rows of bytes with so many bits a sample; 16 bits give their upper byte."""
+    if depth == 16:
+        return rows.reshape(len(rows), width, channels, 2)[..., 0]
+    if depth == 8:
+        return rows.reshape(len(rows), width, channels)
+    bits = np.unpackbits(rows, axis=1)[:, : rows.shape[1] * 8 // depth * depth].reshape(len(rows), -1, depth)
+    return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, : width * channels].reshape(len(rows), width, channels)
+
+
+def png_kind(raw: bytes) -> tuple[int, int]:
+    """(bits a sample, colour type) of a PNG's head."""
+    return (raw[24], raw[25]) if len(raw) > 25 else (0, 0)
+
+
+def _png(raw: bytes) -> np.ndarray:
+    at, data, palette = 8, [], None
+    width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", raw[16:29])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if depth not in (1, 2, 4, 8, 16) or interlace > 1 or channels is None:
+        raise UnreadableImage("no such PNG")
+    while at + 8 <= len(raw):
+        n, name = struct.unpack(">I4s", raw[at : at + 8])
+        body = raw[at + 8 : at + 8 + n]
+        if name == b"IDAT":
+            data.append(body)
+        elif name == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        at += 12 + n
+    whole, at = zlib.decompress(b"".join(data)), 0
+    pixels = np.zeros((height, width, channels), np.uint8)
+    for x0, y0, dx, dy in PASSES if interlace else ((0, 0, 1, 1),):
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        stride = -(-w * channels * depth // 8)
+        rows = _unfiltered(whole[at : at + h * (1 + stride)], h, stride, max(1, channels * depth // 8))
+        pixels[y0::dy, x0::dx] = _samples(rows, w, channels, depth)
+        at += h * (1 + stride)
     if kind == 3:
         return palette[pixels[:, :, 0]]
+    if depth < 8:
+        pixels = (pixels.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
     return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, :3]
 
 

@@ -64,8 +64,9 @@ class Report:
 
 
 ERRORS = 1000
-#: Names of the photos that Spark's image source decodes, and how many of them go to a Python worker at once.
-PHOTOS, PHOTO_ROWS = "*.[jJ]{[pP][gG],[pP][eE][gG],[pP][eE],[fF][iI][fF]}", 4
+#: Endings and media types of the pictures that Spark's image source decodes, and how many of them go to a Python worker at once.
+ENDINGS, PICTURES, PHOTO_ROWS = ("jpg", "jpeg", "jpe", "jfif", "png", "gif", "tif", "tiff", "bmp"), ("image/jpeg", "image/png", "image/gif", "image/tiff", "image/bmp"), 4
+PHOTOS = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ENDINGS) + "}"
 FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, bytes_read bigint, error string"
 
 
@@ -426,7 +427,7 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
 
 
 def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> DataFrame:
-    """(path, ...) that ``measure`` gives for path and pixels of each JPEG file below the roots.
+    """(path, ...) that ``measure`` gives for path and pixels of each picture below the roots.
 
     The JVM decodes them, in Spark's image source; files that it can't decode are left out. Pixels go to
     Python in small batches and are never shuffled. Names that begin with ``_`` or ``.`` are not listed by
@@ -474,8 +475,8 @@ def _judged(faces: DataFrame, face) -> DataFrame:
 def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
     """Group similar images; copy the best of each group as BEST_, move the others to its folder.
 
-    JPEG files are decoded by Spark's image source, and their faces are looked for in the same pass; other
-    images are decoded by the workers.
+    JPEG, PNG, GIF, TIFF and BMP files are decoded by Spark's image source, and their faces are looked for in the same
+    pass; images that it doesn't list, or whose grey values are no bytes, are decoded by the workers if they are PNG, BMP or PNM.
     """
     from shutterloom.functions import images as I
 
@@ -486,6 +487,12 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
         with stores.of(path).reader(path) as f:
             return f.read()
 
+    def in_source(path: str, mime: str, head: bytes) -> bool:
+        """Whether the image source lists and decodes a file; its grey values are bytes, so others are decoded here."""
+        name = path.rpartition("/")[2]
+        bits, kind = I.png_kind(head) if mime == "image/png" else (8, 0)
+        return mime in PICTURES and name[:1] not in "_." and name.rpartition(".")[2].lower() in ENDINGS and (bits == 8 or kind not in (0, 4))
+
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
@@ -493,12 +500,12 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
                 try:
                     if size > face.max_image_bytes:
                         raise ValueError("the file is too large")
-                    src, mime, _ = _opened(path)
+                    src, mime, head = _opened(path)
                     src.source.close()
                     if not mime.startswith("image/"):
                         out.append((path, None, None, "not an image"))
                         continue
-                    if mime == "image/jpeg":
+                    if in_source(path, mime, head):
                         out.append((path, None, None, "photo"))
                         continue
                     rgb = I.decode(read(path))
@@ -532,7 +539,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     scanned = written(scanned, "scanned")
     photos = _photos(spark, sources, photo, f"path string, pixel_hash bigint, detail double, found array<struct<{FACE_FIELDS.replace(" ", ":").replace(",:", ",")}>>, face_message string").join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
     pending = F.col("message") == "photo"
-    message = F.when(pending & F.col("pixel_hash").isNotNull(), None).when(pending, "failed: the JPEG can't be decoded").otherwise(F.col("message"))
+    message = F.when(pending & F.col("pixel_hash").isNotNull(), None).when(pending, "failed: the image can't be decoded").otherwise(F.col("message"))
     scanned = scanned.join(photos.select("path", "pixel_hash", "detail"), "path", "left").select("path", F.coalesce("hash", "pixel_hash").alias("hash"), F.coalesce("sharpness", "detail").alias("sharpness"), message.alias("message"))
     scanned = written(scanned.withColumn("id", F.xxhash64("path")), "images")
     images = scanned.where("message IS NULL")

@@ -359,3 +359,61 @@ def test_burst_of_copies_costs_a_link_each(spark, tmp_path, monkeypatch):
             put(f"{tmp_path}/in/{i:02d}.png", png(rgb))
         report, _ = flows.cull(spark, [f"{tmp_path}/in"], f"{tmp_path}/out", None, config.Config(face=config.Face(sharpness_min=1.0)))
     assert (report.counts["best_count"], report.counts["moved"]) == (1, 39)
+
+
+def interlaced(values, depth, kind, adam7):
+    """A PNG of (height, width, channels) samples, with each row's filter in turn."""
+    h, w, channels = values.shape
+    passes = images.PASSES if adam7 else ((0, 0, 1, 1),)
+    body = b""
+    for x0, y0, dx, dy in passes:
+        part = values[y0::dy, x0::dx]
+        if not part.size:
+            continue
+        if depth == 16:
+            rows = [r.reshape(-1).astype(">u2").tobytes() for r in part]
+        elif depth == 8:
+            rows = [r.astype(np.uint8).tobytes() for r in part]
+        else:
+            rows = [np.packbits(np.unpackbits(r.reshape(-1, 1).astype(np.uint8), axis=1)[:, 8 - depth :].reshape(-1)).tobytes() for r in part]
+        back, above = max(1, channels * depth // 8), bytes(len(rows[0]))
+        for y, row in enumerate(rows):
+            before = lambda i, r: r[i - back] if i >= back else 0
+            paeth = lambda a, b, c: min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            guess = [lambda i: 0, lambda i: before(i, row), lambda i: above[i], lambda i: (before(i, row) + above[i]) // 2, lambda i: paeth(before(i, row), above[i], before(i, above))][y % 5]
+            body += bytes([y % 5]) + bytes((row[i] - guess(i)) & 255 for i in range(len(row)))
+            above = row
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    palette = chunk(b"PLTE", bytes(range(48)) * 16) if kind == 3 else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, adam7)) + palette + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_png_of_all_kinds():
+    rnd = np.random.default_rng(9)
+    for kind, channels, depths in ((0, 1, (1, 2, 4, 8, 16)), (2, 3, (8, 16)), (3, 1, (1, 2, 4, 8)), (4, 2, (8, 16)), (6, 4, (8, 16))):
+        for depth in depths:
+            for h, w in ((1, 1), (3, 5), (9, 13)):
+                for adam7 in (0, 1):
+                    values = rnd.integers(0, 1 << depth, (h, w, channels))
+                    got = images.decode(interlaced(values, depth, kind, adam7))
+                    if kind == 3:
+                        want = np.frombuffer(bytes(range(48)) * 16, np.uint8).reshape(-1, 3)[values[:, :, 0]]
+                    else:
+                        scaled = values >> 8 if depth == 16 else values * 255 // ((1 << depth) - 1)
+                        want = np.repeat(scaled[:, :, :1], 3, 2) if channels < 3 else scaled[:, :, :3]
+                    assert (got == want).all(), (kind, depth, h, w, adam7)
+
+
+def test_cull_decodes_pictures_of_many_kinds(spark, tmp_path):
+    """GIF, TIFF, BMP and interlaced PNG by Spark's image source; grey PNG of 16 bits and hidden names by the workers."""
+    src = f"{tmp_path}/in"
+    base = np.clip(images.resized(np.random.default_rng(4).integers(0, 255, (8, 8, 3)), 64, 64), 0, 255).astype(np.uint8)
+    put(f"{src}/a.png", png(base)), put(f"{src}/_hidden.png", png(base))
+    put(f"{src}/inter.png", interlaced(base.astype(int), 8, 2, 1)), put(f"{src}/deep.png", interlaced(base.astype(int) * 257, 16, 2, 0))
+    io, file = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.File
+    for kind in ("gif", "tif", "bmp"):
+        assert io.write(io.read(file(f"{src}/a.png")), kind, file(f"{src}/x.{kind}"))
+    put(f"{src}/grey.png", interlaced(images.grey(base).astype(int)[:, :, None] * 257, 16, 0, 1)), put(f"{src}/bad.tiff", b"II*\0rest"), put(f"{src}/w.webp", b"RIFF0000WEBPVP8 ")
+    report, _ = flows.cull(spark, [src], f"{tmp_path}/out", None, config.Config(face=config.Face(sharpness_min=1.0)))
+    assert {os.path.basename(e["path"]) for e in report.errors} == {"bad.tiff", "w.webp"}
+    assert (report.counts["grouped"], report.counts["moved"]) == (8, 7)
