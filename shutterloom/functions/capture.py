@@ -6,6 +6,8 @@ whatever the number of files. ``now`` is always a parameter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,10 +68,14 @@ def offset_secs(hours: int) -> int:
     return hours * 3600 if -23 <= hours <= 23 else 0
 
 
-def ascii_time(text: Column, offset: int = 0) -> Column:
-    """``YYYY:MM:DD HH:MM:SS`` in local time to epoch seconds; null unless positive."""
-    secs = epoch(text, "yyyy:MM:dd HH:mm:ss") - offset
-    return F.when(secs > 0, secs)
+def _may_match(stem: Column, pattern: str) -> Column:
+    """A test without a regular expression, which most names fail: how the pattern begins, how long a match is, or
+    that there is a dash."""
+    if literal := re.match(r"\^([A-Za-z_ ]+)", pattern):
+        return stem.startswith(literal[1])
+    if pattern.endswith("$"):
+        return F.length(stem) == (13 if "{13}" in pattern else 15)
+    return F.contains(stem, F.lit("-")) if "-" in pattern.split("(", 2)[-1] and " " in pattern else F.length(stem) >= 8
 
 
 def filename_time(stem: Column, offset: int = 0) -> Column:
@@ -85,7 +91,7 @@ def filename_time(stem: Column, offset: int = 0) -> Column:
             utc = F.get(F.array_compact(_times(stem, pattern, fmt)), F.lit(0)) - offset
         else:
             utc = epoch(F.nullif(F.regexp_extract(stem, pattern, 1), F.lit("")), fmt) - offset
-        found.append(utc.cast("bigint") * 16 + k)
+        found.append(F.when(_may_match(stem, pattern), utc.cast("bigint") * 16 + k))
     sources = F.array(*(F.lit(source) for source, *_ in NAME_PATTERNS))
     unpacked = lambda x: F.struct(F.get(sources, x.bitwiseAND(F.lit(15)).cast("int")).alias("source"), F.shiftright(x, 4).alias("utc"))
     return _first(F.transform(F.array_compact(F.array(F.coalesce(*found))), unpacked))

@@ -189,6 +189,12 @@ def shown(loc: Column) -> Column:
     )
 
 
+def with_path(loc: Column, path: Column) -> Column:
+    """The location with another path; scheme and connection stay."""
+    return loc.withField("path", path)
+
+
 def joined(loc: Column, child: Column) -> Column:
-    """Location of a child name."""
-    return loc.withField("path", F.concat(F.regexp_replace(loc["path"], "/+$", ""), F.lit("/"), child))
+    """Location of a child name, or of several with slashes between; a path that is empty gives the child alone."""
+    base = loc["path"]
+    return with_path(loc, F.when(base == "", child).when(base.endswith("/"), F.concat(base, child)).otherwise(F.concat(base, F.lit("/"), child)))

@@ -130,11 +130,16 @@ def tree(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
 local_tree = tree
 
 
+def canonical_prefix(path: str) -> str:
+    """A path as prefixes are compared: links resolved and made absolute, addresses with single slashes."""
+    return stores.of(path).root(path)
+
+
 def ensure_outside(sources: list[str], output: str) -> None:
     """A source must not lie in the output."""
-    out = stores.of(output).root(output)
+    out = canonical_prefix(output)
     for s in sources:
-        real = stores.of(s).root(s)
+        real = canonical_prefix(s)
         if real == out or real.startswith(out.rstrip("/") + "/"):
             raise ValueError(f"source {s} lies in the output {output}")
 
