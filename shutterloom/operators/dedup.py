@@ -27,7 +27,8 @@ def hashed(files: DataFrame, secure: bool = True) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """(size, strong, n, paths) of groups of two or more, the largest size first."""
+    """(size, strong, n, paths) of groups of two or more, the largest size first: a report, with a list of paths a row.
+    What follows from groups takes :func:`classes`."""
     groups = files.groupBy("size", "strong").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
     return groups.where("n > 1").orderBy(F.desc("size"), "paths")
 
@@ -60,16 +61,22 @@ def except_prefix(files: DataFrame, prefix: str) -> DataFrame:
     return files.where(~under_prefix(F.col("path"), prefix))
 
 
-def delete_plan(groups: DataFrame, output: str | None) -> DataFrame:
-    """(size, path, action, is_survivor) of each member of the groups.
+def classes(files: DataFrame, *more: Column) -> DataFrame:
+    """(size, strong, n, first_path, more aggregates) of contents that two or more files have; a row each, whatever
+    the number of files."""
+    of = files.groupBy("size", "strong").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), *more)
+    return of.where("n > 1")
+
+
+def delete_plan(files: DataFrame, output: str | None) -> DataFrame:
+    """(size, path, action, is_survivor) of each of the files (size, strong, path) that has equals.
 
     Without an output folder nothing is deleted. Members below it are kept and the others deleted; if
-    none lies below it, the first one survives.
+    none lies below it, the first one survives. Members meet their class in a join, so no list of them is ever made.
     """
     below = under_prefix(F.col("path"), output) if output else F.lit(False)
-    anywhere = F.exists("paths", lambda p: under_prefix(p, output)) if output else F.lit(False)
-    rows = groups.select("size", anywhere.alias("some"), F.posexplode("paths").alias("i", "path"))
-    survivor = F.lit(bool(output)) & ~F.col("some") & (F.col("i") == 0)
+    rows = files.select("size", "strong", "path").join(classes(files, F.bool_or(below).alias("some")), ["size", "strong"])
+    survivor = F.lit(bool(output)) & ~F.col("some") & (F.col("path") == F.col("first_path"))
     keep = F.lit(not output) | below | survivor
     return rows.select("size", "path", F.when(keep, "keep").otherwise("delete").alias("action"), survivor.alias("is_survivor"))
 

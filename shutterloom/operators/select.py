@@ -28,14 +28,22 @@ def blink(aspect: Column, left: Column, right: Column, least_aspect: float = 0.2
     return F.coalesce(aspect < least_aspect, F.lit(False)) | (F.greatest(left, right) > most_closed)
 
 
-def scored(images: DataFrame, faces: DataFrame, key: str, w_sharpness: float = 1.0, w_blink: float = 2.0, w_smile: float = 0.5) -> DataFrame:
-    """Adds blinks, smile_avg and total to images (key, sharpness) from faces (key, is_blink, smile);
-    faces without a mesh have a null smile."""
-    per = faces.groupBy(key).agg(F.count_if("is_blink").alias("blinks"), F.avg("smile").alias("smile_avg"))
-    rows = images.join(per, key, "left").withColumn("blinks", F.coalesce("blinks", F.lit(0))).withColumn("smile_avg", F.coalesce("smile_avg", F.lit(0.0)))
+def face_counts(is_blink: str | Column = "is_blink", smile: str | Column = "smile") -> list[Column]:
+    """Aggregates of an image's faces: blinks and smile_avg; faces without a mesh have a null smile."""
+    return [F.count_if(is_blink).alias("blinks"), F.avg(smile).alias("smile_avg")]
+
+
+def with_total(rows: DataFrame, w_sharpness: float = 1.0, w_blink: float = 2.0, w_smile: float = 0.5) -> DataFrame:
+    """Adds total to images with sharpness, blinks and smile_avg; images without faces have none of either."""
+    rows = rows.withColumn("blinks", F.coalesce("blinks", F.lit(0))).withColumn("smile_avg", F.coalesce("smile_avg", F.lit(0.0)))
     return rows.withColumn("total", w_sharpness * F.col("sharpness") - w_blink * F.col("blinks") + w_smile * F.col("smile_avg"))
 
 
+def scored(images: DataFrame, faces: DataFrame, key: str, w_sharpness: float = 1.0, w_blink: float = 2.0, w_smile: float = 0.5) -> DataFrame:
+    """Adds blinks, smile_avg and total to images (key, sharpness) from faces (key, is_blink, smile)."""
+    return with_total(images.join(faces.groupBy(key).agg(*face_counts()), key, "left"), w_sharpness, w_blink, w_smile)
+
+
 def best_of(rows: DataFrame, group: str, score: str, seq: str) -> DataFrame:
     """The row of the highest score in each group; NaN is lowest, and the last one wins a tie."""
     order = [F.isnan(score).asc(), F.desc(score), F.desc(seq)]

@@ -33,12 +33,12 @@ def q_fast_bucket(spark, sf_dir):
 
 
 def q_dup_groups(spark, sf_dir):
-    groups = dedup.duplicate_groups(_hashed(spark, sf_dir))
+    groups = dedup.classes(_hashed(spark, sf_dir))
     return groups.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_files"), F.sum(F.col("size") * (F.col("n") - 1)).alias("redundant_bytes"), F.max("n").alias("largest"))
 
 
 def q_top_groups(spark, sf_dir):
-    return dedup.duplicate_groups(_hashed(spark, sf_dir)).select("size", "n", F.get("paths", F.lit(0)).alias("first_path")).orderBy(F.desc("size"), "first_path").limit(10)
+    return dedup.classes(_hashed(spark, sf_dir)).select("size", "n", "first_path").orderBy(F.desc("size"), "first_path").limit(10)
 
 
 def q_copy_new(spark, sf_dir):
@@ -73,7 +73,7 @@ def q_except_prefix(spark, sf_dir):
 
 
 def q_delete_plan(spark, sf_dir):
-    return dedup.delete_plan(dedup.duplicate_groups(_hashed(spark, sf_dir)), "/src1")
+    return dedup.delete_plan(_hashed(spark, sf_dir), "/src1")
 
 
 def q_bytes_read(spark, sf_dir):

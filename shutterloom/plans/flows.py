@@ -20,6 +20,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import wraps
 from urllib.parse import unquote
 
 import numpy as np
@@ -34,7 +35,7 @@ from shutterloom.functions import paths as P
 from shutterloom.functions import vectors as V
 from shutterloom.operators import archive, dedup, select, similar
 from shutterloom.operators.components import components
-from shutterloom.session import exists, written
+from shutterloom.session import exists, scratch, written
 from shutterloom.sources import formats, listing, stores
 from shutterloom.sources.pages import Pages
 
@@ -201,7 +202,8 @@ def find(spark: SparkSession, sources: list[str]) -> DataFrame:
 
 def delete_script(groups: DataFrame, output: str | None) -> str:
     """A Python script for review: a line for each member, live where the plan deletes it."""
-    rows = dedup.delete_plan(groups, output).withColumn("line", P.python_literal(F.col("path"))).orderBy(F.desc("size"), "path")
+    members = groups.select("size", "strong", F.explode("paths").alias("path"))
+    rows = dedup.delete_plan(members, output).withColumn("line", P.python_literal(F.col("path"))).orderBy(F.desc("size"), "path")
     lines, size = ["import os"], None
     for r in rows.toLocalIterator():
         if r["size"] != size:
@@ -356,6 +358,20 @@ def _errors(failed: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows.select("path", "message", listing.error_kind(F.col("message")).alias("kind")).collect()]
 
 
+def _cleaned(flow):
+    """A flow whose tables are deleted at its end, but for the one that it returns."""
+
+    @wraps(flow)
+    def run(*args, **settings):
+        with scratch() as made:
+            report, rows = flow(*args, **settings)
+            made.keep(rows)
+        return report, rows
+
+    return run
+
+
+@_cleaned
 def copy(spark: SparkSession, sources: list[str], output: str, config: Config | None = None, now: int = 4_000_000_000, remove: bool = False, dry_run: bool = False, include_other: bool = False, providers: tuple = ()) -> tuple[Report, DataFrame]:
     """Archive sources into the output by capture time; ``remove`` moves."""
     listing.ensure_outside(sources, output)
@@ -375,7 +391,7 @@ def copy(spark: SparkSession, sources: list[str], output: str, config: Config |
         others = applied(waiting, remove, dry_run).unionByName(applied(kept, False, dry_run))
     else:
         others = applied(ignored, False, dry_run)
-    done = originals.unionByName(written(others, "done"))
+    done = written(originals.unionByName(others), "done")
     return _report(done, stats, bytes_read=read, dry_run=dry_run, remove=remove, include_non_media=include_other), done
 
 
@@ -386,6 +402,7 @@ def _taken(spark: SparkSession, output: str | None) -> DataFrame:
     return _listed(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
 
 
+@_cleaned
 def move_text_shots(spark: SparkSession, sources: list[str], output: str, detector, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
     """Move images with text, keeping their path below the source."""
     listing.ensure_outside(sources, output)
@@ -472,6 +489,7 @@ def _judged(faces: DataFrame, face) -> DataFrame:
     return faces.select("path", blink.alias("is_blink"), F.coalesce("smile", V.smile(mesh)).alias("smile"), "message")
 
 
+@_cleaned
 def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, config: Config | None = None, dry_run: bool = False) -> tuple[Report, DataFrame]:
     """Group similar images; copy the best of each group as BEST_, move the others to its folder.
 
@@ -564,7 +582,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     plan = written(placed.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"), "group_id", "best", "total"), "plan")
     columns = ["path", "action", "target", "reason", "strong"]
     done = written(applied(plan.where("best").select(columns), False, dry_run).unionByName(applied(plan.where("NOT best").select(columns), True, dry_run)), "done")
-    result = done.join(plan.select("path", "group_id", "best", "total"), "path")
+    result = written(done.join(plan.select("path", "group_id", "best", "total"), "path"), "culled")
     many = members.groupBy("group").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     counts = {"scanned": scanned.count(), "grouped": sharp.count(), "best_count": plan.where("best").count(), "culled_count": plan.where("NOT best").count()}
     counts |= {"moved": 0 if dry_run else result.where("NOT best AND status = 'copied'").count(), "dropped_blurry": members.where(~(F.isnan("sharpness") | (F.col("sharpness") >= face.sharpness_min))).count() if many else 0, "dry_run": dry_run}

@@ -73,10 +73,11 @@ def q_blur_filter(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    images = rows.groupBy("burst", "seq").agg(F.max("sharpness").alias("sharpness")).select(F.struct("burst", "seq").alias("image"), "sharpness")
-    faces = rows.select(F.struct("burst", "seq").alias("image"), select.blink(F.col("l_discount") * 4, F.col("l_tax") * 8, F.lit(0.1)).alias("is_blink"), F.when(F.col("l_quantity") > 10, F.col("l_discount") * 10).alias("smile"))
-    return select.scored(images, faces, "image").select("image.burst", "image.seq", "blinks", "smile_avg", "total")
+    """A line is a face, lines of one image are its faces; both come from one table, so one aggregation has both."""
+    closed = select.blink(F.col("l_discount") * 4, F.col("l_tax") * 8, F.lit(0.1))
+    smile = F.when(F.col("l_quantity") > 10, F.col("l_discount") * 10)
+    images = _lines(spark, sf_dir).groupBy("burst", "seq").agg(F.max("sharpness").alias("sharpness"), *select.face_counts(closed, smile))
+    return select.with_total(images).select("burst", "seq", "blinks", "smile_avg", "total")
 
 
 def q_score(spark, sf_dir):

@@ -12,6 +12,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,9 +92,42 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shutterloom_path = path
+    if _OPEN:
+        _OPEN[-1].made.append(out)
     return out
 
 
+class Scratch:
+    """Tables that were written in a block; those that are not kept are deleted at its end."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t._shutterloom_path for t in tables if hasattr(t, "_shutterloom_path")}
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Deletes the tables that :func:`written` makes in the block, but for the kept ones; blocks may be nested, and an
+    inner one's kept tables are then the outer one's."""
+    own = Scratch()
+    _OPEN.append(own)
+    try:
+        yield own
+    finally:
+        _OPEN.remove(own)
+        for t in own.made:
+            if t._shutterloom_path not in own.kept:
+                dropped(t)
+            elif _OPEN:
+                _OPEN[-1].made.append(t)
+
+
+_OPEN: list[Scratch] = []
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` gave and nothing will read again."""
     for t in tables:
