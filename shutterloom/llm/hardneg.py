@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
-from shutterloom.session import written
+from shutterloom.session import scratch, written
 
 #: Pivots, and rows of the sample that they are fitted on.
 PIVOTS, SAMPLE_ROWS = 32, 4096
@@ -277,11 +277,21 @@ def hard_negatives(vectors: DataFrame, anchors: Column, key: str = "vec_id", vec
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for rows whose key
     satisfies ``anchors`` (an expression on column ``id``) and each of their first positives, the first rows of other
     labels that score ``low`` to ``high`` per cent of the positive."""
+    with scratch() as made:
+        far, band = _mined(vectors, anchors, key, vector, label, scale, positives, negatives, low, high)
+        made.keep(far, band)
+    out = far.join(band.select("anchor", "slot", "positive_id", "positive_score"), ["anchor", "slot"])
+    return out.select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+
+
+def _mined(vectors: DataFrame, anchors: Column, key: str, vector: str, label: str, scale: int, positives: int, negatives: int, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """Negatives by (anchor, slot), and what each slot's positive is."""
     spark = vectors.sparkSession
     rows = written(prepared(vectors, key, vector, label, scale), "vectors")
     told = rows.agg(F.max("norm2").alias("norm"), F.max(F.size("x")).alias("dims"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("widest")).first()
     if told["norm"] is None:
-        return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+        none = "group long, anchor long, slot int, score long, id long, rank int"
+        return spark.createDataFrame([], none), spark.createDataFrame([], "anchor long, slot int, positive_id long, positive_score long")
     if told["norm"] >= 1 << 51:
         raise ValueError("squared norms of 2^51 and more can't be multiplied exactly; lower the scale")
     space = _Space(told["dims"], float(told["norm"]), told["widest"] or 0)
@@ -300,5 +310,4 @@ def hard_negatives(vectors: DataFrame, anchors: Column, key: str = "vec_id", vec
     band = band.join(every.select("anchor", "norm2"), "anchor").withColumn("low", F.expr(f"({low} * positive_score + 99) div 100")).withColumn("high", F.expr(f"({high} * positive_score) div 100"))
     band = written(band, "band")
     far = _search(band.select("group", "anchor", "norm2", "slot", "low", "high"), ranked, blocks, groups, space, negatives, False)
-    out = far.join(band.select("anchor", "slot", "positive_id", "positive_score"), ["anchor", "slot"])
-    return out.select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return far, band

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.llm.common import by_batches
-from shutterloom.session import written
+from shutterloom.session import scratch, written
 
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 #: Words that a task counts before it passes the counts on.
@@ -128,9 +128,11 @@ def spelling_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", on
     the near word with the largest n, if that is ``times`` the word's n or more."""
     words = written(word_counts(docs, key, text, one_in, length).where(F.col("n") >= least), "words")
     best = F.min(F.struct((-F.col("n_b")).alias("n"), F.col("b").alias("word")))
-    near = near_pairs(words).groupBy("a").agg(F.count("*").alias("n_near"), best.alias("best"), F.first("n_a").alias("n_a"))
     strong = -F.col("best.n") >= times * F.col("n_a")
-    near = written(near.select(F.col("a").alias("word"), "n_near", F.when(strong, F.col("best.word")).alias("form"), F.when(strong, -F.col("best.n")).alias("form_n")), "near")
+    with scratch() as made:
+        near = near_pairs(words).groupBy("a").agg(F.count("*").alias("n_near"), best.alias("best"), F.first("n_a").alias("n_a"))
+        near = written(near.select(F.col("a").alias("word"), "n_near", F.when(strong, F.col("best.word")).alias("form"), F.when(strong, -F.col("best.n")).alias("form_n")), "near")
+        made.keep(near)
     roots = rooted(near.where("form is not null"))
     out = words.join(near, "word", "left").join(roots, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
