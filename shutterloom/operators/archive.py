@@ -28,10 +28,10 @@ def unique_names(files: DataFrame, taken: DataFrame, attempts: int = 10) -> Data
     Files of one name share its numbers out by one window. Only where a folder's files want both a name
     and a numbered form of it (a.jpg and a_1.jpg) do they go through rounds.
     """
-    files = written(files.withColumn("family", _family(F.col("name"))), "named")
-    mixed = files.groupBy("dir", "family").agg(F.count_distinct("name").alias("names")).where("names > 1").select("dir", "family")
-    out = _by_window(files.join(mixed, ["dir", "family"], "left_anti").drop("family"), taken, attempts)
-    several = written(files.join(mixed, ["dir", "family"], "left_semi").drop("family"), "several")
+    family = Window.partitionBy("dir", "family")
+    named = files.withColumn("family", _family(F.col("name"))).withColumn("_mixed", F.min("name").over(family) != F.max("name").over(family))
+    out = _by_window(named.where("NOT _mixed").select(*files.columns), taken, attempts)
+    several = written(named.where("_mixed").select(*files.columns), "several")
     return out if several.isEmpty() else out.unionByName(_by_rounds(several, taken, attempts))
 
 

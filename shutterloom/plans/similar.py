@@ -133,7 +133,7 @@ def _boxes(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     at = lambda i: F.get("vector", F.lit(i)).cast("double")
     x, y = F.round(at(0) * 20), F.round(at(1) * 20)
-    return v.select((F.col("id") % 40).alias("image"), F.col("id").alias("box"), x.alias("x1"), y.alias("y1"), (x + 8).alias("x2"), (y + 8).alias("y2"), at(2).alias("score"))
+    return v.select(F.floor(F.col("id") / 25).alias("image"), F.col("id").alias("box"), x.alias("x1"), y.alias("y1"), (x + 8).alias("x2"), (y + 8).alias("y2"), at(2).alias("score"))
 
 
 def q_nms(spark, sf_dir):
@@ -176,7 +176,7 @@ ORACLES = {
     "q_laplacian": """WITH p AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)),
         l AS (SELECT p.id, n.v + s.v + w.v + e.v - 4 * p.v AS d FROM p JOIN p n ON n.id = p.id AND n.x = p.x AND n.y = (p.y + 7) % 8 JOIN p s ON s.id = p.id AND s.x = p.x AND s.y = least(p.y + 1, 7)
         JOIN p w ON w.id = p.id AND w.y = p.y AND w.x = (p.x + 7) % 8 JOIN p e ON e.id = p.id AND e.y = p.y AND e.x = least(p.x + 1, 7)) SELECT id, round(greatest(0.0, avg(d * d) - avg(d) * avg(d)), 6) AS sharpness FROM l GROUP BY id""",
-    "q_nms": """WITH RECURSIVE b AS (SELECT vec_id % 40 AS image, vec_id AS box, round(CAST(embedding[1] AS DOUBLE) * 20) AS x, round(CAST(embedding[2] AS DOUBLE) * 20) AS y, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY CAST(embedding[3] AS DOUBLE) DESC, vec_id) AS r FROM embeddings),
+    "q_nms": """WITH RECURSIVE b AS (SELECT vec_id // 25 AS image, vec_id AS box, round(CAST(embedding[1] AS DOUBLE) * 20) AS x, round(CAST(embedding[2] AS DOUBLE) * 20) AS y, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY CAST(embedding[3] AS DOUBLE) DESC, vec_id) AS r FROM embeddings),
         o AS (SELECT p.image, p.r AS hi, q.r AS lo FROM b p JOIN b q ON q.image = p.image AND q.r > p.r WHERE greatest(8 - abs(p.x - q.x), 0) * greatest(8 - abs(p.y - q.y), 0) / (128 - greatest(8 - abs(p.x - q.x), 0) * greatest(8 - abs(p.y - q.y), 0)) > 0.4),
         s AS (SELECT image, 1 AS r, [1] AS kept FROM b WHERE r = 1 UNION ALL SELECT s.image, s.r + 1, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.image = s.image AND o.lo = s.r + 1 AND list_contains(s.kept, o.hi)) THEN s.kept ELSE list_append(s.kept, CAST(s.r + 1 AS INTEGER)) END FROM s JOIN b ON b.image = s.image AND b.r = s.r + 1),
         f AS (SELECT image, arg_max(kept, r) AS kept FROM s GROUP BY image) SELECT b.image, b.box FROM b JOIN f ON f.image = b.image AND list_contains(f.kept, b.r)""",
