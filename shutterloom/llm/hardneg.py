@@ -39,7 +39,7 @@ PIVOTS, SAMPLE_ROWS = 32, 4096
 #: Rows of a block, anchors of a group, tasks that share a group's blocks, blocks of the first round (then
 #: WIDER times as many), and rows of a slice of products.
 BLOCK, GROUP, BUCKETS, FIRST, WIDER, SLICE = 2048, 8192, 16, 8, 8, 512
-#: Bounds are looser by this, for rounding.
+#: Bounds are looser by this, and by the rounding of distances.
 SLACK = 1e-3
 LEAST = -(1 << 62)
 
@@ -92,6 +92,8 @@ class _Space:
         self.kept = np.int16 if widest < 1 << 15 else np.int32 if widest < 1 << 31 else np.int64
         #: Sums of products stay below the largest squared norm, so they are exact in these numbers.
         self.product = np.float32 if norm < 1 << 24 else np.float64
+        #: Squares of distances are off by the size of the norms, which shows most in small ones.
+        self.slack = SLACK + 4 * float(np.sqrt((dims + 1) * 2.0**-52 * norm))
 
     def unpacked(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64), np.frombuffer(row["x"], self.kept).reshape(-1, self.dims)
@@ -195,7 +197,7 @@ class _Scan:
         far = self.far[self.of, row["pivot"]]
         bound = np.maximum(np.maximum(far - row["hi"], row["lo"] - far), 0)
         radius = np.sqrt(np.maximum(0, self.norms[self.of] + self.space.norm - 2.0 * np.maximum(self.low, -self.space.norm)))
-        live = np.flatnonzero((bound <= radius + SLACK) & (self.low <= self.high))
+        live = np.flatnonzero((bound <= radius + self.space.slack) & (self.low <= self.high))
         y = x.astype(self.space.product).T
         # among equal scores the smaller key, which comes first, is to be the larger number
         place = len(ids) - 1 - np.arange(len(ids))
@@ -265,7 +267,7 @@ def _search(wants: DataFrame, ranked: DataFrame, blocks: DataFrame, groups: Data
         # no product is below minus the largest squared norm
         radius = F.sqrt(F.greatest(F.lit(0.0), F.col("norm2") + F.lit(space.norm) - 2.0 * F.greatest(F.col("low").cast("double"), F.lit(-space.norm))))
         needs = written(left.where("low <= high").groupBy("group").agg(F.max(radius).alias("radius"), F.collect_list(F.struct("anchor", "slot", "low", "high")).alias("slots")), "needs")
-        ahead = ranked.where(F.col("rank") > first).join(needs.select("group", "radius"), "group").where(F.col("bound") <= F.col("radius") + SLACK)
+        ahead = ranked.where(F.col("rank") > first).join(needs.select("group", "radius"), "group").where(F.col("bound") <= F.col("radius") + space.slack)
         if ahead.isEmpty():
             return best
         found = _scanned(ahead.where(F.col("rank") <= last), blocks, groups, needs.select("group", "slots"), space, k, same)

@@ -132,7 +132,10 @@ def features(text: str | None, words: Words) -> list[float]:
     different = np.sort(words.table[np.unique(at[place[told]])][:, 1])[::-1]
     most = [*different[:2].tolist(), 0.0, 0.0][:2]
     letters = sum(map(len, tokens))
-    return [np.log1p(n), strong / n, (int(told.sum()) - strong) / n, np.log1p(strong), np.log1p(len(different)), *most, total[1] / n, near / n, len(you) / n, len(CAPITALS.findall(text)) / letters, total[0] / n, total[4] / n, total[5] / n, total[6] / n, int((x[:, 2] > 0).sum()) / n]
+    capitals, hidden = len(CAPITALS.findall(text)) / letters, int((x[:, 2] > 0).sum()) / n
+    shouted, weights, _, _, marks, runs, disguised = total / n
+    by_word = [np.log1p(n), strong / n, (int(told.sum()) - strong) / n, np.log1p(strong), np.log1p(len(different)), *most, weights]
+    return [*by_word, near / n, len(you) / n, capitals, shouted, marks, runs, disguised, hidden]
 
 
 def with_features(docs: DataFrame, key: str, text: str, lexicons: list[dict[str, float]], others: list[str] = [], fold: str | None = None) -> DataFrame:  # noqa: B006

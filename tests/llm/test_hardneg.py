@@ -55,7 +55,8 @@ def test_empty_and_large(spark):
     assert hardneg.hard_negatives(alone, F.col("id") % 100 == 0).collect() == []
     with pytest.raises(ValueError):
         hardneg.hard_negatives(spark.createDataFrame([(0, [1e30], 1)], "vec_id long, embedding array<float>, label int"), F.col("id") % 100 == 0)
-    big = [("x", i, [float(i * 9001 % 40000), float(i * 77 % 1000)], i % 3) for i in range(300)]
+    # nearly equal vectors of norms near the largest, whose distances are all rounding
+    big = [("x", i, [float(i * 9001 % 40000), float(i * 77 % 1000)], i % 3) for i in range(300)] + [("x", 1000 + i, [120_000.0 + i / 128, 110_000.0], i % 2) for i in range(120)]
     df = spark.createDataFrame(big, SCHEMA)
     assert {tuple(r) for r in hardneg.hard_negatives(df, F.col("id") % 100 == 0).collect()} == brute(big)
 
