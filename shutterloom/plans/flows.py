@@ -20,12 +20,12 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import wraps
+from functools import reduce, wraps
 from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.config import Config
@@ -273,7 +273,8 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
     ignored = rest.select("path", F.when(F.col("reason") == "unreadable", "fail").otherwise("ignore").alias("action"), F.lit(None).cast("string").alias("target"), "reason", *carried)
     # what was read of the archive, in a row of its own
     opened = same_size.select(F.coalesce("bytes_read", F.lit(0)).alias("n")).unionByName(known.join(theirs.select("path"), "path", "left_semi").select(F.col("bytes_read").alias("n")))
-    note = opened.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes_read")).select(F.lit(None).cast("string").alias("path"), F.lit("note").alias("action"), F.lit(None).cast("string").alias("target"), F.lit("archive").alias("reason"), F.lit(None).cast("string").alias("strong"), F.lit(False).alias("there"), "bytes_read")
+    note = opened.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes_read"))
+    note = note.select(_no_text("path"), F.lit("note").alias("action"), _no_text("target"), F.lit("archive").alias("reason"), _no_text("strong"), F.lit(False).alias("there"), "bytes_read")
     return ok.unionByName(ignored).unionByName(note)
 
 
@@ -395,6 +396,17 @@ def copy(spark: SparkSession, sources: list[str], output: str, config: Config |
     return _report(done, stats, bytes_read=read, dry_run=dry_run, remove=remove, include_non_media=include_other), done
 
 
+def _no_text(name: str) -> Column:
+    return F.lit(None).cast("string").alias(name)
+
+
+def _target_plan(placed: DataFrame, *more: str) -> DataFrame:
+    """(path, action, target, reason, strong, more) of files with a folder and a name in it, if one was free."""
+    free = F.col("target_name").isNotNull()
+    action, target = F.when(free, "copy").otherwise("fail"), F.concat("dir", F.lit("/"), "target_name")
+    return placed.select("path", action.alias("action"), target.alias("target"), _no_text("reason"), _no_text("strong"), *more)
+
+
 def _taken(spark: SparkSession, output: str | None) -> DataFrame:
     """(dir, name) of the files that the output has."""
     if output is None or not stores.of(output).is_folder(output):
@@ -435,12 +447,19 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
     found = written(found.drop("below"), "shots")
     taken = _taken(spark, output)
     hits = archive.unique_names(found.where("found = 'hit'").select("path", "dir", P.file_name(F.col("path")).alias("name")), taken, config.copy.unique_name_max_attempts)
-    plan = hits.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"))
-    done = written(applied(written(plan, "plan"), True, dry_run), "done")
-    seen = found.agg(F.count("*").alias("scanned"), F.count_if(F.expr("found <> 'ignored' AND found <> 'failed'")).alias("image_files"), F.count_if(F.expr("found = 'hit'")).alias("ocr_hits"), F.count_if(F.expr("found = 'ignored'")).alias("skipped_non_image"), F.count_if(F.expr("found = 'no_text'")).alias("skipped_no_text"), F.count_if(F.expr("found = 'failed'")).alias("failed")).first().asDict()
+    done = written(applied(written(_target_plan(hits), "plan"), True, dry_run), "done")
+    counted = {
+        "image_files": "found <> 'ignored' AND found <> 'failed'",
+        "ocr_hits": "found = 'hit'",
+        "skipped_non_image": "found = 'ignored'",
+        "skipped_no_text": "found = 'no_text'",
+        "failed": "found = 'failed'",
+    }
+    seen = found.agg(F.count("*").alias("scanned"), *(F.count_if(F.expr(rule)).alias(name) for name, rule in counted.items())).first().asDict()
     moved = done.agg(F.count_if(F.expr("status = 'copied'")).alias("moved"), F.count_if(F.expr("status = 'failed'")).alias("failed")).first()
     seen |= {"moved": moved["moved"], "failed": seen["failed"] + moved["failed"], "dry_run": dry_run}
-    return Report(seen, _errors(found.where("found = 'failed'").select("path", "message").unionByName(done.where("status = 'failed'").select("path", "message")))), done
+    bad = found.where("found = 'failed'").select("path", "message").unionByName(done.where("status = 'failed'").select("path", "message"))
+    return Report(seen, _errors(bad)), done
 
 
 def _photos(spark: SparkSession, roots: list[str], measure, schema: str) -> DataFrame:
@@ -555,7 +574,9 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     files = _listed(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
     scanned = files.select("path", "size").mapInPandas(scan, "path string, hash bigint, sharpness double, message string")
     scanned = written(scanned, "scanned")
-    photos = _photos(spark, sources, photo, f"path string, pixel_hash bigint, detail double, found array<struct<{FACE_FIELDS.replace(" ", ":").replace(",:", ",")}>>, face_message string").join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
+    per_face = FACE_FIELDS.replace(", ", ",").replace(" ", ":")
+    photos = _photos(spark, sources, photo, f"path string, pixel_hash bigint, detail double, found array<struct<{per_face}>>, face_message string")
+    photos = photos.join(scanned.where("message = 'photo'").select("path"), "path", "left_semi")
     pending = F.col("message") == "photo"
     message = F.when(pending & F.col("pixel_hash").isNotNull(), None).when(pending, "failed: the image can't be decoded").otherwise(F.col("message"))
     scanned = scanned.join(photos.select("path", "pixel_hash", "detail"), "path", "left").select("path", F.coalesce("hash", "pixel_hash").alias("hash"), F.coalesce("sharpness", "detail").alias("sharpness"), message.alias("message"))
@@ -579,14 +600,18 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
     rows = rows.withColumn("dir", F.concat(F.lit(output.rstrip("/") + "/"), "group_id")).withColumn("name", name)
     taken = _taken(spark, None if dry_run else output)
     placed = archive.unique_names(rows.select("path", "dir", "name", "group_id", "best", "total"), taken)
-    plan = written(placed.select("path", F.when(F.col("target_name").isNull(), "fail").otherwise("copy").alias("action"), F.concat("dir", F.lit("/"), "target_name").alias("target"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("strong"), "group_id", "best", "total"), "plan")
+    plan = written(_target_plan(placed, "group_id", "best", "total"), "plan")
     columns = ["path", "action", "target", "reason", "strong"]
-    done = written(applied(plan.where("best").select(columns), False, dry_run).unionByName(applied(plan.where("NOT best").select(columns), True, dry_run)), "done")
+    kept, culled = applied(plan.where("best").select(columns), False, dry_run), applied(plan.where("NOT best").select(columns), True, dry_run)
+    done = written(kept.unionByName(culled), "done")
     result = written(done.join(plan.select("path", "group_id", "best", "total"), "path"), "culled")
     many = members.groupBy("group").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     counts = {"scanned": scanned.count(), "grouped": sharp.count(), "best_count": plan.where("best").count(), "culled_count": plan.where("NOT best").count()}
-    counts |= {"moved": 0 if dry_run else result.where("NOT best AND status = 'copied'").count(), "dropped_blurry": members.where(~(F.isnan("sharpness") | (F.col("sharpness") >= face.sharpness_min))).count() if many else 0, "dry_run": dry_run}
-    bad = scanned.where("message LIKE 'failed%'").select("path", "message").unionByName(faces.where("message IS NOT NULL").select("path", "message")).unionByName(done.where("status = 'failed'").select("path", "message"))
+    blurry = ~(F.isnan("sharpness") | (F.col("sharpness") >= face.sharpness_min))
+    counts["moved"] = 0 if dry_run else result.where("NOT best AND status = 'copied'").count()
+    counts |= {"dropped_blurry": members.where(blurry).count() if many else 0, "dry_run": dry_run}
+    failed = [scanned.where("message LIKE 'failed%'"), faces.where("message IS NOT NULL"), done.where("status = 'failed'")]
+    bad = reduce(DataFrame.unionByName, (rows.select("path", "message") for rows in failed))
     counts["failed"] = bad.count()
     return Report(counts, _errors(bad)), result
 
