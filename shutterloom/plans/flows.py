@@ -71,7 +71,8 @@ PHOTOS = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ENDIN
 FACTS = f"path string, size bigint, modified bigint, created bigint, content binary, {formats.SCHEMA}, bytes_read bigint, error string"
 
 
-def _listed(spark: SparkSession, roots: list[str], skip: str | None = None) -> DataFrame:
+def listed_tree(spark: SparkSession, roots: list[str], skip: str | None = None) -> DataFrame:
+    """Listing of several trees, one row for each path."""
     out = None
     for root in roots:
         part = listing.tree(spark, root, skip)
@@ -194,7 +195,7 @@ def _identities(prefixed: DataFrame, name: str) -> DataFrame:
 def find(spark: SparkSession, sources: list[str]) -> DataFrame:
     """(size, strong, n, paths) of equal files. Only files that share their size are opened, and only
     those that share their first 4 KiB too are read whole."""
-    files = _listed(spark, sources).where("kind = 'file' AND size > 0 AND status = 'ok'")
+    files = listed_tree(spark, sources).where("kind = 'file' AND size > 0 AND status = 'ok'")
     alike = files.join(files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "size")
     prefixed = written(_prefixed(_heads(alike, 0, False)), "heads")
     return dedup.duplicate_groups(_identities(prefixed, "identities").where("strong IS NOT NULL"))
@@ -223,7 +224,7 @@ def copy_plan(spark: SparkSession, sources: list[str], output: str, config: Conf
     """
     listing.ensure_outside(sources, output)
     offset = C.offset_secs(config.copy.timezone_offset_hours)
-    files = (listed if listed is not None else _listed(spark, sources, output)).where("kind = 'file' AND size > 0 AND status = 'ok'")
+    files = (listed if listed is not None else listed_tree(spark, sources, output)).where("kind = 'file' AND size > 0 AND status = 'ok'")
     own = written(_archived(spark, output), "archived")
     facts = written(_heads(files, offset), "facts")
     same_size = written(_heads(own.join(facts.select("size").distinct(), "size", "left_semi"), 0, False), "same_size")
@@ -282,7 +283,7 @@ def _archived(spark: SparkSession, output: str) -> DataFrame:
     """Listing of the files that the output has."""
     if not stores.of(output).is_folder(output):
         return spark.createDataFrame([], stores.SCHEMA)
-    return _listed(spark, [output]).where("kind = 'file' AND size > 0")
+    return listed_tree(spark, [output]).where("kind = 'file' AND size > 0")
 
 
 def transferred(source: str, target: str, strong: str | None, remove: bool) -> int:
@@ -376,7 +377,7 @@ def _cleaned(flow):
 def copy(spark: SparkSession, sources: list[str], output: str, config: Config | None = None, now: int = 4_000_000_000, remove: bool = False, dry_run: bool = False, include_other: bool = False, providers: tuple = ()) -> tuple[Report, DataFrame]:
     """Archive sources into the output by capture time; ``remove`` moves."""
     listing.ensure_outside(sources, output)
-    listed = written(_listed(spark, sources, output), "listed")
+    listed = written(listed_tree(spark, sources, output), "listed")
     plan = written(copy_plan(spark, sources, output, config or Config(), now, include_other, dry_run, listed, providers), "plan")
     read = plan.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     plan = plan.where("action <> 'note'")
@@ -411,7 +412,7 @@ def _taken(spark: SparkSession, output: str | None) -> DataFrame:
     """(dir, name) of the files that the output has."""
     if output is None or not stores.of(output).is_folder(output):
         return spark.createDataFrame([], "dir string, name string")
-    return _listed(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
+    return listed_tree(spark, [output]).where("kind = 'file'").select(P.parent(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
 
 
 @_cleaned
@@ -439,7 +440,7 @@ def move_text_shots(spark: SparkSession, sources: list[str], output: str, detect
 
     found = None
     for root in sources:
-        files = _listed(spark, [root], output).where("kind = 'file' AND size > 0 AND status = 'ok'").select("path")
+        files = listed_tree(spark, [root], output).where("kind = 'file' AND size > 0 AND status = 'ok'").select("path")
         part = files.mapInPandas(run, "path string, found string, message string")
         part = part.withColumn("below", F.substr("path", F.lit(len(stores.of(root).root(root).rstrip("/")) + 2)))
         part = part.withColumn("dir", F.when(F.instr("below", "/") > 0, F.concat(F.lit(output.rstrip("/") + "/"), P.parent(F.col("below")))).otherwise(output.rstrip("/")))
@@ -571,7 +572,7 @@ def cull(spark: SparkSession, sources: list[str], output: str, analyzer=None, co
                 out += [(path, *f, message) for f in found]
             yield pd.DataFrame(out, columns=["path", *FACE, "message"], dtype=object)
 
-    files = _listed(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
+    files = listed_tree(spark, sources, output).where("kind = 'file' AND size > 0 AND status = 'ok'")
     scanned = files.select("path", "size").mapInPandas(scan, "path string, hash bigint, sharpness double, message string")
     scanned = written(scanned, "scanned")
     per_face = FACE_FIELDS.replace(", ", ",").replace(" ", ":")
