@@ -40,6 +40,8 @@ SHARD_TOKENS = 1 << 20
 #: Words that an encoder holds at most, the longest of them, the characters of a text that it splits at
 #: once, and the bytes of texts that are encoded together.
 WORDS_HELD, LONGEST_HELD, PIECE, TOGETHER = 800_000, 64, 1 << 20, 1 << 22
+#: Words that the library sees as one text.
+JOINED = 500
 #: Fixed value: Unicode white space other than space and line break.
 WHITE = "\t\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK, BORDER = re.compile(f"[ \n{WHITE}]*[^ \n{WHITE}]+|[ \n{WHITE}]+"), re.compile(f"(?<=[^ \n{WHITE}])(?=[ \n{WHITE}])")
@@ -78,7 +80,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if planes <= 16 else np.uint32)
         out = [struct.pack("<4sIQI", MAGIC, planes, n, len(lengths)), np.asarray(lengths, "<u8").tobytes()]
         for bit in range(planes - 1, -1, -1):
-            ones = (now >> bit & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << bit)).astype(bool)
             packed = np.zeros(blocks * BLOCK // 8, np.uint8)
             packed[: -(-n // 8)] = np.packbits(ones)
             per_block = np.bitwise_count(packed.view("<u8")).reshape(blocks, BLOCK // 64).sum(1, dtype=np.int64)
@@ -191,19 +193,42 @@ class LibraryEncoder:
         self.letters = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
         self.border = self.letters[10]
         self.mapped.pre_tokenizer = pre_tokenizers.Split(self.border, "isolated")
+        self.border_id = self.mapped.token_to_id(self.border)
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
 
-    def _known(self, held: dict[str, bytes], limit: int, pieces: list[str], library, shown) -> list[bytes]:
-        """Ids of different pieces; those that are not held are shown to the library."""
+    @staticmethod
+    def _encoded(library, texts: list[str]) -> list[bytes]:
+        found = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in found]) * 4
+        raw = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4).tobytes()
+        return [raw[b - 4 * len(x) : b] for x, b in zip(found, ends.tolist(), strict=True)]
+
+    def _words_encoded(self, words: list[str]) -> list[bytes]:
+        """Words of letters, each after a space, many in one text: the border between them is a token of its own, which no
+        word holds, and tells where each one's ids end."""
+        mapped = lambda x: x.encode().decode("latin-1").translate(self.letters)
+        if self.border_id is None:
+            return self._encoded(self.mapped, mapped(" " + "\n ".join(words)).split(self.border))
+        out: list[bytes] = []
+        texts = [mapped(" " + "\n ".join(words[i : i + JOINED]) + "\n") for i in range(0, len(words), JOINED)]
+        for found in self.mapped.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for end in (np.flatnonzero(ids == self.border_id) * 4).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+        if len(out) != len(words):
+            raise ValueError("a word holds the border between words")
+        return out
+
+    def _known(self, held: dict[str, bytes], limit: int, pieces: list[str], encoded) -> list[bytes]:
+        """Ids of different pieces; those that are not held are encoded."""
         out = list(map(held.get, pieces))
         at = [i for i, x in enumerate(out) if x is None]
         if at:
             new = [pieces[i] for i in at]
-            found = [x.ids for x in library.encode_batch_fast(shown(new), add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in found]) * 4
-            raw = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4).tobytes()
-            ids = [raw[b - 4 * len(x) : b] for x, b in zip(found, ends.tolist(), strict=True)]
+            ids = encoded(new)
             for i, x in zip(at, ids, strict=True):
                 out[i] = x
             if len(held) + len(new) > limit:
@@ -213,11 +238,10 @@ class LibraryEncoder:
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, each after a space."""
-        mapped = lambda new: (" " + "\n ".join(new)).encode().decode("latin-1").translate(self.letters).split(self.border)
-        return self._known(self.words, WORDS_HELD, words, self.mapped, mapped)
+        return self._known(self.words, WORDS_HELD, words, self._words_encoded)
 
     def _of_others(self, pieces: list[str]) -> list[bytes]:
-        return self._known(self.others, WORDS_HELD // 4, pieces, self.library, list)
+        return self._known(self.others, WORDS_HELD // 4, pieces, lambda new: self._encoded(self.library, new))
 
     def _of_chunks(self, chunks: pa.Array) -> pa.Array:
         """Ids of different chunks: each after a space, or with the line break that it begins with."""
