@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ from shutterloom.functions.vectors import hamming
 from shutterloom.operators.components import components
 from shutterloom.session import ship, written
 
-#: Rows of a block of the cosine join: a task holds two blocks. Rows that its pivots are fitted on, and most pivots.
+#: Rows of a block of the cosine join. Rows that its pivots are fitted on, and most pivots.
 BLOCK_ROWS, SAMPLE_ROWS, PIVOTS = 4096, 4096, 32
+#: Stripes of blocks of the cosine join and bytes of vectors of one, beyond which there are more: a task holds two stripes.
+STRIPES, STRIPE_BYTES = 12, 1 << 26
 #: Rows of a block of hashes, those that make a second block worth while, blocks of a smaller table.
 HASHES, FEW_HASHES, LEAST_BLOCKS = 65_536, 2_048, 8
 #: Share of all pairs that bands or balls may let meet; beyond it, comparing all pairs takes less.
@@ -204,11 +207,25 @@ def _tiles(hashes: DataFrame, most: int, key: str, value: str, links: bool) -> D
     return pairs.mapInArrow(run, f"p {kind}, q {kind}, distance int")
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    """Vectors of length one; those without a finite direction become zeros."""
+def _rows(column: pa.Array) -> np.ndarray:
+    """Vectors as rows of one array; shorter ones end in zeros."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    if len(lengths) and not values.null_count and (lengths == lengths[0]).all():
+        return values.to_numpy().reshape(len(lengths), -1) if lengths[0] else np.zeros((len(lengths), 0))
     rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    x = np.array([[*r, *[0.0] * (width - len(r))] for r in rows], np.float64).reshape(len(rows), width)
+    return _padded([np.array(r, np.float64)[None] for r in rows])
+
+
+def _padded(parts: list[np.ndarray]) -> np.ndarray:
+    """Arrays below each other, as wide as the widest."""
+    width = max((p.shape[1] for p in parts), default=0)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts]) if parts else np.zeros((0, 0))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Vectors of length one; those without a finite direction become zeros."""
+    x = rows.astype(np.float64)
     with np.errstate(all="ignore"):
         norm = np.sqrt((x * x).sum(1))
         x = np.where(norm[:, None] > 0, x / norm[:, None], 0.0)
@@ -216,6 +233,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = np.split(_padded([x, y]), [len(x)])
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
 
 
@@ -230,26 +248,34 @@ def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[at]
 
 
+def _number(vectors: DataFrame, value: str) -> str:
+    """Type of the numbers of packed vectors: that of the column, if it is single precision."""
+    return "float" if vectors.schema[value].dataType.simpleString() == "array<float>" else "double"
+
+
 def _vector_blocks(vectors: DataFrame, key: str, value: str, rows: int, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(block, pivot, lo, hi, ids binary, x binary): rows near the same pivot and at like distances stand together. The
-    pivots are fitted on at most ``SAMPLE_ROWS`` rows."""
-    kept = vectors.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(value).cast("array<double>").alias("v"))
+    """(block, pivot, lo, hi, stripe, ids binary, x binary): rows near the same pivot and at like distances stand together,
+    as they are. A stripe is a run of blocks. The pivots are fitted on at most ``SAMPLE_ROWS`` rows."""
+    number = _number(vectors, value)
+    kind = np.dtype(np.float32 if number == "float" else np.float64)
+    kept = vectors.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(value).cast(f"array<{number}>").alias("v"))
     parts = max(1, -(-rows // size))
-    sample = _unit(kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"].combine_chunks())
-    pivots = _pivots(sample, min(PIVOTS, parts))
+    sample = _rows(kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"].combine_chunks())
+    pivots = _pivots(_unit(sample), min(PIVOTS, parts))
+    stripes = min(parts, max(STRIPES, -(-rows * sample.shape[1] * kind.itemsize // STRIPE_BYTES)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unit(batch.column(1))
-            x = np.hstack([x, np.zeros((len(x), max(0, pivots.shape[1] - x.shape[1])))])
-            far = _apart(x, pivots) if len(x) else np.zeros((0, len(pivots)))
+            x = _rows(batch.column(1)).astype(kind)
+            far = _apart(_unit(x), pivots)
             at = far.argmin(1)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(far[np.arange(len(x)), at]), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["pivot", "far", "id", "x"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(t: pa.Table) -> pa.RecordBatch:
-            far = t["far"].to_numpy()
-            return pa.RecordBatch.from_pylist([{"pivot": t["pivot"][0].as_py(), "lo": far.min(), "hi": far.max(), "ids": t["id"].to_numpy().tobytes(), "x": b"".join(t["x"].to_pylist())}], schema)
+            far, x = t["far"].to_numpy(), t["x"].to_pylist()
+            width = max(map(len, x))  # of the widest; zero bytes are zeros
+            return pa.RecordBatch.from_pylist([{"pivot": t["pivot"][0].as_py(), "lo": far.min(), "hi": far.max(), "ids": t["id"].to_numpy().tobytes(), "x": b"".join(r.ljust(width, b"\0") for r in x)}], schema)
 
         schema = pa.schema([("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("x", pa.binary())])
         held: pa.Table | None = None
@@ -268,65 +294,111 @@ def _vector_blocks(vectors: DataFrame, key: str, value: str, rows: int, size: in
     near = kept.mapInArrow(placed, "pivot int, far double, id long, x binary")
     dealt = near.repartitionByRange(parts, "pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
     blocks = dealt.mapInArrow(packed, "pivot int, lo double, hi double, ids binary, x binary").withColumn("block", F.monotonically_increasing_id())
-    return written(blocks, "blocks"), pivots
+    return written(blocks.withColumn("stripe", F.least(F.lit(stripes - 1), F.floor(F.shiftright("block", 33) * stripes / parts)).cast("int")), "blocks"), pivots
 
 
 def _block_pairs(blocks: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
-    """(i, j) of the blocks, i <= j, that may hold a pair: distances to pivots bound those between rows."""
+    """(i, j, stripe_i, stripe_j) of the blocks, i <= j, that may hold a pair: distances to pivots bound those between rows."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
     apart = _apart(pivots, pivots)
     told = blocks.sparkSession.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "pivot_i int, pivot_j int, apart double")
-    i, j = (blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "lo", "hi"))) for k in "ij")
+    i, j = (blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "lo", "hi", "stripe"))) for k in "ij")
     bound = F.greatest(F.col("apart") - F.col("hi_i") - F.col("hi_j"), F.col("lo_i") - F.col("apart") - F.col("hi_j"), F.col("lo_j") - F.col("apart") - F.col("hi_i"))
     # vectors without a direction are at the origin, not on the sphere; they have no similar ones
-    return i.join(F.broadcast(told), "pivot_i").join(j, "pivot_j").where((F.col("i") <= F.col("j")) & (bound <= reach)).select("i", "j")
+    return i.join(F.broadcast(told), "pivot_i").join(j, "pivot_j").where((F.col("i") <= F.col("j")) & (bound <= reach)).select("i", "j", "stripe_i", "stripe_j")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, similarity) of unit vectors that reach ``least``. Single precision, whose error is less than
+    the slack, finds them; double precision decides."""
+    slack = (x.shape[1] + 8) * 2.0**-23
+    single, other = x.astype(np.float32), y.astype(np.float32).T
+    room = np.empty((min(512, len(x)), len(y)), np.float32)
+    for start in range(0, len(x), 512):
+        part = x[start : start + 512]
+        near = np.matmul(single[start : start + 512], other, out=room[: len(part)])
+        r, c = np.divmod(np.flatnonzero(near >= least - slack), len(y))
+        if len(r) * 16 > len(part) * len(y):
+            s = (part @ y.T)[r, c]
+        else:
+            s = np.concatenate([np.einsum("ij,ij->i", part[r[k : k + 16_384]], y[c[k : k + 16_384]]) for k in range(0, max(1, len(r)), 16_384)])
+        kept = s >= least
+        yield r[kept] + start, c[kept], s[kept]
+
+
+def _sides(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(task, block, others, ids, x): tasks are pairs of stripes. A block goes once to each task that compares it, and so
+    to no more than there are stripes; others are the blocks to compare it with there."""
+    dealt = pairs.select((F.col("stripe_j") * (F.col("stripe_j") + 1) / 2 + F.col("stripe_i")).cast("int").alias("task"), "i", "j")
+    met = dealt.select("task", F.col("j").alias("block"), F.col("i").alias("other")).unionAll(dealt.select("task", "i", F.lit(None).cast("long")).distinct())
+    return met.groupBy("task", "block").agg(F.collect_list("other").alias("others")).join(blocks.select("block", "ids", "x"), "block").select("task", "block", "others", "ids", "x")
 
 
 def _cosine(vectors: DataFrame, least: float, key: str, value: str, size: int, links: bool) -> DataFrame:
     blocks, pivots = _vector_blocks(vectors, key, value, vectors.count(), size)
     if not len(pivots):
         return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    pairs = _block_pairs(blocks, pivots, least)
-    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(blocks.select("block", "ids", "x"), "block")
-
-    def compare(t: pa.Table) -> pa.Table:
-        own = t["i"][0].as_py() == t["j"][0].as_py()
-        side = {r["block"]: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64)) for r in t.select(["block", "ids", "x"]).to_pylist()}
-        (p, x), (q, y) = side[t["i"][0].as_py()], side[t["j"][0].as_py()]
-        x, y = x.reshape(len(p), -1), y.reshape(len(q), -1)
-        x, y = (np.hstack([v, np.zeros((len(v), max(x.shape[1], y.shape[1]) - v.shape[1]))]) for v in (x, y))
-        out, forest = [], np.arange(len(p) + (0 if own else len(q)))
-        for start in range(0, len(p), 512):
-            s = x[start : start + 512] @ y.T
-            r, c = np.nonzero(s >= least)
-            r = r + start
-            once = p[r] < q[c] if own else p[r] != q[c]
-            r, c = r[once], c[once]
-            if links:
-                forest = _merged(forest, r, c + (0 if own else len(p)))
-            else:
-                out.append((np.minimum(p[r], q[c]), np.maximum(p[r], q[c]), s[r - start, c]))
+    kind = np.float32 if _number(vectors, value) == "float" else np.float64
+    stripes = blocks.agg(F.max("stripe")).first()[0] + 1
+    sides = _sides(blocks, _block_pairs(blocks, pivots, least))
+
+    def table(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+    def compared(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        ids = {b: np.frombuffer(i, np.int64) for b, (_, i, _) in held.items()}
+        unit = lambda b: _unit(np.frombuffer(held[b][2], kind).reshape(len(ids[b]), -1))
+        nodes = np.unique(np.concatenate(list(ids.values()))) if links else np.zeros(0, np.int64)
+        at = {b: np.searchsorted(nodes, i) for b, i in ids.items()} if links else {}
+        forest, out, n = np.arange(len(nodes)), [], 0
+        for j, (others, _, _) in held.items():
+            y = unit(j) if others else None
+            for i in others:
+                if links and (forest[np.concatenate([at[i], at[j]])] == forest[at[j][0]]).all():
+                    continue  # linked by other pairs
+                x, z = np.split(_padded([unit(i), y]), [len(ids[i])])
+                for r, c, s in _similar(x, z, least):
+                    if links:
+                        forest = _merged(forest, at[i][r], at[j][c])
+                        continue
+                    p, q = ids[i][r], ids[j][c]
+                    once = p < q if i == j else p != q
+                    out.append((np.minimum(p, q)[once], np.maximum(p, q)[once], s[once]))
+                    n += len(s)
+                    if n >= 1 << 17:
+                        yield table(*map(np.concatenate, zip(*out, strict=True)))
+                        out, n = [], 0
         if links:
-            nodes, moved = p if own else np.concatenate([p, q]), np.flatnonzero(forest != np.arange(len(forest)))
-            out = [(nodes[moved], nodes[forest[moved]], np.ones(len(moved)))]
-        a, b, s = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else [()] * 3))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+            moved = np.flatnonzero(forest != np.arange(len(forest)))
+            out = [(nodes[forest[moved]], nodes[moved], np.ones(len(moved)))]
+        if out:
+            yield table(*map(np.concatenate, zip(*out, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks: dict[int, dict[int, tuple]] = {}
+        for batch in batches:
+            for task, block, others, ids, x in zip(*batch.columns, strict=True):
+                tasks.setdefault(task.as_py(), {})[block.as_py()] = others.as_py(), ids.as_buffer(), x.as_buffer()
+        for held in tasks.values():  # one, as each has a partition of its own
+            yield from compared(held)
 
-    return sides.groupBy("i", "j").applyInArrow(compare, "a long, b long, similarity double")
+    return sides.repartitionById(stripes * (stripes + 1) // 2, F.col("task")).mapInArrow(run, "a long, b long, similarity double")
 
 
 def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", block: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity) with a < b of vectors with a cosine of ``least`` (above 0) or more; keys are whole numbers.
 
     Rows are packed once into blocks of neighbours, by nearest pivot and distance to it. Pairs of blocks that the
-    triangle inequality puts too far apart are never compared; each other one is a group of two rows, compared by a matrix
-    product, whatever the number of rows. Exact; in data without clusters all blocks are compared.
+    triangle inequality puts too far apart are never compared; the others are compared by matrix products. Blocks form
+    ``STRIPES`` stripes, and a task holds a pair of stripes, so a row is shuffled once a stripe at most, whatever the number
+    of rows; only beyond ``STRIPES`` times ``STRIPE_BYTES`` of vectors there are more. Exact; in data without clusters all
+    blocks are compared.
     """
     return _cosine(vectors, least, key, value, block, False)
 
 
 def cosine_links(vectors: DataFrame, least: float, key: str = "id", value: str = "vector", block: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): fewer links with the same components as the pairs; a pair of blocks gives a row of it at most one."""
+    """(a, b): fewer links with the same components as the pairs; a pair of stripes gives a row of it at most one."""
     return _cosine(vectors, least, key, value, block, True).select("a", "b")
 
 

@@ -114,3 +114,33 @@ def test_cosine_by_blocks_of_neighbours(spark, monkeypatch, least, spread):
     links = similar.cosine_links(df, least, block=40)
     assert links.count() <= len(want) and members(links) == members(spark.createDataFrame(sorted(want), "a long, b long"))
     assert similar.cosine_pairs(df.limit(0), least).collect() == []
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that the stages of ``run`` write to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def _spread_out(spark, n):
+    rng = np.random.default_rng(n)
+    return spark.createDataFrame([(i, r) for i, r in enumerate(rng.normal(size=(n, 64)).tolist())], "id long, vector array<float>")
+
+
+def _growth(spark, join) -> float:
+    few, many = (_shuffled(spark, lambda n=n: join(_spread_out(spark, n), 0.4, block=40).count()) for n in (1600, 6400))
+    return many / few
+
+
+def test_cosine_links_shuffle_in_proportion_to_the_rows(spark):
+    """Four times the rows without clusters: blocks went to as many tasks as there are blocks."""
+    assert _growth(spark, similar.cosine_links) < 6
