@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -144,3 +145,17 @@ def _growth(spark, join) -> float:
 def test_cosine_links_shuffle_in_proportion_to_the_rows(spark):
     """Four times the rows without clusters: blocks went to as many tasks as there are blocks."""
     assert _growth(spark, similar.cosine_links) < 6
+
+
+def test_cosine_pairs_shuffle_in_proportion_to_the_rows(spark):
+    assert _growth(spark, similar.cosine_pairs) < 6
+
+
+def test_cosine_pairs_close_to_the_least_similarity(spark, monkeypatch):
+    """Single precision can't tell these apart; and vectors of several lengths, the longer ones not in the sample."""
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", 1)
+    cosines = [0.4 + d for d in (-1e-6, -1e-9, -1e-12, 1e-12, 1e-9, 1e-6)]
+    rows = [(0, [1.0])] + [(i, [c, *[0.0] * i, math.sqrt(1 - c * c)]) for i, c in enumerate(cosines, 1)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = similar.cosine_pairs(df, 0.4, block=2).where("a = 0").collect()
+    assert {r.b: r.similarity for r in got} == pytest.approx({i: cosines[i - 1] for i in (4, 5, 6)}, abs=1e-14)
