@@ -151,6 +151,16 @@ def test_cosine_pairs_shuffle_in_proportion_to_the_rows(spark):
     assert _growth(spark, similar.cosine_pairs) < 6
 
 
+def test_cosine_pairs_shuffle_a_row_once_a_stripe_at_most(spark):
+    """Whatever the number of blocks, here 160 of rows that stand four times each; besides, for the sort and the join."""
+    one = _spread_out(spark, 1600)
+    df = one.crossJoin(spark.range(4).select(F.col("id").alias("copy"))).selectExpr("id + 1600 * copy AS id", "vector")
+    found = []
+    sent = _shuffled(spark, lambda: found.append(similar.cosine_pairs(df, 0.4, block=40).count()))
+    assert sent < (similar.STRIPES + 4) * 6400 * (64 * 4 + 8)
+    assert found == [16 * similar.cosine_pairs(one, 0.4, block=40).count() + 1600 * 6]
+
+
 def test_cosine_pairs_close_to_the_least_similarity(spark, monkeypatch):
     """Single precision can't tell these apart; and vectors of several lengths, the longer ones not in the sample."""
     monkeypatch.setattr(similar, "SAMPLE_ROWS", 1)
